@@ -75,15 +75,30 @@ def units_to_buckets(u: Column, n_buckets: int = DEFAULT_BUCKETS) -> Column:
     )
 
 
+def text_chars(s: Column) -> Column:
+    """``ARRAY<STRING>`` of the characters (code points) of ``s``."""
+    return F.filter(F.split(s, ""), lambda c: c != F.lit(""))
+
+
+def chars_to_bigrams(chars: Column) -> Column:
+    """Sliding two-character strings from a character array (one character gives itself).
+
+    Takes the character array as a column so it is built once per row; indexing
+    an array is O(1), unlike ``substring`` at a character offset.
+    """
+    n = F.size(chars)
+    grams = F.transform(F.sequence(F.lit(0), n - 2), lambda i: F.concat(chars[i], chars[i + 1]))
+    return F.when(n >= 2, grams).when(n == 1, chars).otherwise(F.array().cast("array<string>"))
+
+
 def char_bigrams(s: Column) -> Column:
-    """``ARRAY<STRING>`` of sliding two-character substrings (a one-character text gives itself).
+    """``ARRAY<STRING>`` of sliding two-character substrings of ``s``.
 
     Works on characters (code points); equal to the UTF-16 rule for text without
-    characters outside the Basic Multilingual Plane.
+    characters outside the Basic Multilingual Plane. In plans, project
+    ``text_chars`` first and apply ``chars_to_bigrams`` to that column.
     """
-    n = F.length(s)
-    grams = F.transform(F.sequence(F.lit(1), n - 1), lambda i: F.substring(s, i, 2))
-    return F.when(n >= 2, grams).when(n == 1, F.array(s)).otherwise(F.array().cast("array<string>"))
+    return chars_to_bigrams(text_chars(s))
 
 
 def bucket_counts_numpy(text: str | None, n_buckets: int = DEFAULT_BUCKETS):

@@ -13,11 +13,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import oracle as O
-from .functions.text import char_bigrams, row_string, row_text
+from .functions.text import chars_to_bigrams, row_string, row_text, text_chars
 from .operators.assign import distances, predict
 from .operators.rowindex import group_offsets, with_row_index
 from .operators.seed import centers_frame, seed_first_k
-from .operators.update import step_stats, update_centers
+from .operators.update import partials_expr, step_stats, update_centers
 from .plans.featurize import featurize_text, hashed_tf_dense, hashed_tf_long
 from .plans.kmeans import fit
 from .plans.report import document_projection, document_sample, label_documents, language_counts
@@ -181,10 +181,8 @@ def q_assign_ties(spark, sf_dir):
 def q_cluster_partials(spark, sf_dir):
     pts = order_points(spark, sf_dir)
     seeds = seed_first_k(pts, 7)
-    st = step_stats(pts, seeds, None, path="expr")
-    rows = [(k, st.n[k], st.sums[k][0], st.sums[k][1]) for k in range(7) if st.n[k] > 0]
-    df = spark.createDataFrame(rows, "cluster_id int, n long, s0 double, s1 double")
-    return df.select("cluster_id", "n", F.round("s0", ROUND).alias("s0"), F.round("s1", ROUND).alias("s1"))
+    agg = partials_expr(pts, seeds)
+    return agg.select("cluster_id", "n", F.round("s_0", ROUND).alias("s0"), F.round("s_1", ROUND).alias("s1"))
 
 
 def _bucket_points(spark, sf_dir):
@@ -269,8 +267,9 @@ def q_row_strings(spark, sf_dir):
 
 
 def q_char_bigrams(spark, sf_dir):
-    d = table(spark, sf_dir, "documents")
-    grams = d.select("doc_id", F.explode(char_bigrams(row_text(F.col("text")))).alias("bigram"))
+    d = ensure_parallelism(table(spark, sf_dir, "documents"))
+    chars = d.select("doc_id", text_chars(row_text(F.col("text"))).alias("_c"))
+    grams = chars.select("doc_id", F.explode(chars_to_bigrams(F.col("_c"))).alias("bigram"))
     return grams.groupBy("doc_id", "bigram").agg(F.count(F.lit(1)).alias("n"))
 
 
