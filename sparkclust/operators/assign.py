@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import center_distances, with_nearest
+from .update import batch_matrix
 
 
 def assign(points: DataFrame, centers: Sequence[Sequence[float]], out: str = "cluster_id", features: str = "features") -> DataFrame:
@@ -23,17 +24,17 @@ def assign(points: DataFrame, centers: Sequence[Sequence[float]], out: str = "cl
 def _predict_fn(centers, d: int, names: list[str]):
     import pyarrow as pa
 
-    from .update import _nearest_np
+    from .update import _nearest_np, ship_centers
 
-    C = np.asarray(centers, dtype=np.float64)
+    shipped = ship_centers(centers)
 
     def fn(batches):
+        C = shipped.value if hasattr(shipped, "value") else shipped
         for rb in batches:
             rows = rb.num_rows
             if rows == 0:
                 continue
-            X = rb.column(rb.num_columns - 1).flatten().to_numpy(zero_copy_only=False)
-            X = X.astype(np.float64, copy=False).reshape(rows, d)
+            X = batch_matrix(rb.column(rb.num_columns - 1), rows, d)
             m = np.concatenate([_nearest_np(X[lo : lo + 4096], C) for lo in range(0, rows, 4096)])
             cols = [rb.column(i) for i in range(rb.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(m.astype(np.int32))], names=names)
@@ -59,10 +60,8 @@ def predict(
     if len(centers) == 0:
         raise ValueError("no centres")
     d = len(centers[0])
-    if check_width and not points.isStreaming:
-        bad = points.where(F.size(features) != F.lit(d)).limit(1)
-        if bad.count() > 0:
-            raise ValueError(f"points and centres have different widths (centres: {d})")
+    width_ok = F.size(features) == F.lit(d)
+    msg = F.lit(f"points and centres have different widths (centres: {d})")
     if path == "auto":
         path = "arrow" if (not points.isStreaming and d >= 16) else "expr"
     carried = [id_col, *keep]
@@ -70,7 +69,14 @@ def predict(
         src = points.select(*carried, features)
         schema = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in carried)
         return src.mapInArrow(_predict_fn(centers, d, [*carried, "cluster_id"]), f"{schema}, cluster_id int")
-    return with_nearest(points.select(*carried, features), centers, "cluster_id", features).select(*carried, "cluster_id")
+    src = points.select(*carried, features)
+    if check_width:
+        # checked row by row inside the same pass: a wrong width fails the job
+        src = src.withColumn("_width_ok", width_ok)
+    out = with_nearest(src, centers, "cluster_id", features)
+    if check_width:
+        out = out.withColumn("cluster_id", F.when(F.col("_width_ok"), F.col("cluster_id")).otherwise(F.raise_error(msg)))
+    return out.select(*carried, "cluster_id")
 
 
 def distances(points: DataFrame, centers: Sequence[Sequence[float]], id_col: str = "id", features: str = "features") -> DataFrame:

@@ -25,6 +25,26 @@ from ..functions.vector import with_nearest
 
 ARROW_MIN_DIM = 16
 _CHUNK_ROWS = 4096
+# Models above this many numbers travel as a broadcast variable, not inside each task.
+BROADCAST_MIN_VALUES = 100_000
+
+
+def ship_centers(centers):
+    """K x d centres for Arrow batch functions: a NumPy array, or a broadcast for big models."""
+    C = np.asarray(centers, dtype=np.float64)
+    if C.size > BROADCAST_MIN_VALUES:
+        from pyspark import SparkContext
+
+        return SparkContext.getOrCreate().broadcast(C)
+    return C
+
+
+def batch_matrix(col, rows: int, d: int) -> np.ndarray:
+    """An Arrow list column of equal-width vectors -> (rows, d) float64 matrix."""
+    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    if flat.size != rows * d:
+        raise ValueError(f"points and centres have different widths (centres: {d})")
+    return flat.reshape(rows, d)
 
 
 @dataclass
@@ -74,9 +94,9 @@ def _nearest_np(X: np.ndarray, C: np.ndarray) -> np.ndarray:
 def _partials_fn(centers, prev, d: int):
     import pyarrow as pa
 
-    C = np.asarray(centers, dtype=np.float64)
-    P = None if prev is None else np.asarray(prev, dtype=np.float64)
-    K = C.shape[0]
+    C_ship = ship_centers(centers)
+    P_ship = None if prev is None else ship_centers(prev)
+    K = len(centers)
     out_schema = pa.schema(
         [
             ("cluster_id", pa.int32()),
@@ -87,6 +107,8 @@ def _partials_fn(centers, prev, d: int):
     )
 
     def fn(batches):
+        C = C_ship.value if hasattr(C_ship, "value") else C_ship
+        P = None if P_ship is None else (P_ship.value if hasattr(P_ship, "value") else P_ship)
         n_tot = np.zeros(K, dtype=np.int64)
         c_tot = np.zeros(K, dtype=np.int64)
         s_tot = np.zeros((K, d), dtype=np.float64)
@@ -96,7 +118,7 @@ def _partials_fn(centers, prev, d: int):
             if rows == 0:
                 continue
             seen = True
-            X_all = rb.column(0).flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(rows, d)
+            X_all = batch_matrix(rb.column(0), rows, d)
             for lo in range(0, rows, _CHUNK_ROWS):
                 X = X_all[lo : lo + _CHUNK_ROWS]
                 m = _nearest_np(X, C)

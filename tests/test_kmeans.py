@@ -65,8 +65,11 @@ def test_empty_input_and_bad_args(spark):
         fit(pts(spark, []).where("id < 0"), 2)
     with pytest.raises(ValueError):
         fit(pts(spark, [[1]]), 1, max_iter=0)
-    with pytest.raises(ValueError):
-        predict(pts(spark, [[1, 2]]), [[1.0]])
+    # the width check runs inside the pass and fails the job
+    with pytest.raises(Exception, match="different widths"):
+        predict(pts(spark, [[1, 2]]), [[1.0]]).collect()
+    with pytest.raises(Exception, match="different widths"):
+        predict(pts(spark, [[1, 2]]), [[1.0] * 20], path="arrow").collect()
 
 
 @pytest.mark.parametrize("path", ["expr", "arrow"])
