@@ -35,12 +35,19 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint folder, setting a local one only if unset."""
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # sessions without a local SparkContext (remote clients)
+        conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+        if not conf_dir:
+            raise RuntimeError("set spark.checkpoint.dir to a shared folder") from None
+        return conf_dir
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
+        # only reached in local runs and tests: a cluster names a shared folder
         conf_dir = tempfile.mkdtemp(prefix="sparkclust-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
@@ -59,7 +66,11 @@ def ensure_parallelism(df, minimum: int | None = None):
     """
     if df.isStreaming:
         return df
-    want = minimum or df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < want:
+    try:
+        want = minimum or df.sparkSession.sparkContext.defaultParallelism
+        have = df.rdd.getNumPartitions()
+    except Exception:  # no RDD view (remote clients): leave the layout to the engine
+        return df
+    if have < want:
         return df.repartition(want)
     return df

@@ -23,7 +23,7 @@ from .plans.kmeans import fit
 from .plans.report import document_projection, document_sample, label_documents, language_counts
 from .session import ensure_parallelism, scratch_path
 from .sinks.text import center_lines, feature_lines, membership_lines, read_centers, write_centers, write_lines
-from .sources.documents import documents_from_table, read_documents, write_documents_json
+from .sources.documents import documents_from_table, read_documents, register_documents, write_documents_json
 from .sources.points import parse_point_lines, points_from_array, points_from_columns, read_points
 
 ROUND = O.ROUND
@@ -294,6 +294,12 @@ def q_json_projection(spark, sf_dir):
     return document_projection(_json_docs(spark, sf_dir))
 
 
+def q_sql_projection(spark, sf_dir):
+    """The labeller's SQL over a registered view, nested field and literals included."""
+    register_documents(documents_from_table(table(spark, sf_dir, "documents")), "tweetTable")
+    return spark.sql("SELECT 0 AS head, id, lang, user.lang AS user_lang, text, 0 AS tail FROM tweetTable")
+
+
 def q_language_topk(spark, sf_dir):
     return language_counts(documents_from_table(table(spark, sf_dir, "documents")), 25)
 
@@ -345,6 +351,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "bigram_tf": q_bigram_tf,
     "feature_lines": q_feature_lines,
     "json_projection": q_json_projection,
+    "sql_projection": q_sql_projection,
     "language_topk": q_language_topk,
     "document_sample": q_document_sample,
     "text_kmeans": q_text_kmeans,
@@ -465,6 +472,7 @@ def _oracle() -> dict[str, str]:
         f"(SELECT row_number() OVER (ORDER BY id) - 1 AS idx, v FROM ({O.tf_dense_sql(True)}))"
     )
     q["json_projection"] = "SELECT doc_id AS id, lang, source AS user_lang, text FROM documents"
+    q["sql_projection"] = "SELECT 0 AS head, doc_id AS id, lang, source AS user_lang, text, 0 AS tail FROM documents"
     q["language_topk"] = (
         "SELECT source AS lang, count(*) AS cnt FROM documents GROUP BY source ORDER BY cnt DESC, lang NULLS FIRST LIMIT 25"
     )
