@@ -74,9 +74,13 @@ def main() -> None:
         d = ensure_parallelism(table(spark, sf_dir, "documents"))
         hashed_tf_dense(d, "doc_id", "text").select(F.sum(F.aggregate("features", F.lit(0.0), lambda a, b: a + b))).collect()
 
-    def featurize_long():
+    def featurize_long_sql():
         d = ensure_parallelism(table(spark, sf_dir, "documents"))
-        hashed_tf_long(d, "doc_id", "text").agg(F.count(F.lit(1)), F.sum("tf")).collect()
+        hashed_tf_long(d, "doc_id", "text", impl="sql").agg(F.count(F.lit(1)), F.sum("tf")).collect()
+
+    def featurize_long_arrow():
+        d = ensure_parallelism(table(spark, sf_dir, "documents"))
+        hashed_tf_long(d, "doc_id", "text", impl="arrow").agg(F.count(F.lit(1)), F.sum("tf")).collect()
 
     def text_kmeans():
         d = ensure_parallelism(table(spark, sf_dir, "documents"))
@@ -95,7 +99,8 @@ def main() -> None:
     timed("lineitem_kmeans_k7_t20", lineitem_kmeans)
     timed("embeddings_kmeans_k7_t20", embeddings_kmeans)
     timed("featurize_dense", featurize_dense)
-    timed("featurize_long", featurize_long)
+    timed("featurize_long_sql", featurize_long_sql)
+    timed("featurize_long_arrow", featurize_long_arrow)
     timed("text_kmeans_k7_t20", text_kmeans)
     timed("predict_orders", predict_orders)
     timed("label_documents", label_docs)

@@ -22,8 +22,25 @@ from ..functions.vector import dense_from_long
 from ..operators.rowindex import with_row_index
 
 
-def hashed_tf_long(df: DataFrame, id_col: str = "id", text_col: str = "text", n_features: int = DEFAULT_BUCKETS, bracketed: bool = True) -> DataFrame:
-    """``(id, bucket INT, tf DOUBLE)`` for every non-zero bucket of every text."""
+def hashed_tf_long(
+    df: DataFrame,
+    id_col: str = "id",
+    text_col: str = "text",
+    n_features: int = DEFAULT_BUCKETS,
+    bracketed: bool = True,
+    impl: str = "sql",
+) -> DataFrame:
+    """``(id, bucket INT, tf DOUBLE)`` for every non-zero bucket of every text.
+
+    ``impl="arrow"`` builds each text's histogram in one vectorised pass and
+    keeps the non-zero buckets: no shuffle. ``impl="sql"`` is pure Catalyst.
+    """
+    if impl == "arrow":
+        dense = df.select(F.col(id_col).alias("id"), _dense_udf(n_features)(row_text(F.col(text_col), bracketed)).alias("_v"))
+        cells = dense.select("id", F.posexplode("_v").alias("bucket", "tf"))
+        return cells.where(F.col("tf") > 0).select("id", F.col("bucket").cast("int").alias("bucket"), "tf")
+    if impl != "sql":
+        raise ValueError(f"unknown impl {impl!r}")
     src = df.select(F.col(id_col).alias("id"), utf16_units(row_text(F.col(text_col), bracketed)).alias("_u"))
     exploded = src.select("id", F.explode(units_to_buckets(F.col("_u"), n_features)).alias("bucket"))
     return exploded.groupBy("id", "bucket").agg(F.count(F.lit(1)).cast("double").alias("tf"))
@@ -86,7 +103,7 @@ def featurize_text(
         src = with_row_index(df, index_by, out="_idx")
         key = "_idx"
     if form == "long":
-        return hashed_tf_long(src, key, text_col, n_features, bracketed)
+        return hashed_tf_long(src, key, text_col, n_features, bracketed, impl)
     if form != "dense":
         raise ValueError(f"unknown form {form!r}")
     return hashed_tf_dense(src, key, text_col, n_features, bracketed, impl)

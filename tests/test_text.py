@@ -62,6 +62,13 @@ def test_sql_and_arrow_featurizers_agree(spark):
     assert sum(a[k0]) == len("[" + texts[k0] + "]") - 1
 
 
+def test_long_form_sql_and_arrow_agree(spark):
+    d = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    a = sorted(map(tuple, hashed_tf_long(d, "doc_id", "text", impl="sql").collect()))
+    b = sorted(map(tuple, hashed_tf_long(d, "doc_id", "text", impl="arrow").collect()))
+    assert a == b
+
+
 def test_long_form_matches_dense(spark):
     d = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     long_rows = hashed_tf_long(d, "doc_id", "text").collect()
