@@ -46,19 +46,19 @@ def with_row_index(df: DataFrame, order_by, out: str = "row_idx", num_partitions
     keys = _cols(order_by)
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = (
-        df.repartitionByRange(n, *keys)
-        .sortWithinPartitions(*keys)
+    ranged = df.repartitionByRange(n, *keys)
+    # sizes need no sort: they read the same (reused) range shuffle
+    sizes = ranged.groupBy(F.spark_partition_id().alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
+    offsets = exclusive_offsets(sizes, "_pid", "_n", "_off").select("_pid", "_off")
+    numbered = (
+        ranged.sortWithinPartitions(*keys)
         .withColumn("_pid", F.spark_partition_id())
         .withColumn("_mid", F.monotonically_increasing_id())
     )
-    sizes = ranged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-    offsets = exclusive_offsets(sizes, "_pid", "_n", "_off")
     # one row per partition: a bounded broadcast
-    joined = ranged.join(F.broadcast(offsets.select("_pid", "_off", "_first")), "_pid")
-    return joined.withColumn(out, (F.col("_off") + F.col("_mid") - F.col("_first")).cast("long")).drop(
-        "_pid", "_mid", "_off", "_first"
-    )
+    joined = numbered.join(F.broadcast(offsets), "_pid")
+    local = F.col("_mid").bitwiseAND(F.lit(_LOW_BITS))
+    return joined.withColumn(out, (F.col("_off") + local).cast("long")).drop("_pid", "_mid", "_off")
 
 
 def group_offsets(df: DataFrame, group_col: str) -> DataFrame:

@@ -40,3 +40,31 @@ def start_predict_stream(
     if available_now:
         writer = writer.trigger(availableNow=True)
     return writer.start()
+
+
+def start_label_stream(
+    spark: SparkSession,
+    docs: DataFrame,
+    centers: Sequence[Sequence[float]],
+    out_path: str,
+    checkpoint: str | None = None,
+    bracketed: bool = False,
+    available_now: bool = True,
+) -> StreamingQuery:
+    """Label a stream of JSON documents (``read_documents`` shape) with saved centres.
+
+    Featurizing and assignment are per-row, so each micro-batch is one
+    projection; no state, no watermark.
+    """
+    from ..plans.report import label_documents
+
+    labelled = label_documents(docs, centers, bracketed=bracketed, impl="arrow")
+    writer = (
+        labelled.writeStream.format("parquet")
+        .option("path", out_path)
+        .option("checkpointLocation", checkpoint or scratch_path(spark, "label-ckpt"))
+        .outputMode("append")
+    )
+    if available_now:
+        writer = writer.trigger(availableNow=True)
+    return writer.start()

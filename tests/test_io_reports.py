@@ -100,3 +100,21 @@ def test_write_lines_keeps_order(spark, tmpdir_path):
 
     rows = read_lines(spark, path).collect()
     assert all(r["line"] == str(r["line_no"]) for r in rows)
+
+
+def test_label_stream_equals_batch(spark, tmpdir_path):
+    from sparkclust.plans.featurize import hashed_tf_dense
+    from sparkclust.sources.documents import DOC_SCHEMA
+    from sparkclust.streaming.predict import start_label_stream
+
+    src = os.path.join(tmpdir_path, "docs-in")
+    write_documents_json(documents_from_table(spark.read.parquet(f"{SF_SMALL}/documents.parquet")), src)
+    batch_docs = read_documents(spark, src)
+    run = fit(hashed_tf_dense(batch_docs, "id", "text"), 3, max_iter=2)
+    stream_docs = spark.readStream.schema(DOC_SCHEMA).json(src)
+    out = os.path.join(tmpdir_path, "labels-out")
+    q = start_label_stream(spark, stream_docs, run.centers, out, checkpoint=os.path.join(tmpdir_path, "ck2"))
+    q.awaitTermination(180)
+    got = {tuple(r) for r in spark.read.parquet(out).select("id", "lang", "user_lang", "cluster_id").collect()}
+    want = {tuple(r) for r in label_documents(batch_docs, run.centers).select("id", "lang", "user_lang", "cluster_id").collect()}
+    assert got == want and len(got) == 200
