@@ -19,7 +19,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import functions as F  # noqa: E402
 
 from sparkclust.operators.assign import predict  # noqa: E402
-from sparkclust.plans.featurize import hashed_tf_dense, hashed_tf_long  # noqa: E402
+from sparkclust.plans.featurize import hashed_tf_dense, hashed_tf_long, hashed_tf_sparse  # noqa: E402
 from sparkclust.plans.kmeans import fit  # noqa: E402
 from sparkclust.plans.report import label_documents  # noqa: E402
 from sparkclust.session import ensure_parallelism, local_session  # noqa: E402
@@ -88,6 +88,11 @@ def main() -> None:
         shared["text_centers"] = run.centers
         run.release()
 
+    def text_kmeans_sparse():
+        d = ensure_parallelism(table(spark, sf_dir, "documents"))
+        run = fit(hashed_tf_sparse(d, "doc_id", "text"), K, max_iter=ITERS)
+        run.release()
+
     def predict_orders():
         predict(order_points(spark, sf_dir), shared["orders_centers"]).groupBy("cluster_id").count().collect()
 
@@ -102,6 +107,7 @@ def main() -> None:
     timed("featurize_long_sql", featurize_long_sql)
     timed("featurize_long_arrow", featurize_long_arrow)
     timed("text_kmeans_k7_t20", text_kmeans)
+    timed("text_kmeans_sparse_k7_t20", text_kmeans_sparse)
     timed("predict_orders", predict_orders)
     timed("label_documents", label_docs)
 

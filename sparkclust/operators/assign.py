@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import center_distances, with_nearest
-from .update import batch_matrix
+from .update import batch_matrix, is_sparse
 
 
 def assign(points: DataFrame, centers: Sequence[Sequence[float]], out: str = "cluster_id", features: str = "features") -> DataFrame:
@@ -34,8 +34,10 @@ def _predict_fn(centers, d: int, names: list[str]):
             rows = rb.num_rows
             if rows == 0:
                 continue
-            X = batch_matrix(rb.column(rb.num_columns - 1), rows, d)
-            m = np.concatenate([_nearest_np(X[lo : lo + 4096], C) for lo in range(0, rows, 4096)])
+            col = rb.column(rb.num_columns - 1)
+            m = np.concatenate(
+                [_nearest_np(batch_matrix(col.slice(lo, 4096), min(4096, rows - lo), d), C) for lo in range(0, rows, 4096)]
+            )
             cols = [rb.column(i) for i in range(rb.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(m.astype(np.int32))], names=names)
 
@@ -62,8 +64,11 @@ def predict(
     d = len(centers[0])
     width_ok = F.size(features) == F.lit(d)
     msg = F.lit(f"points and centres have different widths (centres: {d})")
+    sparse = is_sparse(points, features)
     if path == "auto":
-        path = "arrow" if (not points.isStreaming and d >= 16) else "expr"
+        path = "arrow" if (sparse or (not points.isStreaming and d >= 16)) else "expr"
+    if sparse and path != "arrow":
+        raise ValueError("sparse vectors use the Arrow path")
     carried = [id_col, *keep]
     if path == "arrow":
         src = points.select(*carried, features)

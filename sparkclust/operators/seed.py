@@ -14,8 +14,10 @@ def first_k_rows(points: DataFrame, k: int, order_by: str = "id") -> list[list[f
     """
     if k < 1:
         raise ValueError("k must be >= 1")
+    from .update import dense_row
+
     rows = points.orderBy(order_by).limit(k).select("features").collect()
-    return [[float(v) for v in r["features"]] for r in rows]
+    return [dense_row(r["features"]) for r in rows]
 
 
 def seed_first_k(points: DataFrame, k: int, order_by: str = "id", dim: int | None = None) -> list[list[float]]:

@@ -39,14 +39,51 @@ def ship_centers(centers):
     return C
 
 
+SPARSE_TYPE = "struct<size:int,idx:array<int>,val:array<double>>"
+
+
+def is_sparse(df: DataFrame, features: str = "features") -> bool:
+    """True when ``features`` is the sparse ``struct<size, idx, val>`` form."""
+    from pyspark.sql.types import StructType
+
+    return isinstance(df.schema[features].dataType, StructType)
+
+
 def batch_matrix(col, rows: int, d: int) -> np.ndarray:
-    """An Arrow list column of equal-width vectors -> (rows, d) float64 matrix."""
+    """An Arrow vector column -> (rows, d) float64 matrix.
+
+    Dense vectors are a list column of equal widths; sparse vectors are a
+    ``struct<size, idx, val>`` column, scattered into zeros here (so only
+    one chunk of rows is ever dense in memory).
+    """
+    import pyarrow as pa
+
+    if pa.types.is_struct(col.type):
+        sizes = col.field("size").to_numpy(zero_copy_only=False)
+        if rows and (sizes != d).any():
+            raise ValueError(f"points and centres have different widths (centres: {d})")
+        idx_col, val_col = col.field("idx"), col.field("val")
+        lens = np.diff(np.asarray(idx_col.offsets))
+        where = np.repeat(np.arange(rows), lens)
+        X = np.zeros((rows, d), dtype=np.float64)
+        X[where, idx_col.flatten().to_numpy(zero_copy_only=False)] = val_col.flatten().to_numpy(zero_copy_only=False)
+        return X
     flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
     if flat.size != rows * d:
         raise ValueError(f"points and centres have different widths (centres: {d})")
     return flat.reshape(rows, d)
 
 
+def dense_row(v) -> list[float]:
+    """One collected vector (dense list or sparse Row) -> dense list (driver side, K rows only)."""
+    if isinstance(v, (list, tuple)) and not hasattr(v, "asDict"):
+        return [float(x) for x in v]
+    out = [0.0] * int(v["size"])
+    for i, x in zip(v["idx"], v["val"]):
+        out[int(i)] = float(x)
+    return out
+
+
 @dataclass
 class StepStats:
     n: list[int]  # points per cluster
@@ -54,7 +91,11 @@ class StepStats:
     sums: list[list[float]]  # coordinate sums per cluster
 
 
-def choose_path(d: int, path: str = "auto") -> str:
+def choose_path(d: int, path: str = "auto", sparse: bool = False) -> str:
+    if sparse:
+        if path == "expr":
+            raise ValueError("sparse vectors use the Arrow path")
+        return "arrow"
     if path == "auto":
         return "arrow" if d >= ARROW_MIN_DIM else "expr"
     if path not in ("expr", "arrow"):
@@ -118,9 +159,10 @@ def _partials_fn(centers, prev, d: int):
             if rows == 0:
                 continue
             seen = True
-            X_all = batch_matrix(rb.column(0), rows, d)
+            col = rb.column(0)
             for lo in range(0, rows, _CHUNK_ROWS):
-                X = X_all[lo : lo + _CHUNK_ROWS]
+                part = col.slice(lo, _CHUNK_ROWS)
+                X = batch_matrix(part, len(part), d)
                 m = _nearest_np(X, C)
                 cnt = np.bincount(m, minlength=K)
                 n_tot += cnt
@@ -172,7 +214,7 @@ def step_stats(points: DataFrame, centers, prev=None, path: str = "auto", featur
     n = [0] * K
     changed = [0] * K
     sums = [[0.0] * d for _ in range(K)]
-    if choose_path(d, path) == "expr":
+    if choose_path(d, path, is_sparse(points, features)) == "expr":
         for r in partials_expr(points, centers, prev, features).collect():
             k = r["cluster_id"]
             n[k] = int(r["n"])

@@ -60,6 +60,31 @@ def _dense_udf(n_features: int):
     return dense
 
 
+def _sparse_udf(n_features: int):
+    @F.pandas_udf("struct<size:int,idx:array<int>,val:array<double>>")
+    def sparse(texts: pd.Series) -> pd.DataFrame:
+        idx, val = [], []
+        for t in texts:
+            h = bucket_counts_numpy(t, n_features)
+            nz = h.nonzero()[0]
+            idx.append(nz.astype("int32"))
+            val.append(h[nz])
+        return pd.DataFrame({"size": [n_features] * len(idx), "idx": idx, "val": val})
+
+    return sparse
+
+
+def hashed_tf_sparse(
+    df: DataFrame, id_col: str = "id", text_col: str = "text", n_features: int = DEFAULT_BUCKETS, bracketed: bool = True
+) -> DataFrame:
+    """``(id, features STRUCT<size, idx, val>)``: only the non-zero buckets are stored.
+
+    Same numbers as the dense form; a short text costs a few entries instead of
+    ``n_features`` doubles, which is what a cached training set holds.
+    """
+    return df.select(F.col(id_col).alias("id"), _sparse_udf(n_features)(row_text(F.col(text_col), bracketed)).alias("features"))
+
+
 def hashed_tf_dense(
     df: DataFrame,
     id_col: str = "id",
@@ -104,6 +129,8 @@ def featurize_text(
         key = "_idx"
     if form == "long":
         return hashed_tf_long(src, key, text_col, n_features, bracketed, impl)
+    if form == "sparse":
+        return hashed_tf_sparse(src, key, text_col, n_features, bracketed)
     if form != "dense":
         raise ValueError(f"unknown form {form!r}")
     return hashed_tf_dense(src, key, text_col, n_features, bracketed, impl)

@@ -30,7 +30,8 @@ from pyspark.sql import functions as F
 from ..functions.vector import with_nearest
 from ..session import ensure_parallelism
 from ..operators.seed import centers_frame, seed_first_k
-from ..operators.update import choose_path, step_stats, update_centers
+from ..operators.assign import predict
+from ..operators.update import choose_path, is_sparse, step_stats, update_centers
 
 
 @dataclass
@@ -100,7 +101,8 @@ def fit(
     if len(centers) != k:
         raise ValueError("init must hold exactly k centres")
     d = len(centers[0])
-    chosen = choose_path(d, path)
+    sparse = is_sparse(pts)
+    chosen = choose_path(d, path, sparse)
     need_delta = track_delta or stop == "threshold"
 
     prev = None
@@ -125,5 +127,8 @@ def fit(
             break
 
     member_centers = prev if membership == "lagged" else centers
-    member = with_nearest(pts, member_centers).select("id", "cluster_id")
+    if chosen == "arrow":
+        member = predict(pts, member_centers, path="arrow", check_width=False)
+    else:
+        member = with_nearest(pts, member_centers).select("id", "cluster_id")
     return KMeansRun(centers, prev, member, history, n_points, d, chosen, pts if cached else None)

@@ -39,9 +39,10 @@ def label_documents(
 
 def _features_col(n_features: int, bracketed: bool):
     from ..functions.text import row_text
-    from .featurize import _dense_udf
+    from .featurize import _sparse_udf
 
-    return _dense_udf(n_features)(row_text(F.col("text"), bracketed)).alias("features")
+    # sparse between the two Arrow steps: only non-zero buckets cross the JVM boundary
+    return _sparse_udf(n_features)(row_text(F.col("text"), bracketed)).alias("features")
 
 
 def language_counts(docs: DataFrame, top: int = 25, by: str = "user.lang") -> DataFrame:

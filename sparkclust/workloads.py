@@ -18,7 +18,7 @@ from .operators.assign import distances, predict
 from .operators.rowindex import group_offsets, with_row_index
 from .operators.seed import centers_frame, seed_first_k
 from .operators.update import partials_expr, step_stats, update_centers
-from .plans.featurize import featurize_text, hashed_tf_dense, hashed_tf_long
+from .plans.featurize import featurize_text, hashed_tf_dense, hashed_tf_long, hashed_tf_sparse
 from .plans.kmeans import fit
 from .plans.report import document_projection, document_sample, label_documents, language_counts
 from .session import ensure_parallelism, scratch_path
@@ -308,9 +308,12 @@ def q_document_sample(spark, sf_dir):
     return document_sample(documents_from_table(table(spark, sf_dir, "documents")), 10)
 
 
-def _text_run(spark, sf_dir, iters: int):
+def _text_run(spark, sf_dir, iters: int, sparse: bool = False):
     d = ensure_parallelism(table(spark, sf_dir, "documents"))
-    feats = hashed_tf_dense(d, "doc_id", "text", bracketed=True, impl="arrow")
+    if sparse:
+        feats = hashed_tf_sparse(d, "doc_id", "text", bracketed=True)
+    else:
+        feats = hashed_tf_dense(d, "doc_id", "text", bracketed=True, impl="arrow")
     return fit(feats, 7, max_iter=iters)
 
 
@@ -319,7 +322,7 @@ def q_text_kmeans(spark, sf_dir):
 
 
 def q_label_documents(spark, sf_dir):
-    run = _text_run(spark, sf_dir, 2)
+    run = _text_run(spark, sf_dir, 2, sparse=True)
     docs = documents_from_table(ensure_parallelism(table(spark, sf_dir, "documents")))
     return label_documents(docs, run.centers, bracketed=False)
 

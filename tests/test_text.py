@@ -82,3 +82,24 @@ def test_featurize_index(spark):
     d = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
     f = featurize_text(d, "doc_id", "text", index_by="doc_id").collect()
     assert sorted(r["id"] for r in f) == list(range(d.count()))
+
+
+def test_sparse_and_dense_training_agree(spark):
+    from sparkclust import fit, predict
+    from sparkclust.plans.featurize import hashed_tf_sparse
+
+    d = spark.read.parquet(f"{SF_SMALL}/documents.parquet")
+    dense = hashed_tf_dense(d, "doc_id", "text")
+    sparse = hashed_tf_sparse(d, "doc_id", "text")
+    row = sparse.orderBy("id").first()["features"]
+    full = dense.orderBy("id").first()["features"]
+    assert row["size"] == 1000 and [full[i] for i in row["idx"]] == row["val"]
+    assert sum(full) == sum(row["val"])
+    a = fit(dense, 5, max_iter=3)
+    b = fit(sparse, 5, max_iter=3)
+    assert a.centers == b.centers
+    assert [h["changed"] for h in a.history] == [h["changed"] for h in b.history]
+    assert sorted(map(tuple, a.membership.collect())) == sorted(map(tuple, b.membership.collect()))
+    pa = sorted(map(tuple, predict(dense, b.centers).collect()))
+    pb = sorted(map(tuple, predict(sparse, b.centers).collect()))
+    assert pa == pb
