@@ -9,8 +9,10 @@ Modes::
     featurize     <json docs> <out>
     label         <json docs> <centres> [<out>]
 
-Training writes ``<out>.model`` (centre lines) and ``<out>.membership``
-(``position cluster_id`` lines); predict writes ``<out>.membership``.
+Training writes the centre lines to ``<out>.model`` (``par_*`` modes) or
+``<out>.cluster_centres`` (``train``) and ``position cluster_id`` lines to
+``<out>.membership``; predict writes ``<out>.membership``. Each output is a
+folder of text part files in line order.
 """
 
 from __future__ import annotations
@@ -51,7 +53,8 @@ def run(spark: SparkSession, argv: list[str]) -> dict:
         t1 = time.time()
         result = fit(parsed.points, k, max_iter=iters, threshold=threshold, stop=TRAIN_MODES[mode])
         t2 = time.time()
-        write_centers(result.centers_df(spark), out + ".model")
+        model_suffix = ".cluster_centres" if mode == "train" else ".model"
+        write_centers(result.centers_df(spark), out + model_suffix)
         write_lines(membership_lines(result.membership), out + ".membership", order_by="id")
         t3 = time.time()
         return {

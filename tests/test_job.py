@@ -26,6 +26,7 @@ def test_train_predict_cycle(spark, tmpdir_path):
     assert len(read_centers(spark, out + ".model")) == 4
     rep2 = run(spark, ["train", pts, out + "2", "4", "0.5", "20"])
     assert rep2["iterations"] < 20
+    assert len(read_centers(spark, out + "2.cluster_centres")) == 4
     run(spark, ["predict", pts, out + ".model", out + "-pred"])
     lines = read_lines(spark, out + "-pred.membership").collect()
     assert len(lines) == 150
