@@ -80,7 +80,8 @@ def run(spark: SparkSession, argv: list[str]) -> dict:
         if len(args) != 2:
             raise SystemExit(USAGE)
         docs = read_documents(spark, args[0])
-        feats = featurize_text(docs, "id", "text", index_by="id")
+        # idx = position of the document in the input files
+        feats = featurize_text(docs, "id", "text", index_by="file")
         write_lines(feature_lines(feats), args[1], order_by="id")
         return {"mode": mode, "ms": int((time.time() - t0) * 1000)}
     if mode == "label":

@@ -61,6 +61,38 @@ def with_row_index(df: DataFrame, order_by, out: str = "row_idx", num_partitions
     return joined.withColumn(out, (F.col("_off") + local).cast("long")).drop("_pid", "_mid", "_off")
 
 
+# Split tables larger than this are joined back with a shuffle instead of a broadcast.
+MAX_BROADCAST_SPLITS = 200_000
+
+
+def with_file_position(df: DataFrame, out: str = "row_idx") -> DataFrame:
+    """Append the 0-based position of each row in file order (a file-backed DataFrame).
+
+    File order = file path, then byte offset of the split, then row order
+    inside the split. Positions come from per-split counts and their prefix
+    sum; the rows themselves are never sorted or shuffled.
+    """
+    raw = df.select(
+        "*",
+        F.col("_metadata.file_path").alias("_file"),
+        F.col("_metadata.file_block_start").alias("_block"),
+        F.monotonically_increasing_id().alias("_mid"),
+    )
+    splits = raw.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
+    offsets = exclusive_offsets(splits, ["_file", "_block"], "_n", "_off").select("_file", "_block", "_off", "_first")
+    # Every split is a whole small file or one block of a large file, so
+    # files + partitions bounds the number of split rows before any job runs.
+    try:
+        split_bound = len(df.inputFiles()) + df.rdd.getNumPartitions()
+    except Exception:
+        split_bound = MAX_BROADCAST_SPLITS + 1
+    if split_bound <= MAX_BROADCAST_SPLITS:
+        offsets = F.broadcast(offsets)
+    joined = raw.join(offsets, ["_file", "_block"])
+    pos = (F.col("_off") + F.col("_mid") - F.col("_first")).cast("long")
+    return joined.withColumn(out, pos).drop("_file", "_block", "_mid", "_off", "_first")
+
+
 def group_offsets(df: DataFrame, group_col: str) -> DataFrame:
     """Size of each group and the exclusive prefix sum of sizes in group order."""
     sizes = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("n"))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import DEFAULT_BUCKETS, bucket_counts_numpy, row_text, units_to_buckets, utf16_units
 from ..functions.vector import dense_from_long
-from ..operators.rowindex import with_row_index
+from ..operators.rowindex import with_file_position, with_row_index
 
 
 def hashed_tf_long(
@@ -120,11 +120,15 @@ def featurize_text(
     """The featurize job: texts -> term-frequency vectors.
 
     ``index_by`` replaces the id by the 0-based position in that order (the
-    featurizer's ``idx``); ``form="long"`` returns ``(id, bucket, tf)``.
+    featurizer's ``idx``); ``index_by="file"`` uses the position in the input
+    files (a file-backed DataFrame). ``form="long"`` returns ``(id, bucket, tf)``.
     """
     src = df
     key = id_col
-    if index_by is not None:
+    if index_by == "file":
+        src = with_file_position(df, out="_idx")
+        key = "_idx"
+    elif index_by is not None:
         src = with_row_index(df, index_by, out="_idx")
         key = "_idx"
     if form == "long":

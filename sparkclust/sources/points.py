@@ -19,14 +19,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.vector import is_finite_vector
-from ..operators.rowindex import exclusive_offsets
+from ..operators.rowindex import with_file_position
 
 # Fixed value: the line trim strips every character at or below U+0020 from both ends.
 _EDGE_CONTROL = r"^[\x00-\x20]+|[\x00-\x20]+$"
 
-# Split tables larger than this are joined back with a shuffle instead of a broadcast.
-MAX_BROADCAST_SPLITS = 200_000
-
 
 @dataclass
 class ParsedPoints:
@@ -67,29 +64,10 @@ def scala_trim(c: Column) -> Column:
 def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
     """Text files -> ``(line_no BIGINT, line STRING)`` with ``line_no`` the 0-based position in file order.
 
-    File order = file path, then byte offset of the split, then position inside
-    the split. Positions come from per-split counts and their prefix sum, so
-    the lines themselves are never sorted or shuffled.
+    See ``with_file_position``: lines are numbered from per-split counts, never sorted.
     """
-    raw = spark.read.text(path).select(
-        F.col("value").alias("line"),
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_mid"),
-    )
-    splits = raw.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-    offsets = exclusive_offsets(splits, ["_file", "_block"], "_n", "_off").select("_file", "_block", "_off", "_first")
-    scan = spark.read.text(path)
-    # Every split is a whole small file or one block of a large file, so
-    # files + partitions bounds the number of split rows before any job runs.
-    split_bound = len(scan.inputFiles()) + scan.rdd.getNumPartitions()
-    if split_bound <= MAX_BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
-    joined = raw.join(offsets, ["_file", "_block"])
-    return joined.select(
-        (F.col("_off") + F.col("_mid") - F.col("_first")).cast("long").alias("line_no"),
-        "line",
-    )
+    text = spark.read.text(path)
+    return with_file_position(text, "line_no").select("line_no", F.col("value").alias("line"))
 
 
 def parse_point_lines(lines: DataFrame, dim: int | None = None, line_col: str = "line", pos_col: str = "line_no") -> ParsedPoints:

@@ -73,3 +73,18 @@ def test_group_offsets_prefix(spark):
 def test_partition_sizes_sum(spark):
     df = spark.range(100).repartition(3)
     assert sum(r["n"] for r in partition_sizes(df).collect()) == 100
+
+
+def test_file_position_of_json_rows(spark, tmpdir_path):
+    import json
+
+    from sparkclust.operators.rowindex import with_file_position
+    from sparkclust.sources.documents import read_documents
+
+    d = os.path.join(tmpdir_path, "docs")
+    # ids deliberately out of order: positions follow the files, not the ids
+    write_text(f"{d}/part-1.json", [json.dumps({"id": 100 - i, "text": f"t{i}"}) for i in range(30)])
+    write_text(f"{d}/part-0.json", [json.dumps({"id": 500 + i, "text": f"u{i}"}) for i in range(20)])
+    rows = with_file_position(read_documents(spark, d), "pos").select("id", "pos").collect()
+    got = {r["pos"]: r["id"] for r in rows}
+    assert got == {**{i: 500 + i for i in range(20)}, **{20 + i: 100 - i for i in range(30)}}
