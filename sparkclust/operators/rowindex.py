@@ -26,7 +26,8 @@ def _cols(order_by: str | Column | Sequence[str | Column]) -> list[Column]:
 def exclusive_offsets(sizes: DataFrame, order_by: str | Sequence[str], size_col: str = "n", out: str = "offset") -> DataFrame:
     """``sum(n) over (order by ... rows between unbounded preceding and 1 preceding)``, 0 for the first row.
 
-    Meant for small group tables (one row per partition, split or group).
+    One window over the whole table: only for tables bounded by a partition or
+    split count. ``running_offsets`` handles tables of any size.
     """
     w = Window.orderBy(*_cols(order_by)).rowsBetween(Window.unboundedPreceding, -1)
     return sizes.withColumn(out, F.coalesce(F.sum(size_col).over(w), F.lit(0)).cast("long"))
@@ -93,7 +94,30 @@ def with_file_position(df: DataFrame, out: str = "row_idx") -> DataFrame:
     return joined.withColumn(out, pos).drop("_file", "_block", "_mid", "_off", "_first")
 
 
+def running_offsets(
+    sizes: DataFrame, order_by, size_col: str = "n", out: str = "offset", num_partitions: int | None = None
+) -> DataFrame:
+    """Exclusive prefix sum of ``size_col`` in ``order_by`` order, for tables of any size.
+
+    Range-partitions the table by the key, takes a running sum inside each
+    partition and adds the prefix of the partition totals (one row per
+    partition, broadcast).
+    """
+    keys = _cols(order_by)
+    n = num_partitions or int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = sizes.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
+    totals = ranged.groupBy("_pid").agg(F.sum(size_col).alias("_tot"))
+    part_off = exclusive_offsets(totals, "_pid", "_tot", "_poff").select("_pid", "_poff")
+    w = Window.partitionBy("_pid").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    local = ranged.withColumn("_loc", F.coalesce(F.sum(size_col).over(w), F.lit(0)))
+    return (
+        local.join(F.broadcast(part_off), "_pid")
+        .withColumn(out, (F.col("_poff") + F.col("_loc")).cast("long"))
+        .drop("_pid", "_poff", "_loc")
+    )
+
+
 def group_offsets(df: DataFrame, group_col: str) -> DataFrame:
     """Size of each group and the exclusive prefix sum of sizes in group order."""
     sizes = df.groupBy(group_col).agg(F.count(F.lit(1)).alias("n"))
-    return exclusive_offsets(sizes, group_col, "n", "offset")
+    return running_offsets(sizes, group_col, "n", "offset")

@@ -88,3 +88,14 @@ def test_file_position_of_json_rows(spark, tmpdir_path):
     rows = with_file_position(read_documents(spark, d), "pos").select("id", "pos").collect()
     got = {r["pos"]: r["id"] for r in rows}
     assert got == {**{i: 500 + i for i in range(20)}, **{20 + i: 100 - i for i in range(30)}}
+
+
+def test_running_offsets_many_groups(spark):
+    from sparkclust.operators.rowindex import running_offsets
+
+    sizes = spark.range(5000).select(F.col("id").alias("g"), (F.col("id") % 7 + 1).alias("n")).repartition(6)
+    got = sorted((r["g"], r["n"], r["offset"]) for r in running_offsets(sizes, "g", num_partitions=5).collect())
+    acc = 0
+    for g, n, off in got:
+        assert off == acc
+        acc += n
