@@ -84,6 +84,8 @@ def fit(
         raise ValueError("stop='threshold' needs a threshold")
     if membership not in ("lagged", "final"):
         raise ValueError("membership must be 'lagged' or 'final'")
+    if points.isStreaming:
+        raise ValueError("training needs a batch DataFrame; use predict() on streams")
 
     pts = points.select("id", "features")
     cached = False

@@ -109,6 +109,31 @@ def _try_double(c: Column) -> Column:
     return c.try_cast("double")
 
 
+def first_line(spark: SparkSession, path: str | Sequence[str]) -> str | None:
+    """The first line in file order, reading only the first block of the first non-empty file."""
+    for f in sorted(spark.read.text(path).inputFiles()):
+        rows = spark.read.text(f).where(F.col("_metadata.file_block_start") == 0).limit(1).collect()
+        if rows:
+            return rows[0]["value"]
+    return None
+
+
+def line_width(line: str) -> int:
+    """Coordinates on a point line: tokens after the id (same trim and split as the parser)."""
+    import re
+
+    body = re.sub(_EDGE_CONTROL, "", line)
+    return max(len(body.split(" ")) - 1, 0)
+
+
 def read_points(spark: SparkSession, path: str | Sequence[str], dim: int | None = None) -> ParsedPoints:
-    """Text point files -> points (id = position in file order) and rejects."""
+    """Text point files -> points (id = position in file order) and rejects.
+
+    ``dim`` defaults to the width of the first line.
+    """
+    if dim is None:
+        first = first_line(spark, path)
+        if first is None:
+            raise ValueError("empty input: no lines to parse")
+        dim = line_width(first)
     return parse_point_lines(read_lines(spark, path), dim)
