@@ -223,6 +223,16 @@ def q_lloyd_threshold(spark, sf_dir):
     return _centers_wide(spark, run.centers).withColumn("n_iter", F.lit(run.n_iter))
 
 
+def q_threshold_history(spark, sf_dir):
+    run = fit(customer_points(spark, sf_dir), 5, max_iter=20, threshold=0.05, stop="threshold")
+    return run.history_df(spark).select("iteration", "n", "changed", "delta")
+
+
+def q_predict_embeddings(spark, sf_dir):
+    pts = embedding_points(spark, sf_dir)
+    return predict(pts, seed_first_k(pts, 7), path="arrow")
+
+
 def q_delta_history(spark, sf_dir):
     run = _orders_run(spark, sf_dir)
     return run.history_df(spark).select("iteration", "n", "changed", "delta")
@@ -345,6 +355,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "lloyd_final_membership": q_lloyd_final_membership,
     "lloyd_threshold": q_lloyd_threshold,
     "delta_history": q_delta_history,
+    "threshold_history": q_threshold_history,
+    "predict_embeddings": q_predict_embeddings,
     "predict_saved": q_predict_saved,
     "center_lines": q_center_lines,
     "membership_lines": q_membership_lines,
@@ -441,6 +453,17 @@ def _oracle() -> dict[str, str]:
         + "SELECT iteration::INTEGER AS iteration, n::BIGINT AS n, changed::BIGINT AS changed, "
         "changed::DOUBLE / n AS delta FROM (" + " UNION ALL ".join(f"SELECT * FROM h{t}" for t in range(1, 6)) + ")"
     )
+    q["threshold_history"] = (
+        O.with_clause(thr + O.history_ctes(20))
+        + "SELECT h.iteration::INTEGER AS iteration, h.n::BIGINT AS n, h.changed::BIGINT AS changed, "
+        "h.changed::DOUBLE / h.n AS delta FROM ("
+        + " UNION ALL ".join(f"SELECT * FROM h{t}" for t in range(1, 21))
+        + ") h WHERE h.iteration <= (SELECT iters FROM s20)"
+    )
+    q["predict_embeddings"] = (
+        O.with_clause([f"p AS ({EMBEDDING_POINTS_SQL})", f"c AS ({O.seeds_sql(64, 7, vector=True)})"])
+        + f"SELECT id, cid::INTEGER AS cluster_id FROM ({O.assign_sql(64, 'c', vector=True)})"
+    )
     cust3 = O.lloyd_ctes(CUSTOMER_POINTS_SQL, 2, 5, 3)
     q["predict_saved"] = (
         O.with_clause(cust3 + [f"s AS ({SUPPLIER_POINTS_SQL})"])
