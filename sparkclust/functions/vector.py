@@ -15,9 +15,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Centres larger than this many numbers are refused as a plan literal; the
-# caller should pick the Arrow training path (centres shipped once per task).
-MAX_LITERAL_VALUES = 2_000_000
+# Centres larger than this many numbers are refused as a plan literal; such
+# models take the Arrow path, where they travel as a broadcast variable.
+MAX_LITERAL_VALUES = 100_000
 # Models up to this many numbers are unrolled into plain arithmetic on constants.
 MAX_UNROLLED_VALUES = 256
 

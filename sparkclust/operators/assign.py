@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vector import center_distances, with_nearest
+from ..functions.vector import MAX_LITERAL_VALUES, center_distances, with_nearest
 from .update import batch_matrix, is_sparse
 
 
@@ -65,10 +65,11 @@ def predict(
     width_ok = F.size(features) == F.lit(d)
     msg = F.lit(f"points and centres have different widths (centres: {d})")
     sparse = is_sparse(points, features)
+    huge = len(centers) * d > MAX_LITERAL_VALUES
     if path == "auto":
-        path = "arrow" if (sparse or (not points.isStreaming and d >= 16)) else "expr"
-    if sparse and path != "arrow":
-        raise ValueError("sparse vectors use the Arrow path")
+        path = "arrow" if (sparse or huge or (not points.isStreaming and d >= 16)) else "expr"
+    if (sparse or huge) and path != "arrow":
+        raise ValueError("sparse vectors and very large models use the Arrow path")
     carried = [id_col, *keep]
     if path == "arrow":
         src = points.select(*carried, features)

@@ -91,10 +91,12 @@ class StepStats:
     sums: list[list[float]]  # coordinate sums per cluster
 
 
-def choose_path(d: int, path: str = "auto", sparse: bool = False) -> str:
-    if sparse:
+def choose_path(d: int, path: str = "auto", sparse: bool = False, k: int = 1) -> str:
+    from ..functions.vector import MAX_LITERAL_VALUES
+
+    if sparse or k * d > MAX_LITERAL_VALUES:
         if path == "expr":
-            raise ValueError("sparse vectors use the Arrow path")
+            raise ValueError("sparse vectors and very large models use the Arrow path")
         return "arrow"
     if path == "auto":
         return "arrow" if d >= ARROW_MIN_DIM else "expr"
@@ -214,7 +216,7 @@ def step_stats(points: DataFrame, centers, prev=None, path: str = "auto", featur
     n = [0] * K
     changed = [0] * K
     sums = [[0.0] * d for _ in range(K)]
-    if choose_path(d, path, is_sparse(points, features)) == "expr":
+    if choose_path(d, path, is_sparse(points, features), K) == "expr":
         for r in partials_expr(points, centers, prev, features).collect():
             k = r["cluster_id"]
             n[k] = int(r["n"])

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import with_nearest
-from ..session import ensure_parallelism
+from ..session import ensure_checkpoint_dir, ensure_parallelism
 from ..operators.seed import centers_frame, seed_first_k
 from ..operators.assign import predict
 from ..operators.update import choose_path, is_sparse, step_stats, update_centers
@@ -74,8 +74,15 @@ def fit(
     track_delta: bool = True,
     init: list[list[float]] | None = None,
     persist: bool = True,
+    cache: str = "persist",
 ) -> KMeansRun:
-    """Train K-means on ``points(id, features)``; see the module docstring for the rules."""
+    """Train K-means on ``points(id, features)``; see the module docstring for the rules.
+
+    ``cache="persist"`` keeps the points in executor memory/disk (lost blocks
+    are recomputed from their short lineage); ``cache="checkpoint"`` writes
+    them once to the session's checkpoint folder, for inputs that are costly
+    to recompute (e.g. featurized text).
+    """
     if max_iter < 1:
         raise ValueError("max_iter must be >= 1")
     if stop not in ("fixed", "threshold"):
@@ -89,13 +96,19 @@ def fit(
 
     pts = points.select("id", "features")
     cached = False
-    if persist and not points.isStreaming and points.storageLevel == StorageLevel.NONE:
+    if cache not in ("persist", "checkpoint"):
+        raise ValueError("cache must be 'persist' or 'checkpoint'")
+    if persist and points.storageLevel == StorageLevel.NONE:
         # Lloyd passes re-read the points T times: spread them over at least
         # one partition per core before caching (inputs of one split would
         # otherwise run every pass in one task).
         pts = ensure_parallelism(pts)
-        pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
-        cached = True
+        if cache == "checkpoint":
+            ensure_checkpoint_dir(pts.sparkSession)
+            pts = pts.checkpoint(eager=True)
+        else:
+            pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
+            cached = True
     n_points = pts.count()
     if n_points == 0:
         raise ValueError("empty input: cannot train on zero points")
@@ -104,7 +117,7 @@ def fit(
         raise ValueError("init must hold exactly k centres")
     d = len(centers[0])
     sparse = is_sparse(pts)
-    chosen = choose_path(d, path, sparse)
+    chosen = choose_path(d, path, sparse, k)
     need_delta = track_delta or stop == "threshold"
 
     prev = None

@@ -137,3 +137,28 @@ def test_partition_count_independent_on_integers(spark):
     b = fit(p.repartition(7), 5, max_iter=4)
     assert a.centers == b.centers
     assert sorted(map(tuple, a.membership.collect())) == sorted(map(tuple, b.membership.collect()))
+
+
+def test_checkpoint_cache_same_result(spark):
+    o = spark.read.parquet(f"{SF_SMALL}/customer.parquet")
+    p = points_from_columns(o, "c_custkey", ["c_acctbal", "c_nationkey"])
+    a = fit(p, 4, max_iter=3)
+    b = fit(p, 4, max_iter=3, cache="checkpoint")
+    assert a.centers == b.centers
+    assert sorted(map(tuple, a.membership.collect())) == sorted(map(tuple, b.membership.collect()))
+
+
+def test_large_model_takes_arrow_path(spark):
+    import sparkclust.functions.vector as V
+
+    o = spark.read.parquet(f"{SF_SMALL}/customer.parquet")
+    p = points_from_columns(o, "c_custkey", ["c_acctbal", "c_nationkey"])
+    old = V.MAX_LITERAL_VALUES
+    V.MAX_LITERAL_VALUES = 4
+    try:
+        big = fit(p, 4, max_iter=2)
+    finally:
+        V.MAX_LITERAL_VALUES = old
+    small = fit(p, 4, max_iter=2)
+    assert big.path == "arrow" and small.path == "expr"
+    assert np.allclose(np.array(big.centers), np.array(small.centers), atol=1e-9)
