@@ -41,13 +41,13 @@ def partition_sizes(df: DataFrame) -> DataFrame:
 def with_row_index(df: DataFrame, order_by, out: str = "row_idx", num_partitions: int | None = None) -> DataFrame:
     """Append ``out`` = 0-based position of each row in ``order_by`` order.
 
-    ``order_by`` must identify rows uniquely, otherwise positions of equal keys
-    are arbitrary (as with any sort).
+    Rows with equal keys are ordered by scan position (a tiebreaker that also
+    lets range partitioning split one very frequent key over many tasks).
     """
-    keys = _cols(order_by)
+    keys = _cols(order_by) + [F.col("_tie")]
     spark = df.sparkSession
     n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.repartitionByRange(n, *keys)
+    ranged = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(n, *keys)
     # sizes need no sort: they read the same (reused) range shuffle
     sizes = ranged.groupBy(F.spark_partition_id().alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
     offsets = exclusive_offsets(sizes, "_pid", "_n", "_off").select("_pid", "_off")
@@ -59,7 +59,7 @@ def with_row_index(df: DataFrame, order_by, out: str = "row_idx", num_partitions
     # one row per partition: a bounded broadcast
     joined = numbered.join(F.broadcast(offsets), "_pid")
     local = F.col("_mid").bitwiseAND(F.lit(_LOW_BITS))
-    return joined.withColumn(out, (F.col("_off") + local).cast("long")).drop("_pid", "_mid", "_off")
+    return joined.withColumn(out, (F.col("_off") + local).cast("long")).drop("_pid", "_mid", "_off", "_tie")
 
 
 # Split tables larger than this are joined back with a shuffle instead of a broadcast.

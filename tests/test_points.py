@@ -99,3 +99,14 @@ def test_running_offsets_many_groups(spark):
     for g, n, off in got:
         assert off == acc
         acc += n
+
+
+def test_row_index_hot_key_spreads(spark):
+    # one key holds most rows: positions stay dense and the key spans several partitions
+    df = spark.range(3000).select(F.when(F.col("id") < 2000, F.lit(1)).otherwise(F.col("id")).alias("k"))
+    out = with_row_index(df, "k", num_partitions=6)
+    rows = out.select("k", "row_idx", F.spark_partition_id().alias("p")).collect()
+    assert sorted(r["row_idx"] for r in rows) == list(range(3000))
+    assert len({r["p"] for r in rows if r["k"] == 1}) > 1
+    first_other = min(r["row_idx"] for r in rows if r["k"] != 1)
+    assert first_other == 2000
