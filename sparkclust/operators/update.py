@@ -115,7 +115,9 @@ def partials_expr(points: DataFrame, centers, prev=None, features: str = "featur
         assigned = with_nearest(assigned, prev, "_prev", "_x").withColumn(
             "_chg", (F.col("cluster_id") != F.col("_prev")).cast("int")
         )
-    aggs = ["count(1) AS n", "CAST(sum(_chg) AS BIGINT) AS changed"]
+    # rows of the wrong width or with a missing coordinate are counted, not guessed at
+    bad = f"CAST(sum(CASE WHEN size(_x) <> {d} OR exists(_x, v -> v IS NULL) THEN 1 ELSE 0 END) AS BIGINT) AS bad"
+    aggs = ["count(1) AS n", "CAST(sum(_chg) AS BIGINT) AS changed", bad]
     aggs += [f"sum(_x[{j}]) AS s_{j}" for j in range(d)]
     return assigned.groupBy("cluster_id").agg(*[F.expr(a) for a in aggs])
 
@@ -218,6 +220,11 @@ def step_stats(points: DataFrame, centers, prev=None, path: str = "auto", featur
     sums = [[0.0] * d for _ in range(K)]
     if choose_path(d, path, is_sparse(points, features), K) == "expr":
         for r in partials_expr(points, centers, prev, features).collect():
+            if r["bad"]:
+                raise ValueError(
+                    f"{r['bad']} points have a wrong width or a missing coordinate (expected {d}); "
+                    "filter them with split_rejects first"
+                )
             k = r["cluster_id"]
             n[k] = int(r["n"])
             changed[k] = int(r["changed"])

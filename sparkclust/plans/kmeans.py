@@ -109,9 +109,7 @@ def fit(
         else:
             pts = pts.persist(StorageLevel.MEMORY_AND_DISK)
             cached = True
-    n_points = pts.count()
-    if n_points == 0:
-        raise ValueError("empty input: cannot train on zero points")
+    # the seeding job is the first scan (it fills the cache); N comes from pass 1
     centers = [list(map(float, c)) for c in init] if init is not None else seed_first_k(pts, k, order_by)
     if len(centers) != k:
         raise ValueError("init must hold exactly k centres")
@@ -122,9 +120,14 @@ def fit(
 
     prev = None
     history: list[dict] = []
+    n_points = 0
     for t in range(1, max_iter + 1):
         t0 = time.time()
         stats = step_stats(pts, centers, prev if need_delta else None, chosen)
+        if t == 1:
+            n_points = int(sum(stats.n))
+            if n_points == 0:
+                raise ValueError("empty input: cannot train on zero points")
         new = update_centers(centers, stats)
         n_changed = sum(stats.changed) if (need_delta and prev is not None) or t == 1 else None
         delta = (n_changed / n_points) if n_changed is not None else None

@@ -181,7 +181,7 @@ def q_assign_ties(spark, sf_dir):
 def q_cluster_partials(spark, sf_dir):
     pts = order_points(spark, sf_dir)
     seeds = seed_first_k(pts, 7)
-    agg = partials_expr(pts, seeds)
+    agg = partials_expr(pts, seeds).drop("bad")
     return agg.select("cluster_id", "n", F.round("s_0", ROUND).alias("s0"), F.round("s_1", ROUND).alias("s1"))
 
 

@@ -162,3 +162,12 @@ def test_large_model_takes_arrow_path(spark):
     small = fit(p, 4, max_iter=2)
     assert big.path == "arrow" and small.path == "expr"
     assert np.allclose(np.array(big.centers), np.array(small.centers), atol=1e-9)
+
+
+def test_bad_rows_are_reported(spark):
+    nulls = spark.createDataFrame([(0, [1.0, 2.0]), (2, [1.0, None])], "id long, features array<double>")
+    with pytest.raises(ValueError, match="missing coordinate"):
+        fit(nulls, 1, max_iter=1)
+    short = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0])], "id long, features array<double>")
+    with pytest.raises(Exception):
+        fit(short, 1, max_iter=1)
