@@ -4,8 +4,9 @@ Two physical forms compute the same ``(cluster_id, n, changed, sums)``:
 
 * ``expr``: nearest-centre expression + ``groupBy(cluster_id)`` with one
   ``sum`` per coordinate. Pure Catalyst, whole-stage codegen for small models.
-* ``arrow``: ``mapInArrow`` computes per-batch partials with NumPy (K rows
-  per batch), then a tiny ``groupBy(cluster_id, pos)`` merges them. Used for
+* ``arrow``: ``mapInArrow`` computes per-task partials with NumPy and emits
+  them in blocks of 32 coordinates (K * ceil(d/32) rows per task); a
+  ``groupBy(cluster_id, block)`` with 32 plain sums merges them. Used for
   wide vectors, where interpreted array lambdas cost K*d calls per row.
 
 Both aggregate map-side before the shuffle, so at most K (x d) rows per task
@@ -136,18 +137,25 @@ def _nearest_np(X: np.ndarray, C: np.ndarray) -> np.ndarray:
     return idx
 
 
+# Partial sums leave a task in blocks of this many coordinates: K * ceil(d / B)
+# rows per task, merged by (cluster, block) with B plain sums each.
+SUM_BLOCK = 32
+
+
 def _partials_fn(centers, prev, d: int):
     import pyarrow as pa
 
     C_ship = ship_centers(centers)
     P_ship = None if prev is None else ship_centers(prev)
     K = len(centers)
+    blocks = -(-d // SUM_BLOCK)
     out_schema = pa.schema(
         [
             ("cluster_id", pa.int32()),
+            ("block", pa.int32()),
             ("n", pa.int64()),
             ("changed", pa.int64()),
-            ("sums", pa.list_(pa.float64())),
+            ("vals", pa.list_(pa.float64())),
         ]
     )
 
@@ -156,7 +164,7 @@ def _partials_fn(centers, prev, d: int):
         P = None if P_ship is None else (P_ship.value if hasattr(P_ship, "value") else P_ship)
         n_tot = np.zeros(K, dtype=np.int64)
         c_tot = np.zeros(K, dtype=np.int64)
-        s_tot = np.zeros((K, d), dtype=np.float64)
+        s_tot = np.zeros((K, blocks * SUM_BLOCK), dtype=np.float64)
         seen = False
         for rb in batches:
             rows = rb.num_rows
@@ -177,16 +185,20 @@ def _partials_fn(centers, prev, d: int):
                     c_tot += np.bincount(m[pm != m], minlength=K)
                 onehot = np.zeros((K, X.shape[0]), dtype=np.float64)
                 onehot[m, np.arange(X.shape[0])] = 1.0
-                s_tot += onehot @ X
+                s_tot[:, :d] += onehot @ X
         if not seen:
             return
         keep = np.nonzero(n_tot)[0]
+        cid = np.repeat(keep, blocks).astype(np.int32)
+        blk = np.tile(np.arange(blocks, dtype=np.int32), len(keep))
+        vals = s_tot[keep].reshape(len(keep) * blocks, SUM_BLOCK)
         yield pa.RecordBatch.from_arrays(
             [
-                pa.array(keep.astype(np.int32)),
-                pa.array(n_tot[keep]),
-                pa.array(c_tot[keep]),
-                pa.array([s_tot[k].tolist() for k in keep], type=pa.list_(pa.float64())),
+                pa.array(cid),
+                pa.array(blk),
+                pa.array(np.repeat(n_tot[keep], blocks)),
+                pa.array(np.repeat(c_tot[keep], blocks)),
+                pa.FixedSizeListArray.from_arrays(pa.array(vals.ravel()), SUM_BLOCK).cast(pa.list_(pa.float64())),
             ],
             schema=out_schema,
         )
@@ -195,21 +207,18 @@ def _partials_fn(centers, prev, d: int):
 
 
 def partials_arrow(points: DataFrame, centers, prev=None, features: str = "features") -> DataFrame:
-    """``(cluster_id, pos, s, n, changed)`` long-form totals through the Arrow path.
+    """``(cluster_id, block, n, changed, s_0 .. s_(B-1))`` totals through the Arrow path.
 
-    Each task emits at most K rows (its own partial sums); the merge groups
-    K x d small rows.
+    Each task emits K * ceil(d / B) rows of block sums; the merge adds them per
+    (cluster, block) with B exact double sums, spread over K * ceil(d / B) keys.
     """
     d = len(centers[0])
     parts = points.select(F.col(features)).mapInArrow(
-        _partials_fn(centers, prev, d), "cluster_id int, n long, changed long, sums array<double>"
-    )
-    exploded = parts.select("cluster_id", "n", "changed", F.posexplode("sums").alias("pos", "v"))
-    return exploded.groupBy("cluster_id", "pos").agg(
-        F.sum("v").alias("s"),
-        F.sum(F.when(F.col("pos") == 0, F.col("n"))).alias("n"),
-        F.sum(F.when(F.col("pos") == 0, F.col("changed"))).alias("changed"),
+        _partials_fn(centers, prev, d), "cluster_id int, block int, n long, changed long, vals array<double>"
     )
+    aggs = [F.sum("n").alias("n"), F.sum("changed").alias("changed")]
+    aggs += [F.expr(f"sum(vals[{j}]) AS s_{j}") for j in range(SUM_BLOCK)]
+    return parts.groupBy("cluster_id", "block").agg(*aggs)
 
 
 def step_stats(points: DataFrame, centers, prev=None, path: str = "auto", features: str = "features") -> StepStats:
@@ -231,9 +240,12 @@ def step_stats(points: DataFrame, centers, prev=None, path: str = "auto", featur
             sums[k] = [float(r[f"s_{j}"]) for j in range(d)]
     else:
         for r in partials_arrow(points, centers, prev, features).collect():
-            k, j = r["cluster_id"], r["pos"]
-            sums[k][j] = float(r["s"])
-            if j == 0:
+            k, b = r["cluster_id"], r["block"]
+            lo = b * SUM_BLOCK
+            for j in range(lo, min(lo + SUM_BLOCK, d)):
+                sums[k][j] = float(r[f"s_{j - lo}"])
+            # every block row of a task carries the task's count: block 0 holds the total
+            if b == 0:
                 n[k] = int(r["n"])
                 changed[k] = int(r["changed"])
     return StepStats(n, changed, sums)
