@@ -9,14 +9,15 @@ from pyspark.sql import functions as F
 def first_k_rows(points: DataFrame, k: int, order_by: str = "id") -> list[list[float]]:
     """Features of the first ``min(N, K)`` points in ``order_by`` order.
 
-    ``orderBy().limit(k)`` plans a TakeOrderedAndProject: every task keeps its
-    own K best rows and only K rows per task reach the final merge.
+    The K keys are found on the key column alone, then only those K wide rows
+    are fetched (see ``first_rows``).
     """
     if k < 1:
         raise ValueError("k must be >= 1")
+    from .limit import first_rows
     from .update import dense_row
 
-    rows = points.orderBy(order_by).limit(k).select("features").collect()
+    rows = first_rows(points, k, order_by).select("features").collect()
     return [dense_row(r["features"]) for r in rows]
 
 

@@ -52,5 +52,10 @@ def language_counts(docs: DataFrame, top: int = 25, by: str = "user.lang") -> Da
 
 
 def document_sample(docs: DataFrame, n: int = 10, order_by: str = "id", cols=("id", "text")) -> DataFrame:
-    """The first ``n`` documents in ``order_by`` order (a deterministic ``LIMIT``)."""
-    return docs.select(*cols).orderBy(order_by).limit(n)
+    """The first ``n`` documents in ``order_by`` order (a deterministic ``LIMIT``).
+
+    Whole texts move only for the selected rows (``first_rows``).
+    """
+    from ..operators.limit import first_rows
+
+    return first_rows(docs.select(*cols), n, order_by)

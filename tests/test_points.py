@@ -110,3 +110,13 @@ def test_row_index_hot_key_spreads(spark):
     assert len({r["p"] for r in rows if r["k"] == 1}) > 1
     first_other = min(r["row_idx"] for r in rows if r["k"] != 1)
     assert first_other == 2000
+
+
+def test_first_rows_matches_order_limit(spark):
+    from sparkclust.operators.limit import first_rows
+
+    df = spark.createDataFrame([(i % 13 if i % 5 else None, f"r{i}") for i in range(200)], "k int, v string").repartition(4)
+    got = [r["k"] for r in first_rows(df, 30, "k").collect()]
+    want = [r["k"] for r in df.orderBy("k").limit(30).collect()]
+    assert got == want
+    assert first_rows(df.where("k > 100"), 3, "k").count() == 0
