@@ -80,7 +80,6 @@ def with_file_position(df: DataFrame, out: str = "row_idx") -> DataFrame:
         F.monotonically_increasing_id().alias("_mid"),
     )
     splits = raw.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-    offsets = exclusive_offsets(splits, ["_file", "_block"], "_n", "_off").select("_file", "_block", "_off", "_first")
     # Every split is a whole small file or one block of a large file, so
     # files + partitions bounds the number of split rows before any job runs.
     try:
@@ -88,7 +87,12 @@ def with_file_position(df: DataFrame, out: str = "row_idx") -> DataFrame:
     except Exception:
         split_bound = MAX_BROADCAST_SPLITS + 1
     if split_bound <= MAX_BROADCAST_SPLITS:
-        offsets = F.broadcast(offsets)
+        offsets = F.broadcast(
+            exclusive_offsets(splits, ["_file", "_block"], "_n", "_off").select("_file", "_block", "_off", "_first")
+        )
+    else:
+        # very many splits: two-level prefix sum and a shuffle join
+        offsets = running_offsets(splits, ["_file", "_block"], "_n", "_off").select("_file", "_block", "_off", "_first")
     joined = raw.join(offsets, ["_file", "_block"])
     pos = (F.col("_off") + F.col("_mid") - F.col("_first")).cast("long")
     return joined.withColumn(out, pos).drop("_file", "_block", "_mid", "_off", "_first")

@@ -120,3 +120,14 @@ def test_first_rows_matches_order_limit(spark):
     want = [r["k"] for r in df.orderBy("k").limit(30).collect()]
     assert got == want
     assert first_rows(df.where("k > 100"), 3, "k").count() == 0
+
+
+def test_file_position_many_splits_path(spark, tmpdir_path, monkeypatch):
+    import sparkclust.operators.rowindex as R
+
+    d = os.path.join(tmpdir_path, "many")
+    for f in range(6):
+        write_text(f"{d}/f{f}.txt", [f"{f * 10 + i} {i}" for i in range(10)])
+    monkeypatch.setattr(R, "MAX_BROADCAST_SPLITS", 0)
+    rows = read_lines(spark, d).collect()
+    assert sorted((r["line_no"], r["line"].split(" ")[0]) for r in rows) == [(i, str(i)) for i in range(60)]
