@@ -103,3 +103,20 @@ def test_sparse_and_dense_training_agree(spark):
     pa = sorted(map(tuple, predict(dense, b.centers).collect()))
     pb = sorted(map(tuple, predict(sparse, b.centers).collect()))
     assert pa == pb
+
+
+def test_chunked_batches_same_result(spark, monkeypatch):
+    import sparkclust.operators.update as U
+    from sparkclust import fit
+    from sparkclust.plans.featurize import hashed_tf_sparse
+
+    d = spark.read.parquet(f"{SF_SMALL}/documents.parquet").coalesce(1)
+    dense = hashed_tf_dense(d, "doc_id", "text")
+    sparse = hashed_tf_sparse(d, "doc_id", "text")
+    base = fit(dense, 4, max_iter=2, persist=False)
+    monkeypatch.setattr(U, "_CHUNK_ROWS", 7)
+    a = fit(dense, 4, max_iter=2, persist=False)
+    b = fit(sparse, 4, max_iter=2, persist=False)
+    assert np.allclose(np.array(a.centers), np.array(base.centers), atol=1e-9)
+    assert np.allclose(np.array(b.centers), np.array(base.centers), atol=1e-9)
+    assert [h["changed"] for h in a.history] == [h["changed"] for h in b.history] == [h["changed"] for h in base.history]
