@@ -71,13 +71,18 @@ def fit(
     order_by: str = "id",
     membership: str = "lagged",
     path: str = "auto",
-    track_delta: bool = True,
+    track_delta: bool | str = "auto",
     init: list[list[float]] | None = None,
     persist: bool = True,
     cache: str = "persist",
 ) -> KMeansRun:
     """Train K-means on ``points(id, features)``; see the module docstring for the rules.
 
+    ``track_delta``: ``"all"`` (or True) computes the change fraction of every
+    pass (each pass then evaluates the assignment twice), ``"last"`` only of
+    the final pass, ``"none"`` (or False) never; ``"auto"`` is ``"all"`` for
+    ``stop="threshold"``, which needs it, and ``"last"`` for ``stop="fixed"``.
+
     ``cache="persist"`` keeps the points in executor memory/disk (lost blocks
     are recomputed from their short lineage); ``cache="checkpoint"`` writes
     them once to the session's checkpoint folder, for inputs that are costly
@@ -116,20 +121,27 @@ def fit(
     d = len(centers[0])
     sparse = is_sparse(pts)
     chosen = choose_path(d, path, sparse, k)
-    need_delta = track_delta or stop == "threshold"
+    mode = {True: "all", False: "none"}.get(track_delta, track_delta)
+    if mode == "auto":
+        mode = "all" if stop == "threshold" else "last"
+    if mode not in ("all", "last", "none"):
+        raise ValueError("track_delta must be 'all', 'last', 'none' or 'auto'")
+    if stop == "threshold" and mode != "all":
+        raise ValueError("stop='threshold' needs the change fraction of every pass")
 
     prev = None
     history: list[dict] = []
     n_points = 0
     for t in range(1, max_iter + 1):
         t0 = time.time()
-        stats = step_stats(pts, centers, prev if need_delta else None, chosen)
+        want = mode == "all" or (mode == "last" and t == max_iter)
+        stats = step_stats(pts, centers, prev if want else None, chosen)
         if t == 1:
             n_points = int(sum(stats.n))
             if n_points == 0:
                 raise ValueError("empty input: cannot train on zero points")
         new = update_centers(centers, stats)
-        n_changed = sum(stats.changed) if (need_delta and prev is not None) or t == 1 else None
+        n_changed = sum(stats.changed) if (want and prev is not None) or t == 1 else None
         delta = (n_changed / n_points) if n_changed is not None else None
         history.append(
             {

@@ -201,8 +201,8 @@ def q_update_keep_empty(spark, sf_dir):
     )
 
 
-def _orders_run(spark, sf_dir, membership="lagged"):
-    return fit(order_points(spark, sf_dir), 7, max_iter=5, stop="fixed", membership=membership)
+def _orders_run(spark, sf_dir, membership="lagged", track_delta="auto"):
+    return fit(order_points(spark, sf_dir), 7, max_iter=5, stop="fixed", membership=membership, track_delta=track_delta)
 
 
 def q_lloyd_fixed_centers(spark, sf_dir):
@@ -234,7 +234,7 @@ def q_predict_embeddings(spark, sf_dir):
 
 
 def q_delta_history(spark, sf_dir):
-    run = _orders_run(spark, sf_dir)
+    run = _orders_run(spark, sf_dir, track_delta="all")
     return run.history_df(spark).select("iteration", "n", "changed", "delta")
 
 

@@ -78,7 +78,7 @@ def test_matches_numpy_contract(spark, path):
     p = points_from_columns(o, "c_custkey", ["c_acctbal", "c_nationkey"])
     X = np.array([r["features"] for r in p.orderBy("id").collect()])
     C, m, hist = lloyd_numpy(X, 5, 4)
-    run = fit(p, 5, max_iter=4, path=path)
+    run = fit(p, 5, max_iter=4, path=path, track_delta="all")
     assert np.allclose(np.array(run.centers), C, rtol=1e-9, atol=1e-6)
     got = dict((r["id"], r["cluster_id"]) for r in run.membership.collect())
     ids = [r["id"] for r in p.orderBy("id").collect()]
@@ -100,8 +100,8 @@ def test_threshold_stop(spark):
 
 def test_expr_and_arrow_paths_agree_wide(spark):
     e = points_from_array(spark.read.parquet(f"{SF_SMALL}/embeddings.parquet"), "vec_id", "embedding")
-    a = fit(e, 7, max_iter=3, path="expr")
-    b = fit(e, 7, max_iter=3, path="arrow")
+    a = fit(e, 7, max_iter=3, path="expr", track_delta="all")
+    b = fit(e, 7, max_iter=3, path="arrow", track_delta="all")
     assert np.allclose(np.array(a.centers), np.array(b.centers), atol=1e-9)
     assert [h["changed"] for h in a.history] == [h["changed"] for h in b.history]
     ma = {r["id"]: r["cluster_id"] for r in a.membership.collect()}
@@ -171,3 +171,16 @@ def test_bad_rows_are_reported(spark):
     short = spark.createDataFrame([(0, [1.0, 2.0]), (1, [3.0])], "id long, features array<double>")
     with pytest.raises(Exception):
         fit(short, 1, max_iter=1)
+
+
+def test_track_delta_modes(spark):
+    o = spark.read.parquet(f"{SF_SMALL}/customer.parquet")
+    p = points_from_columns(o, "c_custkey", ["c_acctbal", "c_nationkey"])
+    full = fit(p, 4, max_iter=4, track_delta="all")
+    last = fit(p, 4, max_iter=4)
+    none = fit(p, 4, max_iter=4, track_delta="none")
+    assert full.centers == last.centers == none.centers
+    assert [h["changed"] for h in last.history] == [full.history[0]["changed"], None, None, full.history[-1]["changed"]]
+    assert [h["changed"] for h in none.history][1:] == [None, None, None]
+    with pytest.raises(ValueError):
+        fit(p, 4, max_iter=4, stop="threshold", threshold=0.1, track_delta="last")

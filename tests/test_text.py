@@ -95,8 +95,8 @@ def test_sparse_and_dense_training_agree(spark):
     full = dense.orderBy("id").first()["features"]
     assert row["size"] == 1000 and [full[i] for i in row["idx"]] == row["val"]
     assert sum(full) == sum(row["val"])
-    a = fit(dense, 5, max_iter=3)
-    b = fit(sparse, 5, max_iter=3)
+    a = fit(dense, 5, max_iter=3, track_delta="all")
+    b = fit(sparse, 5, max_iter=3, track_delta="all")
     assert a.centers == b.centers
     assert [h["changed"] for h in a.history] == [h["changed"] for h in b.history]
     assert sorted(map(tuple, a.membership.collect())) == sorted(map(tuple, b.membership.collect()))
@@ -113,10 +113,10 @@ def test_chunked_batches_same_result(spark, monkeypatch):
     d = spark.read.parquet(f"{SF_SMALL}/documents.parquet").coalesce(1)
     dense = hashed_tf_dense(d, "doc_id", "text")
     sparse = hashed_tf_sparse(d, "doc_id", "text")
-    base = fit(dense, 4, max_iter=2, persist=False)
+    base = fit(dense, 4, max_iter=2, persist=False, track_delta="all")
     monkeypatch.setattr(U, "_CHUNK_ROWS", 7)
-    a = fit(dense, 4, max_iter=2, persist=False)
-    b = fit(sparse, 4, max_iter=2, persist=False)
+    a = fit(dense, 4, max_iter=2, persist=False, track_delta="all")
+    b = fit(sparse, 4, max_iter=2, persist=False, track_delta="all")
     assert np.allclose(np.array(a.centers), np.array(base.centers), atol=1e-9)
     assert np.allclose(np.array(b.centers), np.array(base.centers), atol=1e-9)
     assert [h["changed"] for h in a.history] == [h["changed"] for h in b.history] == [h["changed"] for h in base.history]
