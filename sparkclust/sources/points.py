@@ -78,7 +78,9 @@ def parse_point_lines(lines: DataFrame, dim: int | None = None, line_col: str =
     trimmed = scala_trim(F.col(line_col))
     tokens = F.split(trimmed, " ")
     coords_txt = F.slice(tokens, 2, F.greatest(F.size(tokens) - 1, F.lit(0)))
-    coords = F.transform(coords_txt, lambda t: _try_double(scala_trim(t)))
+    # the string-to-double cast itself trims characters <= U+0020 from both
+    # ends, which is the token trim rule, so no per-token regex is needed
+    coords = F.transform(coords_txt, _try_double)
     df = lines.select(
         F.col(pos_col).cast("long").alias("id"),
         F.col(line_col).alias("line"),
@@ -105,7 +107,7 @@ def parse_point_lines(lines: DataFrame, dim: int | None = None, line_col: str =
 
 
 def _try_double(c: Column) -> Column:
-    # Each token is trimmed like the line, then parsed; text that is not a number -> NULL.
+    # text that is not a number -> NULL (a reject)
     return c.try_cast("double")
 
 
