@@ -99,7 +99,8 @@ def fit(
     if points.isStreaming:
         raise ValueError("training needs a batch DataFrame; use predict() on streams")
 
-    pts = points.select("id", "features")
+    keep = ["id", "features"] + ([order_by] if order_by not in ("id", "features") else [])
+    pts = points.select(*keep)
     cached = False
     if cache not in ("persist", "checkpoint"):
         raise ValueError("cache must be 'persist' or 'checkpoint'")

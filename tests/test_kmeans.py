@@ -184,3 +184,9 @@ def test_track_delta_modes(spark):
     assert [h["changed"] for h in none.history][1:] == [None, None, None]
     with pytest.raises(ValueError):
         fit(p, 4, max_iter=4, stop="threshold", threshold=0.1, track_delta="last")
+
+
+def test_seed_order_column(spark):
+    df = spark.createDataFrame([(0, 3, [0.0]), (1, 1, [10.0]), (2, 2, [20.0])], "id long, pos int, features array<double>")
+    run = fit(df, 2, max_iter=1, order_by="pos")
+    assert run.previous == [[10.0], [20.0]]
