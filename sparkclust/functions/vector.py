@@ -45,22 +45,37 @@ def centers_literal(centers: Sequence[Sequence[float]]) -> Column:
     return F.from_json(F.lit(text), "array<array<double>>")
 
 
-def sq_distance(x: Column, c: Column) -> Column:
-    """Squared Euclidean distance, summed left to right over coordinates, no root."""
+PRECISIONS = ("double", "float")
+
+
+def _check_precision(precision: str) -> str:
+    if precision not in PRECISIONS:
+        raise ValueError(f"precision must be one of {PRECISIONS}")
+    return precision
+
+
+def sq_distance(x: Column, c: Column, precision: str = "double") -> Column:
+    """Squared Euclidean distance, summed left to right over coordinates, no root.
+
+    ``precision="float"`` evaluates every step in 32-bit floats (multiply,
+    then add), the single-precision CPU formula.
+    """
+    t = _check_precision(precision)
     return F.aggregate(
-        F.zip_with(x, c, lambda a, b: (a - b) * (a - b)),
-        F.lit(0.0).cast("double"),
+        F.zip_with(x.cast(f"array<{t}>"), c.cast(f"array<{t}>"), lambda a, b: (a - b) * (a - b)),
+        F.lit(0.0).cast(t),
         lambda acc, v: acc + v,
     )
 
 
-def nearest_center(x: Column, centers: Sequence[Sequence[float]]) -> Column:
+def nearest_center(x: Column, centers: Sequence[Sequence[float]], precision: str = "double") -> Column:
     """0-based index of the nearest centre; the lowest index wins ties.
 
     ``array_min`` over ``struct(dist, idx)`` orders by distance, then index,
     which is the strict-``<`` scan rule of Lloyd's assignment step.
     """
     k, d = _check_centers(centers)
+    t = _check_precision(precision)
     if k * d <= MAX_UNROLLED_VALUES:
         # Small models: unrolled arithmetic against constants stays inside
         # whole-stage codegen (higher-order functions are interpreted).
@@ -68,14 +83,14 @@ def nearest_center(x: Column, centers: Sequence[Sequence[float]]) -> Column:
         for i, row in enumerate(centers):
             dist = None
             for j, v in enumerate(row):
-                diff = x.getItem(j) - F.lit(float(v))
+                diff = x.getItem(j).cast(t) - F.lit(float(v)).cast(t)
                 term = diff * diff
                 dist = term if dist is None else dist + term
             terms.append(F.struct(dist.alias("d"), F.lit(i).alias("k")))
         best = terms[0] if k == 1 else F.least(*terms)
         return best.getField("k").cast("int")
     lit = centers_literal(centers)
-    scored = F.transform(lit, lambda c, i: F.struct(sq_distance(x, c).alias("d"), i.alias("k")))
+    scored = F.transform(lit, lambda c, i: F.struct(sq_distance(x, c, t).alias("d"), i.alias("k")))
     return F.array_min(scored).getField("k").cast("int")
 
 
@@ -91,17 +106,23 @@ def _quote(name: str) -> str:
     return "`" + name.replace("`", "``") + "`"
 
 
-def unrolled_distance_sql(features: str, row: Sequence[float]) -> str:
+def unrolled_distance_sql(features: str, row: Sequence[float], precision: str = "double") -> str:
     """``(x[0]-c0)*(x[0]-c0) + (x[1]-c1)*(x[1]-c1) + ...`` as SQL text, summed left to right."""
     col = _quote(features)
+    single = _check_precision(precision) == "float"
     terms = []
     for j, v in enumerate(row):
         lit = sql_double(v)
-        terms.append(f"(({col}[{j}] - {lit}) * ({col}[{j}] - {lit}))")
+        xj = f"{col}[{j}]"
+        if single:
+            lit, xj = f"CAST({lit} AS FLOAT)", f"CAST({xj} AS FLOAT)"
+        terms.append(f"(({xj} - {lit}) * ({xj} - {lit}))")
     return " + ".join(terms)
 
 
-def with_nearest(df, centers: Sequence[Sequence[float]], out: str = "cluster_id", features: str = "features"):
+def with_nearest(
+    df, centers: Sequence[Sequence[float]], out: str = "cluster_id", features: str = "features", precision: str = "double"
+):
     """DataFrame form of ``nearest_center`` (preferred in plans).
 
     Small models compute the K distances as columns of one projection, then
@@ -111,11 +132,13 @@ def with_nearest(df, centers: Sequence[Sequence[float]], out: str = "cluster_id"
     """
     k, d = _check_centers(centers)
     if k * d > MAX_UNROLLED_VALUES:
-        return df.withColumn(out, nearest_center(F.col(features), centers))
+        return df.withColumn(out, nearest_center(F.col(features), centers, precision))
     names = [f"_d{i}_{out}" for i in range(k)]
     best = f"_best_{out}"
     keep = [_quote(c) for c in df.columns]
-    staged = df.selectExpr(*keep, *[f"{unrolled_distance_sql(features, row)} AS {_quote(n)}" for row, n in zip(centers, names)])
+    staged = df.selectExpr(
+        *keep, *[f"{unrolled_distance_sql(features, row, precision)} AS {_quote(n)}" for row, n in zip(centers, names)]
+    )
     least = f"least({', '.join(_quote(n) for n in names)})" if k > 1 else _quote(names[0])
     cases = " ".join(f"WHEN {_quote(names[i])} = {_quote(best)} THEN {i}" for i in range(k - 1))
     idx = f"CAST(CASE {cases} ELSE {k - 1} END AS INT)" if k > 1 else "CAST(0 AS INT)"
@@ -123,10 +146,19 @@ def with_nearest(df, centers: Sequence[Sequence[float]], out: str = "cluster_id"
     return staged.selectExpr(*keep, f"{idx} AS {_quote(out)}")
 
 
-def center_distances(x: Column, centers: Sequence[Sequence[float]]) -> Column:
-    """``ARRAY<DOUBLE>`` of the squared distance to every centre, in centre order."""
+def center_distances(x: Column, centers: Sequence[Sequence[float]], precision: str = "double") -> Column:
+    """Array of the squared distance to every centre, in centre order."""
     lit = centers_literal(centers)
-    return F.transform(lit, lambda c: sq_distance(x, c))
+    return F.transform(lit, lambda c: sq_distance(x, c, precision))
+
+
+def round_centers(centers: Sequence[Sequence[float]], precision: str = "double") -> list[list[float]]:
+    """Centres as the given precision stores them (float: rounded to 32-bit values)."""
+    import numpy as np
+
+    if _check_precision(precision) == "float":
+        return np.asarray(centers, dtype=np.float32).astype(np.float64).tolist()
+    return [[float(v) for v in row] for row in centers]
 
 
 def array_add(a: Column, b: Column) -> Column:

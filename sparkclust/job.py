@@ -9,6 +9,9 @@ Modes::
     featurize     <json docs> <out>
     label         <json docs> <centres> [<out>]
 
+An optional ``--precision=float`` (training and predict) evaluates distances
+in 32-bit arithmetic with 32-bit centres; the default is ``double``.
+
 Training writes the centre lines to ``<out>.model`` (``par_*`` modes) or
 ``<out>.cluster_centres`` (``train``) and ``position cluster_id`` lines to
 ``<out>.membership``; predict writes ``<out>.membership``. Each output is a
@@ -42,7 +45,14 @@ def _centers_fmt(path: str) -> str:
 def run(spark: SparkSession, argv: list[str]) -> dict:
     if not argv:
         raise SystemExit(USAGE)
-    mode, args = argv[0], argv[1:]
+    mode = argv[0]
+    precision = "double"
+    args = []
+    for a in argv[1:]:
+        if a.startswith("--precision="):
+            precision = a.split("=", 1)[1]
+        else:
+            args.append(a)
     ensure_checkpoint_dir(spark)
     t0 = time.time()
     if mode in TRAIN_MODES:
@@ -51,7 +61,7 @@ def run(spark: SparkSession, argv: list[str]) -> dict:
         src, out, k, threshold, iters = args[0], args[1], int(args[2]), float(args[3]), int(args[4])
         parsed = read_points(spark, src)
         t1 = time.time()
-        result = fit(parsed.points, k, max_iter=iters, threshold=threshold, stop=TRAIN_MODES[mode])
+        result = fit(parsed.points, k, max_iter=iters, threshold=threshold, stop=TRAIN_MODES[mode], precision=precision)
         t2 = time.time()
         model_suffix = ".cluster_centres" if mode == "train" else ".model"
         write_centers(result.centers_df(spark), out + model_suffix)
@@ -74,7 +84,8 @@ def run(spark: SparkSession, argv: list[str]) -> dict:
 
         centers = read_centers(spark, args[1], _centers_fmt(args[1]))
         parsed = read_points(spark, args[0], dim=len(centers[0]))
-        write_lines(membership_lines(predict(parsed.points, centers)), args[2] + ".membership", order_by="id")
+        assigned = predict(parsed.points, centers, precision=precision)
+        write_lines(membership_lines(assigned), args[2] + ".membership", order_by="id")
         return {"mode": mode, "k": len(centers), "ms": int((time.time() - t0) * 1000)}
     if mode == "featurize":
         if len(args) != 2:

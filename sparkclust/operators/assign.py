@@ -21,7 +21,7 @@ def assign(points: DataFrame, centers: Sequence[Sequence[float]], out: str = "cl
     return with_nearest(points, centers, out, features)
 
 
-def _predict_fn(centers, d: int, names: list[str]):
+def _predict_fn(centers, d: int, names: list[str], precision: str = "double"):
     import pyarrow as pa
 
     from .update import _nearest_np, ship_centers
@@ -36,7 +36,10 @@ def _predict_fn(centers, d: int, names: list[str]):
                 continue
             col = rb.column(rb.num_columns - 1)
             m = np.concatenate(
-                [_nearest_np(batch_matrix(col.slice(lo, 4096), min(4096, rows - lo), d), C) for lo in range(0, rows, 4096)]
+                [
+                    _nearest_np(batch_matrix(col.slice(lo, 4096), min(4096, rows - lo), d), C, precision)
+                    for lo in range(0, rows, 4096)
+                ]
             )
             cols = [rb.column(i) for i in range(rb.num_columns - 1)]
             yield pa.RecordBatch.from_arrays(cols + [pa.array(m.astype(np.int32))], names=names)
@@ -52,6 +55,7 @@ def predict(
     path: str = "auto",
     check_width: bool = True,
     keep: Sequence[str] = (),
+    precision: str = "double",
 ) -> DataFrame:
     """``(id, cluster_id)`` for every point; an empty input gives an empty result.
 
@@ -74,19 +78,21 @@ def predict(
     if path == "arrow":
         src = points.select(*carried, features)
         schema = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in carried)
-        return src.mapInArrow(_predict_fn(centers, d, [*carried, "cluster_id"]), f"{schema}, cluster_id int")
+        return src.mapInArrow(_predict_fn(centers, d, [*carried, "cluster_id"], precision), f"{schema}, cluster_id int")
     src = points.select(*carried, features)
     if check_width:
         # checked row by row inside the same pass: a wrong width fails the job
         src = src.withColumn("_width_ok", width_ok)
-    out = with_nearest(src, centers, "cluster_id", features)
+    out = with_nearest(src, centers, "cluster_id", features, precision)
     if check_width:
         out = out.withColumn("cluster_id", F.when(F.col("_width_ok"), F.col("cluster_id")).otherwise(F.raise_error(msg)))
     return out.select(*carried, "cluster_id")
 
 
-def distances(points: DataFrame, centers: Sequence[Sequence[float]], id_col: str = "id", features: str = "features") -> DataFrame:
+def distances(
+    points: DataFrame, centers: Sequence[Sequence[float]], id_col: str = "id", features: str = "features", precision: str = "double"
+) -> DataFrame:
     """``(id, cluster_id, dist)``: squared distance of every point to each of the K centres."""
     return points.select(
-        F.col(id_col), F.posexplode(center_distances(F.col(features), centers)).alias("cluster_id", "dist")
+        F.col(id_col), F.posexplode(center_distances(F.col(features), centers, precision)).alias("cluster_id", "dist")
     ).withColumn("cluster_id", F.col("cluster_id").cast("int"))

@@ -106,14 +106,14 @@ def choose_path(d: int, path: str = "auto", sparse: bool = False, k: int = 1) ->
     return path
 
 
-def partials_expr(points: DataFrame, centers, prev=None, features: str = "features") -> DataFrame:
+def partials_expr(points: DataFrame, centers, prev=None, features: str = "features", precision: str = "double") -> DataFrame:
     """``(cluster_id, n, changed, s_0 .. s_(d-1))`` through the expression path."""
     d = len(centers[0])
-    assigned = with_nearest(points.select(F.col(features).alias("_x")), centers, "cluster_id", "_x")
+    assigned = with_nearest(points.select(F.col(features).alias("_x")), centers, "cluster_id", "_x", precision)
     if prev is None:
         assigned = assigned.withColumn("_chg", F.lit(1))
     else:
-        assigned = with_nearest(assigned, prev, "_prev", "_x").withColumn(
+        assigned = with_nearest(assigned, prev, "_prev", "_x", precision).withColumn(
             "_chg", (F.col("cluster_id") != F.col("_prev")).cast("int")
         )
     # rows of the wrong width or with a missing coordinate are counted, not guessed at
@@ -123,14 +123,28 @@ def partials_expr(points: DataFrame, centers, prev=None, features: str = "featur
     return assigned.groupBy("cluster_id").agg(*[F.expr(a) for a in aggs])
 
 
-def _nearest_np(X: np.ndarray, C: np.ndarray) -> np.ndarray:
-    """Row-wise argmin of squared distance, lowest index on ties (strict ``<``)."""
+def _nearest_np(X: np.ndarray, C: np.ndarray, precision: str = "double") -> np.ndarray:
+    """Row-wise argmin of squared distance, lowest index on ties (strict ``<``).
+
+    ``precision="float"`` accumulates 32-bit squares coordinate by coordinate,
+    left to right, as the single-precision expression does.
+    """
     n = X.shape[0]
     best = np.full(n, np.inf)
     idx = np.zeros(n, dtype=np.int32)
+    single = precision == "float"
+    if single:
+        X = X.astype(np.float32)
+        C = np.asarray(C, dtype=np.float32)
     for k in range(C.shape[0]):
-        diff = X - C[k]
-        dk = np.einsum("ij,ij->i", diff, diff)
+        if single:
+            dk = np.zeros(n, dtype=np.float32)
+            for j in range(C.shape[1]):
+                diff = X[:, j] - C[k, j]
+                dk = dk + diff * diff
+        else:
+            diff = X - C[k]
+            dk = np.einsum("ij,ij->i", diff, diff)
         better = dk < best
         best = np.where(better, dk, best)
         idx = np.where(better, k, idx)
@@ -142,7 +156,7 @@ def _nearest_np(X: np.ndarray, C: np.ndarray) -> np.ndarray:
 SUM_BLOCK = 32
 
 
-def _partials_fn(centers, prev, d: int):
+def _partials_fn(centers, prev, d: int, precision: str = "double"):
     import pyarrow as pa
 
     C_ship = ship_centers(centers)
@@ -175,13 +189,15 @@ def _partials_fn(centers, prev, d: int):
             for lo in range(0, rows, _CHUNK_ROWS):
                 part = col.slice(lo, _CHUNK_ROWS)
                 X = batch_matrix(part, len(part), d)
-                m = _nearest_np(X, C)
+                if precision == "float":
+                    X = X.astype(np.float32).astype(np.float64)
+                m = _nearest_np(X, C, precision)
                 cnt = np.bincount(m, minlength=K)
                 n_tot += cnt
                 if P is None:
                     c_tot += cnt
                 else:
-                    pm = _nearest_np(X, P)
+                    pm = _nearest_np(X, P, precision)
                     c_tot += np.bincount(m[pm != m], minlength=K)
                 onehot = np.zeros((K, X.shape[0]), dtype=np.float64)
                 onehot[m, np.arange(X.shape[0])] = 1.0
@@ -206,7 +222,7 @@ def _partials_fn(centers, prev, d: int):
     return fn
 
 
-def partials_arrow(points: DataFrame, centers, prev=None, features: str = "features") -> DataFrame:
+def partials_arrow(points: DataFrame, centers, prev=None, features: str = "features", precision: str = "double") -> DataFrame:
     """``(cluster_id, block, n, changed, s_0 .. s_(B-1))`` totals through the Arrow path.
 
     Each task emits K * ceil(d / B) rows of block sums; the merge adds them per
@@ -214,21 +230,23 @@ def partials_arrow(points: DataFrame, centers, prev=None, features: str = "featu
     """
     d = len(centers[0])
     parts = points.select(F.col(features)).mapInArrow(
-        _partials_fn(centers, prev, d), "cluster_id int, block int, n long, changed long, vals array<double>"
+        _partials_fn(centers, prev, d, precision), "cluster_id int, block int, n long, changed long, vals array<double>"
     )
     aggs = [F.sum("n").alias("n"), F.sum("changed").alias("changed")]
     aggs += [F.expr(f"sum(vals[{j}]) AS s_{j}") for j in range(SUM_BLOCK)]
     return parts.groupBy("cluster_id", "block").agg(*aggs)
 
 
-def step_stats(points: DataFrame, centers, prev=None, path: str = "auto", features: str = "features") -> StepStats:
+def step_stats(
+    points: DataFrame, centers, prev=None, path: str = "auto", features: str = "features", precision: str = "double"
+) -> StepStats:
     """Run one assignment + partial aggregation pass; collect only K (x d) numbers."""
     K, d = len(centers), len(centers[0])
     n = [0] * K
     changed = [0] * K
     sums = [[0.0] * d for _ in range(K)]
     if choose_path(d, path, is_sparse(points, features), K) == "expr":
-        for r in partials_expr(points, centers, prev, features).collect():
+        for r in partials_expr(points, centers, prev, features, precision).collect():
             if r["bad"]:
                 raise ValueError(
                     f"{r['bad']} points have a wrong width or a missing coordinate (expected {d}); "
@@ -239,7 +257,7 @@ def step_stats(points: DataFrame, centers, prev=None, path: str = "auto", featur
             changed[k] = int(r["changed"])
             sums[k] = [float(r[f"s_{j}"]) for j in range(d)]
     else:
-        for r in partials_arrow(points, centers, prev, features).collect():
+        for r in partials_arrow(points, centers, prev, features, precision).collect():
             k, b = r["cluster_id"], r["block"]
             lo = b * SUM_BLOCK
             for j in range(lo, min(lo + SUM_BLOCK, d)):
@@ -251,12 +269,18 @@ def step_stats(points: DataFrame, centers, prev=None, path: str = "auto", featur
     return StepStats(n, changed, sums)
 
 
-def update_centers(old: Sequence[Sequence[float]], stats: StepStats) -> list[list[float]]:
-    """Mean of each cluster; an empty cluster keeps its previous centre."""
+def update_centers(old: Sequence[Sequence[float]], stats: StepStats, precision: str = "double") -> list[list[float]]:
+    """Mean of each cluster; an empty cluster keeps its previous centre.
+
+    With ``precision="float"`` the mean of the exact double sums is rounded to
+    a 32-bit value.
+    """
+    from ..functions.vector import round_centers
+
     new = []
     for k, row in enumerate(old):
         if stats.n[k] > 0:
             new.append([s / stats.n[k] for s in stats.sums[k]])
         else:
             new.append([float(v) for v in row])
-    return new
+    return round_centers(new, precision)

@@ -27,7 +27,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vector import with_nearest
+from ..functions.vector import round_centers, with_nearest
 from ..session import ensure_checkpoint_dir, ensure_parallelism
 from ..operators.seed import centers_frame, seed_first_k
 from ..operators.assign import predict
@@ -75,6 +75,7 @@ def fit(
     init: list[list[float]] | None = None,
     persist: bool = True,
     cache: str = "persist",
+    precision: str = "double",
 ) -> KMeansRun:
     """Train K-means on ``points(id, features)``; see the module docstring for the rules.
 
@@ -83,6 +84,10 @@ def fit(
     the final pass, ``"none"`` (or False) never; ``"auto"`` is ``"all"`` for
     ``stop="threshold"``, which needs it, and ``"last"`` for ``stop="fixed"``.
 
+    ``precision="float"`` stores coordinates and centres as 32-bit values and
+    evaluates distances in 32-bit arithmetic (the single-precision CPU
+    formula); sums stay exact doubles and means are rounded to 32 bits.
+
     ``cache="persist"`` keeps the points in executor memory/disk (lost blocks
     are recomputed from their short lineage); ``cache="checkpoint"`` writes
     them once to the session's checkpoint folder, for inputs that are costly
@@ -101,6 +106,11 @@ def fit(
 
     keep = ["id", "features"] + ([order_by] if order_by not in ("id", "features") else [])
     pts = points.select(*keep)
+    if precision not in ("double", "float"):
+        raise ValueError("precision must be 'double' or 'float'")
+    if precision == "float" and not is_sparse(pts):
+        # 32-bit coordinates, widened back: sums and the cache keep one layout
+        pts = pts.withColumn("features", F.col("features").cast("array<float>").cast("array<double>"))
     cached = False
     if cache not in ("persist", "checkpoint"):
         raise ValueError("cache must be 'persist' or 'checkpoint'")
@@ -117,6 +127,7 @@ def fit(
             cached = True
     # the seeding job is the first scan (it fills the cache); N comes from pass 1
     centers = [list(map(float, c)) for c in init] if init is not None else seed_first_k(pts, k, order_by)
+    centers = round_centers(centers, precision)
     if len(centers) != k:
         raise ValueError("init must hold exactly k centres")
     d = len(centers[0])
@@ -136,12 +147,12 @@ def fit(
     for t in range(1, max_iter + 1):
         t0 = time.time()
         want = mode == "all" or (mode == "last" and t == max_iter)
-        stats = step_stats(pts, centers, prev if want else None, chosen)
+        stats = step_stats(pts, centers, prev if want else None, chosen, precision=precision)
         if t == 1:
             n_points = int(sum(stats.n))
             if n_points == 0:
                 raise ValueError("empty input: cannot train on zero points")
-        new = update_centers(centers, stats)
+        new = update_centers(centers, stats, precision)
         n_changed = sum(stats.changed) if (want and prev is not None) or t == 1 else None
         delta = (n_changed / n_points) if n_changed is not None else None
         history.append(
@@ -159,7 +170,7 @@ def fit(
 
     member_centers = prev if membership == "lagged" else centers
     if chosen == "arrow":
-        member = predict(pts, member_centers, path="arrow", check_width=False)
+        member = predict(pts, member_centers, path="arrow", check_width=False, precision=precision)
     else:
-        member = with_nearest(pts, member_centers).select("id", "cluster_id")
+        member = with_nearest(pts, member_centers, precision=precision).select("id", "cluster_id")
     return KMeansRun(centers, prev, member, history, n_points, d, chosen, pts if cached else None)

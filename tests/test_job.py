@@ -28,6 +28,8 @@ def test_train_predict_cycle(spark, tmpdir_path):
     assert rep2["iterations"] < 20
     assert len(read_centers(spark, out + "2.cluster_centres")) == 4
     run(spark, ["predict", pts, out + ".model", out + "-pred"])
+    rep3 = run(spark, ["par_train", pts, out + "3", "4", "0.0001", "2", "--precision=float"])
+    assert rep3["iterations"] == 2
     lines = read_lines(spark, out + "-pred.membership").collect()
     assert len(lines) == 150
     assert all(r["line"].split(" ")[0] == str(r["line_no"]) for r in lines)

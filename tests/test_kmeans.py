@@ -190,3 +190,45 @@ def test_seed_order_column(spark):
     df = spark.createDataFrame([(0, 3, [0.0]), (1, 1, [10.0]), (2, 2, [20.0])], "id long, pos int, features array<double>")
     run = fit(df, 2, max_iter=1, order_by="pos")
     assert run.previous == [[10.0], [20.0]]
+
+
+def lloyd_numpy_float(X, k, iters):
+    """The contract with 32-bit coordinates and distances (multiply, then add, left to right)."""
+    X32 = X.astype(np.float32)
+    C = np.zeros((k, X.shape[1]), dtype=np.float32)
+    C[: min(len(X), k)] = X32[:k]
+    for _ in range(iters):
+        D = np.zeros((len(X32), k), dtype=np.float32)
+        for j in range(X.shape[1]):
+            diff = X32[:, j : j + 1] - C[None, :, j]
+            D = D + diff * diff
+        m = D.argmin(1)
+        newC = C.copy()
+        for c in range(k):
+            if (m == c).any():
+                newC[c] = np.float32(X32[m == c].astype(np.float64).sum(0) / (m == c).sum())
+        C = newC
+    return C.astype(np.float64), m
+
+
+def test_float_precision_matches_single_precision_contract(spark):
+    o = spark.read.parquet(f"{SF_SMALL}/customer.parquet")
+    p = points_from_columns(o, "c_custkey", ["c_acctbal", "c_nationkey"])
+    X = np.array([r["features"] for r in p.orderBy("id").collect()])
+    C, m = lloyd_numpy_float(X, 5, 4)
+    a = fit(p, 5, max_iter=4, precision="float", path="expr", track_delta="all")
+    b = fit(p, 5, max_iter=4, precision="float", path="arrow", track_delta="all")
+    assert a.centers == b.centers
+    assert [h["changed"] for h in a.history] == [h["changed"] for h in b.history]
+    assert np.allclose(np.array(a.centers), C, rtol=1e-6)
+    assert all(float(np.float32(v)) == v for row in a.centers for v in row)
+    ids = [r["id"] for r in p.orderBy("id").collect()]
+    got = {r["id"]: r["cluster_id"] for r in a.membership.collect()}
+    lagged_prev = a.previous
+    # lagged membership = assignment against C_(T-1), checked against the float formula
+    Xf, Cp = X.astype(np.float32), np.array(lagged_prev, dtype=np.float32)
+    D = np.zeros((len(Xf), 5), dtype=np.float32)
+    for j in range(X.shape[1]):
+        diff = Xf[:, j : j + 1] - Cp[None, :, j]
+        D = D + diff * diff
+    assert [got[i] for i in ids] == list(D.argmin(1))
