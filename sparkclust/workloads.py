@@ -185,6 +185,19 @@ def q_cluster_partials(spark, sf_dir):
     return agg.select("cluster_id", "n", F.round("s_0", ROUND).alias("s0"), F.round("s_1", ROUND).alias("s1"))
 
 
+def q_assign_float(spark, sf_dir):
+    pts = customer_points(spark, sf_dir)
+    seeds = [[float(v) for v in row] for row in seed_first_k(pts, 5)]
+    from .functions.vector import round_centers
+
+    return predict(pts, round_centers(seeds, "float"), precision="float")
+
+
+def q_lloyd_float_centers(spark, sf_dir):
+    run = fit(order_points(spark, sf_dir), 7, max_iter=3, precision="float")
+    return _centers_wide(spark, run.centers)
+
+
 def _bucket_points(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     return points_from_columns(p, "p_partkey", [F.floor(F.col("p_size") / 10)])
@@ -348,6 +361,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "center_distances": q_center_distances,
     "assign_nearest": q_assign_nearest,
     "assign_ties": q_assign_ties,
+    "assign_float": q_assign_float,
+    "lloyd_float_centers": q_lloyd_float_centers,
     "cluster_partials": q_cluster_partials,
     "update_keep_empty": q_update_keep_empty,
     "lloyd_fixed_centers": q_lloyd_fixed_centers,
@@ -418,6 +433,20 @@ def _oracle() -> dict[str, str]:
         O.with_clause([f"p AS ({tie_pts})", f"c AS ({O.seeds_sql(1, 4)})"])
         + f"SELECT id, cid::INTEGER AS cluster_id FROM ({O.assign_sql(1, 'c')})"
     )
+    fdist = " + ".join(f"((p.x{j}::FLOAT - c.x{j}::FLOAT) * (p.x{j}::FLOAT - c.x{j}::FLOAT))" for j in range(2))
+    q["assign_float"] = (
+        O.with_clause([f"p AS ({CUSTOMER_POINTS_SQL})", f"c AS ({O.seeds_sql(2, 5)})"])
+        + f"SELECT p.id, (min(row({fdist}, c.cid)))[2]::INTEGER AS cluster_id FROM p CROSS JOIN c GROUP BY p.id"
+    )
+    fpts = "SELECT o_orderkey AS id, o_totalprice::FLOAT::DOUBLE AS x0, month(o_orderdate)::FLOAT::DOUBLE AS x1 FROM orders"
+    fctes = [f"p AS MATERIALIZED ({fpts})", f"c0 AS MATERIALIZED ({O.seeds_sql(2, 7)})"]
+    for t in range(1, 4):
+        fctes.append(
+            f"a{t} AS MATERIALIZED (SELECT p.id, (min(row({fdist}, c.cid)))[2] AS cid FROM p CROSS JOIN c{t - 1} c GROUP BY p.id)"
+        )
+        upd = O.update_sql(2, f"c{t - 1}", f"a{t}")
+        fctes.append(f"c{t} AS MATERIALIZED (SELECT cid, x0::FLOAT::DOUBLE AS x0, x1::FLOAT::DOUBLE AS x1 FROM ({upd}))")
+    q["lloyd_float_centers"] = O.with_clause(fctes) + _centers_wide_sql("c3", 2)
     q["cluster_partials"] = (
         O.with_clause([f"p AS ({ORDER_POINTS_SQL})", f"c AS ({O.seeds_sql(2, 7)})", f"a AS ({O.assign_sql(2, 'c')})"])
         + f"SELECT a.cid::INTEGER AS cluster_id, count(*) AS n, round(sum(p.x0), {ROUND}) AS s0, "
