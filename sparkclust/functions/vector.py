@@ -178,7 +178,20 @@ def is_finite_vector(x: Column) -> Column:
     )
 
 
-def dense_from_long(entries: Column, width: int) -> Column:
-    """``ARRAY<STRUCT<idx INT, val DOUBLE>>`` (sparse entries) -> dense ``ARRAY<DOUBLE>``."""
-    m = F.map_from_entries(entries)
-    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda b: F.coalesce(m[b], F.lit(0.0)))
+def dense_from_long(entries: Column, width: int, idx_field: str = "bucket", val_field: str = "tf") -> Column:
+    """``ARRAY<STRUCT<idx, val>>`` (sparse entries, unique indexes) -> dense ``ARRAY<DOUBLE>``.
+
+    Entries are sorted by index and appended with the zero run before each:
+    one pass over the entries instead of one map lookup per position.
+    """
+    ordered = F.array_sort(entries)
+    filled = F.aggregate(
+        ordered,
+        F.array().cast("array<double>"),
+        lambda acc, e: F.concat(
+            acc,
+            F.array_repeat(F.lit(0.0), e.getField(idx_field) - F.size(acc)),
+            F.array(e.getField(val_field).cast("double")),
+        ),
+    )
+    return F.concat(filled, F.array_repeat(F.lit(0.0), F.lit(width) - F.size(filled)))
