@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 
 def first_k_rows(points: DataFrame, k: int, order_by: str = "id") -> list[list[float]]:

@@ -24,7 +24,7 @@ from .plans.report import document_projection, document_sample, label_documents,
 from .session import ensure_parallelism, scratch_path
 from .sinks.text import center_lines, feature_lines, membership_lines, read_centers, write_centers, write_lines
 from .sources.documents import documents_from_table, read_documents, register_documents, write_documents_json
-from .sources.points import parse_point_lines, points_from_array, points_from_columns, read_points
+from .sources.points import points_from_array, points_from_columns, read_points
 
 ROUND = O.ROUND
 
