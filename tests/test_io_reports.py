@@ -118,3 +118,8 @@ def test_label_stream_equals_batch(spark, tmpdir_path):
     got = {tuple(r) for r in spark.read.parquet(out).select("id", "lang", "user_lang", "cluster_id").collect()}
     want = {tuple(r) for r in label_documents(batch_docs, run.centers).select("id", "lang", "user_lang", "cluster_id").collect()}
     assert got == want and len(got) == 200
+
+
+def test_read_single_centre_file_in_line_format(spark, tmpdir_path):
+    path = write_text(os.path.join(tmpdir_path, "out.cluster_centres"), ["0 1.5 2.0 ", "1 3.0 4.0 ", "2 0.0 0.0 "])
+    assert read_centers(spark, path) == [[1.5, 2.0], [3.0, 4.0], [0.0, 0.0]]
