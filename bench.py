@@ -34,12 +34,18 @@ def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1").rstrip("/")
     cpus = os.environ.get("BENCH_CPUS", "8")
     spark = local_session(cpus, shuffle_partitions=int(cpus) if cpus.isdigit() else 8, app="sparkclust-bench")
-    times: dict[str, float] = {}
+    times: dict[str, float | None] = {}
+    errors: dict[str, str] = {}
     shared: dict = {}
 
     def timed(name, fn):
         t0 = time.time()
-        fn()
+        try:
+            fn()
+        except Exception as e:  # record and go on: one failure must not hide the other numbers
+            times[name] = None
+            errors[name] = f"{type(e).__name__}: {str(e)[:200]}"
+            return
         times[name] = round(time.time() - t0, 3)
 
     # warm-up: JVM code paths and Python workers (not timed)
@@ -94,6 +100,8 @@ def main() -> None:
         run.release()
 
     def predict_orders():
+        if "orders_centers" not in shared:
+            raise RuntimeError("orders model missing")
         predict(order_points(spark, sf_dir), shared["orders_centers"]).groupBy("cluster_id").count().collect()
 
     def label_docs():
@@ -112,17 +120,16 @@ def main() -> None:
     timed("label_documents", label_docs)
 
     m = re.search(r"sf([0-9.]+)$", sf_dir)
-    print(
-        json.dumps(
-            {
-                "metric": "total_seconds",
-                "value": round(sum(times.values()), 3),
-                "unit": "sec",
-                "queries": times,
-                "sf": float(m.group(1)) if m else sf_dir,
-            }
-        )
-    )
+    out = {
+        "metric": "total_seconds",
+        "value": round(sum(v for v in times.values() if v is not None), 3),
+        "unit": "sec",
+        "queries": times,
+        "sf": float(m.group(1)) if m else sf_dir,
+    }
+    if errors:
+        out["errors"] = errors
+    print(json.dumps(out))
     spark.stop()
 
 
