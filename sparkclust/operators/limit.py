@@ -25,3 +25,25 @@ def first_rows(df: DataFrame, n: int, order_by: str) -> DataFrame:
     else:
         cond = F.col(order_by).isNull() | (F.col(order_by) <= F.lit(last))
     return df.where(cond).orderBy(order_by).limit(n)
+
+
+def take_first(df: DataFrame, n: int, order_by: str) -> list:
+    """Collect the first ``n`` rows by ``order_by`` (order among equal keys is arbitrary).
+
+    Rows strictly before the n-th key are fewer than n; the rest are taken
+    from the n-th key with a plain ``limit().collect()``, which Spark runs
+    incrementally over partitions, so even a key holding a third of all rows
+    never funnels n rows per task into one place.
+    """
+    if n < 1:
+        raise ValueError("n must be >= 1")
+    keys = df.select(order_by).orderBy(order_by).limit(n).collect()
+    if not keys:
+        return []
+    last = keys[-1][0]
+    key = F.col(order_by)
+    if last is None:
+        return df.where(key.isNull()).limit(n).collect()
+    below = df.where(key.isNull() | (key < F.lit(last))).orderBy(order_by).collect()
+    rest = df.where(key == F.lit(last)).limit(n - len(below)).collect()
+    return below + rest

@@ -9,14 +9,14 @@ def first_k_rows(points: DataFrame, k: int, order_by: str = "id") -> list[list[f
     """Features of the first ``min(N, K)`` points in ``order_by`` order.
 
     The K keys are found on the key column alone, then only those K wide rows
-    are fetched (see ``first_rows``).
+    are fetched (see ``take_first``).
     """
     if k < 1:
         raise ValueError("k must be >= 1")
-    from .limit import first_rows
+    from .limit import take_first
     from .update import dense_row
 
-    rows = first_rows(points, k, order_by).select("features").collect()
+    rows = take_first(points.select(order_by, "features") if order_by != "features" else points, k, order_by)
     return [dense_row(r["features"]) for r in rows]
 
 

@@ -131,3 +131,13 @@ def test_file_position_many_splits_path(spark, tmpdir_path, monkeypatch):
     monkeypatch.setattr(R, "MAX_BROADCAST_SPLITS", 0)
     rows = read_lines(spark, d).collect()
     assert sorted((r["line_no"], r["line"].split(" ")[0]) for r in rows) == [(i, str(i)) for i in range(60)]
+
+
+def test_take_first_with_hot_key(spark):
+    from sparkclust.operators.limit import take_first
+
+    df = spark.createDataFrame([(0 if i < 5 else (1 if i < 900 else i), i) for i in range(1000)], "k int, v int").repartition(5)
+    rows = take_first(df, 10, "k")
+    assert len(rows) == 10
+    assert sorted(r["k"] for r in rows) == [0] * 5 + [1] * 5
+    assert [r["k"] for r in take_first(df, 3, "k")] == [0, 0, 0]
