@@ -67,8 +67,11 @@ def run(spark: SparkSession, argv: list[str]) -> dict:
         write_centers(result.centers_df(spark), out + model_suffix)
         write_lines(membership_lines(result.membership), out + ".membership", order_by="id")
         t3 = time.time()
+        counts = parsed.counts()
         return {
             "mode": mode,
+            "lines": counts.get("lines"),
+            "rejected": counts.get("rejected"),
             "n": result.n_points,
             "dim": result.dim,
             "iterations": result.n_iter,

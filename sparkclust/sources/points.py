@@ -29,6 +29,11 @@ _EDGE_CONTROL = r"^[\x00-\x20]+|[\x00-\x20]+$"
 class ParsedPoints:
     points: DataFrame  # id BIGINT, src_id STRING, features ARRAY<DOUBLE>
     rejects: DataFrame  # id BIGINT, line STRING, reason STRING
+    observation: object = None  # Observation: lines / rejected, filled by the first job that parses
+
+    def counts(self) -> dict:
+        """``{"lines": n, "rejected": r}`` once a job has read the points (no extra job)."""
+        return dict(self.observation.get) if self.observation is not None else {}
 
 
 def points_from_columns(df: DataFrame, id_col: str, cols: Sequence[str | Column]) -> DataFrame:
@@ -101,9 +106,19 @@ def parse_point_lines(lines: DataFrame, dim: int | None = None, line_col: str =
         .when(~finite, F.lit("nonfinite"))
     )
     flagged = df.withColumn("reason", reason)
+    obs = None
+    if not flagged.isStreaming:
+        from pyspark.sql import Observation
+
+        obs = Observation("parse")
+        flagged = flagged.observe(
+            obs,
+            F.count(F.lit(1)).alias("lines"),
+            F.sum(F.col("reason").isNotNull().cast("long")).alias("rejected"),
+        )
     points = flagged.where(F.col("reason").isNull()).select("id", "src_id", "features")
     rejects = flagged.where(F.col("reason").isNotNull()).select("id", "line", "reason")
-    return ParsedPoints(points, rejects)
+    return ParsedPoints(points, rejects, obs)
 
 
 def _try_double(c: Column) -> Column:

@@ -141,3 +141,10 @@ def test_take_first_with_hot_key(spark):
     assert len(rows) == 10
     assert sorted(r["k"] for r in rows) == [0] * 5 + [1] * 5
     assert [r["k"] for r in take_first(df, 3, "k")] == [0, 0, 0]
+
+
+def test_parse_counts_observed(spark, tmpdir_path):
+    path = write_text(os.path.join(tmpdir_path, "obs.txt"), ["0 1 2", "1 x 2", "2 3 4", "3 5"])
+    parsed = read_points(spark, path, dim=2)
+    assert parsed.points.count() == 2
+    assert parsed.counts() == {"lines": 4, "rejected": 2}
