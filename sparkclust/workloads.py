@@ -29,6 +29,17 @@ from .sources.points import points_from_array, points_from_columns, read_points
 ROUND = O.ROUND
 
 
+def _fit(*args, **kwargs):
+    """``fit`` for a registered query: the cached points are released at once.
+
+    A query returns a lazy DataFrame; its membership, if any, is recomputed
+    from the source scan when collected, so no cache outlives the call.
+    """
+    run = fit(*args, **kwargs)
+    run.release()
+    return run
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
@@ -194,7 +205,7 @@ def q_assign_float(spark, sf_dir):
 
 
 def q_lloyd_float_centers(spark, sf_dir):
-    run = fit(order_points(spark, sf_dir), 7, max_iter=3, precision="float")
+    run = _fit(order_points(spark, sf_dir), 7, max_iter=3, precision="float")
     return _centers_wide(spark, run.centers)
 
 
@@ -215,7 +226,7 @@ def q_update_keep_empty(spark, sf_dir):
 
 
 def _orders_run(spark, sf_dir, membership="lagged", track_delta="auto"):
-    return fit(order_points(spark, sf_dir), 7, max_iter=5, stop="fixed", membership=membership, track_delta=track_delta)
+    return _fit(order_points(spark, sf_dir), 7, max_iter=5, stop="fixed", membership=membership, track_delta=track_delta)
 
 
 def q_lloyd_fixed_centers(spark, sf_dir):
@@ -232,12 +243,12 @@ def q_lloyd_final_membership(spark, sf_dir):
 
 
 def q_lloyd_threshold(spark, sf_dir):
-    run = fit(customer_points(spark, sf_dir), 5, max_iter=20, threshold=0.05, stop="threshold")
+    run = _fit(customer_points(spark, sf_dir), 5, max_iter=20, threshold=0.05, stop="threshold")
     return _centers_wide(spark, run.centers).withColumn("n_iter", F.lit(run.n_iter))
 
 
 def q_threshold_history(spark, sf_dir):
-    run = fit(customer_points(spark, sf_dir), 5, max_iter=20, threshold=0.05, stop="threshold")
+    run = _fit(customer_points(spark, sf_dir), 5, max_iter=20, threshold=0.05, stop="threshold")
     return run.history_df(spark).select("iteration", "n", "changed", "delta")
 
 
@@ -252,7 +263,7 @@ def q_delta_history(spark, sf_dir):
 
 
 def q_predict_saved(spark, sf_dir):
-    run = fit(customer_points(spark, sf_dir), 5, max_iter=3)
+    run = _fit(customer_points(spark, sf_dir), 5, max_iter=3)
     path = scratch_path(spark, "model")
     write_centers(run.centers_df(spark), path, fmt="text")
     centers = read_centers(spark, path, fmt="text")
@@ -260,7 +271,7 @@ def q_predict_saved(spark, sf_dir):
 
 
 def _part_run(spark, sf_dir):
-    return fit(part_points(spark, sf_dir), 5, max_iter=2)
+    return _fit(part_points(spark, sf_dir), 5, max_iter=2)
 
 
 def q_center_lines(spark, sf_dir):
@@ -276,7 +287,7 @@ def q_membership_lines(spark, sf_dir):
 
 
 def q_embedding_kmeans(spark, sf_dir):
-    run = fit(embedding_points(spark, sf_dir), 7, max_iter=3)
+    run = _fit(embedding_points(spark, sf_dir), 7, max_iter=3)
     return _centers_long(spark, run.centers)
 
 
@@ -337,7 +348,7 @@ def _text_run(spark, sf_dir, iters: int, sparse: bool = False):
         feats = hashed_tf_sparse(d, "doc_id", "text", bracketed=True)
     else:
         feats = hashed_tf_dense(d, "doc_id", "text", bracketed=True, impl="arrow")
-    return fit(feats, 7, max_iter=iters)
+    return _fit(feats, 7, max_iter=iters)
 
 
 def q_text_kmeans(spark, sf_dir):
