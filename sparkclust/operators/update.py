@@ -9,8 +9,9 @@ Two physical forms compute the same ``(cluster_id, n, changed, sums)``:
   ``groupBy(cluster_id, block)`` with 32 plain sums merges them. Used for
   wide vectors, where interpreted array lambdas cost K*d calls per row.
 
-Both aggregate map-side before the shuffle, so at most K (x d) rows per task
-are shuffled, whatever the number or skew of points.
+Both aggregate map-side before the shuffle, so at most K rows (expression
+path) or K * ceil(d/32) rows (Arrow path) per task are shuffled, whatever the
+number or skew of points.
 """
 
 from __future__ import annotations
