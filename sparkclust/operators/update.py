@@ -157,6 +157,10 @@ def _nearest_np(X: np.ndarray, C: np.ndarray, precision: str = "double") -> np.n
 # Partial sums leave a task in blocks of this many coordinates: K * ceil(d / B)
 # rows per task, merged by (cluster, block) with B plain sums each.
 SUM_BLOCK = 32
+# When tasks * K * ceil(d / B) partial rows are at most this many (known from
+# the partition count before the job runs), the driver adds them itself, as
+# RDD.aggregate does; above it they are merged by a shuffle.
+DIRECT_MERGE_MAX_ROWS = 20_000
 
 
 def _partials_fn(centers, prev, d: int, precision: str = "double"):
@@ -225,23 +229,34 @@ def _partials_fn(centers, prev, d: int, precision: str = "double"):
     return fn
 
 
+def task_partials(points: DataFrame, centers, prev=None, features: str = "features", precision: str = "double") -> DataFrame:
+    """Per-task partial rows ``(cluster_id, block, n, changed, vals)`` of the Arrow path, not merged."""
+    d = len(centers[0])
+    return points.select(F.col(features)).mapInArrow(
+        _partials_fn(centers, prev, d, precision), "cluster_id int, block int, n long, changed long, vals array<double>"
+    )
+
+
 def partials_arrow(points: DataFrame, centers, prev=None, features: str = "features", precision: str = "double") -> DataFrame:
     """``(cluster_id, block, n, changed, s_0 .. s_(B-1))`` totals through the Arrow path.
 
     Each task emits K * ceil(d / B) rows of block sums; the merge adds them per
     (cluster, block) with B exact double sums, spread over K * ceil(d / B) keys.
     """
-    d = len(centers[0])
-    parts = points.select(F.col(features)).mapInArrow(
-        _partials_fn(centers, prev, d, precision), "cluster_id int, block int, n long, changed long, vals array<double>"
-    )
+    parts = task_partials(points, centers, prev, features, precision)
     aggs = [F.sum("n").alias("n"), F.sum("changed").alias("changed")]
     aggs += [F.expr(f"sum(vals[{j}]) AS s_{j}") for j in range(SUM_BLOCK)]
     return parts.groupBy("cluster_id", "block").agg(*aggs)
 
 
 def step_stats(
-    points: DataFrame, centers, prev=None, path: str = "auto", features: str = "features", precision: str = "double"
+    points: DataFrame,
+    centers,
+    prev=None,
+    path: str = "auto",
+    features: str = "features",
+    precision: str = "double",
+    n_tasks: int | None = None,
 ) -> StepStats:
     """Run one assignment + partial aggregation pass; collect only K (x d) numbers."""
     K, d = len(centers), len(centers[0])
@@ -260,15 +275,30 @@ def step_stats(
             changed[k] = int(r["changed"])
             sums[k] = [float(r[f"s_{j}"]) for j in range(d)]
     else:
-        for r in partials_arrow(points, centers, prev, features, precision).collect():
-            k, b = r["cluster_id"], r["block"]
-            lo = b * SUM_BLOCK
-            for j in range(lo, min(lo + SUM_BLOCK, d)):
-                sums[k][j] = float(r[f"s_{j - lo}"])
-            # every block row of a task carries the task's count: block 0 holds the total
-            if b == 0:
-                n[k] = int(r["n"])
-                changed[k] = int(r["changed"])
+        blocks = -(-d // SUM_BLOCK)
+        if n_tasks is not None and n_tasks * K * blocks <= DIRECT_MERGE_MAX_ROWS:
+            # bounded number of partial rows: add them here, no shuffle stage
+            n_arr = np.zeros(K, dtype=np.int64)
+            c_arr = np.zeros(K, dtype=np.int64)
+            s_arr = np.zeros((K, blocks * SUM_BLOCK))
+            for r in task_partials(points, centers, prev, features, precision).collect():
+                k, b = r["cluster_id"], r["block"]
+                s_arr[k, b * SUM_BLOCK : (b + 1) * SUM_BLOCK] += np.asarray(r["vals"], dtype=np.float64)
+                if b == 0:
+                    n_arr[k] += r["n"]
+                    c_arr[k] += r["changed"]
+            n, changed = [int(v) for v in n_arr], [int(v) for v in c_arr]
+            sums = [[float(v) for v in s_arr[k, :d]] for k in range(K)]
+        else:
+            for r in partials_arrow(points, centers, prev, features, precision).collect():
+                k, b = r["cluster_id"], r["block"]
+                lo = b * SUM_BLOCK
+                for j in range(lo, min(lo + SUM_BLOCK, d)):
+                    sums[k][j] = float(r[f"s_{j - lo}"])
+                # every block row of a task carries the task's count: block 0 holds the total
+                if b == 0:
+                    n[k] = int(r["n"])
+                    changed[k] = int(r["changed"])
     return StepStats(n, changed, sums)
 
 

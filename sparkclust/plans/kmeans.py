@@ -141,13 +141,18 @@ def fit(
     if stop == "threshold" and mode != "all":
         raise ValueError("stop='threshold' needs the change fraction of every pass")
 
+    # partition count of the (cached) points: bounds the partial rows of a pass
+    try:
+        n_tasks = pts.rdd.getNumPartitions()
+    except Exception:
+        n_tasks = None
     prev = None
     history: list[dict] = []
     n_points = 0
     for t in range(1, max_iter + 1):
         t0 = time.time()
         want = mode == "all" or (mode == "last" and t == max_iter)
-        stats = step_stats(pts, centers, prev if want else None, chosen, precision=precision)
+        stats = step_stats(pts, centers, prev if want else None, chosen, precision=precision, n_tasks=n_tasks)
         if t == 1:
             n_points = int(sum(stats.n))
             if n_points == 0:

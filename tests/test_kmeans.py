@@ -232,3 +232,14 @@ def test_float_precision_matches_single_precision_contract(spark):
         diff = Xf[:, j : j + 1] - Cp[None, :, j]
         D = D + diff * diff
     assert [got[i] for i in ids] == list(D.argmin(1))
+
+
+def test_direct_and_shuffle_merge_agree(spark, monkeypatch):
+    import sparkclust.operators.update as U
+
+    e = points_from_array(spark.read.parquet(f"{SF_SMALL}/embeddings.parquet"), "vec_id", "embedding")
+    direct = fit(e, 5, max_iter=3, track_delta="all")
+    monkeypatch.setattr(U, "DIRECT_MERGE_MAX_ROWS", 0)
+    shuffled = fit(e, 5, max_iter=3, track_delta="all")
+    assert np.allclose(np.array(direct.centers), np.array(shuffled.centers), atol=1e-12)
+    assert [h["changed"] for h in direct.history] == [h["changed"] for h in shuffled.history]
