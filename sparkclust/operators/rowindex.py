@@ -1,10 +1,9 @@
 """Dense 0-based row indexes and exclusive prefix offsets without a global sort task.
 
 ``row_number() over (order by k)`` with no partition key moves every row into
-one task. Instead the rows are range-partitioned by the order key, numbered
-inside each partition, and shifted by the exclusive prefix sum of partition
-sizes. Only one row per partition (a size bounded by the partition count)
-is ever combined in a single place.
+one task. Instead the rows are dealt into ranges of the order key by literal bounds, numbered
+inside each range, and shifted by the exclusive prefix sum of range sizes. Only one row per range (a number the caller bounds) is ever combined in a
+single place.
 """
 
 from __future__ import annotations
@@ -38,28 +37,69 @@ def partition_sizes(df: DataFrame) -> DataFrame:
     return df.groupBy(F.spark_partition_id().alias("pid")).agg(F.count(F.lit(1)).alias("n"))
 
 
+# Sample rows per range: bounds of this many sampled keys keep the ranges even.
+_SAMPLE_PER_RANGE = 30
+
+
+def _range_column(df: DataFrame, keys: Sequence[Column], n: int) -> Column:
+    """The number of the key range (0 .. n-1) a row falls into, as a pure function of its key.
+
+    The bounds are found once, from a hash sample of the keys alone (about
+    30 * n narrow rows reach the driver), and enter the plan as literals.
+    Every branch that evaluates the column therefore agrees, whatever other
+    columns it reads. Nulls sort first, as in ``orderBy``.
+    """
+    key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    narrow = df.select(key.alias("k"), F.xxhash64(*keys).alias("h"))
+    total = narrow.count()
+    step = max(1, total // (_SAMPLE_PER_RANGE * n))
+    sample = narrow.where(F.pmod("h", F.lit(step)) == 0).select("k").distinct().orderBy("k").collect()
+    types = [f.dataType for f in narrow.schema["k"].dataType.fields]
+    picks = sorted({len(sample) * i // n for i in range(1, n)} - {0})
+    bounds = [
+        F.struct(*[F.lit(v).cast(t).alias(f"k{i}") for i, (v, t) in enumerate(zip(sample[p]["k"], types))]) for p in picks
+    ]
+
+    def search(lo: int, hi: int) -> Column:
+        if lo == hi:
+            return F.lit(lo)
+        mid = (lo + hi) // 2
+        return F.when(key < bounds[mid], search(lo, mid)).otherwise(search(mid + 1, hi))
+
+    return search(0, len(bounds))
+
+
+def _pinned(df: DataFrame) -> DataFrame:
+    """``df`` with its scan position ``_tie``, written once to the shared scratch folder.
+
+    Whatever reads the result sees the same ``_tie`` for a row, also after a
+    lost executor, and the input is evaluated only once.
+    """
+    from ..session import scratch_path
+
+    path = scratch_path(df.sparkSession, "rowindex")
+    df.withColumn("_tie", F.monotonically_increasing_id()).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def with_row_index(df: DataFrame, order_by, out: str = "row_idx", num_partitions: int | None = None) -> DataFrame:
-    """Append ``out`` = 0-based position of each row in ``order_by`` order.
+    """Append ``out`` = 0-based position of each row in ascending ``order_by`` order.
 
     Rows with equal keys are ordered by scan position (a tiebreaker that also
-    lets range partitioning split one very frequent key over many tasks).
+    lets the ranges split one very frequent key over many tasks). The range of
+    a row is a function of its stored values (``_range_column``), so the range
+    sizes (counted on the key and position alone) always fit the numbered rows.
     """
+    keyed = _pinned(df)
     keys = _cols(order_by) + [F.col("_tie")]
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = df.withColumn("_tie", F.monotonically_increasing_id()).repartitionByRange(n, *keys)
-    # sizes need no sort: they read the same (reused) range shuffle
-    sizes = ranged.groupBy(F.spark_partition_id().alias("_pid")).agg(F.count(F.lit(1)).alias("_n"))
+    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tagged = keyed.withColumn("_pid", _range_column(keyed, keys, n))
+    sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = exclusive_offsets(sizes, "_pid", "_n", "_off").select("_pid", "_off")
-    numbered = (
-        ranged.sortWithinPartitions(*keys)
-        .withColumn("_pid", F.spark_partition_id())
-        .withColumn("_mid", F.monotonically_increasing_id())
-    )
-    # one row per partition: a bounded broadcast
-    joined = numbered.join(F.broadcast(offsets), "_pid")
-    local = F.col("_mid").bitwiseAND(F.lit(_LOW_BITS))
-    return joined.withColumn(out, (F.col("_off") + local).cast("long")).drop("_pid", "_mid", "_off", "_tie")
+    local = F.row_number().over(Window.partitionBy("_pid").orderBy(*keys))
+    # one offset row per range: a broadcast of at most n rows
+    joined = tagged.repartition(n, "_pid").withColumn("_rn", local).join(F.broadcast(offsets), "_pid")
+    return joined.withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("long")).drop("_pid", "_rn", "_off", "_tie")
 
 
 # Split tables larger than this are joined back with a shuffle instead of a broadcast.
@@ -103,21 +143,21 @@ def running_offsets(
 ) -> DataFrame:
     """Exclusive prefix sum of ``size_col`` in ``order_by`` order, for tables of any size.
 
-    Range-partitions the table by the key, takes a running sum inside each
-    partition and adds the prefix of the partition totals (one row per
-    partition, broadcast).
+    Rows fall into key ranges (``_range_column``); each range takes a running
+    sum and adds the prefix of the range totals (one row per range, broadcast).
     """
-    keys = _cols(order_by)
+    keyed = _pinned(sizes)
+    keys = _cols(order_by) + [F.col("_tie")]
     n = num_partitions or int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranged = sizes.repartitionByRange(n, *keys).withColumn("_pid", F.spark_partition_id())
-    totals = ranged.groupBy("_pid").agg(F.sum(size_col).alias("_tot"))
+    tagged = keyed.withColumn("_pid", _range_column(keyed, keys, n))
+    totals = tagged.groupBy("_pid").agg(F.sum(size_col).alias("_tot"))
     part_off = exclusive_offsets(totals, "_pid", "_tot", "_poff").select("_pid", "_poff")
     w = Window.partitionBy("_pid").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    local = ranged.withColumn("_loc", F.coalesce(F.sum(size_col).over(w), F.lit(0)))
+    local = tagged.withColumn("_loc", F.coalesce(F.sum(size_col).over(w), F.lit(0)))
     return (
         local.join(F.broadcast(part_off), "_pid")
         .withColumn(out, (F.col("_poff") + F.col("_loc")).cast("long"))
-        .drop("_pid", "_poff", "_loc")
+        .drop("_pid", "_poff", "_loc", "_tie")
     )
 
 
