@@ -41,7 +41,7 @@ def partition_sizes(df: DataFrame) -> DataFrame:
 _SAMPLE_PER_RANGE = 30
 
 
-def _range_column(df: DataFrame, keys: Sequence[Column], n: int) -> Column:
+def range_column(df: DataFrame, keys: Sequence[Column], n: int) -> Column:
     """The number of the key range (0 .. n-1) a row falls into, as a pure function of its key.
 
     The bounds are found once, from a hash sample of the keys alone (about
@@ -87,13 +87,13 @@ def with_row_index(df: DataFrame, order_by, out: str = "row_idx", num_partitions
 
     Rows with equal keys are ordered by scan position (a tiebreaker that also
     lets the ranges split one very frequent key over many tasks). The range of
-    a row is a function of its stored values (``_range_column``), so the range
+    a row is a function of its stored values (``range_column``), so the range
     sizes (counted on the key and position alone) always fit the numbered rows.
     """
     keyed = _pinned(df)
     keys = _cols(order_by) + [F.col("_tie")]
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tagged = keyed.withColumn("_pid", _range_column(keyed, keys, n))
+    tagged = keyed.withColumn("_pid", range_column(keyed, keys, n))
     sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
     offsets = exclusive_offsets(sizes, "_pid", "_n", "_off").select("_pid", "_off")
     local = F.row_number().over(Window.partitionBy("_pid").orderBy(*keys))
@@ -143,13 +143,13 @@ def running_offsets(
 ) -> DataFrame:
     """Exclusive prefix sum of ``size_col`` in ``order_by`` order, for tables of any size.
 
-    Rows fall into key ranges (``_range_column``); each range takes a running
+    Rows fall into key ranges (``range_column``); each range takes a running
     sum and adds the prefix of the range totals (one row per range, broadcast).
     """
     keyed = _pinned(sizes)
     keys = _cols(order_by) + [F.col("_tie")]
     n = num_partitions or int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tagged = keyed.withColumn("_pid", _range_column(keyed, keys, n))
+    tagged = keyed.withColumn("_pid", range_column(keyed, keys, n))
     totals = tagged.groupBy("_pid").agg(F.sum(size_col).alias("_tot"))
     part_off = exclusive_offsets(totals, "_pid", "_tot", "_poff").select("_pid", "_poff")
     w = Window.partitionBy("_pid").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
