@@ -1,10 +1,12 @@
 """Queries of this subpackage and their SQL."""
 
-from . import mixing, quality, sharding
+from . import bitplane, mixing, packing, quality, sharding
 
 QUERIES = {
     "op2_mix": mixing.op2_mix,
     "op6_lines": quality.op6_lines,
     "op8_shards": sharding.op8_shards,
+    "op9_bitplanes": bitplane.op9_bitplanes,
+    "op10_pack": packing.op10_pack,
 }
 ORACLE = {"op2_mix": mixing.SQL, "op6_lines": quality.SQL}
