@@ -1,9 +1,10 @@
 """Queries of this subpackage and their SQL."""
 
-from . import bitplane, mixing, packing, quality, sharding
+from . import bitplane, langid, mixing, packing, quality, sharding
 
 QUERIES = {
     "op2_mix": mixing.op2_mix,
+    "op4_langid": langid.op4_langid,
     "op6_lines": quality.op6_lines,
     "op8_shards": sharding.op8_shards,
     "op9_bitplanes": bitplane.op9_bitplanes,
