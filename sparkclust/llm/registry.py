@@ -1,13 +1,14 @@
 """Queries of this subpackage and their SQL."""
 
-from . import bitplane, langid, mixing, packing, quality, sharding
+from . import bitplane, knn, langid, mixing, packing, quality, sharding
 
 QUERIES = {
     "op2_mix": mixing.op2_mix,
     "op4_langid": langid.op4_langid,
     "op6_lines": quality.op6_lines,
+    "op7_voronoi": knn.op7_voronoi,
     "op8_shards": sharding.op8_shards,
     "op9_bitplanes": bitplane.op9_bitplanes,
     "op10_pack": packing.op10_pack,
 }
-ORACLE = {"op2_mix": mixing.SQL, "op6_lines": quality.SQL}
+ORACLE = {"op2_mix": mixing.SQL, "op6_lines": quality.SQL, "op7_voronoi": knn.SQL}
