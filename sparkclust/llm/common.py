@@ -61,3 +61,28 @@ def rank_in_group(df: DataFrame, groups: list[str], bucket: str, order: list[str
     if total:
         out = out.withColumn(total, F.col("_total").cast("long"))
     return out.drop("_rn", "_off", "_total", *[f"_k{i}" for i in range(len(keys))])
+
+
+def stream_groups(frames, keys: list[str]):
+    """Groups of equal adjacent ``keys`` in a stream of Arrow batches: (key tuple, table), one group in memory."""
+    import numpy as np
+    import pyarrow as pa
+
+    held, key = [], None
+    for f in frames:
+        if not f.num_rows:
+            continue
+        cols = [f.column(c).to_numpy(zero_copy_only=False) for c in keys]
+        change = np.zeros(f.num_rows - 1, bool)
+        for c in cols:
+            change |= c[1:] != c[:-1]
+        cuts = [0, *(np.flatnonzero(change) + 1).tolist(), f.num_rows]
+        for a, b in zip(cuts, cuts[1:]):
+            now = tuple(c[a].item() for c in cols)
+            if now != key:
+                if held:
+                    yield key, pa.Table.from_batches(held)
+                held, key = [], now
+            held.append(f.slice(a, b - a))
+    if held:
+        yield key, pa.Table.from_batches(held)

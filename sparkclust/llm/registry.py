@@ -1,8 +1,9 @@
 """Queries of this subpackage and their SQL."""
 
-from . import bitplane, knn, langid, mixing, packing, quality, sharding
+from . import bitplane, knn, langid, mixing, ngram_join, packing, quality, sharding
 
 QUERIES = {
+    "op1_forest": ngram_join.op1_forest,
     "op2_mix": mixing.op2_mix,
     "op4_langid": langid.op4_langid,
     "op6_lines": quality.op6_lines,
