@@ -1,11 +1,12 @@
 """Queries of this subpackage and their SQL."""
 
-from . import bitplane, knn, langid, mixing, ngram_join, packing, quality, sharding
+from . import bitplane, knn, langid, mixing, ngram_join, packing, quality, sharding, wrappers
 
 QUERIES = {
     "op1_forest": ngram_join.op1_forest,
     "op2_mix": mixing.op2_mix,
     "op4_langid": langid.op4_langid,
+    "op5_wrappers": wrappers.op5_wrappers,
     "op6_lines": quality.op6_lines,
     "op7_voronoi": knn.op7_voronoi,
     "op8_shards": sharding.op8_shards,
