@@ -1,10 +1,11 @@
 """Queries of this subpackage and their SQL."""
 
-from . import bitplane, knn, langid, mixing, ngram_join, packing, quality, sharding, wrappers
+from . import bitplane, knn, langid, lmscore, mixing, ngram_join, packing, quality, sharding, wrappers
 
 QUERIES = {
     "op1_forest": ngram_join.op1_forest,
     "op2_mix": mixing.op2_mix,
+    "op3_xent": lmscore.op3_xent,
     "op4_langid": langid.op4_langid,
     "op5_wrappers": wrappers.op5_wrappers,
     "op6_lines": quality.op6_lines,
@@ -13,4 +14,4 @@ QUERIES = {
     "op9_bitplanes": bitplane.op9_bitplanes,
     "op10_pack": packing.op10_pack,
 }
-ORACLE = {"op2_mix": mixing.SQL, "op6_lines": quality.SQL, "op7_voronoi": knn.SQL}
+ORACLE = {"op2_mix": mixing.SQL, "op3_xent": lmscore.SQL, "op6_lines": quality.SQL, "op7_voronoi": knn.SQL}
