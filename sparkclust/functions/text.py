@@ -52,15 +52,6 @@ def utf16_units(s: Column) -> Column:
     return F.flatten(F.transform(chars, units))
 
 
-def bigram_buckets(s: Column, n_buckets: int = DEFAULT_BUCKETS) -> Column:
-    """``ARRAY<INT>``: the bucket of every sliding character bigram of ``s`` (one per position).
-
-    Inside a plan prefer ``units_to_buckets`` over a column that already holds
-    the units, so the unit array is built once per row, not once per lookup.
-    """
-    return units_to_buckets(utf16_units(s), n_buckets)
-
-
 def units_to_buckets(u: Column, n_buckets: int = DEFAULT_BUCKETS) -> Column:
     """Bigram buckets from an ``ARRAY<INT>`` of UTF-16 units."""
     n = F.size(u)
@@ -91,27 +82,30 @@ def chars_to_bigrams(chars: Column) -> Column:
     return F.when(n >= 2, grams).when(n == 1, chars).otherwise(F.array().cast("array<string>"))
 
 
-def char_bigrams(s: Column) -> Column:
-    """``ARRAY<STRING>`` of sliding two-character substrings of ``s``.
+def bucket_entries(texts, n_buckets: int = DEFAULT_BUCKETS):
+    """Bucket counts of many texts at once: row, bucket and count of every non-zero cell, row by row."""
+    import numpy as np
 
-    Works on characters (code points); equal to the UTF-16 rule for text without
-    characters outside the Basic Multilingual Plane. In plans, project
-    ``text_chars`` first and apply ``chars_to_bigrams`` to that column.
-    """
-    return chars_to_bigrams(text_chars(s))
+    raw = [t.encode("utf-16-le", "surrogatepass") if t else b"" for t in texts]
+    size = np.fromiter((len(r) // 2 for r in raw), np.int64, len(raw))
+    units = np.frombuffer(b"".join(raw), dtype="<u2").astype(np.int64)
+    # one term per unit but the last of its text; a text of one unit is its own term
+    row = np.repeat(np.arange(len(raw)), size)
+    last = np.zeros(len(units), bool)
+    last[np.cumsum(size)[size > 0] - 1] = True
+    follows = np.append(units[1:], 0)
+    lone = size[row] == 1
+    bucket = np.where(lone, units, HASH_MULTIPLIER * units + follows) % n_buckets
+    keep = lone | ~last
+    cell, count = np.unique(row[keep] * n_buckets + bucket[keep], return_counts=True)
+    return cell // n_buckets, cell % n_buckets, count.astype(np.float64)
 
 
 def bucket_counts_numpy(text: str | None, n_buckets: int = DEFAULT_BUCKETS):
-    """NumPy twin of ``bigram_buckets`` + counting, for Arrow batch functions."""
+    """The whole histogram of one text."""
     import numpy as np
 
-    if text is None:
-        return np.zeros(n_buckets, dtype=np.float64)
-    u = np.frombuffer(text.encode("utf-16-le", "surrogatepass"), dtype="<u2").astype(np.int64)
-    if u.size >= 2:
-        b = (HASH_MULTIPLIER * u[:-1] + u[1:]) % n_buckets
-    elif u.size == 1:
-        b = u % n_buckets
-    else:
-        return np.zeros(n_buckets, dtype=np.float64)
-    return np.bincount(b, minlength=n_buckets).astype(np.float64)
+    out = np.zeros(n_buckets, dtype=np.float64)
+    _, bucket, count = bucket_entries([text], n_buckets)
+    out[bucket] = count
+    return out

@@ -83,7 +83,7 @@ def nearest_center(x: Column, centers: Sequence[Sequence[float]], precision: str
         for i, row in enumerate(centers):
             dist = None
             for j, v in enumerate(row):
-                diff = x.getItem(j).cast(t) - F.lit(float(v)).cast(t)
+                diff = F.get(x, F.lit(j)).cast(t) - F.lit(float(v)).cast(t)
                 term = diff * diff
                 dist = term if dist is None else dist + term
             terms.append(F.struct(dist.alias("d"), F.lit(i).alias("k")))
@@ -107,13 +107,13 @@ def _quote(name: str) -> str:
 
 
 def unrolled_distance_sql(features: str, row: Sequence[float], precision: str = "double") -> str:
-    """``(x[0]-c0)*(x[0]-c0) + (x[1]-c1)*(x[1]-c1) + ...`` as SQL text, summed left to right."""
+    """``(x0-c0)*(x0-c0) + (x1-c1)*(x1-c1) + ...`` as SQL text (a missing coordinate gives null), summed left to right."""
     col = _quote(features)
     single = _check_precision(precision) == "float"
     terms = []
     for j, v in enumerate(row):
         lit = sql_double(v)
-        xj = f"{col}[{j}]"
+        xj = f"get({col}, {j})"
         if single:
             lit, xj = f"CAST({lit} AS FLOAT)", f"CAST({xj} AS FLOAT)"
         terms.append(f"(({xj} - {lit}) * ({xj} - {lit}))")
@@ -161,15 +161,6 @@ def round_centers(centers: Sequence[Sequence[float]], precision: str = "double")
     return [[float(v) for v in row] for row in centers]
 
 
-def array_add(a: Column, b: Column) -> Column:
-    """Element-wise sum of two equal-width arrays."""
-    return F.zip_with(a, b, lambda u, v: u + v)
-
-
-def zero_vector(d: int) -> Column:
-    return F.array_repeat(F.lit(0.0).cast("double"), d)
-
-
 def is_finite_vector(x: Column) -> Column:
     """True when no element is null, NaN or infinite."""
     return F.forall(

@@ -12,10 +12,16 @@ Modes::
 An optional ``--precision=float`` (training and predict) evaluates distances
 in 32-bit arithmetic with 32-bit centres; the default is ``double``.
 
+``--bracketed=true|false`` says whether documents are featurized from their row
+string (``[text]``) or the bare text. ``featurize`` (default true) stores the setting beside its
+output (``<out>.options``), training copies it beside the model, and ``label`` uses the
+model's setting unless the option is given (false for a model without one).
+
 Training writes the centre lines to ``<out>.model`` (``par_*`` modes) or
 ``<out>.cluster_centres`` (``train``) and ``position cluster_id`` lines to
 ``<out>.membership``; predict writes ``<out>.membership``. Each output is a
-folder of text part files in line order.
+folder of text part files in scan order (every line carries its position); ``--sorted`` sorts
+them. ``label`` without an output folder prints every document's line.
 """
 
 from __future__ import annotations
@@ -24,11 +30,12 @@ import json
 import sys
 import time
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from .plans.featurize import featurize_text
 from .plans.kmeans import fit
-from .plans.report import label_documents
+from .plans.report import label_documents, label_lines
 from .session import ensure_checkpoint_dir
 from .sinks.text import feature_lines, membership_lines, read_centers, write_centers, write_lines
 from .sources.documents import read_documents
@@ -42,15 +49,34 @@ def _centers_fmt(path: str) -> str:
     return "parquet" if path.rstrip("/").endswith(".parquet") else "text"
 
 
+def write_options(spark: SparkSession, path: str, options: dict) -> None:
+    spark.createDataFrame([(json.dumps(options),)], "value string").coalesce(1).write.mode("overwrite").text(path.rstrip("/") + ".options")
+
+
+def read_options(spark: SparkSession, path: str) -> dict:
+    """The settings stored beside ``path``; none if it has none."""
+    try:
+        row = spark.read.text(path.rstrip("/") + ".options").first()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return {}
+    return json.loads(row["value"])
+
+
 def run(spark: SparkSession, argv: list[str]) -> dict:
     if not argv:
         raise SystemExit(USAGE)
     mode = argv[0]
-    precision = "double"
+    precision, bracketed, order_by = "double", None, None
     args = []
     for a in argv[1:]:
         if a.startswith("--precision="):
             precision = a.split("=", 1)[1]
+        elif a.startswith("--bracketed="):
+            bracketed = {"true": True, "false": False}[a.split("=", 1)[1]]
+        elif a == "--sorted":
+            order_by = "id"
         else:
             args.append(a)
     ensure_checkpoint_dir(spark)
@@ -65,7 +91,10 @@ def run(spark: SparkSession, argv: list[str]) -> dict:
         t2 = time.time()
         model_suffix = ".cluster_centres" if mode == "train" else ".model"
         write_centers(result.centers_df(spark), out + model_suffix)
-        write_lines(membership_lines(result.membership), out + ".membership", order_by="id")
+        options = read_options(spark, src)
+        if options:
+            write_options(spark, out + model_suffix, options)
+        write_lines(membership_lines(result.membership), out + ".membership", order_by=order_by)
         t3 = time.time()
         counts = parsed.counts()
         return {
@@ -88,31 +117,31 @@ def run(spark: SparkSession, argv: list[str]) -> dict:
         centers = read_centers(spark, args[1], _centers_fmt(args[1]))
         parsed = read_points(spark, args[0], dim=len(centers[0]))
         assigned = predict(parsed.points, centers, precision=precision)
-        write_lines(membership_lines(assigned), args[2] + ".membership", order_by="id")
+        write_lines(membership_lines(assigned), args[2] + ".membership", order_by=order_by)
         return {"mode": mode, "k": len(centers), "ms": int((time.time() - t0) * 1000)}
     if mode == "featurize":
         if len(args) != 2:
             raise SystemExit(USAGE)
         docs = read_documents(spark, args[0])
         # idx = position of the document in the input files
-        feats = featurize_text(docs, "id", "text", index_by="file")
-        write_lines(feature_lines(feats), args[1], order_by="id")
+        bracketed = True if bracketed is None else bracketed
+        feats = featurize_text(docs, "id", "text", bracketed=bracketed, index_by="file")
+        write_lines(feature_lines(feats), args[1], order_by=order_by)
+        write_options(spark, args[1], {"bracketed": bracketed})
         return {"mode": mode, "ms": int((time.time() - t0) * 1000)}
     if mode == "label":
         if len(args) not in (2, 3):
             raise SystemExit(USAGE)
         centers = read_centers(spark, args[1], _centers_fmt(args[1]))
-        labels = label_documents(read_documents(spark, args[0]), centers)
-        from pyspark.sql import functions as F
-
-        lines = labels.select(
-            "id",
-            F.concat_ws(" ", F.coalesce("lang", F.lit("null")), F.coalesce("user_lang", F.lit("null")), F.col("cluster_id").cast("string")).alias("line"),
-        )
+        if bracketed is None:
+            bracketed = read_options(spark, args[1]).get("bracketed", False)
+        lines = label_lines(label_documents(read_documents(spark, args[0]), centers, bracketed=bracketed))
         if len(args) == 3:
-            write_lines(lines, args[2], order_by="id")
+            write_lines(lines, args[2], order_by=order_by)
         else:
-            lines.orderBy("id").select("line").show(20, truncate=False)
+            # printed partition by partition: the driver holds one at a time
+            for row in (lines.orderBy(order_by) if order_by else lines).select("line").toLocalIterator():
+                print(row["line"])
         return {"mode": mode, "k": len(centers), "ms": int((time.time() - t0) * 1000)}
     raise SystemExit(f"unknown mode {mode!r}\n{USAGE}")
 

@@ -12,8 +12,8 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.vector import MAX_LITERAL_VALUES, center_distances, with_nearest
-from .update import batch_matrix, is_sparse
+from ..functions.vector import MAX_LITERAL_VALUES, center_distances, is_finite_vector, with_nearest
+from .update import is_sparse
 
 
 def assign(points: DataFrame, centers: Sequence[Sequence[float]], out: str = "cluster_id", features: str = "features") -> DataFrame:
@@ -21,28 +21,25 @@ def assign(points: DataFrame, centers: Sequence[Sequence[float]], out: str = "cl
     return with_nearest(points, centers, out, features)
 
 
-def _predict_fn(centers, d: int, names: list[str], precision: str = "double"):
-    import pyarrow as pa
+def _message(d: int) -> str:
+    return f"points and centres have different widths, or a coordinate is missing or not finite (centres: {d})"
+
 
-    from .update import _nearest_np, ship_centers
+def _rows_fn(shipped, d: int, names: list[str], result):
+    """Arrow batches -> the carried columns and ``result(chunk, centres)``; a bad row fails the job."""
+    import pyarrow as pa
 
-    shipped = ship_centers(centers)
+    from .update import read_chunk
 
     def fn(batches):
         C = shipped.value if hasattr(shipped, "value") else shipped
         for rb in batches:
-            rows = rb.num_rows
-            if rows == 0:
-                continue
-            col = rb.column(rb.num_columns - 1)
-            m = np.concatenate(
-                [
-                    _nearest_np(batch_matrix(col.slice(lo, 4096), min(4096, rows - lo), d), C, precision)
-                    for lo in range(0, rows, 4096)
-                ]
-            )
             cols = [rb.column(i) for i in range(rb.num_columns - 1)]
-            yield pa.RecordBatch.from_arrays(cols + [pa.array(m.astype(np.int32))], names=names)
+            for lo in range(0, rb.num_rows, 4096):
+                chunk, _ = read_chunk(rb.column(rb.num_columns - 1).slice(lo, 4096), d)
+                if chunk.bad:
+                    raise ValueError(f"{chunk.bad} rows: {_message(d)}")
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, 4096) for c in cols], result(chunk, C)], names=names)
 
     return fn
 
@@ -59,40 +56,57 @@ def predict(
 ) -> DataFrame:
     """``(id, cluster_id)`` for every point; an empty input gives an empty result.
 
-    ``path="arrow"`` (chosen automatically for wide vectors on batch input)
-    assigns whole Arrow batches with NumPy; the expression path serves small
-    models and streaming input.
+    ``path="arrow"`` (chosen for sparse or wide vectors and for models beyond a plan literal) assigns
+    whole Arrow batches with NumPy; the expression path serves small models. Both work on batch and
+    streaming input, and both fail the job on a row of the wrong width or with a missing or non-finite
+    coordinate (``check_width=False``, expression path only: such rows get a null cluster).
     """
     if len(centers) == 0:
         raise ValueError("no centres")
     d = len(centers[0])
-    width_ok = F.size(features) == F.lit(d)
-    msg = F.lit(f"points and centres have different widths (centres: {d})")
     sparse = is_sparse(points, features)
     huge = len(centers) * d > MAX_LITERAL_VALUES
     if path == "auto":
-        path = "arrow" if (sparse or huge or (not points.isStreaming and d >= 16)) else "expr"
+        path = "arrow" if sparse or huge or d >= 16 else "expr"
     if (sparse or huge) and path != "arrow":
         raise ValueError("sparse vectors and very large models use the Arrow path")
     carried = [id_col, *keep]
+    src = points.select(*carried, features)
     if path == "arrow":
-        src = points.select(*carried, features)
+        import pyarrow as pa
+
+        from .update import nearest, ship_centers
+
         schema = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in carried)
-        return src.mapInArrow(_predict_fn(centers, d, [*carried, "cluster_id"], precision), f"{schema}, cluster_id int")
-    src = points.select(*carried, features)
-    if check_width:
-        # checked row by row inside the same pass: a wrong width fails the job
-        src = src.withColumn("_width_ok", width_ok)
-    out = with_nearest(src, centers, "cluster_id", features, precision)
-    if check_width:
-        out = out.withColumn("cluster_id", F.when(F.col("_width_ok"), F.col("cluster_id")).otherwise(F.raise_error(msg)))
-    return out.select(*carried, "cluster_id")
+        fn = _rows_fn(ship_centers(centers), d, [*carried, "cluster_id"], lambda chunk, C: pa.array(nearest(chunk, C, precision)))
+        return src.mapInArrow(fn, f"{schema}, cluster_id int")
+    # checked row by row inside the same pass
+    usable = F.coalesce((F.size(features) == F.lit(d)) & is_finite_vector(F.col(features)), F.lit(False))
+    out = with_nearest(src.withColumn("_usable", usable), centers, "cluster_id", features, precision)
+    otherwise = F.raise_error(F.lit(_message(d))) if check_width else F.lit(None)
+    return out.withColumn("cluster_id", F.when(F.col("_usable"), F.col("cluster_id")).otherwise(otherwise.cast("int"))).select(*carried, "cluster_id")
 
 
 def distances(
     points: DataFrame, centers: Sequence[Sequence[float]], id_col: str = "id", features: str = "features", precision: str = "double"
 ) -> DataFrame:
     """``(id, cluster_id, dist)``: squared distance of every point to each of the K centres."""
-    return points.select(
-        F.col(id_col), F.posexplode(center_distances(F.col(features), centers, precision)).alias("cluster_id", "dist")
-    ).withColumn("cluster_id", F.col("cluster_id").cast("int"))
+    if len(centers) * len(centers[0]) > MAX_LITERAL_VALUES or is_sparse(points, features):
+        import pyarrow as pa
+
+        from .update import _scan_distances, ship_centers
+
+        d = len(centers[0])
+        dtype = np.float32 if precision == "float" else np.float64
+        src = points.select(id_col, features)
+
+        def rows(chunk, C):
+            dist = _scan_distances(chunk.matrix(d), C, dtype).astype(np.float64)
+            return pa.FixedSizeListArray.from_arrays(pa.array(dist.ravel()), len(C)).cast(pa.list_(pa.float64()))
+
+        fn = _rows_fn(ship_centers(centers), d, [id_col, "_dist"], rows)
+        listed = src.mapInArrow(fn, f"`{id_col}` {src.schema[id_col].dataType.simpleString()}, _dist array<double>")
+        exploded = listed.select(F.col(id_col), F.posexplode("_dist").alias("cluster_id", "dist"))
+    else:
+        exploded = points.select(F.col(id_col), F.posexplode(center_distances(F.col(features), centers, precision)).alias("cluster_id", "dist"))
+    return exploded.withColumn("cluster_id", F.col("cluster_id").cast("int"))

@@ -102,10 +102,6 @@ def with_row_index(df: DataFrame, order_by, out: str = "row_idx", num_partitions
     return joined.withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("long")).drop("_pid", "_rn", "_off", "_tie")
 
 
-# Split tables larger than this are joined back with a shuffle instead of a broadcast.
-MAX_BROADCAST_SPLITS = 200_000
-
-
 def with_file_position(df: DataFrame, out: str = "row_idx") -> DataFrame:
     """Append the 0-based position of each row in file order (a file-backed DataFrame).
 
@@ -120,19 +116,8 @@ def with_file_position(df: DataFrame, out: str = "row_idx") -> DataFrame:
         F.monotonically_increasing_id().alias("_mid"),
     )
     splits = raw.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-    # Every split is a whole small file or one block of a large file, so
-    # files + partitions bounds the number of split rows before any job runs.
-    try:
-        split_bound = len(df.inputFiles()) + df.rdd.getNumPartitions()
-    except Exception:
-        split_bound = MAX_BROADCAST_SPLITS + 1
-    if split_bound <= MAX_BROADCAST_SPLITS:
-        offsets = F.broadcast(
-            exclusive_offsets(splits, ["_file", "_block"], "_n", "_off").select("_file", "_block", "_off", "_first")
-        )
-    else:
-        # very many splits: two-level prefix sum and a shuffle join
-        offsets = running_offsets(splits, ["_file", "_block"], "_n", "_off").select("_file", "_block", "_off", "_first")
+    # a few numbers per split; Spark broadcasts them while their size allows
+    offsets = running_offsets(splits, ["_file", "_block"], "_n", "_off").select("_file", "_block", "_off", "_first")
     joined = raw.join(offsets, ["_file", "_block"])
     pos = (F.col("_off") + F.col("_mid") - F.col("_first")).cast("long")
     return joined.withColumn(out, pos).drop("_file", "_block", "_mid", "_off", "_first")

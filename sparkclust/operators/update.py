@@ -1,17 +1,12 @@
 """One Lloyd step as a partial + final aggregate, and the centre update rule.
 
-Two physical forms compute the same ``(cluster_id, n, changed, sums)``:
-
-* ``expr``: nearest-centre expression + ``groupBy(cluster_id)`` with one
-  ``sum`` per coordinate. Pure Catalyst, whole-stage codegen for small models.
-* ``arrow``: ``mapInArrow`` computes per-task partials with NumPy and emits
-  them in blocks of 32 coordinates (K * ceil(d/32) rows per task); a
-  ``groupBy(cluster_id, block)`` with 32 plain sums merges them. Used for
-  wide vectors, where interpreted array lambdas cost K*d calls per row.
-
-Both aggregate map-side before the shuffle, so at most K rows (expression
-path) or K * ceil(d/32) rows (Arrow path) per task are shuffled, whatever the
-number or skew of points.
+``mapInArrow`` computes per-task partials with NumPy, for vectors of any width, dense or sparse.
+The centres are data of the task, so the plan of every pass is the same and nothing is compiled anew.
+Partials leave a task in blocks of 32 coordinates (K * ceil(d/32) rows per task); a
+``groupBy(cluster_id, block)`` with 32 plain sums merges them, whatever the number or skew of points.
+
+``partials_expr`` computes the same numbers as pure Catalyst expressions
+(``path="expr"``, small models).
 """
 
 from __future__ import annotations
@@ -25,7 +20,6 @@ from pyspark.sql import functions as F
 
 from ..functions.vector import with_nearest
 
-ARROW_MIN_DIM = 16
 _CHUNK_ROWS = 4096
 # Models above this many numbers travel as a broadcast variable, not inside each task.
 BROADCAST_MIN_VALUES = 100_000
@@ -51,29 +45,75 @@ def is_sparse(df: DataFrame, features: str = "features") -> bool:
     return isinstance(df.schema[features].dataType, StructType)
 
 
-def batch_matrix(col, rows: int, d: int) -> np.ndarray:
-    """An Arrow vector column -> (rows, d) float64 matrix.
+@dataclass
+class Chunk:
+    """Some points in memory: a dense matrix, or the entries of sparse rows; ``bad`` rows are left out."""
+
+    rows: int
+    bad: int
+    dense: np.ndarray | None = None
+    where: np.ndarray | None = None  # row of each sparse entry
+    idx: np.ndarray | None = None
+    val: np.ndarray | None = None
+
+    def matrix(self, d: int, picked: np.ndarray | None = None) -> np.ndarray:
+        """The rows (or some of them) as a dense matrix."""
+        if self.dense is not None:
+            return self.dense if picked is None else self.dense[picked]
+        place = np.arange(self.rows) if picked is None else np.full(self.rows, -1)
+        if picked is not None:
+            place[picked] = np.arange(len(picked))
+        at = place[self.where]
+        X = np.zeros((self.rows if picked is None else len(picked), d))
+        np.add.at(X, (at[at >= 0], self.idx[at >= 0]), self.val[at >= 0])
+        return X
+
+
+def read_chunk(col, d: int) -> tuple[Chunk, np.ndarray]:
+    """An Arrow vector column -> its usable rows, and which rows those are.
 
-    Dense vectors are a list column of equal widths; sparse vectors are a
-    ``struct<size, idx, val>`` column, scattered into zeros here (so only
-    one chunk of rows is ever dense in memory).
+    A row counts as bad, on its own, when it is null, of another width than ``d``, or holds a null or
+    non-finite coordinate (sparse: or an index out of range).
     """
     import pyarrow as pa
 
+    n = len(col)
+    ok = np.ones(n, bool) if not col.null_count else ~col.is_null().to_numpy(zero_copy_only=False)
+
+    def parts(lists):
+        lens = np.where(lists.is_null().to_numpy(zero_copy_only=False), 0, np.diff(np.asarray(lists.offsets)))
+        return lens, lists.flatten()
+
+    def numbers(values):
+        missing = values.is_null().to_numpy(zero_copy_only=False) if values.null_count else np.zeros(len(values), bool)
+        x = values.fill_null(0).to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+        return x, missing | ~np.isfinite(x)
+
     if pa.types.is_struct(col.type):
-        sizes = col.field("size").to_numpy(zero_copy_only=False)
-        if rows and (sizes != d).any():
-            raise ValueError(f"points and centres have different widths (centres: {d})")
-        idx_col, val_col = col.field("idx"), col.field("val")
-        lens = np.diff(np.asarray(idx_col.offsets))
-        where = np.repeat(np.arange(rows), lens)
-        X = np.zeros((rows, d), dtype=np.float64)
-        X[where, idx_col.flatten().to_numpy(zero_copy_only=False)] = val_col.flatten().to_numpy(zero_copy_only=False)
-        return X
-    flat = col.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
-    if flat.size != rows * d:
-        raise ValueError(f"points and centres have different widths (centres: {d})")
-    return flat.reshape(rows, d)
+        size, idx, val = (col.field(k) for k in ("size", "idx", "val"))
+        lens, flat_idx = parts(idx)
+        val_lens, flat_val = parts(val)
+        ok &= (size.fill_null(-1).to_numpy(zero_copy_only=False) == d) & (lens == val_lens)
+        where = np.repeat(np.arange(n), lens)
+        if (lens != val_lens).any():  # keep the two lists in step
+            keep_i, keep_v = np.repeat(lens == val_lens, lens), np.repeat(lens == val_lens, val_lens)
+            where, flat_idx, flat_val = where[keep_i], flat_idx.filter(pa.array(keep_i)), flat_val.filter(pa.array(keep_v))
+        x, wrong = numbers(flat_val)
+        i = flat_idx.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64)
+        ok[where[wrong | (i < 0) | (i >= d)]] = False
+        good = np.flatnonzero(ok)
+        place = np.cumsum(ok) - 1
+        keep = ok[where]
+        return Chunk(len(good), n - len(good), where=place[where[keep]], idx=i[keep], val=x[keep]), good
+    lens, flat = parts(col)
+    ok &= lens == d
+    x, wrong = numbers(flat)
+    if wrong.any():
+        ok[np.repeat(np.arange(n), lens)[wrong]] = False
+    good = np.flatnonzero(ok)
+    if len(good) < n:
+        x = x[np.repeat(ok, lens)]
+    return Chunk(len(good), n - len(good), dense=x.reshape(len(good), d)), good
 
 
 def dense_row(v) -> list[float]:
@@ -93,18 +133,12 @@ class StepStats:
     sums: list[list[float]]  # coordinate sums per cluster
 
 
-def choose_path(d: int, path: str = "auto", sparse: bool = False, k: int = 1) -> str:
-    from ..functions.vector import MAX_LITERAL_VALUES
-
-    if sparse or k * d > MAX_LITERAL_VALUES:
-        if path == "expr":
-            raise ValueError("sparse vectors and very large models use the Arrow path")
-        return "arrow"
-    if path == "auto":
-        return "arrow" if d >= ARROW_MIN_DIM else "expr"
-    if path not in ("expr", "arrow"):
+def choose_path(path: str = "auto", sparse: bool = False) -> str:
+    if path not in ("auto", "expr", "arrow"):
         raise ValueError(f"unknown path {path!r}")
-    return path
+    if path == "expr" and sparse:
+        raise ValueError("sparse vectors use the Arrow path")
+    return "arrow" if path == "auto" else path
 
 
 def partials_expr(points: DataFrame, centers, prev=None, features: str = "features", precision: str = "double") -> DataFrame:
@@ -117,57 +151,68 @@ def partials_expr(points: DataFrame, centers, prev=None, features: str = "featur
         assigned = with_nearest(assigned, prev, "_prev", "_x", precision).withColumn(
             "_chg", (F.col("cluster_id") != F.col("_prev")).cast("int")
         )
-    # rows of the wrong width or with a missing coordinate are counted, not guessed at
-    # (unrolled null tests: no lambda, so the check stays in generated code)
-    nulls = " OR ".join(f"isnull(_x[{j}])" for j in range(d))
-    bad = f"CAST(sum(CASE WHEN size(_x) <> {d} THEN 1 WHEN {nulls} THEN 1 ELSE 0 END) AS BIGINT) AS bad"
+    # rows of the wrong width or with a missing or non-finite coordinate are counted, not guessed at
+    # (unrolled tests: no lambda, so the check stays in generated code; NaN sorts above infinity)
+    odd = " OR ".join(f"isnull(get(_x, {j})) OR NOT abs(get(_x, {j})) < double('infinity')" for j in range(d))
+    bad = f"CAST(sum(CASE WHEN _x IS NULL OR size(_x) <> {d} THEN 1 WHEN {odd} THEN 1 ELSE 0 END) AS BIGINT) AS bad"
     aggs = ["count(1) AS n", "CAST(sum(_chg) AS BIGINT) AS changed", bad]
-    aggs += [f"sum(_x[{j}]) AS s_{j}" for j in range(d)]
+    aggs += [f"sum(get(_x, {j})) AS s_{j}" for j in range(d)]
     return assigned.groupBy("cluster_id").agg(*[F.expr(a) for a in aggs])
 
 
-def _nearest_np(X: np.ndarray, C: np.ndarray, precision: str = "double") -> np.ndarray:
-    """Row-wise argmin of squared distance, lowest index on ties (strict ``<``).
+def _scan_distances(X: np.ndarray, C: np.ndarray, dtype) -> np.ndarray:
+    """(rows, K) squared distances, each summed coordinate by coordinate, left to right."""
+    columns = np.ascontiguousarray(X.T, dtype=dtype)
+    C = np.asarray(C, dtype=dtype)
+    out = np.zeros((X.shape[0], len(C)), dtype=dtype)
+    for j in range(len(columns)):
+        diff = columns[j][:, None] - C[:, j]
+        out += diff * diff
+    return out
+
+
+def nearest(chunk: Chunk, C: np.ndarray, precision: str = "double") -> np.ndarray:
+    """Index of the nearest centre of each row, the lowest on ties.
 
-    ``precision="float"`` accumulates 32-bit squares coordinate by coordinate,
-    left to right, as the single-precision expression does.
+    Sparse rows use |x|^2 - 2 x.c + |c|^2 over their entries; rows whose two best values
+    lie within rounding of each other are settled by the plain scan.
     """
-    n = X.shape[0]
-    best = np.full(n, np.inf)
-    idx = np.zeros(n, dtype=np.int32)
-    single = precision == "float"
-    if single:
-        X = X.astype(np.float32)
-        C = np.asarray(C, dtype=np.float32)
-    for k in range(C.shape[0]):
-        if single:
-            dk = np.zeros(n, dtype=np.float32)
-            for j in range(C.shape[1]):
-                diff = X[:, j] - C[k, j]
-                dk = dk + diff * diff
-        else:
-            diff = X - C[k]
-            dk = np.einsum("ij,ij->i", diff, diff)
-        better = dk < best
-        best = np.where(better, dk, best)
-        idx = np.where(better, k, idx)
-    return idx
+    d = C.shape[1]
+    if chunk.dense is not None or precision == "float":
+        return _scan_distances(chunk.matrix(d), C, np.float32 if precision == "float" else np.float64).argmin(1).astype(np.int32)
+    dot = np.stack([np.bincount(chunk.where, chunk.val * c[chunk.idx], chunk.rows) for c in C], axis=1)
+    square = np.bincount(chunk.where, chunk.val**2, chunk.rows)[:, None]
+    cc = (C * C).sum(1)
+    dist = square - 2 * dot + cc
+    best = dist.argmin(1)
+    if len(C) > 1:
+        two = np.partition(dist, 1, axis=1)[:, :2]
+        close = np.flatnonzero(two[:, 1] - two[:, 0] <= 1e-9 * (square[:, 0] + cc.max() + 1))
+        for at in np.array_split(close, -(-len(close) // 512)) if len(close) else ():
+            best[at] = _scan_distances(chunk.matrix(d, at), C, np.float64).argmin(1)
+    return best.astype(np.int32)
+
+
+def add_sums(chunk: Chunk, m: np.ndarray, total: np.ndarray) -> None:
+    """Add the rows of each cluster to ``total`` (K x at least d)."""
+    if chunk.dense is not None:
+        onehot = np.zeros((len(total), chunk.rows))
+        onehot[m, np.arange(chunk.rows)] = 1.0
+        total[:, : chunk.dense.shape[1]] += onehot @ chunk.dense
+    else:
+        width = total.shape[1]
+        total += np.bincount(m[chunk.where] * np.int64(width) + chunk.idx, chunk.val, total.size).reshape(total.shape)
 
 
 # Partial sums leave a task in blocks of this many coordinates: K * ceil(d / B)
 # rows per task, merged by (cluster, block) with B plain sums each.
 SUM_BLOCK = 32
-# When tasks * K * ceil(d / B) partial rows are at most this many (known from
-# the partition count before the job runs), the driver adds them itself, as
-# RDD.aggregate does; above it they are merged by a shuffle.
-DIRECT_MERGE_MAX_ROWS = 20_000
 
 
-def _partials_fn(centers, prev, d: int, precision: str = "double"):
+def _partials_fn(centers, prev, d: int, precision: str = "double", shipped=None):
     import pyarrow as pa
 
-    C_ship = ship_centers(centers)
-    P_ship = None if prev is None else ship_centers(prev)
+    C_ship, P_ship = shipped or (ship_centers(centers), None if prev is None else ship_centers(prev))
     K = len(centers)
     blocks = -(-d // SUM_BLOCK)
     out_schema = pa.schema(
@@ -176,6 +221,7 @@ def _partials_fn(centers, prev, d: int, precision: str = "double"):
             ("block", pa.int32()),
             ("n", pa.int64()),
             ("changed", pa.int64()),
+            ("bad", pa.int64()),
             ("vals", pa.list_(pa.float64())),
         ]
     )
@@ -186,32 +232,28 @@ def _partials_fn(centers, prev, d: int, precision: str = "double"):
         n_tot = np.zeros(K, dtype=np.int64)
         c_tot = np.zeros(K, dtype=np.int64)
         s_tot = np.zeros((K, blocks * SUM_BLOCK), dtype=np.float64)
-        seen = False
+        bad = 0
         for rb in batches:
-            rows = rb.num_rows
-            if rows == 0:
-                continue
-            seen = True
             col = rb.column(0)
-            for lo in range(0, rows, _CHUNK_ROWS):
-                part = col.slice(lo, _CHUNK_ROWS)
-                X = batch_matrix(part, len(part), d)
-                if precision == "float":
-                    X = X.astype(np.float32).astype(np.float64)
-                m = _nearest_np(X, C, precision)
-                cnt = np.bincount(m, minlength=K)
-                n_tot += cnt
+            for lo in range(0, rb.num_rows, _CHUNK_ROWS):
+                chunk, _ = read_chunk(col.slice(lo, _CHUNK_ROWS), d)
+                bad += chunk.bad
+                if not chunk.rows:
+                    continue
+                if precision == "float" and chunk.dense is not None:
+                    chunk.dense = chunk.dense.astype(np.float32).astype(np.float64)
+                m = nearest(chunk, C, precision)
+                n_tot += np.bincount(m, minlength=K)
                 if P is None:
-                    c_tot += cnt
+                    c_tot += np.bincount(m, minlength=K)
                 else:
-                    pm = _nearest_np(X, P, precision)
-                    c_tot += np.bincount(m[pm != m], minlength=K)
-                onehot = np.zeros((K, X.shape[0]), dtype=np.float64)
-                onehot[m, np.arange(X.shape[0])] = 1.0
-                s_tot[:, :d] += onehot @ X
-        if not seen:
+                    c_tot += np.bincount(m[nearest(chunk, P, precision) != m], minlength=K)
+                add_sums(chunk, m, s_tot)
+        keep = np.flatnonzero(n_tot) if n_tot.any() or not bad else np.zeros(1, int)
+        if not len(keep):
             return
-        keep = np.nonzero(n_tot)[0]
+        bads = np.zeros(len(keep), np.int64)
+        bads[0] = bad
         cid = np.repeat(keep, blocks).astype(np.int32)
         blk = np.tile(np.arange(blocks, dtype=np.int32), len(keep))
         vals = s_tot[keep].reshape(len(keep) * blocks, SUM_BLOCK)
@@ -221,6 +263,7 @@ def _partials_fn(centers, prev, d: int, precision: str = "double"):
                 pa.array(blk),
                 pa.array(np.repeat(n_tot[keep], blocks)),
                 pa.array(np.repeat(c_tot[keep], blocks)),
+                pa.array(np.repeat(bads, blocks)),
                 pa.FixedSizeListArray.from_arrays(pa.array(vals.ravel()), SUM_BLOCK).cast(pa.list_(pa.float64())),
             ],
             schema=out_schema,
@@ -229,22 +272,22 @@ def _partials_fn(centers, prev, d: int, precision: str = "double"):
     return fn
 
 
-def task_partials(points: DataFrame, centers, prev=None, features: str = "features", precision: str = "double") -> DataFrame:
-    """Per-task partial rows ``(cluster_id, block, n, changed, vals)`` of the Arrow path, not merged."""
+def task_partials(points: DataFrame, centers, prev=None, features: str = "features", precision: str = "double", shipped=None) -> DataFrame:
+    """Per-task partial rows ``(cluster_id, block, n, changed, bad, vals)`` of the Arrow path, not merged."""
     d = len(centers[0])
     return points.select(F.col(features)).mapInArrow(
-        _partials_fn(centers, prev, d, precision), "cluster_id int, block int, n long, changed long, vals array<double>"
+        _partials_fn(centers, prev, d, precision, shipped), "cluster_id int, block int, n long, changed long, bad long, vals array<double>"
     )
 
 
-def partials_arrow(points: DataFrame, centers, prev=None, features: str = "features", precision: str = "double") -> DataFrame:
-    """``(cluster_id, block, n, changed, s_0 .. s_(B-1))`` totals through the Arrow path.
+def partials_arrow(points: DataFrame, centers, prev=None, features: str = "features", precision: str = "double", shipped=None) -> DataFrame:
+    """``(cluster_id, block, n, changed, bad, s_0 .. s_(B-1))`` totals through the Arrow path.
 
     Each task emits K * ceil(d / B) rows of block sums; the merge adds them per
     (cluster, block) with B exact double sums, spread over K * ceil(d / B) keys.
     """
-    parts = task_partials(points, centers, prev, features, precision)
-    aggs = [F.sum("n").alias("n"), F.sum("changed").alias("changed")]
+    parts = task_partials(points, centers, prev, features, precision, shipped)
+    aggs = [F.sum("n").alias("n"), F.sum("changed").alias("changed"), F.sum("bad").alias("bad")]
     aggs += [F.expr(f"sum(vals[{j}]) AS s_{j}") for j in range(SUM_BLOCK)]
     return parts.groupBy("cluster_id", "block").agg(*aggs)
 
@@ -256,49 +299,37 @@ def step_stats(
     path: str = "auto",
     features: str = "features",
     precision: str = "double",
-    n_tasks: int | None = None,
 ) -> StepStats:
     """Run one assignment + partial aggregation pass; collect only K (x d) numbers."""
     K, d = len(centers), len(centers[0])
     n = [0] * K
     changed = [0] * K
     sums = [[0.0] * d for _ in range(K)]
-    if choose_path(d, path, is_sparse(points, features), K) == "expr":
+    bad = 0
+    if choose_path(path, is_sparse(points, features)) == "expr":
         for r in partials_expr(points, centers, prev, features, precision).collect():
-            if r["bad"]:
-                raise ValueError(
-                    f"{r['bad']} points have a wrong width or a missing coordinate (expected {d}); "
-                    "filter them with split_rejects first"
-                )
             k = r["cluster_id"]
-            n[k] = int(r["n"])
-            changed[k] = int(r["changed"])
-            sums[k] = [float(r[f"s_{j}"]) for j in range(d)]
+            bad += r["bad"]
+            n[k], changed[k] = int(r["n"]), int(r["changed"])
+            sums[k] = [float(r[f"s_{j}"] or 0.0) for j in range(d)]
     else:
-        blocks = -(-d // SUM_BLOCK)
-        if n_tasks is not None and n_tasks * K * blocks <= DIRECT_MERGE_MAX_ROWS:
-            # bounded number of partial rows: add them here, no shuffle stage
-            n_arr = np.zeros(K, dtype=np.int64)
-            c_arr = np.zeros(K, dtype=np.int64)
-            s_arr = np.zeros((K, blocks * SUM_BLOCK))
-            for r in task_partials(points, centers, prev, features, precision).collect():
-                k, b = r["cluster_id"], r["block"]
-                s_arr[k, b * SUM_BLOCK : (b + 1) * SUM_BLOCK] += np.asarray(r["vals"], dtype=np.float64)
-                if b == 0:
-                    n_arr[k] += r["n"]
-                    c_arr[k] += r["changed"]
-            n, changed = [int(v) for v in n_arr], [int(v) for v in c_arr]
-            sums = [[float(v) for v in s_arr[k, :d]] for k in range(K)]
-        else:
-            for r in partials_arrow(points, centers, prev, features, precision).collect():
-                k, b = r["cluster_id"], r["block"]
-                lo = b * SUM_BLOCK
-                for j in range(lo, min(lo + SUM_BLOCK, d)):
-                    sums[k][j] = float(r[f"s_{j - lo}"])
-                # every block row of a task carries the task's count: block 0 holds the total
-                if b == 0:
-                    n[k] = int(r["n"])
-                    changed[k] = int(r["changed"])
+        shipped = [ship_centers(c) if c is not None else None for c in (centers, prev)]
+        for r in partials_arrow(points, centers, prev, features, precision, shipped).collect():
+            k, lo = r["cluster_id"], r["block"] * SUM_BLOCK
+            for j in range(lo, min(lo + SUM_BLOCK, d)):
+                sums[k][j] = float(r[f"s_{j - lo}"])
+            # every block row of a task carries the task's count: block 0 holds the total
+            if lo == 0:
+                n[k], changed[k] = int(r["n"]), int(r["changed"])
+                bad += r["bad"]
+        for b in shipped:
+            if hasattr(b, "unpersist"):
+                b.unpersist()
+    if bad:
+        raise ValueError(
+            f"{bad} points have a wrong width, a missing coordinate or a non-finite one (expected {d} numbers); "
+            "filter them with split_rejects first"
+        )
     return StepStats(n, changed, sums)
 
 

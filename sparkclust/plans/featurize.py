@@ -2,25 +2,26 @@
 
 Two physical forms, same numbers:
 
+* ``arrow``: a vectorised Pandas UDF turns batches of texts into sparse (or dense)
+  bucket histograms in one pass (UTF-16 units via NumPy). No shuffle at all.
 * ``sql`` (long form): bucket array per text, ``explode``, then
-  ``groupBy(id, bucket).count()``. The partial aggregate runs in the same stage
-  as the explode, so each task ships at most (texts x buckets) rows, and one
-  very long text is spread over the buckets in the shuffle.
-* ``arrow`` (dense form): a vectorised Pandas UDF turns each text into its
-  bucket histogram in one pass (UTF-16 units via NumPy). No shuffle at all;
-  this is the fast path for training input.
+  ``groupBy(id, bucket).count()`` with a partial aggregate in the stage of the explode.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import DEFAULT_BUCKETS, bucket_counts_numpy, row_text, units_to_buckets, utf16_units
+from ..functions.text import DEFAULT_BUCKETS, bucket_entries, row_text, units_to_buckets, utf16_units
 from ..functions.vector import dense_from_long
 from ..operators.rowindex import with_file_position, with_row_index
 
+# Texts whose histograms are made together.
+_BATCH = 1024
+
 
 def hashed_tf_long(
     df: DataFrame,
@@ -28,17 +29,17 @@ def hashed_tf_long(
     text_col: str = "text",
     n_features: int = DEFAULT_BUCKETS,
     bracketed: bool = True,
-    impl: str = "sql",
+    impl: str = "arrow",
 ) -> DataFrame:
     """``(id, bucket INT, tf DOUBLE)`` for every non-zero bucket of every text.
 
-    ``impl="arrow"`` builds each text's histogram in one vectorised pass and
-    keeps the non-zero buckets: no shuffle. ``impl="sql"`` is pure Catalyst.
+    ``impl="arrow"`` counts inside the row (sparse histograms of whole batches) and explodes the
+    non-zero buckets: no shuffle. ``impl="sql"`` is pure Catalyst, with a row per character.
     """
     if impl == "arrow":
-        dense = df.select(F.col(id_col).alias("id"), _dense_udf(n_features)(row_text(F.col(text_col), bracketed)).alias("_v"))
-        cells = dense.select("id", F.posexplode("_v").alias("bucket", "tf"))
-        return cells.where(F.col("tf") > 0).select("id", F.col("bucket").cast("int").alias("bucket"), "tf")
+        sparse = df.select(F.col(id_col).alias("id"), _sparse_udf(n_features)(row_text(F.col(text_col), bracketed)).alias("_v"))
+        cells = sparse.select("id", F.explode(F.arrays_zip("_v.idx", "_v.val")).alias("_c"))
+        return cells.select("id", F.col("_c.idx").alias("bucket"), F.col("_c.val").alias("tf"))
     if impl != "sql":
         raise ValueError(f"unknown impl {impl!r}")
     src = df.select(F.col(id_col).alias("id"), utf16_units(row_text(F.col(text_col), bracketed)).alias("_u"))
@@ -55,7 +56,14 @@ def dense_from_tf(long_tf: DataFrame, n_features: int = DEFAULT_BUCKETS) -> Data
 def _dense_udf(n_features: int):
     @F.pandas_udf("array<double>")
     def dense(texts: pd.Series) -> pd.Series:
-        return pd.Series([bucket_counts_numpy(t, n_features) for t in texts])
+        out = []
+        for lo in range(0, len(texts), _BATCH):  # one histogram for a batch of texts
+            part = texts.iloc[lo : lo + _BATCH].tolist()
+            row, bucket, count = bucket_entries(part, n_features)
+            cells = np.zeros((len(part), n_features))
+            cells[row, bucket] = count
+            out.extend(cells)
+        return pd.Series(out, index=texts.index, dtype=object)
 
     return dense
 
@@ -64,11 +72,12 @@ def _sparse_udf(n_features: int):
     @F.pandas_udf("struct<size:int,idx:array<int>,val:array<double>>")
     def sparse(texts: pd.Series) -> pd.DataFrame:
         idx, val = [], []
-        for t in texts:
-            h = bucket_counts_numpy(t, n_features)
-            nz = h.nonzero()[0]
-            idx.append(nz.astype("int32"))
-            val.append(h[nz])
+        for lo in range(0, len(texts), _BATCH):
+            part = texts.iloc[lo : lo + _BATCH].tolist()
+            row, bucket, count = bucket_entries(part, n_features)
+            cuts = np.searchsorted(row, np.arange(1, len(part)))
+            idx += np.split(bucket.astype("int32"), cuts)
+            val += np.split(count, cuts)
         return pd.DataFrame({"size": [n_features] * len(idx), "idx": idx, "val": val})
 
     return sparse
@@ -95,7 +104,7 @@ def hashed_tf_dense(
 ) -> DataFrame:
     """``(id, features ARRAY<DOUBLE>)`` of width ``n_features``, one row per input row."""
     if impl == "sql":
-        long_tf = hashed_tf_long(df, id_col, text_col, n_features, bracketed)
+        long_tf = hashed_tf_long(df, id_col, text_col, n_features, bracketed, impl="sql")
         ids = df.select(F.col(id_col).alias("id"))
         dense = dense_from_tf(long_tf, n_features)
         # texts without any bigram still get a zero vector

@@ -81,8 +81,7 @@ def fit(
 
     ``track_delta``: ``"all"`` (or True) computes the change fraction of every
     pass (each pass then evaluates the assignment twice), ``"last"`` only of
-    the final pass, ``"none"`` (or False) never; ``"auto"`` is ``"all"`` for
-    ``stop="threshold"``, which needs it, and ``"last"`` for ``stop="fixed"``.
+    the final pass, ``"none"`` (or False) never; ``"auto"`` is ``"all"``.
 
     ``precision="float"`` stores coordinates and centres as 32-bit values and
     evaluates distances in 32-bit arithmetic (the single-precision CPU
@@ -132,27 +131,22 @@ def fit(
         raise ValueError("init must hold exactly k centres")
     d = len(centers[0])
     sparse = is_sparse(pts)
-    chosen = choose_path(d, path, sparse, k)
+    chosen = choose_path(path, sparse)
     mode = {True: "all", False: "none"}.get(track_delta, track_delta)
     if mode == "auto":
-        mode = "all" if stop == "threshold" else "last"
+        mode = "all"
     if mode not in ("all", "last", "none"):
         raise ValueError("track_delta must be 'all', 'last', 'none' or 'auto'")
     if stop == "threshold" and mode != "all":
         raise ValueError("stop='threshold' needs the change fraction of every pass")
 
-    # partition count of the (cached) points: bounds the partial rows of a pass
-    try:
-        n_tasks = pts.rdd.getNumPartitions()
-    except Exception:
-        n_tasks = None
     prev = None
     history: list[dict] = []
     n_points = 0
     for t in range(1, max_iter + 1):
         t0 = time.time()
         want = mode == "all" or (mode == "last" and t == max_iter)
-        stats = step_stats(pts, centers, prev if want else None, chosen, precision=precision, n_tasks=n_tasks)
+        stats = step_stats(pts, centers, prev if want else None, chosen, precision=precision)
         if t == 1:
             n_points = int(sum(stats.n))
             if n_points == 0:
@@ -175,7 +169,7 @@ def fit(
 
     member_centers = prev if membership == "lagged" else centers
     if chosen == "arrow":
-        member = predict(pts, member_centers, path="arrow", check_width=False, precision=precision)
+        member = predict(pts, member_centers, path="arrow", precision=precision)
     else:
         member = with_nearest(pts, member_centers, precision=precision).select("id", "cluster_id")
     return KMeansRun(centers, prev, member, history, n_points, d, chosen, pts if cached else None)

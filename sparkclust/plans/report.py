@@ -15,6 +15,12 @@ def document_projection(docs: DataFrame) -> DataFrame:
     return docs.select("id", "lang", F.col("user.lang").alias("user_lang"), "text")
 
 
+def label_lines(labels: DataFrame) -> DataFrame:
+    """``(id, line)``: ``lang user_lang cluster_id`` of every labelled document, ``null`` for a missing language."""
+    shown = [F.coalesce(c, F.lit("null")) for c in ("lang", "user_lang")]
+    return labels.select("id", F.concat_ws(" ", *shown, F.col("cluster_id").cast("string")).alias("line"))
+
+
 def label_documents(
     docs: DataFrame,
     centers: list[list[float]],
@@ -31,9 +37,9 @@ def label_documents(
     if impl == "arrow":
         # a projection: language columns ride along, no join and no shuffle
         feats = proj.select("id", "lang", "user_lang", _features_col(n_features, bracketed))
-        return predict(feats, centers, check_width=False, keep=("lang", "user_lang"))
+        return predict(feats, centers, keep=("lang", "user_lang"))
     feats = hashed_tf_dense(proj, "id", "text", n_features, bracketed, impl)
-    labels = predict(feats, centers, check_width=False)
+    labels = predict(feats, centers)
     return proj.select("id", "lang", "user_lang").join(labels, "id")
 
 
@@ -52,7 +58,7 @@ def language_counts(docs: DataFrame, top: int = 25, by: str = "user.lang") -> Da
 
 
 def document_sample(docs: DataFrame, n: int = 10, order_by: str = "id", cols=("id", "text")) -> DataFrame:
-    """The first ``n`` documents in ``order_by`` order (a deterministic ``LIMIT``).
+    """The first ``n`` documents in ``order_by`` order (a deterministic ``LIMIT``); ``cols`` may be expressions.
 
     Whole texts move only for the selected rows (``first_rows``).
     """

@@ -35,20 +35,16 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the session's checkpoint folder, setting a local one only if unset."""
-    try:
-        sc = spark.sparkContext
-    except Exception:  # sessions without a local SparkContext (remote clients)
-        conf_dir = spark.conf.get("spark.checkpoint.dir", None)
-        if not conf_dir:
-            raise RuntimeError("set spark.checkpoint.dir to a shared folder") from None
-        return conf_dir
+    """Return the session's checkpoint folder, setting a local one only if unset (local runs)."""
+    sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
     conf_dir = spark.conf.get("spark.checkpoint.dir", None)
     if not conf_dir:
-        # only reached in local runs and tests: a cluster names a shared folder
+        # every executor of a cluster has a disk of its own: only a local run may use one
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         conf_dir = tempfile.mkdtemp(prefix="sparkclust-ckpt-")
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir()
@@ -61,17 +57,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def ensure_parallelism(df, minimum: int | None = None):
-    """Spread a DataFrame with fewer partitions than cores (e.g. a one-split file).
+    """Spread a batch DataFrame with fewer partitions than cores (e.g. a one-split file).
 
-    Large inputs already arrive in many splits and pass through unchanged.
+    Large inputs already arrive in many splits and pass through unchanged; rows and results are the same.
     """
     if df.isStreaming:
         return df
-    try:
-        want = minimum or df.sparkSession.sparkContext.defaultParallelism
-        have = df.rdd.getNumPartitions()
-    except Exception:  # no RDD view (remote clients): leave the layout to the engine
-        return df
-    if have < want:
-        return df.repartition(want)
-    return df
+    want = minimum or df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df

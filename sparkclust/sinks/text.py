@@ -40,7 +40,7 @@ def feature_lines(features: DataFrame, id_col: str = "id") -> DataFrame:
 
 
 def write_lines(lines: DataFrame, path: str, order_by: str | None = None, single_file: bool = False) -> None:
-    """Write the ``line`` column as text; ``order_by`` keeps line order across part files."""
+    """Write the ``line`` column as text, in scan order; ``order_by`` sorts the whole output first."""
     out = lines
     if order_by is not None:
         out = out.orderBy(order_by)

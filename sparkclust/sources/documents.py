@@ -30,12 +30,13 @@ def read_documents(spark: SparkSession, path, schema: T.StructType = DOC_SCHEMA)
     )
 
 
-def documents_from_table(df: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", user_lang_col: str = "source", text_col: str = "text") -> DataFrame:
-    """A document table -> the JSON document shape (``user.lang`` taken from ``user_lang_col``)."""
+def documents_from_table(df: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", user_lang_col: str = "source", text_col: str = "text", user_name_col: str | None = None) -> DataFrame:
+    """A document table -> the JSON document shape (``user.lang`` and ``user.name`` from the columns named)."""
+    name = F.lit(None) if user_name_col is None else F.col(user_name_col)
     return df.select(
         F.col(id_col).cast("long").alias("id"),
         F.col(lang_col).alias("lang"),
-        F.struct(F.col(user_lang_col).alias("lang"), F.lit(None).cast("string").alias("name")).alias("user"),
+        F.struct(F.col(user_lang_col).alias("lang"), name.cast("string").alias("name")).alias("user"),
         F.col(text_col).alias("text"),
     )
 
@@ -44,7 +45,7 @@ def write_documents_json(docs: DataFrame, path: str) -> None:
     docs.select("id", "lang", "user", "text").write.mode("overwrite").json(path)
 
 
-def register_documents(docs: DataFrame, name: str = "tweetTable") -> DataFrame:
+def register_documents(docs: DataFrame, name: str = "document_rows") -> DataFrame:
     """Expose documents to SQL under ``name`` (temp view)."""
     docs.createOrReplaceTempView(name)
     return docs

@@ -78,7 +78,7 @@ def read_lines(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
 def parse_point_lines(lines: DataFrame, dim: int | None = None, line_col: str = "line", pos_col: str = "line_no") -> ParsedPoints:
     """Parse ``id c0 .. c(d-1)`` lines into points and rejects.
 
-    ``dim`` defaults to the width of the first line (by position).
+    ``dim`` defaults to the width of the first line (by position) that isn't blank.
     """
     trimmed = scala_trim(F.col(line_col))
     tokens = F.split(trimmed, " ")
@@ -93,10 +93,10 @@ def parse_point_lines(lines: DataFrame, dim: int | None = None, line_col: str =
         coords.alias("features"),
     )
     if dim is None:
-        first = df.orderBy("id").select(F.size("features").alias("w")).limit(1).collect()
-        if not first:
+        first = df.where(F.length(scala_trim(F.col("line"))) > 0).agg(F.min_by(F.size("features"), "id").alias("w")).first()
+        if first["w"] is None:
             raise ValueError("empty input: no lines to parse")
-        dim = int(first[0]["w"])
+        dim = int(first["w"])
     width = F.size("features")
     parsed_ok = F.forall("features", lambda v: v.isNotNull())
     finite = is_finite_vector(F.col("features"))
@@ -127,12 +127,11 @@ def _try_double(c: Column) -> Column:
 
 
 def first_line(spark: SparkSession, path: str | Sequence[str]) -> str | None:
-    """The first line in file order, reading only the first block of the first non-empty file."""
-    for f in sorted(spark.read.text(path).inputFiles()):
-        rows = spark.read.text(f).where(F.col("_metadata.file_block_start") == 0).limit(1).collect()
-        if rows:
-            return rows[0]["value"]
-    return None
+    """The first line in file order that isn't blank; one line per split reaches the reduction."""
+    lines = spark.read.text(path).select(
+        "value", F.struct("_metadata.file_path", "_metadata.file_block_start", F.monotonically_increasing_id().alias("at")).alias("place")
+    )
+    return lines.where(F.length(scala_trim(F.col("value"))) > 0).agg(F.min_by("value", "place").alias("line")).first()["line"]
 
 
 def line_width(line: str) -> int:
@@ -146,7 +145,7 @@ def line_width(line: str) -> int:
 def read_points(spark: SparkSession, path: str | Sequence[str], dim: int | None = None) -> ParsedPoints:
     """Text point files -> points (id = position in file order) and rejects.
 
-    ``dim`` defaults to the width of the first line.
+    ``dim`` defaults to the width of the first line that isn't blank.
     """
     if dim is None:
         first = first_line(spark, path)

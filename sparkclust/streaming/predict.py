@@ -17,7 +17,7 @@ from ..session import scratch_path
 
 def stream_predict(points: DataFrame, centers: Sequence[Sequence[float]], id_col: str = "id", keep: Sequence[str] = ()) -> DataFrame:
     """``(id, *keep, cluster_id)`` for a streaming (or batch) points DataFrame."""
-    return predict(points, centers, id_col=id_col, path="expr", check_width=False, keep=keep)
+    return predict(points, centers, id_col=id_col, keep=keep)
 
 
 def start_predict_stream(

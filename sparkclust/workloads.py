@@ -15,16 +15,16 @@ from pyspark.sql import functions as F
 from . import oracle as O
 from .functions.text import chars_to_bigrams, row_string, row_text, text_chars
 from .operators.assign import distances, predict
-from .operators.rowindex import group_offsets, with_row_index
+from .operators.rowindex import group_offsets, partition_sizes, running_offsets, with_row_index
 from .operators.seed import centers_frame, seed_first_k
 from .operators.update import partials_expr, step_stats, update_centers
-from .plans.featurize import featurize_text, hashed_tf_dense, hashed_tf_long, hashed_tf_sparse
+from .plans.featurize import featurize_text, hashed_tf_long, hashed_tf_sparse
 from .plans.kmeans import fit
 from .plans.report import document_projection, document_sample, label_documents, language_counts
 from .session import ensure_parallelism, scratch_path
 from .sinks.text import center_lines, feature_lines, membership_lines, read_centers, write_centers, write_lines
 from .sources.documents import documents_from_table, read_documents, register_documents, write_documents_json
-from .sources.points import points_from_array, points_from_columns, read_points
+from .sources.points import points_from_array, points_from_columns, read_points, split_rejects
 
 ROUND = O.ROUND
 
@@ -258,7 +258,7 @@ def q_predict_embeddings(spark, sf_dir):
 
 
 def q_delta_history(spark, sf_dir):
-    run = _orders_run(spark, sf_dir, track_delta="all")
+    run = _orders_run(spark, sf_dir)
     return run.history_df(spark).select("iteration", "n", "changed", "delta")
 
 
@@ -330,8 +330,8 @@ def q_json_projection(spark, sf_dir):
 
 def q_sql_projection(spark, sf_dir):
     """The labeller's SQL over a registered view, nested field and literals included."""
-    register_documents(documents_from_table(table(spark, sf_dir, "documents")), "tweetTable")
-    return spark.sql("SELECT 0 AS head, id, lang, user.lang AS user_lang, text, 0 AS tail FROM tweetTable")
+    register_documents(documents_from_table(table(spark, sf_dir, "documents")), "document_rows")
+    return spark.sql("SELECT 0 AS head, id, lang, user.lang AS user_lang, text, 0 AS tail FROM document_rows")
 
 
 def q_language_topk(spark, sf_dir):
@@ -342,13 +342,9 @@ def q_document_sample(spark, sf_dir):
     return document_sample(documents_from_table(table(spark, sf_dir, "documents")), 10)
 
 
-def _text_run(spark, sf_dir, iters: int, sparse: bool = False):
+def _text_run(spark, sf_dir, iters: int):
     d = ensure_parallelism(table(spark, sf_dir, "documents"))
-    if sparse:
-        feats = hashed_tf_sparse(d, "doc_id", "text", bracketed=True)
-    else:
-        feats = hashed_tf_dense(d, "doc_id", "text", bracketed=True, impl="arrow")
-    return _fit(feats, 7, max_iter=iters)
+    return _fit(hashed_tf_sparse(d, "doc_id", "text", bracketed=True), 7, max_iter=iters)
 
 
 def q_text_kmeans(spark, sf_dir):
@@ -356,11 +352,123 @@ def q_text_kmeans(spark, sf_dir):
 
 
 def q_label_documents(spark, sf_dir):
-    run = _text_run(spark, sf_dir, 2, sparse=True)
+    run = _text_run(spark, sf_dir, 2)
     docs = documents_from_table(ensure_parallelism(table(spark, sf_dir, "documents")))
     return label_documents(docs, run.centers, bracketed=False)
 
 
+def q_label_documents_bracketed(spark, sf_dir):
+    run = _text_run(spark, sf_dir, 2)
+    docs = documents_from_table(ensure_parallelism(table(spark, sf_dir, "documents")))
+    return label_documents(docs, run.centers, bracketed=True)
+
+
+def q_row_index_payload(spark, sf_dir):
+    return with_row_index(table(spark, sf_dir, "orders"), "o_orderkey")
+
+
+def q_running_offsets_payload(spark, sf_dir):
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", (F.col("o_custkey") % 7).alias("n"))
+    return running_offsets(o, "o_orderkey", "n", "offset")
+
+
+def q_partition_sizes(spark, sf_dir):
+    """Rows per physical partition after dealing documents by id."""
+    dealt = table(spark, sf_dir, "documents").select("doc_id").repartitionById(7, (F.col("doc_id") % 7).cast("int"))
+    return partition_sizes(dealt)
+
+
+def q_embedding_rejects(spark, sf_dir):
+    """Rows set aside by ``split_rejects`` when every 7th vector is short, every 11th holds NaN, every 13th is null."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    k = F.col("vec_id")
+    spoilt = (
+        F.when(k % 7 == 0, F.slice("v", 1, 63))
+        .when(k % 11 == 0, F.concat(F.slice("v", 1, 63), F.array(F.lit(float("nan")))))
+        .when(k % 13 == 0, F.lit(None).cast("array<double>"))
+        .otherwise(F.col("v"))
+    )
+    _, bad = split_rejects(points_from_array(e.select("vec_id", spoilt.alias("v")), "vec_id", "v"), 64)
+    return bad.select("id", F.when(F.col("features").isNull(), F.lit(-1)).otherwise(F.size("features")).alias("width"))
+
+
+def q_trim_point_lines(spark, sf_dir):
+    """Point lines with tabs, control characters and blanks at both ends."""
+    p = table(spark, sf_dir, "part")
+    line = F.concat(F.lit("\t\x01 "), F.concat_ws(" ", F.col("p_partkey").cast("string"), F.col("p_size").cast("string")), F.lit(" \x1f\t"))
+    path = scratch_path(spark, "trim")
+    write_lines(p.select("p_partkey", line.alias("line")), path)
+    points = read_points(spark, path).points
+    return points.select(F.col("src_id").cast("long").alias("src_id"), F.col("features")[0].alias("x0"))
+
+
+def q_predict_saved_parquet(spark, sf_dir):
+    run = _fit(customer_points(spark, sf_dir), 5, max_iter=3)
+    path = scratch_path(spark, "model") + ".parquet"
+    write_centers(run.centers_df(spark), path, fmt="parquet")
+    return predict(supplier_points(spark, sf_dir), read_centers(spark, path, fmt="parquet"))
+
+
+def _write_part_lines(spark, sf_dir) -> str:
+    path = scratch_path(spark, "part-lines")
+    write_lines(_part_lines(spark, sf_dir, False), path, order_by="p_partkey")
+    return path
+
+
+def _split_lines(spark, path) -> DataFrame:
+    words = F.split("value", " ")
+    return spark.read.text(path).select(words[0].cast("long").alias("id"), words[1].cast("int").alias("cluster_id"))
+
+
+def q_job_train_predict(spark, sf_dir):
+    """The command line: train on point lines, then predict the same lines; the prediction's lines."""
+    from .job import run as run_job
+
+    src, out = _write_part_lines(spark, sf_dir), scratch_path(spark, "job")
+    run_job(spark, ["par_train", src, out, "5", "0.0001", "2"])
+    run_job(spark, ["predict", src, out + ".model", out])
+    return _split_lines(spark, out + ".membership")
+
+
+def q_job_membership(spark, sf_dir):
+    from .job import run as run_job
+
+    src, out = _write_part_lines(spark, sf_dir), scratch_path(spark, "job")
+    run_job(spark, ["par_train", src, out, "5", "0.0001", "2"])
+    return _split_lines(spark, out + ".membership")
+
+
+def q_job_label(spark, sf_dir):
+    """The command line: label JSON documents with a saved model; how often each line of the report occurs."""
+    from .job import run as run_job
+
+    run = _text_run(spark, sf_dir, 2)
+    base = scratch_path(spark, "job-label")
+    write_centers(run.centers_df(spark), base + ".parquet", fmt="parquet")
+    write_documents_json(documents_from_table(table(spark, sf_dir, "documents")), base + ".json")
+    run_job(spark, ["label", base + ".json", base + ".parquet", base + ".lines"])
+    return spark.read.text(base + ".lines").groupBy(F.col("value").alias("line")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def q_user_sample(spark, sf_dir):
+    """The first documents with both nested user fields."""
+    d = table(spark, sf_dir, "documents").withColumn("name", F.concat_ws("-", "source", "lang"))
+    docs = documents_from_table(d, user_name_col="name")
+    flat = docs.select("id", "lang", F.col("user.lang").alias("user_lang"), F.col("user.name").alias("user_name"), "text")
+    return document_sample(flat, 10, cols=("id", "lang", "user_lang", "user_name", "text"))
+
+
+def q_json_corrupt(spark, sf_dir):
+    """JSON documents read by a glob; lines that don't parse keep their text."""
+    base = scratch_path(spark, "docs-glob")
+    d = table(spark, sf_dir, "documents")
+    write_documents_json(documents_from_table(d), f"{base}/part-good")
+    d.select(F.concat(F.lit('{"id": '), F.col("doc_id").cast("string"), F.lit(', "lang": ')).alias("line")).select("line").write.text(f"{base}/part-bad")
+    docs = read_documents(spark, f"{base}/part-*")
+    # the corrupt column needs its neighbours read too
+    return docs.select("id", "lang", F.col("user.lang").alias("user_lang"), F.length("text").alias("n"), F.col("_corrupt_record").alias("corrupt"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "points_from_orders": q_points_from_orders,
     "parse_point_lines": q_parse_point_lines,
@@ -397,6 +505,18 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "document_sample": q_document_sample,
     "text_kmeans": q_text_kmeans,
     "label_documents": q_label_documents,
+    "label_documents_bracketed": q_label_documents_bracketed,
+    "row_index_payload": q_row_index_payload,
+    "running_offsets_payload": q_running_offsets_payload,
+    "partition_sizes": q_partition_sizes,
+    "embedding_rejects": q_embedding_rejects,
+    "trim_point_lines": q_trim_point_lines,
+    "predict_saved_parquet": q_predict_saved_parquet,
+    "job_train_predict": q_job_train_predict,
+    "job_membership": q_job_membership,
+    "job_label": q_job_label,
+    "user_sample": q_user_sample,
+    "json_corrupt": q_json_corrupt,
 }
 
 
@@ -552,6 +672,40 @@ def _oracle() -> dict[str, str]:
         f"(SELECT p.id, (min(row({O._dist_list(1000)}, c.cid)))[2]::INTEGER AS cluster_id FROM u p CROSS JOIN c2 c GROUP BY p.id) a "
         "ON a.id = d.doc_id"
     )
+    label = (
+        f"SELECT d.doc_id AS id, d.lang, d.source AS user_lang, a.cluster_id FROM documents d JOIN "
+        f"(SELECT p.id, (min(row({O._dist_list(1000)}, c.cid)))[2]::INTEGER AS cluster_id FROM u p CROSS JOIN c2 c GROUP BY p.id) a "
+        "ON a.id = d.doc_id"
+    )
+    q["label_documents_bracketed"] = O.with_clause(text2 + [f"u AS MATERIALIZED ({O.tf_dense_sql(True)})"]) + label
+    q["job_label"] = (
+        O.with_clause(text2 + [f"u AS MATERIALIZED ({O.tf_dense_sql(False)})"])
+        + f"SELECT coalesce(lang, 'null') || ' ' || coalesce(user_lang, 'null') || ' ' || cluster_id AS line, count(*) AS n FROM ({label}) GROUP BY 1"
+    )
+    q["row_index_payload"] = "SELECT *, row_number() OVER (ORDER BY o_orderkey) - 1 AS row_idx FROM orders"
+    q["running_offsets_payload"] = (
+        "SELECT o_orderkey, o_orderpriority, o_custkey % 7 AS n, coalesce(sum(o_custkey % 7) OVER (ORDER BY o_orderkey ROWS "
+        'BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS "offset" FROM orders'
+    )
+    q["partition_sizes"] = "SELECT (doc_id % 7)::INTEGER AS pid, count(*) AS n FROM documents GROUP BY 1"
+    q["embedding_rejects"] = (
+        "SELECT vec_id AS id, (CASE WHEN vec_id % 7 = 0 THEN 63 WHEN vec_id % 11 = 0 THEN 64 ELSE -1 END)::INTEGER AS width "
+        "FROM embeddings WHERE vec_id % 7 = 0 OR vec_id % 11 = 0 OR vec_id % 13 = 0"
+    )
+    q["trim_point_lines"] = "SELECT p_partkey AS src_id, p_size::DOUBLE AS x0 FROM part"
+    q["predict_saved_parquet"] = q["predict_saved"]
+    lines = O.lloyd_ctes(
+        "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS id, p_size::DOUBLE AS x0, p_retailprice::DOUBLE AS x1 FROM part", 2, 5, 2
+    )
+    q["job_membership"] = O.with_clause(lines) + "SELECT id, cid::INTEGER AS cluster_id FROM a2"
+    q["job_train_predict"] = O.with_clause(lines + [f"a3 AS ({O.assign_sql(2, 'c2')})"]) + "SELECT id, cid::INTEGER AS cluster_id FROM a3"
+    q["user_sample"] = (
+        "SELECT doc_id AS id, lang, source AS user_lang, concat_ws('-', source, lang) AS user_name, text FROM documents ORDER BY doc_id LIMIT 10"
+    )
+    q["json_corrupt"] = (
+        "SELECT doc_id AS id, lang, source AS user_lang, length(text)::INTEGER AS n, NULL::VARCHAR AS corrupt FROM documents UNION ALL "
+        "SELECT NULL, NULL, NULL, NULL, '{\"id\": ' || doc_id || ', \"lang\": ' FROM documents"
+    )
     return q
 
 

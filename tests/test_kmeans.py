@@ -3,7 +3,7 @@ import pytest
 from conftest import SF_SMALL
 from pyspark.sql import functions as F
 
-from sparkclust import fit, points_from_array, points_from_columns, predict, seed_first_k
+from sparkclust import distances, fit, points_from_array, points_from_columns, predict, seed_first_k
 from sparkclust.operators.update import step_stats
 
 
@@ -148,22 +148,6 @@ def test_checkpoint_cache_same_result(spark):
     assert sorted(map(tuple, a.membership.collect())) == sorted(map(tuple, b.membership.collect()))
 
 
-def test_large_model_takes_arrow_path(spark):
-    import sparkclust.functions.vector as V
-
-    o = spark.read.parquet(f"{SF_SMALL}/customer.parquet")
-    p = points_from_columns(o, "c_custkey", ["c_acctbal", "c_nationkey"])
-    old = V.MAX_LITERAL_VALUES
-    V.MAX_LITERAL_VALUES = 4
-    try:
-        big = fit(p, 4, max_iter=2)
-    finally:
-        V.MAX_LITERAL_VALUES = old
-    small = fit(p, 4, max_iter=2)
-    assert big.path == "arrow" and small.path == "expr"
-    assert np.allclose(np.array(big.centers), np.array(small.centers), atol=1e-9)
-
-
 def test_bad_rows_are_reported(spark):
     nulls = spark.createDataFrame([(0, [1.0, 2.0]), (2, [1.0, None])], "id long, features array<double>")
     with pytest.raises(ValueError, match="missing coordinate"):
@@ -176,8 +160,8 @@ def test_bad_rows_are_reported(spark):
 def test_track_delta_modes(spark):
     o = spark.read.parquet(f"{SF_SMALL}/customer.parquet")
     p = points_from_columns(o, "c_custkey", ["c_acctbal", "c_nationkey"])
-    full = fit(p, 4, max_iter=4, track_delta="all")
-    last = fit(p, 4, max_iter=4)
+    full = fit(p, 4, max_iter=4)
+    last = fit(p, 4, max_iter=4, track_delta="last")
     none = fit(p, 4, max_iter=4, track_delta="none")
     assert full.centers == last.centers == none.centers
     assert [h["changed"] for h in last.history] == [full.history[0]["changed"], None, None, full.history[-1]["changed"]]
@@ -234,12 +218,53 @@ def test_float_precision_matches_single_precision_contract(spark):
     assert [got[i] for i in ids] == list(D.argmin(1))
 
 
-def test_direct_and_shuffle_merge_agree(spark, monkeypatch):
-    import sparkclust.operators.update as U
+@pytest.mark.parametrize("d", [2, 64])
+def test_training_is_the_same_for_1_and_400_partitions(spark, d):
+    e = spark.read.parquet(f"{SF_SMALL}/embeddings.parquet").select("vec_id", F.slice("embedding", 1, d).alias("embedding"))
+    e = points_from_array(e, "vec_id", "embedding")
+    one, many = (fit(e.repartition(n), 5, max_iter=3) for n in (1, 400))
+    assert np.allclose(np.array(one.centers), np.array(many.centers), atol=1e-12)
+    assert [h["changed"] for h in one.history] == [h["changed"] for h in many.history]
+
+
+@pytest.mark.parametrize("d", [2, 16, 64])
+@pytest.mark.parametrize("odd", ["short and long", "null", "nan", "inf", "-inf", "null row"])
+def test_bad_rows_raise_everywhere(spark, d, odd):
+    rows = [(i, [float(i + j) for j in range(d)]) for i in range(6)]
+    if odd == "short and long":  # their total is right, no single one is
+        rows += [(10, [0.0] * (d - 1)), (11, [0.0] * (d + 1))]
+    elif odd == "null row":
+        rows += [(10, None)]
+    else:
+        value = {"null": None, "nan": float("nan"), "inf": float("inf"), "-inf": float("-inf")}[odd]
+        rows += [(10, [value] + [0.0] * (d - 1))]
+    p = spark.createDataFrame(rows, "id long, features array<double>").coalesce(1)
+    centers = [[0.0] * d, [5.0] * d]
+    for path in ("arrow", "expr"):
+        with pytest.raises(ValueError, match="wrong width"):
+            fit(p, 2, max_iter=1, path=path, init=centers)
+        with pytest.raises(Exception, match="different widths"):
+            predict(p, centers, path=path).collect()
+    assert predict(p.where("id < 10"), centers).count() == 6
+
+
+def test_bad_sparse_rows_raise(spark):
+    good = (0, (4, [1, 3], [1.0, 2.0]))
+    schema = "id long, features struct<size:int,idx:array<int>,val:array<double>>"
+    for bad in ((4, [1, 4], [1.0, 2.0]), (4, [-1], [1.0]), (5, [1], [1.0]), (4, [1, 2], [1.0]), (4, [1], [float("nan")]), (4, [1], [None]), None):
+        p = spark.createDataFrame([good, (1, bad)], schema)
+        with pytest.raises(Exception, match="different widths"):
+            predict(p, [[0.0] * 4, [1.0] * 4]).collect()
+        with pytest.raises(ValueError, match="wrong width"):
+            fit(p, 1, max_iter=1, init=[[0.0] * 4])
+
+
+def test_models_beyond_a_plan_literal(spark, monkeypatch):
+    import sparkclust.operators.assign as A
 
-    e = points_from_array(spark.read.parquet(f"{SF_SMALL}/embeddings.parquet"), "vec_id", "embedding")
-    direct = fit(e, 5, max_iter=3, track_delta="all")
-    monkeypatch.setattr(U, "DIRECT_MERGE_MAX_ROWS", 0)
-    shuffled = fit(e, 5, max_iter=3, track_delta="all")
-    assert np.allclose(np.array(direct.centers), np.array(shuffled.centers), atol=1e-12)
-    assert [h["changed"] for h in direct.history] == [h["changed"] for h in shuffled.history]
+    o = spark.read.parquet(f"{SF_SMALL}/customer.parquet")
+    p = points_from_columns(o, "c_custkey", ["c_acctbal", "c_nationkey"])
+    centers = seed_first_k(p, 4)
+    small = [sorted(map(tuple, df.collect())) for df in (predict(p, centers), distances(p, centers))]
+    monkeypatch.setattr(A, "MAX_LITERAL_VALUES", 4)
+    assert small == [sorted(map(tuple, df.collect())) for df in (predict(p, centers), distances(p, centers))]

@@ -1,5 +1,6 @@
 import os
 
+import pytest
 from conftest import SF_SMALL, write_text
 from pyspark.sql import functions as F
 
@@ -101,6 +102,23 @@ def test_running_offsets_many_groups(spark):
         acc += n
 
 
+@pytest.mark.parametrize("n", [2, 4, 200])
+def test_row_index_with_payload(spark, n):
+    o = spark.read.parquet("/root/testdata/sf0.1/orders.parquet")
+    got = with_row_index(o, "o_orderkey", num_partitions=n).select("o_orderkey", "o_totalprice", "row_idx").toPandas()
+    got = got.sort_values("o_orderkey")
+    assert (got["row_idx"].to_numpy() == range(len(got))).all()
+
+
+@pytest.mark.parametrize("n", [2, 4, 200])
+def test_running_offsets_with_payload(spark, n):
+    from sparkclust.operators.rowindex import running_offsets
+
+    o = spark.read.parquet("/root/testdata/sf0.1/orders.parquet").withColumn("n", F.col("o_custkey") % 7)
+    got = running_offsets(o, "o_orderkey", "n", num_partitions=n).toPandas().sort_values("o_orderkey")
+    assert (got["offset"].to_numpy() == (got["n"].cumsum() - got["n"]).to_numpy()).all()
+
+
 def test_row_index_hot_key_spreads(spark):
     # one key holds most rows: positions stay dense and the key spans several partitions
     df = spark.range(3000).select(F.when(F.col("id") < 2000, F.lit(1)).otherwise(F.col("id")).alias("k"))
@@ -122,13 +140,10 @@ def test_first_rows_matches_order_limit(spark):
     assert first_rows(df.where("k > 100"), 3, "k").count() == 0
 
 
-def test_file_position_many_splits_path(spark, tmpdir_path, monkeypatch):
-    import sparkclust.operators.rowindex as R
-
+def test_file_position_many_files(spark, tmpdir_path):
     d = os.path.join(tmpdir_path, "many")
     for f in range(6):
         write_text(f"{d}/f{f}.txt", [f"{f * 10 + i} {i}" for i in range(10)])
-    monkeypatch.setattr(R, "MAX_BROADCAST_SPLITS", 0)
     rows = read_lines(spark, d).collect()
     assert sorted((r["line_no"], r["line"].split(" ")[0]) for r in rows) == [(i, str(i)) for i in range(60)]
 

@@ -5,7 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 import sparkclust.functions.vector as V
-from sparkclust.operators.update import _nearest_np
+from sparkclust.operators.update import Chunk, nearest
 
 small_ints = st.integers(min_value=-3, max_value=3)
 
@@ -43,4 +43,7 @@ def test_nearest_paths_agree(spark, d, k, data):
         V.MAX_UNROLLED_VALUES = old
     assert unrolled == want
     assert lam == want
-    assert list(_nearest_np(np.array(pts), np.array(cen))) == want
+    assert list(nearest(Chunk(n, 0, dense=np.array(pts)), np.array(cen))) == want
+    where, idx = np.nonzero(np.array(pts))
+    sparse = Chunk(n, 0, where=where, idx=idx, val=np.array(pts)[where, idx])
+    assert list(nearest(sparse, np.array(cen))) == want

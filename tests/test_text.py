@@ -2,7 +2,7 @@ import numpy as np
 from conftest import SF_SMALL
 from pyspark.sql import functions as F
 
-from sparkclust.functions.text import bigram_buckets, bucket_counts_numpy, char_bigrams, row_string, row_text, utf16_units
+from sparkclust.functions.text import bucket_counts_numpy, chars_to_bigrams, row_string, row_text, text_chars, units_to_buckets, utf16_units
 from sparkclust.plans.featurize import featurize_text, hashed_tf_dense, hashed_tf_long
 
 
@@ -26,7 +26,7 @@ def reference_buckets(text: str) -> list[int]:
 
 def test_texts_fixture(spark):
     df = spark.createDataFrame([(0, "hello world"), (1, ""), (2, None), (3, "a\U0001F600b")], "id long, t string")
-    rows = df.select("id", row_text(F.col("t")).alias("r"), bigram_buckets(row_text(F.col("t"))).alias("b")).orderBy("id").collect()
+    rows = df.select("id", row_text(F.col("t")).alias("r"), units_to_buckets(utf16_units(row_text(F.col("t")))).alias("b")).orderBy("id").collect()
     assert [r["r"] for r in rows] == ["[hello world]", "[]", "[null]", "[a\U0001F600b]"]
     for r in rows:
         assert r["b"] == reference_buckets(r["r"])
@@ -38,7 +38,7 @@ def test_texts_fixture(spark):
 
 def test_unbracketed_edge_cases(spark):
     df = spark.createDataFrame([(0, "h"), (1, ""), (2, "ab")], "id long, t string")
-    got = {r["id"]: r["b"] for r in df.select("id", bigram_buckets(F.col("t")).alias("b")).collect()}
+    got = {r["id"]: r["b"] for r in df.select("id", units_to_buckets(utf16_units(F.col("t"))).alias("b")).collect()}
     assert got == {0: [104], 1: [], 2: [(31 * 97 + 98) % 1000]}
     units = df.select(utf16_units(F.lit("a\U0001F600")).alias("u")).first()["u"]
     assert units == [97, 0xD83D, 0xDE00]
@@ -46,7 +46,7 @@ def test_unbracketed_edge_cases(spark):
 
 def test_char_bigrams_and_row_string(spark):
     df = spark.createDataFrame([(1, "abc", None)], "id long, t string, l string")
-    r = df.select(char_bigrams(F.col("t")).alias("g"), row_string(F.lit(0), F.col("id"), F.col("l"), F.col("t"), F.lit(0)).alias("s")).first()
+    r = df.select(chars_to_bigrams(text_chars(F.col("t"))).alias("g"), row_string(F.lit(0), F.col("id"), F.col("l"), F.col("t"), F.lit(0)).alias("s")).first()
     assert r["g"] == ["ab", "bc"]
     assert r["s"] == "[0,1,null,abc,0]"
 
