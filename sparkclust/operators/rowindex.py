@@ -102,6 +102,10 @@ def with_row_index(df: DataFrame, order_by, out: str = "row_idx", num_partitions
     return joined.withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("long")).drop("_pid", "_rn", "_off", "_tie")
 
 
+# Splits (a path and three numbers each) whose offsets may be broadcast.
+MAX_BROADCAST_SPLITS = 200_000
+
+
 def with_file_position(df: DataFrame, out: str = "row_idx") -> DataFrame:
     """Append the 0-based position of each row in file order (a file-backed DataFrame).
 
@@ -116,8 +120,9 @@ def with_file_position(df: DataFrame, out: str = "row_idx") -> DataFrame:
         F.monotonically_increasing_id().alias("_mid"),
     )
     splits = raw.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-    # a few numbers per split; Spark broadcasts them while their size allows
     offsets = running_offsets(splits, ["_file", "_block"], "_n", "_off").select("_file", "_block", "_off", "_first")
+    if offsets.count() <= MAX_BROADCAST_SPLITS:  # rows stay in their scan order; beyond it Spark shuffles
+        offsets = F.broadcast(offsets)
     joined = raw.join(offsets, ["_file", "_block"])
     pos = (F.col("_off") + F.col("_mid") - F.col("_first")).cast("long")
     return joined.withColumn(out, pos).drop("_file", "_block", "_mid", "_off", "_first")

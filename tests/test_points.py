@@ -140,7 +140,11 @@ def test_first_rows_matches_order_limit(spark):
     assert first_rows(df.where("k > 100"), 3, "k").count() == 0
 
 
-def test_file_position_many_files(spark, tmpdir_path):
+@pytest.mark.parametrize("bound", [0, 200_000])
+def test_file_position_many_files(spark, tmpdir_path, monkeypatch, bound):
+    import sparkclust.operators.rowindex as R
+
+    monkeypatch.setattr(R, "MAX_BROADCAST_SPLITS", bound)
     d = os.path.join(tmpdir_path, "many")
     for f in range(6):
         write_text(f"{d}/f{f}.txt", [f"{f * 10 + i} {i}" for i in range(10)])
