@@ -18,13 +18,16 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from pyspark.sql import functions as F  # noqa: E402
 
+from sparkclust.job import run as run_job  # noqa: E402
 from sparkclust.operators.assign import predict  # noqa: E402
+from sparkclust.operators.rowindex import with_row_index  # noqa: E402
 from sparkclust.plans.featurize import hashed_tf_dense, hashed_tf_long, hashed_tf_sparse  # noqa: E402
 from sparkclust.plans.kmeans import fit  # noqa: E402
 from sparkclust.plans.report import label_documents  # noqa: E402
-from sparkclust.session import ensure_parallelism, local_session  # noqa: E402
+from sparkclust.session import ensure_parallelism, local_session, scratch_path  # noqa: E402
+from sparkclust.sinks.text import feature_lines, write_lines  # noqa: E402
 from sparkclust.sources.documents import documents_from_table  # noqa: E402
-from sparkclust.sources.points import points_from_array, points_from_columns  # noqa: E402
+from sparkclust.sources.points import points_from_array, points_from_columns, read_points  # noqa: E402
 from sparkclust.workloads import order_points, table  # noqa: E402
 
 K, ITERS = 7, 20
@@ -90,14 +93,30 @@ def main() -> None:
 
     def text_kmeans():
         d = ensure_parallelism(table(spark, sf_dir, "documents"))
-        run = fit(hashed_tf_dense(d, "doc_id", "text"), K, max_iter=ITERS)
+        run = fit(hashed_tf_sparse(d, "doc_id", "text"), K, max_iter=ITERS)
         shared["text_centers"] = run.centers
         run.release()
 
-    def text_kmeans_sparse():
+    def text_kmeans_dense():
         d = ensure_parallelism(table(spark, sf_dir, "documents"))
-        run = fit(hashed_tf_sparse(d, "doc_id", "text"), K, max_iter=ITERS)
-        run.release()
+        fit(hashed_tf_dense(d, "doc_id", "text"), K, max_iter=ITERS).release()
+
+    def row_index():
+        with_row_index(table(spark, sf_dir, "orders"), "o_orderkey").agg(F.max("row_idx"), F.sum("o_totalprice")).collect()
+
+    def point_parse():
+        path = scratch_path(spark, "bench-points")
+        o = table(spark, sf_dir, "orders")
+        write_lines(o.select(F.concat_ws(" ", "o_orderkey", "o_totalprice", "o_custkey").alias("line")), path)
+        shared["points"] = path
+        read_points(spark, path).points.agg(F.max("id"), F.sum(F.col("features")[0])).collect()
+
+    def feature_sink():
+        d = ensure_parallelism(table(spark, sf_dir, "documents"))
+        write_lines(feature_lines(hashed_tf_dense(d, "doc_id", "text")), scratch_path(spark, "bench-features"))
+
+    def job_train():
+        run_job(spark, ["par_train", shared["points"], scratch_path(spark, "bench-job"), str(K), "0.0001", "5"])
 
     def predict_orders():
         if "orders_centers" not in shared:
@@ -115,9 +134,13 @@ def main() -> None:
     timed("featurize_long_sql", featurize_long_sql)
     timed("featurize_long_arrow", featurize_long_arrow)
     timed("text_kmeans_k7_t20", text_kmeans)
-    timed("text_kmeans_sparse_k7_t20", text_kmeans_sparse)
+    timed("text_kmeans_dense_k7_t20", text_kmeans_dense)
     timed("predict_orders", predict_orders)
     timed("label_documents", label_docs)
+    timed("row_index_orders", row_index)
+    timed("point_parse_orders", point_parse)
+    timed("feature_sink", feature_sink)
+    timed("job_par_train_t5", job_train)
 
     m = re.search(r"sf([0-9.]+)$", sf_dir)
     out = {
