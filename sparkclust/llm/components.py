@@ -2,7 +2,8 @@
 
 Each round points every node to the smallest node it has met; rounds repeat until nothing
 changes (about the logarithm of a component's diameter). The smallest neighbour is a
-partial aggregate, so a node with very many edges costs no single task more than its share.
+partial aggregate, and the edges of a node are salted before they are joined with it, so a node
+with very many edges costs no single task more than its share.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 from .common import materialize
 
+SALTS = 16
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(node, label) for every node of ``edges`` (a, b): label is the component's smallest node."""
@@ -21,8 +24,11 @@ def components(edges: DataFrame) -> DataFrame:
         # large star: neighbours above a node go to the smallest node around it
         both = pairs.union(pairs.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("m"))
-        least = least.select("_u", F.least("_u", "m").alias("m"))
-        large = both.join(least, F.col("u") == F.col("_u")).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        # a centre may have very many edges: its row is dealt out to SALTS parts of them
+        salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+        least = least.select("_u", F.least("_u", "m").alias("m"), salts)
+        up = both.where("v > u").withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
+        large = up.join(least, (F.col("u") == F.col("_u")) & (F.col("salt") == F.col("_salt"))).select(F.col("v").alias("u"), F.col("m").alias("v"))
         # small star: a node and its smaller neighbours go to the smallest of them
         low = large.groupBy(F.col("u").alias("_u")).agg(F.min("v").alias("m"))
         small = large.join(low, F.col("u") == F.col("_u")).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
