@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ..operators.rowindex import range_column
 from ..session import scratch_path
 from .common import materialize, table
-from .encoding import batches, encoder, text_bytes
+from .encoding import encoder, text_bytes, text_slices
 
 MAGIC = b"BPLANE1\n"
 _FOOTER = "<BIQQQQ"  # plane kind, block_ids, blocks, documents, table bytes, index bytes
@@ -177,7 +177,7 @@ def write_files(docs: DataFrame, path: str, vocab: str, end_id: int = 0, kind: i
             fs.move(out[2], out[3])
             done.append((current, out[3].rsplit("/", 1)[1], sum(map(len, out[0].doc_ids)), out[0].n_ids))
 
-        for frame in frames:
+        for frame in text_slices(frames, "text"):
             files = frame.column("file").to_numpy(zero_copy_only=False)
             ids, texts = frame.column("id"), text_bytes(frame.column("text"))
             nulls = ids.is_null().to_numpy(zero_copy_only=False)
@@ -194,10 +194,8 @@ def write_files(docs: DataFrame, path: str, vocab: str, end_id: int = 0, kind: i
                     tmp = f"{name}.{uuid.uuid4().hex}.tmp"
                     sink = fs.open_output_stream(tmp)
                     out = (Writer(sink, kind, block_ids), sink, tmp, name)
-                for a, b in batches(texts[a0:b0]):
-                    flat, counts = enc.encode(texts[a0 + a : a0 + b])
-                    ends = np.cumsum(counts)
-                    out[0].append(np.insert(flat, ends, end_id).astype(np.uint32), ids[a0 + a : a0 + b], nulls[a0 + a : a0 + b], counts + 1)
+                flat, counts = enc.encode(texts[a0:b0])
+                out[0].append(np.insert(flat, np.cumsum(counts), end_id).astype(np.uint32), ids[a0:b0], nulls[a0:b0], counts + 1)
         if out:
             finish()
         cols = list(zip(*done)) or [[], [], [], []]

@@ -3,8 +3,8 @@
 Texts are cut before single spaces and around single line feeds that stand
 between characters that aren't white space. The pre-tokenizers of both
 vocabularies cut there too, so encoding piece by piece gives the ids of the
-whole text. The pieces of a batch are grouped by a hash, confirmed byte by
-byte, and only pieces not met before go to the tokenizers library.
+whole text. Pieces are told apart by two independent 64-bit hashes (together
+128 bits), and only pieces not met before go to the tokenizers library.
 """
 
 from __future__ import annotations
@@ -17,22 +17,24 @@ from types import ModuleType
 import numpy as np
 import pandas as pd
 
-#: Pieces remembered between batches. A memory bound only: the memory is emptied and filled anew.
-MAX_PIECES = 1_000_000
+#: Pieces remembered between batches, about 50 bytes each. A memory bound only: the memory is emptied and filled anew.
+MAX_PIECES = 2_000_000
 #: Bytes of text worked on at once (a longer text is worked on alone).
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 
 
-def batches(texts, limit: int = BATCH_BYTES):
-    """Cut a list of byte strings into (first, last) stretches of about ``limit`` bytes."""
-    first, held = 0, 0
-    for i, t in enumerate(texts):
-        if held and held + len(t) > limit:
-            yield first, i
-            first, held = i, 0
-        held += len(t)
-    if first < len(texts):
-        yield first, len(texts)
+def text_slices(frames, column: str, limit: int = BATCH_BYTES):
+    """Cut Arrow batches into slices of about ``limit`` bytes of text (a longer text is a slice of its own)."""
+    import pyarrow.compute as pc
+
+    for f in frames:
+        upto = np.cumsum(pc.binary_length(f.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+        a = 0
+        while a < f.num_rows:
+            before = int(upto[a - 1]) if a else 0
+            b = max(a + 1, int(np.searchsorted(upto, before + limit, "right")))
+            yield f.slice(a, b - a)
+            a = b
 
 
 def piece_starts(buf: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
@@ -67,7 +69,7 @@ class Encoder:
 
         self.tok = Tokenizer.from_file(path)
         self.max_pieces = max_pieces
-        self.weights = np.random.default_rng(7).integers(0, 2**63, 4096, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        self._draw(4096)
         self.model = self.tok.model
         norm = self.tok.normalizer
         self.lower = norm is not None and norm.normalize_str("AbZ") == "abz"
@@ -76,12 +78,24 @@ class Encoder:
         self.marks = {m: self.tok.encode(m, add_special_tokens=False).ids for m in ".,"}
         self._clear()
 
+    def _draw(self, n: int):
+        """Fixed odd multipliers for the characters of a piece, for two hashes."""
+        self.weights = [np.random.default_rng(seed).integers(0, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for seed in (7, 8)]
+
     def _clear(self):
-        self.known: dict[bytes, int] = {}
+        # pieces met: their hashes in order of the first, and the row that holds their ids
+        self.h1, self.h2, self.row = np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int32)
         self.ids = np.empty(1 << 20, np.uint32)
-        self.first = np.empty(1 << 18, np.int64)
+        self.first = np.empty(1 << 18, np.int32)
         self.count = np.empty(1 << 18, np.int32)
-        self.used = 0
+        self.used, self.rows = 0, 0
+
+    def _find(self, h1: np.ndarray, h2: np.ndarray) -> np.ndarray:
+        """The row of each piece, -1 if it wasn't met."""
+        if not len(self.h1):
+            return np.full(len(h1), -1)
+        at = np.minimum(np.searchsorted(self.h1, h1), len(self.h1) - 1)
+        return np.where((self.h1[at] == h1) & (self.h2[at] == h2), self.row[at], -1)
 
     def _plan(self):
         """How a lone word reaches the model: its space as a byte, or dropped; None if neither holds."""
@@ -103,19 +117,17 @@ class Encoder:
             word = word.encode().decode("latin-1").translate(_BYTE_CHARS)
         return [t.id for t in self.model.tokenize(space + word if piece[0] == " " else word)]
 
-    def _learn(self, new: list[bytes]):
+    def _learn(self, new: list[str], bases: list[int]) -> int:
+        """Encode pieces not met before; ``bases`` holds the rows of pieces less their last mark (-1: not met)."""
         encoded: list = [None] * len(new)
         slow = []
         fresh: dict[str, list[int]] = {}
-        for i, b in enumerate(new):
-            piece = b.decode()
+        for i, (piece, known) in enumerate(zip(new, bases)):
             tail = piece[-1] if len(piece) > 2 and piece[-1] in self.marks else ""
             base = piece[:-1] if tail else piece
             got = fresh.get(base)
-            if got is None and tail:
-                row = self.known.get(base.encode())
-                if row is not None:
-                    got = self.ids[self.first[row] : self.first[row] + self.count[row]].tolist()
+            if got is None and tail and known >= 0:
+                got = self.ids[self.first[known] : self.first[known] + self.count[known]].tolist()
             if got is None and self.space is not None:
                 got = self._word(self.space, base)
             if got is None or (tail and not base[1:].isalpha()):
@@ -124,10 +136,10 @@ class Encoder:
             fresh[base] = got
             encoded[i] = got + self.marks[tail] if tail else got
         if slow:
-            for i, e in zip(slow, self.tok.encode_batch_fast([new[i].decode() for i in slow], add_special_tokens=False)):
+            for i, e in zip(slow, self.tok.encode_batch_fast([new[i] for i in slow], add_special_tokens=False)):
                 encoded[i] = e.ids
         lens = np.fromiter(map(len, encoded), np.int32, len(encoded))
-        total, n0 = int(lens.sum()), len(self.known)
+        total, n0 = int(lens.sum()), self.rows
         while self.used + total > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         while n0 + len(new) > len(self.first):
@@ -137,7 +149,8 @@ class Encoder:
         self.first[n0 : n0 + len(new)] = self.used + np.cumsum(lens) - lens
         self.count[n0 : n0 + len(new)] = lens
         self.used += total
-        self.known.update(zip(new, range(n0, n0 + len(new))))
+        self.rows += len(new)
+        return n0
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts, and the number of ids of each text."""
@@ -150,31 +163,39 @@ class Encoder:
         starts = piece_starts(buf, text_starts[lens > 0])
         size = np.diff(np.append(starts, len(buf)))
         longest = int(size.max())
-        if longest > len(self.weights):
-            self.weights = np.random.default_rng(7).integers(0, 2**63, longest, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        if longest > len(self.weights[0]):
+            self._draw(longest)
+            self._clear()  # the first multipliers stay, but their number shapes the draw
         place = np.arange(len(buf), dtype=np.int32) - np.repeat(starts.astype(np.int32), size)
-        h = np.add.reduceat((buf.astype(np.uint64) + np.uint64(1)) * self.weights[place], starts)
-        group, uniques = pd.factorize(h)
+        letters = buf.astype(np.uint64) + np.uint64(1)
+        h1, h2 = (np.add.reduceat(letters * w[place], starts) for w in self.weights)
+        group, uniques = pd.factorize(h1)
         rep = np.empty(len(uniques), np.int64)
         rep[group[::-1]] = np.arange(len(group) - 1, -1, -1)
-        # pieces of a group must equal its first piece; the (very rare) others form groups of their own
-        same_len = size == size[rep[group]]
-        twin = np.minimum(np.repeat(starts[rep[group]], size) + place, len(buf) - 1)
-        odd = np.flatnonzero(~same_len | (np.add.reduceat((buf[twin] != buf).astype(np.int32), starts) > 0))
+        odd = np.flatnonzero(h2 != h2[rep[group]])  # two pieces of one first hash
         if len(odd):
             group[odd] = len(rep) + np.arange(len(odd))
             rep = np.concatenate([rep, odd])
-        keys = [data[a:b] for a, b in zip(starts[rep].tolist(), (starts[rep] + size[rep]).tolist())]
-        if len(self.known) > self.max_pieces:
+        if self.rows > self.max_pieces:
             self._clear()
-        known = self.known
-        new = list({k: None for k in keys if k not in known})
-        if new:
-            self._learn(new)
-        row = np.fromiter(map(self.known.__getitem__, keys), np.int64, len(keys))[group]
+        found = self._find(h1[rep], h2[rep])
+        new = np.flatnonzero(found < 0)
+        if len(new):
+            r = rep[new]
+            begin, last = starts[r], starts[r] + size[r] - 1
+            # the hash of a piece less its last character is a subtraction away
+            less = (h[r] - letters[last] * w[size[r] - 1] for h, w in zip((h1, h2), self.weights))
+            bases = self._find(*less)
+            n0 = self._learn([data[a : b + 1].decode("utf-8") for a, b in zip(begin.tolist(), last.tolist())], bases.tolist())
+            found[new] = n0 + np.arange(len(new))
+            order = np.argsort(h1[r])
+            at = np.searchsorted(self.h1, h1[r][order])
+            self.h1, self.h2 = np.insert(self.h1, at, h1[r][order]), np.insert(self.h2, at, h2[r][order])
+            self.row = np.insert(self.row, at, found[new][order].astype(np.int32))
+        row = found[group]
         n_ids = self.count[row].astype(np.int64)
         ends = np.cumsum(n_ids)
-        flat = self.ids[np.repeat(self.first[row] - (ends - n_ids), n_ids) + np.arange(int(ends[-1]))]
+        flat = self.ids[np.repeat(self.first[row].astype(np.int64) - (ends - n_ids), n_ids) + np.arange(int(ends[-1]))]
         # ids per text: pieces never span texts
         upto = np.concatenate([[0], ends])
         first_piece = np.searchsorted(starts, text_starts)

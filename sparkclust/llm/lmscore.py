@@ -25,9 +25,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, table
+from .encoding import text_slices
 
 ORDER, MARK = 4, "\x02"
-STRETCH = 4_000_000
+STRETCH = 2_000_000
 #: 4-grams whose two log-probabilities (24 bytes with the key) may be broadcast.
 MAX_BROADCAST = 4_000_000
 #: Label rows (a few bytes each) that may be broadcast to flag the targets.
@@ -69,7 +70,7 @@ def count_grams(docs: DataFrame, is_target: Column, text_col: str = "text") -> D
     def run(frames):
         import pyarrow as pa
 
-        for f in frames:
+        for f in text_slices(frames, "text"):
             texts, target = [t or "" for t in f.column("text").to_pylist()], f.column("target").to_numpy(zero_copy_only=False)
             for a, b in _stretches(texts):
                 codes, at, lens = gram_codes(texts[a:b])
@@ -147,7 +148,7 @@ def score_documents(docs: DataFrame, is_target: Column, id_col: str = "doc_id",
             import pyarrow as pa
 
             keys, lt, lb = shared.value
-            for f in frames:
+            for f in text_slices(frames, "text"):
                 texts = [t or "" for t in f.column("text").to_pylist()]
                 n, sums = np.zeros(len(texts), np.int64), np.zeros((2, len(texts)))
                 for a, b in _stretches(texts):
@@ -170,7 +171,7 @@ def score_documents(docs: DataFrame, is_target: Column, id_col: str = "doc_id",
         def spread(frames):
             import pyarrow as pa
 
-            for f in frames:
+            for f in text_slices(frames, "text"):
                 texts, uid = [t or "" for t in f.column("text").to_pylist()], f.column("uid").to_numpy(zero_copy_only=False)
                 for a, b in _stretches(texts):
                     codes, _, lens = gram_codes(texts[a:b])

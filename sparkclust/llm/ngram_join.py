@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, stream_groups, table
 from .components import components
-from .encoding import batches, text_bytes
+from .encoding import text_bytes, text_slices
 
 N, THRESHOLD = 5, (4, 5)
 TREES, DEPTH, TARGET = 24, 7, 0.9995
@@ -124,19 +124,19 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(frames):
         import pyarrow as pa
 
-        for f in frames:
+        for f in text_slices(frames, "text"):
             texts = text_bytes(f.column("text"))
-            for a, b in batches(texts):
-                h, n = shingle_sets(texts[a:b])
+            if texts:
+                h, n = shingle_sets(texts)
                 sig = signatures(h, n, TREES * DEPTH)
                 cut = np.concatenate([[0], np.cumsum(n)])
                 run_sum = np.concatenate([[np.uint64(0)], np.cumsum(h, dtype=np.uint64)])
                 run_sq = np.concatenate([[np.uint64(0)], np.cumsum(_mix(h + np.uint64(1)), dtype=np.uint64)])
                 c1, c2 = (run_sum[cut[1:]] - run_sum[cut[:-1]]).view(np.int64), (run_sq[cut[1:]] - run_sq[cut[:-1]]).view(np.int64)
-                packed = np.full(b - a, None, object)
+                packed = np.full(len(texts), None, object)
                 packed[n > 0] = [s.tobytes() for s in sig]
                 yield pa.RecordBatch.from_arrays(
-                    [f.column("id").slice(a, b - a), f.column("th").slice(a, b - a), pa.array(c1), pa.array(c2), pa.array(n, pa.int32()), pa.array(packed, pa.binary())],
+                    [f.column("id"), f.column("th"), pa.array(c1), pa.array(c2), pa.array(n, pa.int32()), pa.array(packed, pa.binary())],
                     ["id", "th", "c1", "c2", "n", "sig"],
                 )
 
@@ -237,13 +237,11 @@ def _verify(docs: DataFrame, reps: DataFrame, comp: DataFrame, depth: int, id_co
     def to_sets(frames):
         import pyarrow as pa
 
-        for f in frames:
-            words = text_bytes(f.column("text"))
-            for a, b in batches(words):
-                h, n = shingle_sets(words[a:b])
-                cut = np.concatenate([[0], np.cumsum(n)])
-                sets = pa.array([h[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary())
-                yield pa.RecordBatch.from_arrays([*[f.column(c).slice(a, b - a) for c in ("label", "m", "uid", "copies")], sets], ["label", "m", "uid", "copies", "shingles"])
+        for f in text_slices(frames, "text"):
+            h, n = shingle_sets(text_bytes(f.column("text")))
+            cut = np.concatenate([[0], np.cumsum(n)])
+            sets = pa.array([h[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary())
+            yield pa.RecordBatch.from_arrays([*[f.column(c) for c in ("label", "m", "uid", "copies")], sets], ["label", "m", "uid", "copies", "shingles"])
 
     sets = picked.mapInArrow(to_sets, "label long, m long, uid long, copies long, shingles binary")
     n_blocks = F.ceil(F.col("m") / VERIFY_BLOCK).cast("int")

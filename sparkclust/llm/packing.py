@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import bucket_bits, materialize, rank_in_group, table
-from .encoding import batches, encoder, text_bytes
+from .encoding import encoder, text_bytes, text_slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -40,21 +40,21 @@ def cut_pieces(docs: DataFrame, vocab: str, capacity: int = 2048, end_id: int =
         import pyarrow as pa
 
         enc = encoder(vocab)
-        for frame in frames:
-            ids, texts = frame.column(0), text_bytes(frame.column(1))
-            for a, b in batches(texts):
-                flat, counts = enc.encode(texts[a:b])
+        for frame in text_slices(frames, "text"):
+            ids, texts = frame.column("doc_id"), text_bytes(frame.column("text"))
+            if texts:
+                flat, counts = enc.encode(texts)
                 flat = np.insert(flat, np.cumsum(counts), end_id).astype("<u4")
                 counts = counts + 1
                 per_doc = -(-counts // capacity)
-                doc = np.repeat(np.arange(b - a), per_doc)
+                doc = np.repeat(np.arange(len(texts)), per_doc)
                 piece = np.arange(len(doc)) - np.repeat(np.cumsum(per_doc) - per_doc, per_doc)
                 start = piece * capacity
                 length = np.minimum(capacity, counts[doc] - start)
                 at = (np.cumsum(counts) - counts)[doc] + start
                 parts = [flat[x : x + n] for x, n in zip(at.tolist(), length.tolist())]
                 cols = [
-                    ids.slice(a, b - a).take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
+                    ids.take(pa.array(doc)), pa.array(piece, pa.int32()), pa.array(start, pa.int64()),
                     pa.array(length, pa.int64()), pa.array([zlib.crc32(p) for p in parts], pa.int64()),
                 ]
                 names = ["doc_id", "piece", "start", "length", "ids_crc32"]

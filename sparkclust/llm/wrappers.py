@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, table
+from .encoding import text_slices
 
 # Elements of HTML by their role here.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
@@ -321,7 +322,7 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
             w = [json.dumps([x.pages, x.nodes]) for x in hosts.values()]
             return pa.RecordBatch.from_arrays([pa.array(list(hosts), pa.string()), pa.array(w, pa.string())], ["host", "wrapper"])
 
-        for f in frames:
+        for f in text_slices(frames, "html"):
             for host, page in zip(f.column("host").to_pylist(), f.column("html").to_pylist()):
                 hosts.setdefault(host, Wrapper()).align(*reader.blocks(page or ""), reader.paths)
                 if len(hosts) > MAX_HOSTS or len(reader.paths) > 500_000:
@@ -364,7 +365,7 @@ def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_
         import pyarrow as pa
 
         reader, known = Pages(), {}
-        for f in frames:
+        for f in text_slices(frames, "html"):
             out = []
             for page, rule in zip(f.column("html").to_pylist(), f.column("rules").to_pylist()):
                 if len(reader.paths) > 500_000:
