@@ -11,11 +11,12 @@ Because a kind of child stands once, aligning is a lookup for each token, and wr
 a host merge the same way. Each task folds the pages it reads into one wrapper per host, so a host
 of any size costs a few kilobytes per task, merged in two steps.
 
-The wrapper then rules what to extract from every page of the host: the article or main element;
-where the host has none, the element whose slots hold most text outside links. Menus, headers,
+The wrapper then rules what to extract from every page of the host: the article or main element, whole;
+where the host has none, the lowest element around all slots that hold text outside links. Menus, headers,
 footers, sidebars, notices, adverts, forms and comments are known by element, role, class and id.
-Template texts (the same on all of at least ``min_pages`` pages) inside the article go too, provided the host
-has slots at all, so that a host of identical pages keeps its text.
+Beside the slots of such a region, boxes of template texts (the same on at least ``min_pages`` different pages
+and on more than half of them) and of links go; texts in a box with a slot, headings and paragraphs stay.
+Copies of a page count once, so a host of identical pages has no slots between pages and keeps its text.
 
 Blocks are the texts between block-level tags. Character references are decoded, white space
 inside a block becomes one space, blocks are joined by one line feed.
@@ -206,7 +207,7 @@ class Pages:
 
 
 class Wrapper:
-    """Content models of a host: path -> [pages with it, repeated, pages with text, text or slot, characters, link characters, level, dropped]."""
+    """Content models of a host: path -> [pages with it, repeated, pages with text, text or slot, characters, link characters, level, dropped, texts of a page or slot]."""
 
     def __init__(self, pages: int = 0, nodes: dict | None = None):
         self.pages, self.nodes = pages, nodes or {}
@@ -218,20 +219,24 @@ class Wrapper:
         for p in opened:
             times[p] = times.get(p, 0) + 1
         for p, n in times.items():
-            node = self.nodes.setdefault(paths[p], [0, 0, 0, None, 0, 0, NORMAL, 0])
+            node = self.nodes.setdefault(paths[p], [0, 0, 0, None, 0, 0, NORMAL, 0, None])
             node[0] += 1
             if n > 1:
                 node[1] = 1
         texts: dict[int, list] = {}
         for p, text, links, dropped, level in blocks:
-            t = texts.setdefault(p, [zlib.crc32(text.encode("utf-8", "replace")), 0, 0, level, dropped])
-            if t[1] and t[0] != zlib.crc32(text.encode("utf-8", "replace")):
+            raw = text.encode("utf-8", "replace")
+            crc = zlib.crc32(raw)
+            t = texts.setdefault(p, [crc, 0, 0, level, dropped, 0])
+            if t[0] != crc:
                 t[0] = -1
             t[1] += len(text)
             t[2] += links
-        for p, (crc, chars, links, level, dropped) in texts.items():
-            node = self.nodes.setdefault(paths[p], [self.pages, 0, 0, None, 0, 0, NORMAL, 0])
+            t[5] = zlib.crc32(raw + b"\n", t[5])
+        for p, (crc, chars, links, level, dropped, whole) in texts.items():
+            node = self.nodes.setdefault(paths[p], [self.pages, 0, 0, None, 0, 0, NORMAL, 0, None])
             node[3] = crc if not node[2] or node[3] == crc else -1
+            node[8] = whole if not node[2] or node[8] == whole else -1
             node[2] += 1
             node[4] += chars
             node[5] += links
@@ -246,6 +251,7 @@ class Wrapper:
                 continue
             if o[2]:
                 node[3] = o[3] if not node[2] or node[3] == o[3] else -1
+                node[8] = o[8] if not node[2] or node[8] == o[8] else -1
                 node[6], node[7] = o[6], o[7]
             node[0] += o[0]
             node[1] |= o[1]
@@ -271,32 +277,38 @@ class Wrapper:
         return "".join(show(c, self.pages) for c in children.get("", [])).strip()
 
     def rules(self, min_pages: int = 5) -> dict:
-        """What to extract on this host: template paths to skip, and a region where no element names the article."""
+        """Where no element names the article: the region around the host's slots, and the paths in it to skip."""
         kept = {p: n for p, n in self.nodes.items() if n[2] and not n[7]}
-        slots = any(n[3] == -1 for n in kept.values())
-        skip = [p for p, n in kept.items() if slots and n[3] != -1 and n[2] >= min_pages and 2 * n[2] > self.pages and not n[1]]
+        story = [p for p, n in kept.items() if n[3] == -1 and n[4] > 2 * n[5]]
+        # slots that differ between pages count before those that differ only inside a page
+        story = [p for p in story if kept[p][8] == -1] or story
         level = max((n[6] for n in kept.values()), default=NORMAL)
-        region = None
-        if level == NORMAL:
-            held: dict[str, int] = {}
+        region, skip = None, []
+        if level == NORMAL and story:
+            boxes = [p.split("/")[:-1] for p in story]
+            n_same = next((k for k, names in enumerate(zip(*boxes)) if len(set(names)) > 1), min(map(len, boxes)))
+            region = "/".join(boxes[0][:n_same])
+            around = {"/".join(p.split("/")[: n_same + 1]) for p in story}
             for p, n in kept.items():
-                if n[3] == -1:
-                    box = p.rpartition("/")[0]
-                    held[box] = held.get(box, 0) + max(0, n[4] - 2 * n[5])
-            if held:
-                region = max(sorted(held), key=held.get)
+                if not (p + "/").startswith(region + "/") or p == region:
+                    continue
+                box = "/".join(p.split("/")[: n_same + 1])
+                links = 2 * n[5] >= n[4]
+                same = n[8] != -1 and n[2] >= min_pages and 2 * n[2] > self.pages
+                boxed = p != box or re.match("[^.]*", box.rpartition("/")[2])[0] in CONTAINER
+                if box not in around and (links or (same and boxed)):
+                    skip.append(p)
         return {"skip": skip, "level": level, "region": region}
 
 
 def page_text(blocks: list[tuple], paths: list[str], rules: dict) -> str:
-    skip = set(rules.get("skip", ()))
-    live = [b for b in blocks if not b[3] and (not skip or paths[b[0]] not in skip)]
+    live = [b for b in blocks if not b[3]]
     top = max((b[4] for b in live), default=NORMAL)
     if top > NORMAL:
         picked = [b[1] for b in live if b[4] >= top]
     else:
-        region = rules.get("region")
-        picked = [b[1] for b in live if region is not None and (paths[b[0]] + "/").startswith(region + "/")]
+        region, skip = rules.get("region"), set(rules.get("skip", ()))
+        picked = [b[1] for b in live if region is not None and (paths[b[0]] + "/").startswith(region + "/") and paths[b[0]] not in skip]
         if not picked:
             picked = [b[1] for b in live if 2 * b[2] <= len(b[1])]
     return "\n".join(picked)
@@ -310,6 +322,25 @@ def host_of(url: Column) -> Column:
 MAX_HOSTS = 2000
 
 
+#: Up to this many pages with copies are marked by a broadcast of their hashes; more by a shuffle join.
+MAX_BROADCAST_COPIES = 500_000
+
+
+def distinct_pages(pages: DataFrame) -> DataFrame:
+    """``pages`` (host, html) with one row of each set of copies; only pages that have copies are shuffled."""
+    key = F.xxhash64("host", "html")
+    twice = materialize(pages.groupBy(key.alias("_key")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("_key"), "page-copies")
+    n = twice.count()
+    if not n:
+        return pages
+    if n <= MAX_BROADCAST_COPIES:
+        twice = F.broadcast(twice)
+    keyed = pages.withColumn("key", key)
+    on = F.col("key") == F.col("_key")
+    once = keyed.join(twice, on, "left_semi").dropDuplicates(["key"])
+    return keyed.join(twice, on, "left_anti").union(once).select("host", "html")
+
+
 def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = 5) -> DataFrame:
     """(host, wrapper as JSON, rules as JSON) for every host of ``pages``."""
 
@@ -330,7 +361,7 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
                     reader, hosts = Pages(), {}
         yield batch()
 
-    parts = pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html")).mapInArrow(fold, "host string, wrapper string")
+    parts = distinct_pages(pages.select(host_of(F.col(url_col)).alias("host"), F.col(html_col).alias("html"))).mapInArrow(fold, "host string, wrapper string")
 
     def merge(keyed, frame):
         import pandas as pd

@@ -77,6 +77,21 @@ def test_hosts_without_an_article_and_template_texts(spark):
     assert wrappers.extract(df.where("false")).count() == 0
 
 
+def test_no_text_of_an_article_is_a_template(spark):
+    def story(k):
+        return f"<article><h1>Title {k}</h1><h2>Summary</h2><p>Own {k}</p></article>"
+
+    quoted = "<article><h1>Hit</h1><blockquote>Quoted once.</blockquote><p>Body</p></article>"
+    rows = [(i, "http://copied.example/a", quoted if i < 9 else story(i)) for i in range(12)]
+    rows += [(100 + i, "http://four.example/", story(i)) for i in range(4)] + [(200 + i, "http://five.example/", story(i)) for i in range(5)]
+    spread = "<div class=u><p>Same.</p></div><div class=lead><p>Lead {0}</p></div><div class=k><h2>Summary</h2><p>Long story number {0}.</p></div><div class=l><a>link {0}</a></div>"
+    rows += [(300 + i, "http://spread.example/", f"<body>{spread.format(i)}</body>") for i in range(8)]
+    got = {r["page_id"]: r["text"] for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[i] for i in range(9)} == {"Hit\nQuoted once.\nBody"}
+    assert all(got[b + i] == f"Title {i}\nSummary\nOwn {i}" for b, n in ((100, 4), (200, 5)) for i in range(n))
+    assert all(got[300 + i] == f"Lead {i}\nSummary\nLong story number {i}." for i in range(8))
+
+
 def test_pages_against_their_articles(spark):
     for r in wrappers.op5_wrappers(spark, SF_SMALL).join(spark.read.parquet(f"{SF_SMALL}/pages.parquet").select("page_id", "html"), "page_id").collect():
         inner = re.search(r"<article>(.*?)(</article>|\Z)", r["html"], re.S)[1].replace("<br>", " ")
