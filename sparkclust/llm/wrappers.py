@@ -5,17 +5,20 @@ another with the host's wrapper, a union-free regular expression over that strea
 element has an ordered content model in which each kind of child (tag with class and id) stands
 once. What an alignment finds different is resolved without alternatives:
 * a child that some page lacks becomes optional,
-* a child that comes again, next to itself or later, becomes a repeated group,
+* a child that comes again becomes a repeated group, with all that stands between its places,
+* children that come in another order than before become one repeated group with all between them,
 * a text that differs between pages becomes a slot; one that never does is a template text.
-Because a kind of child stands once, aligning is a lookup for each token, and wrappers of parts of
-a host merge the same way. Each task folds the pages it reads into one wrapper per host, so a host
+Because a kind of child stands once, the longest common subsequence of a model and the children of an
+element follows from a lookup for each child, and wrappers of parts of a host merge the same way. Each task folds the pages it reads into one wrapper per host, so a host
 of any size costs a few kilobytes per task, merged in two steps.
 
 The wrapper then rules what to extract from every page of the host: the article or main element, whole;
-where the host has none, the lowest element around all slots that hold text outside links. Menus, headers,
+where the host has none, or its main element is known by name only, has no slots and holds less text than the
+slots elsewhere, the lowest element around all slots that hold text outside links. Menus, headers,
 footers, sidebars, notices, adverts, forms and comments are known by element, role, class and id.
 Beside the slots of such a region, boxes of template texts (the same on at least ``min_pages`` different pages
-and on more than half of them) and of links go; texts in a box with a slot, headings and paragraphs stay.
+and on more than half of them) that stand before the first or after the last slot in the ordered model, and boxes of
+links, go; texts in a box with a slot, headings and paragraphs stay.
 Copies of a page count once, so a host of identical pages has no slots between pages and keeps its text.
 
 Blocks are the texts between block-level tags. Character references are decoded, white space
@@ -73,7 +76,7 @@ def kind_of(tag: str, attrs: str) -> tuple[str, int]:
     """The name of an element in content models, and whether it is dropped or holds the article."""
     a = {m[1].lower(): next((v for v in m.groups()[1:] if v is not None), "") for m in _ATTR.finditer(attrs)} if attrs else {}
     names = f"{a.get('class', '')} {a.get('id', '')}".split()
-    name = ".".join([tag, *sorted({re.sub(r"\d+", "9", n) for n in names})])
+    name = ".".join([tag, *sorted({re.sub(r"\d+", "9", n).replace("/", "|") for n in names})])
     role = a.get("role", "").lower()
     if tag in DROPPED or role in DROPPED_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
         return name, DROP
@@ -206,11 +209,72 @@ class Pages:
         return blocks, opened
 
 
+def page_groups(children: list[str]) -> list[list]:
+    """The children of one element as ordered groups [names, repeated]: what lies between two places of a name is one group."""
+    last = {name: k for k, name in enumerate(children)}
+    groups, k = [], 0
+    while k < len(children):
+        end, at = last[children[k]], k
+        while at < end:
+            at += 1
+            end = max(end, last[children[at]])
+        groups.append([list(dict.fromkeys(children[k : end + 1])), end > k])
+        k = end + 1
+    return groups
+
+
+def merge_groups(model: list[list], groups: list[list]) -> list[list]:
+    """Align ``groups`` with an ordered content model; each name stands in one group of either.
+
+    Names in both in the same order match, new ones go between their neighbours, and names in another order
+    make one repeated group of all from the first to the last of them.
+    """
+    place = {name: k for k, (names, _) in enumerate(model) for name in names}
+    new: dict[int, list] = {}  # groups that come after a group of the model
+    joined = list(range(len(model)))  # the last group that is one with this
+    extra: dict[int, list] = {}
+    repeated = [r for _, r in model]
+    at = -1
+    for names, again in groups:
+        hit = [place[n] for n in names if n in place]
+        if not hit:
+            new.setdefault(at, []).append([list(names), again])
+            continue
+        low, high = min(hit), max(hit)
+        if low <= at:  # another order, or the same group again behind new names
+            high = max(high, at)
+            for more, _ in new.pop(high, []):
+                extra.setdefault(low, []).extend(more)
+                again = True
+        fresh = [n for n in names if n not in place]
+        extra.setdefault(low, []).extend(fresh)
+        joined[low] = max(joined[low], high)
+        repeated[low] |= bool(again or low < high)
+        at = max(at, high)
+    out, k = [list(g) for g in new.get(-1, [])], 0
+    while k < len(model):
+        end, names, again, j = joined[k], [], False, k
+        while j <= end:
+            end = max(end, joined[j])
+            names += [*model[j][0], *extra.get(j, [])]
+            again |= repeated[j]
+            if j < end:
+                names += [n for g, _ in new.get(j, []) for n in g]
+            j += 1
+        out += [[names, again or end > k], *new.get(end, [])]
+        k = end + 1
+    return out
+
+
 class Wrapper:
-    """Content models of a host: path -> [pages with it, repeated, pages with text, text or slot, characters, link characters, level, dropped, texts of a page or slot]."""
+    """Content models of a host: path -> [pages with it, repeated, pages with text, text or slot, characters, link characters, level, dropped, texts of a page or slot].
+
+    ``order`` has the ordered content model of every path: groups [names of children, repeated].
+    """
 
-    def __init__(self, pages: int = 0, nodes: dict | None = None):
-        self.pages, self.nodes = pages, nodes or {}
+    def __init__(self, pages: int = 0, nodes: dict | None = None, order: dict | None = None):
+        self.pages, self.nodes, self.order = pages, nodes or {}, order or {}
+        self.seen: set[tuple] = set()  # child sequences that are aligned already
 
     def align(self, blocks: list[tuple], opened: list[int], paths: list[str]):
         """Resolve one page against the wrapper."""
@@ -223,6 +287,7 @@ class Wrapper:
             node[0] += 1
             if n > 1:
                 node[1] = 1
+        self._align_children([paths[p] for p in opened])
         texts: dict[int, list] = {}
         for p, text, links, dropped, level in blocks:
             raw = text.encode("utf-8", "replace")
@@ -242,8 +307,26 @@ class Wrapper:
             node[5] += links
             node[6], node[7] = level, int(dropped)
 
+    def _align_children(self, opened: list[str]):
+        """Align the ordered children of each element of a page; ``opened`` has their paths in page order."""
+        children: dict[str, list[str]] = {}
+        ended = []
+        for path in opened:
+            box, _, name = path.rpartition("/")
+            children.setdefault(box, []).append(name)
+            if path in children:  # another element of this path begins
+                ended.append((path, children.pop(path)))
+        for path, names in [*ended, *children.items()]:
+            if (path, *names) not in self.seen:
+                if len(self.seen) >= 1000:  # a memory of what would change nothing
+                    self.seen.clear()
+                self.seen.add((path, *names))
+                self.order[path] = merge_groups(self.order.get(path, []), page_groups(names))
+
     def merge(self, other: "Wrapper"):
         self.pages += other.pages
+        for path, groups in other.order.items():
+            self.order[path] = merge_groups(self.order.get(path, []), groups)
         for path, o in other.nodes.items():
             node = self.nodes.get(path)
             if node is None:
@@ -276,6 +359,25 @@ class Wrapper:
 
         return "".join(show(c, self.pages) for c in children.get("", [])).strip()
 
+    def expression(self) -> str:
+        """Like ``regex``, with children in aligned order: what has no fixed order is one repeated group of optionals."""
+
+        def show(path: str, around: int, single: bool = True, again: bool = False) -> str:
+            n = self.nodes[path]
+            name = path.rpartition("/")[2]
+            inner = "#text " if n[3] == -1 else "#same " if n[2] else ""
+            for names, repeated in self.order.get(path, []):
+                parts = "".join(show(f"{path}/{c}", n[0], len(names) == 1, repeated) for c in names)
+                inner += parts if len(names) == 1 else f"( {parts})* "
+            group = f"<{name}> {inner}</{name}> "
+            if not single:
+                return f"({group})? "
+            if again or n[0] < around:
+                return f"({group}){'+' if again and n[0] >= around else '*' if again else '?'} "
+            return group
+
+        return "".join(show(f"/{c}", self.pages, len(names) == 1, repeated) for names, repeated in self.order.get("", []) for c in names).strip()
+
     def rules(self, min_pages: int = 5) -> dict:
         """Where no element names the article: the region around the host's slots, and the paths in it to skip."""
         kept = {p: n for p, n in self.nodes.items() if n[2] and not n[7]}
@@ -283,12 +385,19 @@ class Wrapper:
         # slots that differ between pages count before those that differ only inside a page
         story = [p for p in story if kept[p][8] == -1] or story
         level = max((n[6] for n in kept.values()), default=NORMAL)
+        if level == MAIN and not any(n[6] == MAIN and n[8] == -1 for n in kept.values()):
+            # named as the main part, but the same on all pages: the slots decide if they hold more
+            if sum(kept[p][4] for p in story if kept[p][8] == -1) > sum(n[4] for n in kept.values() if n[6] == MAIN):
+                level = NORMAL
         region, skip = None, []
         if level == NORMAL and story:
             boxes = [p.split("/")[:-1] for p in story]
             n_same = next((k for k, names in enumerate(zip(*boxes)) if len(set(names)) > 1), min(map(len, boxes)))
             region = "/".join(boxes[0][:n_same])
             around = {"/".join(p.split("/")[: n_same + 1]) for p in story}
+            # the stretch of the region's ordered children from its first slot to its last
+            place = {f"{region}/{name}": k for k, (names, _) in enumerate(self.order.get(region, [])) for name in names}
+            slots = [place[b] for b in around if b in place]
             for p, n in kept.items():
                 if not (p + "/").startswith(region + "/") or p == region:
                     continue
@@ -296,7 +405,8 @@ class Wrapper:
                 links = 2 * n[5] >= n[4]
                 same = n[8] != -1 and n[2] >= min_pages and 2 * n[2] > self.pages
                 boxed = p != box or re.match("[^.]*", box.rpartition("/")[2])[0] in CONTAINER
-                if box not in around and (links or (same and boxed)):
+                beside = not slots or not min(slots) <= place.get(box, -1) <= max(slots)
+                if box not in around and (links or (same and boxed and beside)):
                     skip.append(p)
         return {"skip": skip, "level": level, "region": region}
 
@@ -304,7 +414,7 @@ class Wrapper:
 def page_text(blocks: list[tuple], paths: list[str], rules: dict) -> str:
     live = [b for b in blocks if not b[3]]
     top = max((b[4] for b in live), default=NORMAL)
-    if top > NORMAL:
+    if top > NORMAL and (top == ARTICLE or rules.get("level") != NORMAL):
         picked = [b[1] for b in live if b[4] >= top]
     else:
         region, skip = rules.get("region"), set(rules.get("skip", ()))
@@ -350,7 +460,7 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
         reader, hosts = Pages(), {}
 
         def batch():
-            w = [json.dumps([x.pages, x.nodes]) for x in hosts.values()]
+            w = [json.dumps([x.pages, x.nodes, x.order]) for x in hosts.values()]
             return pa.RecordBatch.from_arrays([pa.array(list(hosts), pa.string()), pa.array(w, pa.string())], ["host", "wrapper"])
 
         for f in text_slices(frames, "html"):
@@ -368,9 +478,8 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
 
         whole = Wrapper()
         for w in frame["wrapper"]:
-            n, nodes = json.loads(w)
-            whole.merge(Wrapper(n, nodes))
-        return pd.DataFrame([(keyed[0], json.dumps([whole.pages, whole.nodes]), json.dumps(whole.rules(min_pages)))], columns=["host", "wrapper", "rules"])
+            whole.merge(Wrapper(*json.loads(w)))
+        return pd.DataFrame([(keyed[0], json.dumps([whole.pages, whole.nodes, whole.order]), json.dumps(whole.rules(min_pages)))], columns=["host", "wrapper", "rules"])
 
     # first within (host, 32 parts), then within the host
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(32)))

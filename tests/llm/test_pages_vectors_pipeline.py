@@ -1,6 +1,7 @@
 """HTML wrappers, exact top-k and the pipeline."""
 
 import html
+import random
 import re
 
 import numpy as np
@@ -77,6 +78,39 @@ def test_hosts_without_an_article_and_template_texts(spark):
     assert wrappers.extract(df.where("false")).count() == 0
 
 
+def test_children_are_aligned_in_order():
+    def shown(*pages):
+        one, (_, whole) = [fold([p])[1] for p in pages], fold(pages)
+        for other in one[1:]:
+            one[0].merge(other)
+        assert one[0].expression() == whole.expression()
+        return whole.expression()
+
+    assert shown("<div><h2>A</h2><p>x</div>", "<div><h2>B</h2><ul></ul><p>y<p>z</div>") == "<div> <h2> #text </h2> (<ul> </ul> )? (<p> #text </p> )+ </div>"
+    assert shown("<div><h2>A</h2><p>x<ol></ol></div>", "<div><p>x<h2>A</h2><ol></ol></div>") == "<div> ( (<h2> #same </h2> )? (<p> #same </p> )? )* <ol> </ol> </div>"
+    assert shown("<div><p>x<ul></ul><p>y</div>", "<div><p>x<ol></ol></div>") == "<div> ( (<p> #text </p> )? (<ul> </ul> )? )* (<ol> </ol> )? </div>"
+
+
+def test_merged_models_have_every_name_once():
+    rng = random.Random(1)
+    for _ in range(300):
+        model, names = [], set()
+        for _ in range(6):
+            page = [rng.choice("abcdefg") for _ in range(rng.randint(0, 6))]
+            names |= set(page)
+            model = wrappers.merge_groups(model, wrappers.page_groups(page))
+            assert sorted(n for g, _ in model for n in g) == sorted(names)
+            place = {n: k for k, (g, _) in enumerate(model) for n in g}
+            assert all(place[a] < place[b] or (place[a] == place[b] and model[place[a]][1]) for a, b in zip(page, page[1:]))
+
+
+def test_slots_decide_before_names(spark):
+    page = "<body><div class=content>Our terms.</div><div class=k><p>Long story number {0}.</p></div><div class=m><p>Break.</p></div><div class=k9><p>End {0}.</p></div><div class=z><p>Last.</p></div></body>"
+    rows = [(i, "http://h.example/", page.format(i)) for i in range(8)]
+    out = wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert {r["page_id"]: r["text"] for r in out.collect()} == {i: f"Long story number {i}.\nBreak.\nEnd {i}." for i in range(8)}
+
+
 def test_no_text_of_an_article_is_a_template(spark):
     def story(k):
         return f"<article><h1>Title {k}</h1><h2>Summary</h2><p>Own {k}</p></article>"
