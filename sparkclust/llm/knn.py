@@ -95,28 +95,32 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
         return spark.createDataFrame([], "query_id long, rank int, id long, score long")
     grouped = materialize(assign_groups(data, pivots), "knn-grouped")
 
-    # summaries: a row per group, at most `most_pivots` a width; k + 1 small distances (a query may be among them)
-    near = Window.partitionBy("width", "grp").orderBy("dist")
-    closest = grouped.select("width", "grp", "dist").withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + 1)
-    lows = {(r["width"], r["grp"]): sorted(r["d"]) for r in closest.groupBy("width", "grp").agg(F.collect_list("dist").alias("d")).collect()}
+    # summaries: a row per group, at most `most_pivots` a width; the smallest distances of k + 1 ids (the query's own may be among them)
+    near = Window.partitionBy("width", "grp").orderBy("dist", "id")
+    by_id = grouped.groupBy("width", "grp", "id").agg(F.min("dist").alias("dist"))
+    closest = by_id.withColumn("r", F.row_number().over(near)).where(F.col("r") <= k + 1)
+    lows = {(r["width"], r["grp"]): sorted(map(tuple, r["d"])) for r in closest.groupBy("width", "grp").agg(F.collect_list(F.struct("dist", "id")).alias("d")).collect()}
     stats = {
         (r["width"], r["grp"]): (r["radius"], r["n"])
         for r in grouped.groupBy("width", "grp").agg(F.max("dist").alias("radius"), F.count(F.lit(1)).alias("n")).collect()
     }
     summary = {}
     for width, p in pivots.items():
-        radius, chunks, low = np.full(len(p), -1.0), np.ones(len(p), np.int64), np.full((len(p), k + 1), np.inf)
+        radius, chunks = np.full(len(p), -1.0), np.ones(len(p), np.int64)
+        near_grp, low, owner = [], [], []
         for g in range(len(p)):
             if (width, g) in stats:
                 radius[g], n = stats[width, g]
                 chunks[g] = -(-n // chunk_rows)
-                d = lows[width, g]
-                low[g, : len(d)] = d
-        summary[width] = (p, radius, chunks, low)
+                for d, i in lows[width, g]:
+                    near_grp.append(g)
+                    low.append(d)
+                    owner.append(i)
+        summary[width] = (p, radius, chunks, np.array(near_grp, np.int64), np.array(low), np.array(owner, np.int64))
     shared = spark.sparkContext.broadcast(summary)
 
-    def chunk_of(ids, grp, chunks):
-        mixed = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
+    def chunk_of(rows, grp, chunks):
+        mixed = (rows.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
         return (mixed % chunks[grp].astype(np.uint64)).astype(np.int64)
 
     def route(frames):
@@ -128,18 +132,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
             for w in np.unique(widths).tolist():
                 at = np.flatnonzero(widths == w)
                 part = f.take(pa.array(at))
-                p, radius, chunks, low = shared.value[w]
-                ids, grp = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "grp"))
+                p, radius, chunks, near_grp, low, owner = shared.value[w]
+                ids, grp, number = (part.column(c).to_numpy(zero_copy_only=False) for c in ("id", "grp", "row"))
                 x = _matrix(part.column("v"), w)
-                out = [(np.arange(len(ids)), grp.astype(np.int64), chunk_of(ids, grp, chunks), np.zeros(len(ids), bool))]
+                out = [(np.arange(len(ids)), grp.astype(np.int64), chunk_of(number, grp, chunks), np.zeros(len(ids), bool))]
                 q = np.flatnonzero(part.column("q").to_numpy(zero_copy_only=False))
                 for a in range(0, len(q), 512):
                     rows = q[a : a + 512]
                     dot, norm = x[rows] @ p.T, np.sqrt((x[rows] ** 2).sum(1, keepdims=True))
                     slack = 1e-9 * (np.abs(dot).max() + norm.max() * max(radius.max(), 0) + 1)
-                    # the k-th best of what is certain, one place lower as the query's own row may be among it
-                    sure = (dot[:, :, None] - norm[:, :, None] * low[None]).reshape(len(rows), -1)
-                    floor = np.partition(sure, -(k + 1), axis=1)[:, -(k + 1)] if sure.shape[1] > k else np.full(len(rows), -np.inf)
+                    # the k-th best of what is certain, rows of the query's own id aside
+                    sure = np.where(owner == ids[rows][:, None], -np.inf, dot[:, near_grp] - norm * low)
+                    floor = np.partition(sure, -k, axis=1)[:, -k] if sure.shape[1] >= k else np.full(len(rows), -np.inf)
                     need = (dot + norm * radius >= floor[:, None] - slack) & (radius >= 0)
                     r, g = np.nonzero(need)
                     n = chunks[g]

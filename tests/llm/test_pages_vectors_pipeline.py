@@ -3,6 +3,7 @@
 import html
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -157,6 +158,23 @@ def test_top_k_with_ties_clusters_and_bad_vectors(spark, chunk_rows):
     assert knn.top_k(df.where("false"), F.col("vec_id") % 10 == 0).count() == 0
 
 
+@pytest.mark.parametrize("copies", [2, 20])
+def test_top_k_of_a_repeated_query(spark, copies, monkeypatch):
+    kinds = [[4.0, 0.0], [2.0, 0.0], [1.0, 0.0], [-1.0, 3.0]]
+    rows = [(0, kinds[0])] * copies + [(i, kinds[0]) for i in range(1, 9)] + [(11, kinds[1])]
+    rows += [(i, kinds[2]) for i in range(12, 20)] + [(i, kinds[3]) for i in range(20, 32)] + [(40, [0.0, 0.0])]
+    monkeypatch.setattr(knn, "pick_pivots", lambda *_: {2: 1024 * np.array(kinds)})
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = Counter(tuple(r) for r in knn.top_k(df, F.col("vec_id") % 10 == 0, chunk_rows=16).collect())
+    vec = [(i, [int(np.floor(1024 * float(c))) for c in v]) for i, v in rows]
+    want = Counter()
+    for i, q in vec:
+        if i % 10 == 0:
+            best = sorted((-sum(a * b for a, b in zip(q, x)), j) for j, x in vec if j != i)[:10]
+            want.update((i, r + 1, j, -s) for r, (s, j) in enumerate(best))
+    assert got == want
+
+
 def test_numbers_beyond_exact_floats(spark):
     rows = [(0, [3e5, 1.0]), (1, [3e5, 2.0]), (2, [3e5, 1.5])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
