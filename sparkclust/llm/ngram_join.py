@@ -23,7 +23,7 @@ Defined results
 * very long texts are read whole; equal sets (copies, repeated rows) are linked to each other.
 * the group id is the smallest id of the group; rows without an id get a negative number of their own as group id
   unless they are linked to a row with an id. An empty table gives an empty result.
-* extra columns are carried by ``keep_one_of_each``.
+* extra columns are carried by ``keep_one_of_each``, which keeps one row of each group, repeated rows and null ids included.
 """
 
 from __future__ import annotations
@@ -306,7 +306,10 @@ def _verify(docs: DataFrame, reps: DataFrame, comp: DataFrame, depth: int, id_co
 
 
 def join_groups(docs: DataFrame, target: float = TARGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: uid, id, group_id, n_links."""
+    """One row per row of ``docs``: uid, id, th (text hash), group_id, n_links, first_uid.
+
+    ``first_uid`` is the uid of the group's first row (smallest id, null ids last); null for rows without a word.
+    """
     sketch = _sketch(docs, id_col, text_col)
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "uid", "th", "sig")).alias("r")
     classes = sketch.where("n > 0").groupBy("c1", "c2", "n").agg(first, F.count(F.lit(1)).alias("copies"))
@@ -322,33 +325,39 @@ def join_groups(docs: DataFrame, target: float = TARGET, id_col: str = "doc_id",
     links = verified.where("kind = 0").groupBy(F.col("a").alias("_a")).agg(F.sum("links").alias("others"))
     groups = components(verified.where("kind = 1").select("a", "b"))
     with_ids = groups.join(reps.select("uid", "id"), F.col("node") == F.col("uid"))
-    names = with_ids.groupBy(F.col("label").alias("_l")).agg(F.min("id").alias("least"))
-    named = groups.join(names, F.col("label") == F.col("_l")).select("node", "label", "least")
+    names = with_ids.groupBy(F.col("label").alias("_l")).agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")).alias("f"))
+    named = groups.join(names, F.col("label") == F.col("_l")).select("node", "label", "least", F.col("f.uid").alias("first"))
     per_class = (
         reps.join(named, F.col("uid") == F.col("node"), "left").join(links, F.col("uid") == F.col("_a"), "left")
         .select(F.col("c1").alias("_c1"), F.col("c2").alias("_c2"), F.col("n").alias("_n"),
                 F.coalesce("least", "id", -1 - F.coalesce("label", "uid")).alias("group_id"),
-                (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"))
+                (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("first", "uid").alias("first_uid"))
     )
     same = (F.col("c1") == F.col("_c1")) & (F.col("c2") == F.col("_c2")) & (F.col("n") == F.col("_n"))
-    worded = sketch.where("n > 0").select("uid", "id", "th", "c1", "c2", "n").join(per_class, same).select("uid", "id", "th", "group_id", "n_links")
-    empty = sketch.where("n = 0").select("uid", "id", "th", F.coalesce("id", -1 - F.col("uid")).alias("group_id"), F.lit(0).cast("long").alias("n_links"))
+    worded = sketch.where("n > 0").select("uid", "id", "th", "c1", "c2", "n").join(per_class, same).select("uid", "id", "th", "group_id", "n_links", "first_uid")
+    empty = sketch.where("n = 0").select("uid", "id", "th", F.coalesce("id", -1 - F.col("uid")).alias("group_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("first_uid"))
     return worded.union(empty)
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """``docs`` without the rows whose group has an earlier one (smallest id first); all columns stay.
+    """One row of each group of ``docs``, that of its smallest id (null ids last); all columns stay.
 
-    A row stays if its id names its group; rows without a word and rows without an id stay.
+    Rows of one id and text are repeated rows, told apart by nothing but their other columns: of the survivor's, the one
+    whose row has the smallest hash stays. Rows without a word are groups of their own and stay.
     """
-    groups = join_groups(docs, id_col=id_col, text_col=text_col, **options)
-    lost = groups.where(F.col("id").isNotNull() & (F.col("id") != F.col("group_id"))).select(F.col("id").alias("_id"), F.col("th").alias("_th")).distinct()
-    lost = materialize(lost, "join-lost")
-    if lost.count() <= MAX_BROADCAST:  # keeps whole texts out of the shuffle
-        lost = F.broadcast(lost)
-    rest = docs.withColumn("_key", F.xxhash64(F.col(text_col)))
-    on = F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th"))
-    return rest.join(lost, on, "left_anti").drop("_key")
+    groups = join_groups(docs, id_col=id_col, text_col=text_col, **options).where("first_uid is not null and n_links > 0")
+    keys = groups.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.max(F.col("uid") == F.col("first_uid")).alias("_stays"), F.count(F.lit(1)).alias("_n"))
+    keys = materialize(keys.where("not _stays or _n > 1").select("_id", "_th", "_stays"), "join-lost")
+    n = {r["_stays"]: r["n"] for r in keys.groupBy("_stays").agg(F.count(F.lit(1)).alias("n")).collect()}
+    marked = F.broadcast(keys) if sum(n.values()) <= MAX_BROADCAST else keys  # keeps whole texts out of the shuffle
+    rest = docs.withColumns({"_key": F.xxhash64(F.col(text_col)), "_no": F.col(id_col).cast("long")})
+    on = F.col("_no").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th"))
+    single = rest.join(marked, on, "left_anti").drop("_key", "_no")
+    if not n.get(True):
+        return single
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    again = rest.join(marked.where("_stays"), on, "left_semi").groupBy("_no", "_key").agg(F.min_by(row, F.xxhash64(F.to_json(row))).alias("_row"))
+    return single.union(again.select("_row.*"))
 
 
 def op1_forest(spark, sf_dir):

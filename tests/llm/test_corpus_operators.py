@@ -86,6 +86,25 @@ def test_join_near_copies_blocks_and_shared_passages(spark, monkeypatch):
     assert kept.columns == frame_.columns and kept.count() == len(groups)
 
 
+@pytest.mark.parametrize("most", [0, ngram_join.MAX_BROADCAST])
+def test_one_row_of_each_group_whatever_the_ids(spark, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "MAX_BROADCAST", most)
+    near = [prose(70).split(" ") for _ in range(4)]
+    for k, w in enumerate(near):
+        w[10] = f"near{k}"
+    near = [" ".join(w) for w in near]
+    rows = [(1, prose(60), "en", "a", 0)] * 3 + [(2, prose(60), "en", "b", 0)] * 2  # repeated rows with the smallest id
+    rows += [(None, prose(61), "en", s, 0) for s in "aab"] + [(None, None, "en", "a", 0)] * 2 + [(9, " ", "en", "a", 0)] * 2
+    rows += [(3, near[0], "en", "a", 0), (3, near[1], "en", "a", 0), (None, near[2], "en", "a", 0), (4, near[3], "en", "a", 0)]  # near copies under one id
+    rows += [(1, prose(62), "en", "a", 0), (5, prose(62), "en", "a", 0)]  # an id of two groups
+    _, groups = brute_links(rows)
+    got = Counter(tuple(r) for r in ngram_join.keep_one_of_each(frame(spark, rows, clash=False)).collect())
+    assert sum(got.values()) == len(groups) == 8 and not got - Counter(rows)
+    for members in groups.values():
+        named = [rows[i][0] for i in members if rows[i][0] is not None]
+        assert {r[0] for r in got if r in {rows[i] for i in members}} == {min(named, default=None)}
+
+
 def test_shorter_prefixes_until_the_target(spark, monkeypatch):
     depths = []
     real = ngram_join._bucket_edges
