@@ -7,10 +7,10 @@ language family, then one-versus-one machines vote among the languages of that f
 The families come from ``FAMILIES``; a language missing there is a family of its own.
 
 Training uses at most ``per_language`` labelled texts of each language, those of lowest
-hash; only the histograms of about a sixth more reach the driver (1.2 * per_language *
-languages * dim float32 numbers). Languages beyond
-``max_languages`` are refused with an error, not dropped. Prediction reads every text
-whole and uses nothing but the text.
+hash, however many languages there are. The machines are trained by Spark tasks, ``MACHINES``
+family machines or the pairs of one family by each; a task keeps its histograms in a file of its
+temporary folder, and only the weights (dim numbers a machine) reach the driver and the
+workers. Prediction reads every text whole and uses nothing but the text.
 
 Defined results
 * null text or text without a letter: ``und``, score 0.
@@ -22,11 +22,13 @@ Defined results
 
 from __future__ import annotations
 
+import tempfile
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import materialize, table
 from .encoding import text_slices
 
 # Language families by ISO 639-1 code.
@@ -43,6 +45,10 @@ FAMILIES = {
 }
 DIM = 4096
 _SLICE = 1 << 20
+#: Family machines trained by one task.
+MACHINES = 16
+#: Up to this many languages with more texts than wanted are marked by a broadcast; more by a shuffle join.
+MAX_BROADCAST = 200_000
 
 _FAMILY_OF = {lang: fam for fam, langs in FAMILIES.items() for lang in langs}
 # ASCII bytes that are no letters become a blank
@@ -115,33 +121,73 @@ def linear_svm(x: np.ndarray, y: np.ndarray, c: float = 10.0, epochs: int = 12,
 class Model:
     """families: one-versus-rest weights; pairs: one-versus-one weights inside each family."""
 
-    def __init__(self, x: np.ndarray, langs: list[str]):
+    def __init__(self, langs: list[str]):
         self.langs = sorted(set(langs))
-        lang = np.array(langs, object)
-        fam = np.array([_FAMILY_OF.get(v, v) for v in langs], object)
-        self.families = sorted(set(fam.tolist()))
-        self.members = [[v for v in self.langs if _FAMILY_OF.get(v, v) == f] for f in self.families]
-        columns, offsets = [], []
-
-        def train(rows, positive):
-            w, b = linear_svm(x[rows], np.where(positive[rows], 1.0, -1.0))
-            columns.append(w)
-            offsets.append(b)
-
-        everything = np.arange(len(langs))
-        if len(self.families) > 1:
-            for f in self.families:
-                train(everything, fam == f)
-        self.pairs = []
+        self.families = sorted({_FAMILY_OF.get(v, v) for v in self.langs})
+        members: dict[str, list[str]] = {f: [] for f in self.families}
+        for v in self.langs:
+            members[_FAMILY_OF.get(v, v)].append(v)
+        self.members = [members[f] for f in self.families]
+        self.pairs = [(a, b) for m in self.members for i, a in enumerate(m) for b in m[i + 1 :]]
+
+    def fit(self, rows: DataFrame, dim: int) -> "Model":
+        """Train all machines on ``rows`` (lang, h, x: float32 histogram as bytes) in Spark tasks."""
+        spark, n_fam = rows.sparkSession, len(self.families) if len(self.families) > 1 else 0
+        # blocks of (column, positive, negative); family machines have no negative and need all rows
+        blocks = [[(k, self.families[k], None) for k in range(a, min(a + MACHINES, n_fam))] for a in range(0, n_fam, MACHINES)]
+        n_all, needs = len(blocks), []
+        column = {p: n_fam + k for k, p in enumerate(self.pairs)}
         for m in self.members:
-            for i, a in enumerate(m):
-                for b in m[i + 1 :]:
-                    train(np.flatnonzero((lang == a) | (lang == b)), lang == a)
-                    self.pairs.append((a, b))
-        self.w = np.array(columns, np.float32).T if columns else np.zeros((x.shape[1], 0), np.float32)
-        self.b = np.array(offsets, np.float32)
+            if len(m) > 1:
+                needs += [(v, len(blocks)) for v in m]
+                blocks.append([(column[a, b], a, b) for i, a in enumerate(m) for b in m[i + 1 :]])
+        self.w, self.b = np.zeros((dim, n_fam + len(self.pairs)), np.float32), np.zeros(n_fam + len(self.pairs), np.float32)
+        if not blocks:
+            return self
+        everywhere = rows.crossJoin(F.broadcast(spark.range(n_all).select(F.col("id").cast("int").alias("block"))))
+        inside = rows.join(F.broadcast(spark.createDataFrame(needs, "_lang string, block int")), F.col("lang") == F.col("_lang")).drop("_lang")
+        dealt = everywhere.union(inside).repartition(len(blocks), "block").sortWithinPartitions("block", "lang", "h")
+        shared = spark.sparkContext.broadcast(blocks)
+
+        def solve(frames):
+            import pyarrow as pa
+
+            def train(block, langs, file):
+                file.flush()
+                x = np.asarray(np.memmap(file, np.float32, "r", shape=(len(langs), dim)))
+                lang = np.array(langs, object)
+                fam = np.array([_FAMILY_OF.get(v, v) for v in langs], object)
+                done = []
+                for k, a, b in shared.value[block]:
+                    at = slice(None) if b is None else np.flatnonzero((lang == a) | (lang == b))
+                    w, offset = linear_svm(x[at], np.where((fam if b is None else lang)[at] == a, 1.0, -1.0))
+                    done.append((k, w.astype(np.float32).tobytes(), float(offset)))
+                cols = list(zip(*done))
+                return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.float64())], ["k", "w", "b"])
+
+            now, langs, file = None, [], None
+            for f in frames:
+                for block, lang, x in zip(*[f.column(c).to_pylist() for c in ("block", "lang", "x")]):
+                    if block != now:
+                        if file:
+                            yield train(now, langs, file)
+                            file.close()
+                        now, langs, file = block, [], tempfile.TemporaryFile()
+                    langs.append(lang)
+                    file.write(x)
+            if file:
+                yield train(now, langs, file)
+                file.close()
+
+        for r in dealt.mapInArrow(solve, "k int, w binary, b double").toLocalIterator():
+            self.w[:, r["k"]], self.b[r["k"]] = np.frombuffer(r["w"], np.float32), r["b"]
+        return self
 
     def predict(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+        step = max(1, 8_000_000 // max(1, len(self.b)))  # bounds the margins of many machines
+        if len(texts) > step:
+            parts = [self.predict(texts[a : a + step]) for a in range(0, len(texts), step)]
+            return [v for p, _ in parts for v in p], np.concatenate([s for _, s in parts])
         margin = histogram(texts, len(self.w)) @ self.w + self.b
         sure = 1 / (1 + np.exp(-2 * np.clip(margin, -20, 20)))
         n_fam = len(self.families) if len(self.families) > 1 else 0
@@ -149,10 +195,8 @@ class Model:
         score = sure[np.arange(len(texts)), family] if n_fam else np.ones(len(texts))
         column = {p: n_fam + k for k, p in enumerate(self.pairs)}
         out = np.empty(len(texts), object)
-        for f, m in enumerate(self.members):
-            rows = np.flatnonzero(family == f)
-            if not len(rows):
-                continue
+        for f in np.unique(family).tolist():
+            rows, m = np.flatnonzero(family == f), self.members[f]
             votes, trust = np.zeros((len(rows), len(m))), np.zeros((len(rows), len(m)))
             for i, a in enumerate(m):
                 for j in range(i + 1, len(m)):
@@ -168,23 +212,22 @@ class Model:
         return out.tolist(), score
 
 
-def train(labelled: DataFrame, per_language: int = 600, max_languages: int = 20, text_col: str = "text", lang_col: str = "lang", dim: int = DIM) -> Model | None:
+def train(labelled: DataFrame, per_language: int = 600, text_col: str = "text", lang_col: str = "lang", dim: int = DIM) -> Model | None:
     """Fit on at most ``per_language`` texts of each language (those of lowest text hash)."""
     rows = labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
-    place = F.pmod(F.xxhash64(text_col), F.lit(1 << 40))
-    keyed = rows.select(F.col(lang_col).alias("lang"), place.alias("h")).distinct()
-    counts = keyed.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_languages + 1).collect()
-    if len(counts) > max_languages:
-        raise ValueError(f"more than {max_languages} languages; raise max_languages")
-    if not counts:
+    rows = rows.select(F.col(lang_col).alias("lang"), F.pmod(F.xxhash64(text_col), F.lit(1 << 40)).alias("h"), F.col(text_col).alias("text"))
+    counts = materialize(rows.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n")), "lang-counts")
+    langs = [r["lang"] for r in counts.select("lang").collect()]
+    if not langs:
         return None
     # the wanted number by hash and four standard deviations more, whatever a language holds; the lowest are kept below
-    chosen = F.lit(False)
-    for r in counts:
-        upto = int(min(1.0, (per_language + 4 * per_language**0.5) / r["n"]) * (1 << 40))
-        chosen = chosen | ((F.col(lang_col) == r["lang"]) & (place < upto))
+    wanted = per_language + 4 * per_language**0.5
+    limits = counts.where(F.col("n") > wanted).select(F.col("lang").alias("_lang"), F.floor(F.lit(wanted) / F.col("n") * (1 << 40)).alias("_upto"))
+    if limits.count() <= MAX_BROADCAST:
+        limits = F.broadcast(limits)
+    chosen = rows.join(limits, F.col("lang") == F.col("_lang"), "left").where("_upto is null or h < _upto")
     # copies of a text are dropped within each task already
-    sample = rows.where(chosen).select(F.col(lang_col).alias("lang"), place.alias("h"), F.col(text_col).alias("text")).dropDuplicates(["lang", "h"])
+    sample = chosen.select("lang", "h", "text").dropDuplicates(["lang", "h"])
 
     def features(frames):
         import pyarrow as pa
@@ -193,8 +236,9 @@ def train(labelled: DataFrame, per_language: int = 600, max_languages: int = 20,
             x = histogram(f.column("text").to_pylist(), dim)
             yield pa.RecordBatch.from_arrays([f.column("lang"), f.column("h"), pa.array([v.tobytes() for v in x], pa.binary())], ["lang", "h", "x"])
 
-    got = sample.mapInArrow(features, "lang string, h long, x binary").toPandas().sort_values(["lang", "h"]).groupby("lang").head(per_language)
-    return Model(np.stack([np.frombuffer(v, np.float32) for v in got["x"]]), got["lang"].tolist())
+    lowest = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
+    made = sample.mapInArrow(features, "lang string, h long, x binary").withColumn("_r", lowest).where(F.col("_r") <= per_language).drop("_r")
+    return Model(langs).fit(materialize(made, "lang-train"), dim)
 
 
 def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep: list[str | Column] | None = None) -> DataFrame:
@@ -202,7 +246,7 @@ def predict(docs: DataFrame, model: Model | None, text_col: str = "text", keep:
     keep = [F.col(f"`{c}`") for c in docs.columns] if keep is None else keep
     # the row travels in a struct, so no column of it can clash
     packed = docs.select(F.struct(*keep).alias("row"), F.col(f"`{text_col}`").alias("text"), F.coalesce(F.col(f"`{text_col}`").rlike(r"\p{L}"), F.lit(False)).alias("lettered"))
-    # plain arrays and lists; max_languages bounds their size
+    # plain arrays and lists: ``dim`` numbers for each family and each pair inside a family
     shared = docs.sparkSession.sparkContext.broadcast(None if model is None else vars(model))
 
     def run(frames):

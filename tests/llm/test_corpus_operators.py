@@ -165,6 +165,19 @@ def test_language_with_nothing_to_learn(spark):
     assert {r["lang_pred"] for r in langid.predict(one, langid.train(one)).collect()} == {"xx"}
 
 
+def test_any_number_of_languages(spark):
+    import random
+
+    langs = "en de nl fr es ru uk fi lt ga tr hi ar".split() + [f"x{k}" for k in range(17)]
+    rows = []
+    for k, lang in enumerate(langs):
+        rng = random.Random(k)
+        stems = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3)) for _ in range(6)]
+        rows += [(len(rows) + i, " ".join(rng.choice(stems) + rng.choice(stems) for _ in range(40)), lang, "a", 0) for i in range(12)]
+    out = langid.identify(frame(spark, rows, clash=False)).collect()
+    assert len(out) == len(rows) and np.mean([r["lang_pred"] == r["row"]["lang"] for r in out]) >= 0.95
+
+
 # ---- quality rules -----------------------------------------------------------
 
 
