@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import bitplane, knn, langid, lmscore, mixing, ngram_join, packing, quality, sharding, wrappers
+from . import bitplane, filter_audit, knn, langid, lmscore, mixing, ngram_join, packing, quality, sharding, wrappers
 
 QUERIES = {
     "op1_forest": ngram_join.op1_forest,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_shards": sharding.op8_shards,
     "op9_bitplanes": bitplane.op9_bitplanes,
     "op10_pack": packing.op10_pack,
+    "op11_filter_audit": filter_audit.op11_filter_audit,
 }
-ORACLE = {"op2_mix": mixing.SQL, "op3_xent": lmscore.SQL, "op6_lines": quality.SQL, "op7_voronoi": knn.SQL}
+ORACLE = {"op2_mix": mixing.SQL, "op3_xent": lmscore.SQL, "op6_lines": quality.SQL, "op7_voronoi": knn.SQL, "op11_filter_audit": filter_audit.SQL}
