@@ -1,6 +1,6 @@
 """Queries of this subpackage and their SQL."""
 
-from . import bitplane, filter_audit, knn, langid, lmscore, mixing, ngram_join, packing, quality, sharding, wrappers
+from . import bitplane, conversations, filter_audit, hyperplane, knn, langid, lmscore, mixing, ngram_join, packing, quality, sharding, wrappers
 
 QUERIES = {
     "op1_forest": ngram_join.op1_forest,
@@ -14,5 +14,7 @@ QUERIES = {
     "op9_bitplanes": bitplane.op9_bitplanes,
     "op10_pack": packing.op10_pack,
     "op11_filter_audit": filter_audit.op11_filter_audit,
+    "op12_hyperplanes": hyperplane.op12_hyperplanes,
+    "op13_conversations": conversations.op13_conversations,
 }
-ORACLE = {"op2_mix": mixing.SQL, "op3_xent": lmscore.SQL, "op6_lines": quality.SQL, "op7_voronoi": knn.SQL, "op11_filter_audit": filter_audit.SQL}
+ORACLE = {"op2_mix": mixing.SQL, "op3_xent": lmscore.SQL, "op6_lines": quality.SQL, "op7_voronoi": knn.SQL, "op11_filter_audit": filter_audit.SQL, "op12_hyperplanes": hyperplane.SQL, "op13_conversations": conversations.SQL}
