@@ -6,8 +6,9 @@ user, after assistant). Each state keeps one survivor: the cheapest edits that l
 there, ties to the ASCII-least string of edit initials. Survivors share a tree of
 back pointers whose nodes count their references; a node no survivor needs any more
 goes at once, and as soon as all survivors have one ancestor, the edits up to it are
-final and are emitted. What stays in memory is the unresolved part only. Two tied
-survivors are compared on their complete unresolved parts.
+final and are emitted. What stays in memory is the unresolved part only. Tied
+survivors are compared on their complete unresolved parts: their order is kept up to
+date row by row, so a comparison takes no longer for a long part.
 
 An insertion is made directly before the kept or reroled row that needs it, or at
 the end: put before a deletion, it would give the greater string at the same cost.
@@ -19,7 +20,9 @@ still do (``_CATCH_UP``); a tie is never cut that way.
 Spark deals the conversations out, marks blank, repeated and truncated rows and sorts
 them by turn; a task reads the sorted rows as a stream, so a conversation of any
 length passes without being collected. One very long conversation is still one
-stream: its hash is a chain over all its rows.
+stream, as its hash is a chain over all its rows. Some conversations stay unresolved
+to their end (if every row has the role user, the last one tells whether the first
+two are user and assistant); then their repaired rows are held until it is reached.
 
 Defined results
 * a null role or text is one blank; a null conversation id is a conversation of its own.
@@ -57,15 +60,6 @@ class Edit:
             parent.next.add(self)
 
 
-def _unresolved(edit: Edit) -> str:
-    """Initials from the last final edit to ``edit``."""
-    out = []
-    while edit.parent is not None:
-        out.append(edit.letter)
-        edit = edit.parent
-    return "".join(reversed(out))
-
-
 class Repair:
     """The search over one conversation; ``emit(edit)`` gets each edit once it is final, in order."""
 
@@ -73,7 +67,8 @@ class Repair:
         self.emit = emit
         self.root = Edit("", "", "", None)
         self.root.heads = 1
-        self.live: dict[int, tuple[int, Edit]] = {NOTHING: (0, self.root)}
+        # state -> (cost, last edit, place among the survivors' strings)
+        self.live: dict[int, tuple[int, Edit, int]] = {NOTHING: (0, self.root, 0)}
 
     def _ways(self, state: int, role: str, fixed: bool, late: int):
         """Ways on from ``state`` over a row: (cost, initials, next state, its role)."""
@@ -87,23 +82,17 @@ class Repair:
             cost, letter, name = (KEEP, "K", role) if first == to else (REROLE, "R", _ROLE[to])
             yield (cost + late, letter, end, name) if need else (cost + INSERT + late, "I" + letter, end, name)
 
-    def _before(self, a, b) -> bool:
-        """Whether way ``a`` = (cost, letters, head, ...) comes before ``b``."""
-        if a[0] != b[0]:
-            return a[0] < b[0]
-        if a[2] is b[2]:
-            return a[1] < b[1]
-        return _unresolved(a[2]) + a[1] < _unresolved(b[2]) + b[1]
-
     def row(self, role: str, text: str, must_delete: bool, truncated: bool) -> None:
         best: dict[int, tuple] = {}
-        for state, (paid, head) in self.live.items():
+        for state, (paid, head, place) in self.live.items():
             for cost, letters, to, name in self._ways(state, role, must_delete, TRUNCATED * truncated):
-                way = (paid + cost, letters, head, name)
-                if to not in best or self._before(way, best[to]):
+                # the order of two survivors is the order of all they have not emitted yet
+                way = (paid + cost, place, letters, head, name)
+                if to not in best or way[:3] < best[to][:3]:
                     best[to] = way
-        kept = {y: w for y, w in best.items() if all(w[0] <= v[0] + _CATCH_UP[x][y] for x, v in best.items())}
-        self._move({to: (w[0], self._add(w[2], w[1], w[3], text)) for to, w in kept.items()})
+        kept = [(to, w) for to, w in best.items() if all(w[0] <= v[0] + _CATCH_UP[x][to] for x, v in best.items())]
+        kept.sort(key=lambda x: x[1][1:3])
+        self._move({to: (w[0], self._add(w[3], w[2], w[4], text), i) for i, (to, w) in enumerate(kept)})
 
     def _add(self, head: Edit, letters: str, role: str, text: str) -> Edit:
         for letter in letters:
@@ -114,10 +103,10 @@ class Repair:
                 head = Edit(letter, role, text if letter != "D" else "", head)
         return head
 
-    def _move(self, live: dict[int, tuple[int, Edit]]) -> None:
-        for _, head in live.values():
+    def _move(self, live: dict[int, tuple[int, Edit, int]]) -> None:
+        for _, head, _ in live.values():
             head.heads += 1
-        for _, head in self.live.values():
+        for _, head, _ in self.live.values():
             head.heads -= 1
             while not head.heads and not head.next and head.parent is not None:  # nobody needs it
                 head.parent.next.discard(head)
@@ -131,22 +120,19 @@ class Repair:
     def finish(self) -> int:
         """Emit what is left and return the cost."""
         ways = []
-        for state, (paid, head) in self.live.items():
+        for state, (paid, head, place) in self.live.items():
             missing = {USER: ["a"], SYSTEM: ["u", "a"]}.get(state, [])
-            ways.append((paid + INSERT * len(missing), "I" * len(missing), head, missing))
-        best = ways[0]
-        for way in ways[1:]:
-            best = way if self._before(way, best) else best
-        head = best[2]
-        for role in best[3]:
+            ways.append((paid + INSERT * len(missing), place, head, missing))
+        cost, _, head, missing = min(ways, key=lambda w: w[:2])
+        for role in missing:
             head = Edit("I", _ROLE[role], "", head)
-        self._move({NOTHING: (best[0], head)})
+        self._move({NOTHING: (cost, head, 0)})
         while self.root.next:  # a single chain is left
             self.root.heads = 0
             self.root = self.root.next.pop()
             self.root.parent = None
             self.emit(self.root)
-        return best[0]
+        return cost
 
 
 class _Report:
