@@ -44,6 +44,23 @@ def _rows_fn(shipped, d: int, names: list[str], result):
     return fn
 
 
+def _nearest_fn(precision: str):
+    """``(chunk, centres) -> clusters``; the centres are prepared for the search once a task."""
+    held: list = []
+
+    def clusters(chunk, C):
+        import pyarrow as pa
+
+        from .pruned import searcher
+        from .update import nearest
+
+        if not held:
+            held.append(searcher(C, np.float32 if precision == "float" else np.float64))
+        return pa.array(nearest(chunk, C, precision, held[0]))
+
+    return clusters
+
+
 def predict(
     points: DataFrame,
     centers: Sequence[Sequence[float]],
@@ -73,12 +90,10 @@ def predict(
     carried = [id_col, *keep]
     src = points.select(*carried, features)
     if path == "arrow":
-        import pyarrow as pa
-
-        from .update import nearest, ship_centers
+        from .update import ship_centers
 
         schema = ", ".join(f"`{c}` {src.schema[c].dataType.simpleString()}" for c in carried)
-        fn = _rows_fn(ship_centers(centers), d, [*carried, "cluster_id"], lambda chunk, C: pa.array(nearest(chunk, C, precision)))
+        fn = _rows_fn(ship_centers(centers), d, [*carried, "cluster_id"], _nearest_fn(precision))
         return src.mapInArrow(fn, f"{schema}, cluster_id int")
     # checked row by row inside the same pass
     usable = F.coalesce((F.size(features) == F.lit(d)) & is_finite_vector(F.col(features)), F.lit(False))
@@ -94,14 +109,15 @@ def distances(
     if len(centers) * len(centers[0]) > MAX_LITERAL_VALUES or is_sparse(points, features):
         import pyarrow as pa
 
-        from .update import _scan_distances, ship_centers
+        from .pruned import scan_distances
+        from .update import ship_centers
 
         d = len(centers[0])
         dtype = np.float32 if precision == "float" else np.float64
         src = points.select(id_col, features)
 
         def rows(chunk, C):
-            dist = _scan_distances(chunk.matrix(d), C, dtype).astype(np.float64)
+            dist = scan_distances(chunk.matrix(d), C, dtype).astype(np.float64)
             return pa.FixedSizeListArray.from_arrays(pa.array(dist.ravel()), len(C)).cast(pa.list_(pa.float64()))
 
         fn = _rows_fn(ship_centers(centers), d, [id_col, "_dist"], rows)

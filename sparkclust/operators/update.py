@@ -1,24 +1,32 @@
 """One Lloyd step as a partial + final aggregate, and the centre update rule.
 
-``mapInArrow`` computes per-task partials with NumPy, for vectors of any width, dense or sparse.
-The centres are data of the task, so the plan of every pass is the same and nothing is compiled anew.
-Partials leave a task in blocks of 32 coordinates (K * ceil(d/32) rows per task); a
-``groupBy(cluster_id, block)`` with 32 plain sums merges them, whatever the number or skew of points.
-
-``partials_expr`` computes the same numbers as pure Catalyst expressions
-(``path="expr"``, small models).
+``mapInArrow`` computes per-task partials with NumPy, for vectors of any width, dense or sparse,
+or for stored blocks of points (``operators.blocks``). The centres are data of the task, so the plan
+of every pass is the same and nothing is compiled anew. Sums are kept exact, as digits
+(``operators.exact``): partials leave a task as whole numbers in blocks of 32 coordinates, and a
+``groupBy(cluster_id, block, place)`` with 32 sums of LONG columns merges them. So the sums don't
+depend on how the points are partitioned, whatever the number or skew of points.
+
+Beside its partials every task emits what it did: rows, distances worked out, and the time spent
+on waiting for input, on distances and on sums.
+
+``partials_expr`` computes the same statistics as pure Catalyst expressions (``path="expr"``, small
+models; plain double sums, whose last digits depend on the partitioning).
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.vector import with_nearest
+from .exact import ExactSums, rounded
+from .pruned import Scan, scan_distances, searcher
 
 _CHUNK_ROWS = 4096
 # Models above this many numbers travel as a broadcast variable, not inside each task.
@@ -126,11 +134,17 @@ def dense_row(v) -> list[float]:
     return out
 
 
+#: What the metric row of a task holds, in order.
+METRICS = ("tasks", "rows", "distances", "read_ns", "distance_ns", "sum_ns")
+
+
 @dataclass
 class StepStats:
     n: list[int]  # points per cluster
     changed: list[int]  # points whose cluster differs from the previous assignment
     sums: list[list[float]]  # coordinate sums per cluster
+    metrics: dict[str, int] = field(default_factory=dict)  # METRICS, summed over the tasks
+    tasks: DataFrame | None = None  # (task, and METRICS) on request
 
 
 def choose_path(path: str = "auto", sparse: bool = False) -> str:
@@ -160,26 +174,17 @@ def partials_expr(points: DataFrame, centers, prev=None, features: str = "featur
     return assigned.groupBy("cluster_id").agg(*[F.expr(a) for a in aggs])
 
 
-def _scan_distances(X: np.ndarray, C: np.ndarray, dtype) -> np.ndarray:
-    """(rows, K) squared distances, each summed coordinate by coordinate, left to right."""
-    columns = np.ascontiguousarray(X.T, dtype=dtype)
-    C = np.asarray(C, dtype=dtype)
-    out = np.zeros((X.shape[0], len(C)), dtype=dtype)
-    for j in range(len(columns)):
-        diff = columns[j][:, None] - C[:, j]
-        out += diff * diff
-    return out
-
-
-def nearest(chunk: Chunk, C: np.ndarray, precision: str = "double") -> np.ndarray:
+def nearest(chunk: Chunk, C: np.ndarray, precision: str = "double", search=None) -> np.ndarray:
     """Index of the nearest centre of each row, the lowest on ties.
 
     Sparse rows use |x|^2 - 2 x.c + |c|^2 over their entries; rows whose two best values
-    lie within rounding of each other are settled by the plain scan.
+    lie within rounding of each other are settled by the plain scan. ``search`` is a prepared
+    ``searcher`` of the same centres.
     """
     d = C.shape[1]
     if chunk.dense is not None or precision == "float":
-        return _scan_distances(chunk.matrix(d), C, np.float32 if precision == "float" else np.float64).argmin(1).astype(np.int32)
+        search = search or searcher(C, np.float32 if precision == "float" else np.float64)
+        return search.nearest(chunk.matrix(d))
     dot = np.stack([np.bincount(chunk.where, chunk.val * c[chunk.idx], chunk.rows) for c in C], axis=1)
     square = np.bincount(chunk.where, chunk.val**2, chunk.rows)[:, None]
     cc = (C * C).sum(1)
@@ -189,107 +194,224 @@ def nearest(chunk: Chunk, C: np.ndarray, precision: str = "double") -> np.ndarra
         two = np.partition(dist, 1, axis=1)[:, :2]
         close = np.flatnonzero(two[:, 1] - two[:, 0] <= 1e-9 * (square[:, 0] + cc.max() + 1))
         for at in np.array_split(close, -(-len(close) // 512)) if len(close) else ():
-            best[at] = _scan_distances(chunk.matrix(d, at), C, np.float64).argmin(1)
+            best[at] = scan_distances(chunk.matrix(d, at), C, np.float64).argmin(1)
     return best.astype(np.int32)
 
 
-def add_sums(chunk: Chunk, m: np.ndarray, total: np.ndarray) -> None:
-    """Add the rows of each cluster to ``total`` (K x at least d)."""
+class Assigner:
+    """Assignment of chunks to ``C``, and whether it differs from the assignment to ``P``.
+
+    The distance to a centre changes by no more than the centre moved. Where the best centre of a
+    row leads the second best by more than both moved, the assignment to ``P`` is the same and is
+    not worked out.
+    """
+
+    #: Below this width a second scan costs less than looking for the second best.
+    MIN_WIDTH = 8
+
+    def __init__(self, C: np.ndarray, P: np.ndarray | None, precision: str = "double"):
+        self.C, self.P, self.precision = C, P, precision
+        dtype = np.float32 if precision == "float" else np.float64
+        self.now, self.then = searcher(C, dtype), None if P is None else searcher(P, dtype)
+        self.sparse = 0
+        self.moved = None if P is None else np.sqrt(((C - P) ** 2).sum(1))
+
+    @property
+    def evaluated(self) -> int:
+        return self.now.evaluated + (self.then.evaluated if self.then else 0) + self.sparse
+
+    def __call__(self, chunk: Chunk) -> tuple[np.ndarray, np.ndarray | None]:
+        """(cluster of each row, changed or not; None without ``P``)."""
+        if chunk.dense is None and self.precision != "float":
+            self.sparse += chunk.rows * len(self.C) * (1 if self.P is None else 2)
+        m, lead = None, None
+        if self.P is not None and chunk.dense is not None and isinstance(self.now, Scan) and len(self.C) > 1 and self.C.shape[1] >= self.MIN_WIDTH:
+            dist = scan_distances(chunk.dense, self.C, self.now.dtype)
+            self.now.evaluated += dist.size
+            m = dist.argmin(1).astype(np.int32)
+            two = np.sqrt(np.partition(dist, 1, axis=1)[:, :2].astype(np.float64))
+            slack = 1e-3 if self.precision == "float" else 1e-9
+            lead = two[:, 1] - two[:, 0] > (self.moved[m] + self.moved.max()) * (1 + slack) + slack * two[:, 1]
+        if m is None:
+            m = nearest(chunk, self.C, self.precision, self.now)
+        if self.P is None:
+            return m, None
+        if lead is None:
+            return m, nearest(chunk, self.P, self.precision, self.then) != m
+        changed, open_ = np.zeros(len(m), bool), np.flatnonzero(~lead)
+        if len(open_):
+            changed[open_] = self.then.nearest(chunk.dense[open_]) != m[open_]
+        return m, changed
+
+
+def add_sums(chunk: Chunk, m: np.ndarray, total: ExactSums) -> None:
+    """Add the rows of each cluster to ``total``."""
     if chunk.dense is not None:
-        onehot = np.zeros((len(total), chunk.rows))
-        onehot[m, np.arange(chunk.rows)] = 1.0
-        total[:, : chunk.dense.shape[1]] += onehot @ chunk.dense
+        total.add_dense(chunk.dense, m)
     else:
-        width = total.shape[1]
-        total += np.bincount(m[chunk.where] * np.int64(width) + chunk.idx, chunk.val, total.size).reshape(total.shape)
+        total.add_sparse(m[chunk.where] * np.int64(total.shape[1]) + chunk.idx, chunk.val)
 
 
 # Partial sums leave a task in blocks of this many coordinates: K * ceil(d / B)
-# rows per task, merged by (cluster, block) with B plain sums each.
+# rows per task and place of digits, merged by (cluster, block, place) with B plain sums each.
 SUM_BLOCK = 32
+_PARTIALS = "task int, cluster_id int, block int, place int, n long, changed long, bad long, vals array<long>"
 
 
-def _partials_fn(centers, prev, d: int, precision: str = "double", shipped=None):
-    import pyarrow as pa
-
+def _timed(batches, spent: list[int]):
+    """``batches`` with the nanoseconds spent on waiting for them in ``spent[0]``."""
+    batches = iter(batches)
+    while True:
+        t0 = time.perf_counter_ns()
+        batch = next(batches, None)
+        spent[0] += time.perf_counter_ns() - t0
+        if batch is None:
+            return
+        yield batch
+
+
+def vector_chunks(batches, d: int):
+    """Chunks of an Arrow vector column."""
+    for rb in batches:
+        col = rb.column(0)
+        for lo in range(0, rb.num_rows, _CHUNK_ROWS):
+            yield read_chunk(col.slice(lo, _CHUNK_ROWS), d)[0]
+
+
+class Partials:
+    """What a task gathers: counts and exact sums per cluster, and its metrics."""
+
+    def __init__(self, k: int, d: int):
+        self.k, self.d, self.blocks = k, d, -(-d // SUM_BLOCK)
+        self.n, self.changed, self.bad = np.zeros(k, np.int64), np.zeros(k, np.int64), 0
+        self.sums = ExactSums(k, self.blocks * SUM_BLOCK)
+        self.read, self.distance_ns, self.sum_ns = [0], 0, 0
+
+    def add(self, chunk: Chunk, assign: Assigner) -> np.ndarray | None:
+        """Count and sum the rows of a chunk; returns their clusters."""
+        self.bad += chunk.bad
+        if not chunk.rows:
+            return None
+        t0 = time.perf_counter_ns()
+        m, changed = assign(chunk)
+        t1 = time.perf_counter_ns()
+        self.add_assigned(chunk, m, changed)
+        self.distance_ns += t1 - t0
+        self.sum_ns += time.perf_counter_ns() - t1
+        return m
+
+    def add_assigned(self, chunk: Chunk, m: np.ndarray, changed: np.ndarray | None) -> None:
+        counts = np.bincount(m, minlength=self.k)
+        self.n += counts
+        self.changed += counts if changed is None else np.bincount(m[changed], minlength=self.k)
+        add_sums(chunk, m, self.sums)
+
+    def batch(self, evaluated: int):
+        """The Arrow batch of _PARTIALS rows."""
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        rows: list[tuple] = []
+        vals: list[np.ndarray] = []
+
+        def row(cluster, block, place, n=0, changed=0, bad=0, values=()):
+            rows.append((cluster, block, place, n, changed, bad))
+            vals.append(np.pad(np.asarray(values, np.int64), (0, SUM_BLOCK - len(values))))
+
+        total = int(self.n.sum())
+        row(-1, -1, 0, bad=self.bad, values=(1, total, evaluated, self.read[0], self.distance_ns, self.sum_ns))
+        for c in np.flatnonzero(self.n).tolist():
+            row(c, -1, 0, int(self.n[c]), int(self.changed[c]))
+        for place, digit in self.sums.settle().items():
+            by_block = digit.reshape(self.k, self.blocks, SUM_BLOCK)
+            for c, b in np.argwhere(by_block.any(2)).tolist():
+                row(c, b, place, values=by_block[c, b])
+        context = TaskContext.get()
+        task = context.partitionId() if context else 0
+        cols = list(zip(*rows))
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+        lists = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(vals)), SUM_BLOCK).cast(pa.list_(pa.int64()))
+        names = ["task", "cluster_id", "block", "place", "n", "changed", "bad", "vals"]
+        arrays = [pa.array(np.full(len(rows), task, np.int32)), *[pa.array(c, k) for c, k in zip(cols, kinds)], lists]
+        return pa.RecordBatch.from_arrays(arrays, names)
+
+
+def _value(shipped):
+    return shipped.value if hasattr(shipped, "value") else shipped
+
+
+def _partials_fn(centers, prev, d: int, precision: str = "double", shipped=None, chunks=vector_chunks):
     C_ship, P_ship = shipped or (ship_centers(centers), None if prev is None else ship_centers(prev))
-    K = len(centers)
-    blocks = -(-d // SUM_BLOCK)
-    out_schema = pa.schema(
-        [
-            ("cluster_id", pa.int32()),
-            ("block", pa.int32()),
-            ("n", pa.int64()),
-            ("changed", pa.int64()),
-            ("bad", pa.int64()),
-            ("vals", pa.list_(pa.float64())),
-        ]
-    )
+    k = len(centers)
 
     def fn(batches):
-        C = C_ship.value if hasattr(C_ship, "value") else C_ship
-        P = None if P_ship is None else (P_ship.value if hasattr(P_ship, "value") else P_ship)
-        n_tot = np.zeros(K, dtype=np.int64)
-        c_tot = np.zeros(K, dtype=np.int64)
-        s_tot = np.zeros((K, blocks * SUM_BLOCK), dtype=np.float64)
-        bad = 0
-        for rb in batches:
-            col = rb.column(0)
-            for lo in range(0, rb.num_rows, _CHUNK_ROWS):
-                chunk, _ = read_chunk(col.slice(lo, _CHUNK_ROWS), d)
-                bad += chunk.bad
-                if not chunk.rows:
-                    continue
-                if precision == "float" and chunk.dense is not None:
-                    chunk.dense = chunk.dense.astype(np.float32).astype(np.float64)
-                m = nearest(chunk, C, precision)
-                n_tot += np.bincount(m, minlength=K)
-                if P is None:
-                    c_tot += np.bincount(m, minlength=K)
-                else:
-                    c_tot += np.bincount(m[nearest(chunk, P, precision) != m], minlength=K)
-                add_sums(chunk, m, s_tot)
-        keep = np.flatnonzero(n_tot) if n_tot.any() or not bad else np.zeros(1, int)
-        if not len(keep):
-            return
-        bads = np.zeros(len(keep), np.int64)
-        bads[0] = bad
-        cid = np.repeat(keep, blocks).astype(np.int32)
-        blk = np.tile(np.arange(blocks, dtype=np.int32), len(keep))
-        vals = s_tot[keep].reshape(len(keep) * blocks, SUM_BLOCK)
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(cid),
-                pa.array(blk),
-                pa.array(np.repeat(n_tot[keep], blocks)),
-                pa.array(np.repeat(c_tot[keep], blocks)),
-                pa.array(np.repeat(bads, blocks)),
-                pa.FixedSizeListArray.from_arrays(pa.array(vals.ravel()), SUM_BLOCK).cast(pa.list_(pa.float64())),
-            ],
-            schema=out_schema,
-        )
+        assign, out = Assigner(_value(C_ship), _value(P_ship), precision), Partials(k, d)
+        for chunk in chunks(_timed(batches, out.read), d):
+            if precision == "float" and chunk.dense is not None:
+                chunk.dense = chunk.dense.astype(np.float32).astype(np.float64)
+            out.add(chunk, assign)
+        if out.n.any() or out.bad:
+            yield out.batch(assign.evaluated)
 
     return fn
 
 
 def task_partials(points: DataFrame, centers, prev=None, features: str = "features", precision: str = "double", shipped=None) -> DataFrame:
-    """Per-task partial rows ``(cluster_id, block, n, changed, bad, vals)`` of the Arrow path, not merged."""
-    d = len(centers[0])
-    return points.select(F.col(features)).mapInArrow(
-        _partials_fn(centers, prev, d, precision, shipped), "cluster_id int, block int, n long, changed long, bad long, vals array<double>"
-    )
+    """Per-task partial rows of the Arrow path, not merged; ``points`` may be stored blocks."""
+    from .blocks import block_chunks, is_blocks
 
+    d = len(centers[0])
+    stored = is_blocks(points)
+    cols = [F.col(c) for c in ("x", "n", "bad")] if stored else [F.col(features)]
+    fn = _partials_fn(centers, prev, d, precision, shipped, block_chunks if stored else vector_chunks)
+    return points.select(*cols).mapInArrow(fn, _PARTIALS)
 
-def partials_arrow(points: DataFrame, centers, prev=None, features: str = "features", precision: str = "double", shipped=None) -> DataFrame:
-    """``(cluster_id, block, n, changed, bad, s_0 .. s_(B-1))`` totals through the Arrow path.
 
-    Each task emits K * ceil(d / B) rows of block sums; the merge adds them per
-    (cluster, block) with B exact double sums, spread over K * ceil(d / B) keys.
-    """
-    parts = task_partials(points, centers, prev, features, precision, shipped)
+def merge_partials(parts: DataFrame) -> DataFrame:
+    """``(cluster_id, block, place, n, changed, bad, s_0 .. s_(B-1))`` totals of whole numbers, exact in any order."""
     aggs = [F.sum("n").alias("n"), F.sum("changed").alias("changed"), F.sum("bad").alias("bad")]
     aggs += [F.expr(f"sum(vals[{j}]) AS s_{j}") for j in range(SUM_BLOCK)]
-    return parts.groupBy("cluster_id", "block").agg(*aggs)
+    return parts.groupBy("cluster_id", "block", "place").agg(*aggs)
+
+
+def partials_arrow(points: DataFrame, centers, prev=None, features: str = "features", precision: str = "double", shipped=None) -> DataFrame:
+    """Merged partials of the Arrow path (see ``merge_partials``): K * ceil(d / B) rows for each place of digits."""
+    return merge_partials(task_partials(points, centers, prev, features, precision, shipped))
+
+
+def read_stats(rows, k: int, d: int) -> tuple[StepStats, int]:
+    """Statistics from collected totals, and the number of bad rows."""
+    n, changed, bad = [0] * k, [0] * k, 0
+    metrics = dict.fromkeys(METRICS, 0)
+    parts: dict[tuple[int, int], dict[int, int]] = {}
+    for r in rows:
+        c, block = r["cluster_id"], r["block"]
+        if c < 0:
+            bad += r["bad"]
+            metrics = {m: metrics[m] + r[f"s_{j}"] for j, m in enumerate(METRICS)}
+        elif block < 0:
+            n[c], changed[c] = int(r["n"]), int(r["changed"])
+        else:
+            for j in range(block * SUM_BLOCK, min((block + 1) * SUM_BLOCK, d)):
+                if q := r[f"s_{j - block * SUM_BLOCK}"]:
+                    parts.setdefault((c, j), {})[r["place"]] = q
+    sums = [[0.0] * d for _ in range(k)]
+    for (c, j), places in parts.items():
+        sums[c][j] = rounded(places)
+    return StepStats(n, changed, sums, metrics), bad
+
+
+def check_rows(bad: int, d: int) -> None:
+    if bad:
+        raise ValueError(
+            f"{bad} points have a wrong width, a missing coordinate or a non-finite one (expected {d} numbers); "
+            "filter them with split_rejects first"
+        )
+
+
+def task_rows(parts: DataFrame) -> DataFrame:
+    """(task, and METRICS) of the per-task partials."""
+    return parts.where("cluster_id = -1").select("task", *[F.col("vals")[j].alias(m) for j, m in enumerate(METRICS) if m != "tasks"])
 
 
 def step_stats(
@@ -299,45 +421,46 @@ def step_stats(
     path: str = "auto",
     features: str = "features",
     precision: str = "double",
+    task_report: bool = False,
 ) -> StepStats:
-    """Run one assignment + partial aggregation pass; collect only K (x d) numbers."""
-    K, d = len(centers), len(centers[0])
-    n = [0] * K
-    changed = [0] * K
-    sums = [[0.0] * d for _ in range(K)]
-    bad = 0
-    if choose_path(path, is_sparse(points, features)) == "expr":
+    """Run one assignment + partial aggregation pass; collect only K (x d) numbers.
+
+    ``task_report`` writes the per-task partials to the scratch folder once and gives the tasks' metrics as a table.
+    """
+    from .blocks import is_blocks
+
+    k, d = len(centers), len(centers[0])
+    if choose_path(path, is_blocks(points) or is_sparse(points, features)) == "expr":
+        n, changed, sums, bad = [0] * k, [0] * k, [[0.0] * d for _ in range(k)], 0
         for r in partials_expr(points, centers, prev, features, precision).collect():
-            k = r["cluster_id"]
+            c = r["cluster_id"]
             bad += r["bad"]
-            n[k], changed[k] = int(r["n"]), int(r["changed"])
-            sums[k] = [float(r[f"s_{j}"] or 0.0) for j in range(d)]
-    else:
-        shipped = [ship_centers(c) if c is not None else None for c in (centers, prev)]
-        for r in partials_arrow(points, centers, prev, features, precision, shipped).collect():
-            k, lo = r["cluster_id"], r["block"] * SUM_BLOCK
-            for j in range(lo, min(lo + SUM_BLOCK, d)):
-                sums[k][j] = float(r[f"s_{j - lo}"])
-            # every block row of a task carries the task's count: block 0 holds the total
-            if lo == 0:
-                n[k], changed[k] = int(r["n"]), int(r["changed"])
-                bad += r["bad"]
-        for b in shipped:
-            if hasattr(b, "unpersist"):
-                b.unpersist()
-    if bad:
-        raise ValueError(
-            f"{bad} points have a wrong width, a missing coordinate or a non-finite one (expected {d} numbers); "
-            "filter them with split_rejects first"
-        )
-    return StepStats(n, changed, sums)
+            n[c], changed[c] = int(r["n"]), int(r["changed"])
+            sums[c] = [float(r[f"s_{j}"] or 0.0) for j in range(d)]
+        check_rows(bad, d)
+        return StepStats(n, changed, sums)
+    shipped = [ship_centers(c) if c is not None else None for c in (centers, prev)]
+    parts = task_partials(points, centers, prev, features, precision, shipped)
+    if task_report:
+        from ..session import scratch_path
+
+        where = scratch_path(parts.sparkSession, "pass")
+        parts.write.parquet(where)
+        parts = parts.sparkSession.read.schema(parts.schema).parquet(where)
+    stats, bad = read_stats(merge_partials(parts).collect(), k, d)
+    for b in shipped:
+        if hasattr(b, "unpersist"):
+            b.unpersist()
+    check_rows(bad, d)
+    if task_report:
+        stats.tasks = task_rows(parts)
+    return stats
 
 
 def update_centers(old: Sequence[Sequence[float]], stats: StepStats, precision: str = "double") -> list[list[float]]:
-    """Mean of each cluster; an empty cluster keeps its previous centre.
+    """Mean of each cluster (its exact sum as a double, divided by its size); an empty cluster keeps its previous centre.
 
-    With ``precision="float"`` the mean of the exact double sums is rounded to
-    a 32-bit value.
+    With ``precision="float"`` the mean is rounded to a 32-bit value.
     """
     from ..functions.vector import round_centers
 

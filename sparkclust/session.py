@@ -56,12 +56,23 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/sparkclust-{name}-{uuid.uuid4().hex[:12]}"
 
 
+def path_exists(spark: SparkSession, path: str) -> bool:
+    """Whether a file or folder exists (``path`` may be a glob), asked of its file system."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(conf).globStatus(where)
+    return found is not None and len(found) > 0
+
+
 def ensure_parallelism(df, minimum: int | None = None):
     """Spread a batch DataFrame with fewer partitions than cores (e.g. a one-split file).
 
     Large inputs already arrive in many splits and pass through unchanged; rows and results are the same.
+    Behind a shuffle the partitions are known only after running it, so such a plan passes through as well.
     """
     if df.isStreaming:
         return df
+    if "AdaptiveSparkPlan" in df._jdf.queryExecution().executedPlan().toString():
+        return df
     want = minimum or df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(want) if df.rdd.getNumPartitions() < want else df
