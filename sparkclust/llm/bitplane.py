@@ -177,7 +177,7 @@ def write_files(docs: DataFrame, path: str, vocab: str, end_id: int = 0, kind: i
             fs.move(out[2], out[3])
             done.append((current, out[3].rsplit("/", 1)[1], sum(map(len, out[0].doc_ids)), out[0].n_ids))
 
-        for frame in text_slices(frames, "text"):
+        for frame in text_slices(frames, "text", encodes=True):
             files = frame.column("file").to_numpy(zero_copy_only=False)
             ids, texts = frame.column("id"), text_bytes(frame.column("text"))
             nulls = ids.is_null().to_numpy(zero_copy_only=False)

@@ -9,6 +9,8 @@ whole text. Pieces are told apart by two independent 64-bit hashes (together
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
 import sys
 from itertools import chain
@@ -17,16 +19,21 @@ from types import ModuleType
 import numpy as np
 import pandas as pd
 
-#: Pieces remembered between batches, about 50 bytes each. A memory bound only: the memory is emptied and filled anew.
-MAX_PIECES = 2_000_000
+#: Bytes of pieces and their ids remembered between batches. A memory bound only: the memory is emptied and filled anew.
+MAX_BYTES = 48 << 20
 #: Bytes of text worked on at once (a longer text is worked on alone).
 BATCH_BYTES = 2_000_000
 
 
-def text_slices(frames, column: str, limit: int = BATCH_BYTES):
-    """Cut Arrow batches into slices of about ``limit`` bytes of text (a longer text is a slice of its own)."""
+def text_slices(frames, column: str, limit: int = BATCH_BYTES, encodes: bool = False):
+    """Cut Arrow batches into slices of about ``limit`` bytes of text (a longer text is a slice of its own).
+
+    Work that doesn't encode frees what an earlier stage's encoders have left in the worker.
+    """
     import pyarrow.compute as pc
 
+    if not encodes:
+        drop_encoders()
     for f in frames:
         upto = np.cumsum(pc.binary_length(f.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
         a = 0
@@ -63,12 +70,12 @@ _BYTE_CHARS = {b: 256 + k for k, b in enumerate(b for b in range(256) if b not i
 class Encoder:
     """``encode`` texts to ids; ``path`` is a tokenizers JSON file."""
 
-    def __init__(self, path: str, max_pieces: int = MAX_PIECES):
+    def __init__(self, path: str, max_bytes: int = MAX_BYTES):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark runs a worker for each core
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.max_pieces = max_pieces
+        self.max_bytes = max_bytes
         self._draw(4096)
         self.model = self.tok.model
         norm = self.tok.normalizer
@@ -176,7 +183,7 @@ class Encoder:
         if len(odd):
             group[odd] = len(rep) + np.arange(len(odd))
             rep = np.concatenate([rep, odd])
-        if self.rows > self.max_pieces:
+        if 28 * self.rows + 4 * self.used > self.max_bytes:  # hashes, row, place and number of ids; the ids
             self._clear()
         found = self._find(h1[rep], h2[rep])
         new = np.flatnonzero(found < 0)
@@ -203,18 +210,30 @@ class Encoder:
         return flat, upto[last_piece] - upto[first_piece]
 
 
-def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file, kept between the tasks of a worker.
+def _kept() -> dict:
+    # functions travel to the workers by value, so module globals are new in each task;
+    # what a worker keeps between its tasks lies in a module object of its own
+    return sys.modules.setdefault("_sparkclust_worker", ModuleType("_sparkclust_worker")).__dict__.setdefault("encoders", {})
 
-    Functions travel to the workers by value, so module globals are new in each
-    task; what a worker keeps lies in a module object of its own.
-    """
-    kept = sys.modules.setdefault("_sparkclust_worker", ModuleType("_sparkclust_worker")).__dict__.setdefault("encoders", {})
+
+def encoder(path: str) -> Encoder:
+    """The worker's encoder for a vocabulary file, kept between the tasks of a worker until ``drop_encoders``."""
+    kept = _kept()
+    for other in kept.keys() - {path}:
+        del kept[other]
     if path not in kept:
         kept[path] = Encoder(path)
     return kept[path]
 
 
+def drop_encoders() -> None:
+    """Free the worker's encoders, and give the memory back to the system where its C library can."""
+    if _kept():
+        _kept().clear()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def text_bytes(column) -> list[bytes]:
     """An Arrow string column as byte strings, null as empty."""
     import pyarrow as pa

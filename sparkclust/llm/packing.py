@@ -40,7 +40,7 @@ def cut_pieces(docs: DataFrame, vocab: str, capacity: int = 2048, end_id: int =
         import pyarrow as pa
 
         enc = encoder(vocab)
-        for frame in text_slices(frames, "text"):
+        for frame in text_slices(frames, "text", encodes=True):
             ids, texts = frame.column("doc_id"), text_bytes(frame.column("text"))
             if texts:
                 flat, counts = enc.encode(texts)

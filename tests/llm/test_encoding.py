@@ -40,7 +40,7 @@ def test_any_text(name, texts):
 @pytest.mark.parametrize("name", NAMES)
 def test_long_pieces_and_a_full_memory(name):
     same(name, ["word " * 3 + "y" * 9000 + " word.", "", "word word."])
-    e = Encoder(public_tokenizers.path(name), max_pieces=3)
+    e = Encoder(public_tokenizers.path(name), max_bytes=100)
     for _ in range(3):
         for t in ("one two three four five.", "six, seven, one."):
             assert e.encode([t.encode()])[0].tolist() == TOKS[name].encode(t, add_special_tokens=False).ids
