@@ -30,13 +30,12 @@ import json
 import sys
 import time
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import SparkSession
 
 from .plans.featurize import featurize_text
 from .plans.kmeans import fit
 from .plans.report import label_documents, label_lines
-from .session import ensure_checkpoint_dir
+from .session import ensure_checkpoint_dir, path_exists
 from .sinks.text import feature_lines, membership_lines, read_centers, write_centers, write_lines
 from .sources.documents import read_documents
 from .sources.points import read_points
@@ -55,12 +54,10 @@ def write_options(spark: SparkSession, path: str, options: dict) -> None:
 
 def read_options(spark: SparkSession, path: str) -> dict:
     """The settings stored beside ``path``; none if it has none."""
-    try:
-        row = spark.read.text(path.rstrip("/") + ".options").first()
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
+    where = path.rstrip("/") + ".options"
+    if not path_exists(spark, where):
         return {}
+    row = spark.read.text(where).first()
     return json.loads(row["value"])
 
 

@@ -1,19 +1,31 @@
 """Dense 0-based row indexes and exclusive prefix offsets without a global sort task.
 
 ``row_number() over (order by k)`` with no partition key moves every row into
-one task. Instead the rows are dealt into ranges of the order key by literal bounds, numbered
-inside each range, and shifted by the exclusive prefix sum of range sizes. Only one row per range (a number the caller bounds) is ever combined in a
-single place.
+one task. Here
+
+* a Parquet scan whose files lie in key order already is numbered where it is: position =
+  rows of the files before it + ``_metadata.row_index``. Whether that holds is found from the key
+  columns alone, in one narrow pass without a shuffle;
+* any other table is dealt by Spark's range partitioning (bounds from a sample, found by binary
+  search), sorted inside the ranges and written once with (range, place in the range). The range
+  sizes, one number a range, then shift the places.
+
+The rows travel in a struct, so a table may have columns of any names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 _LOW_BITS = (1 << 33) - 1  # monotonically_increasing_id keeps the row number in the low 33 bits
+# Splits (a path and a few numbers each) whose offsets may be collected or broadcast.
+MAX_BROADCAST_SPLITS = 200_000
 
 
 def _cols(order_by: str | Column | Sequence[str | Column]) -> list[Column]:
@@ -69,41 +81,207 @@ def range_column(df: DataFrame, keys: Sequence[Column], n: int) -> Column:
     return search(0, len(bounds))
 
 
-def _pinned(df: DataFrame) -> DataFrame:
-    """``df`` with its scan position ``_tie``, written once to the shared scratch folder.
+def _whole_row(df: DataFrame) -> Column:
+    return F.struct(*[F.col(_quoted(c)) for c in df.columns]).alias("row")
 
-    Whatever reads the result sees the same ``_tie`` for a row, also after a
-    lost executor, and the input is evaluated only once.
-    """
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to the shared scratch folder: whatever reads it sees the same rows, also after a lost executor."""
     from ..session import scratch_path
 
-    path = scratch_path(df.sparkSession, "rowindex")
-    df.withColumn("_tie", F.monotonically_increasing_id()).write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+# ---- positions of a scan ------------------------------------------------------
+
+
+def _comparable(col):
+    """An Arrow column -> (null flags, values that numpy compares as Spark does), None if it can't."""
+    import pyarrow as pa
+
+    kind = col.type
+    missing = col.is_null().to_numpy(zero_copy_only=False)
+    if pa.types.is_integer(kind) or pa.types.is_boolean(kind) or pa.types.is_temporal(kind):
+        whole = col.cast(pa.int32() if pa.types.is_date32(kind) else pa.int64()) if pa.types.is_temporal(kind) else col.cast(pa.int64())
+        return missing, whole.fill_null(0).to_numpy(zero_copy_only=False)
+    if pa.types.is_floating(kind):
+        return missing, col.fill_null(0).to_numpy(zero_copy_only=False)
+    if pa.types.is_string(kind) or pa.types.is_large_string(kind):
+        return missing, col.fill_null("").to_numpy(zero_copy_only=False)
+    if pa.types.is_decimal(kind):
+        return missing, np.array([v or 0 for v in col.to_pylist()], object)
+    return None
+
+
+def _descents(cols: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+    """Whether each row but the first is below the row before it (nulls first, NaN last, left to right)."""
+    below = np.zeros(len(cols[0][0]) - 1, bool)
+    equal = np.ones(len(below), bool)
+    for missing, v in cols:
+        a, b, x, y = missing[:-1], missing[1:], v[:-1], v[1:]
+        less, same = (y < x) & ~a & ~b, (y == x) & ~a & ~b
+        if v.dtype.kind == "f":
+            nan_x, nan_y = np.isnan(x) & ~a, np.isnan(y) & ~b
+            less, same = (less | (nan_x & ~nan_y & ~b)) & ~nan_y, same | (nan_x & nan_y)
+        below |= equal & (less | (b & ~a))
+        equal &= same | (a & b)
+    return below
+
+
+def _file_columns(df: DataFrame) -> DataFrame | None:
+    """``df`` as (row, file, at) with the place of each row in its Parquet file; None if it isn't read from such files."""
+    try:
+        return df.select(_whole_row(df), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
+    except AnalysisException:
+        return None
+
+
+def _scan_runs(df: DataFrame, keys: Sequence[Column]) -> list | None:
+    """Stretches of the scan, one per split: (file, first and last place, first and last key).
+
+    None if the scan isn't dense (rows were filtered or multiplied) or not in key order.
+    """
+    try:
+        narrow = df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"), *[k.alias(f"k{i}") for i, k in enumerate(keys)])
+    except AnalysisException:
+        return None
+    names = [f"k{i}" for i in range(len(keys))]
+    kinds = {c: narrow.schema[c].dataType.simpleString() for c in names}
+
+    def fn(batches):
+        import pyarrow as pa
+
+        schema = pa.schema([("file", pa.string()), ("first", pa.int64()), ("last", pa.int64()), ("ok", pa.bool_())])
+        end = None  # the last row so far, and where its stretch began
+        begin = None
+
+        def run(ok=True):
+            first, last = begin.select(names).to_batches()[0], end.select(names).to_batches()[0]
+            arrays = [begin.column("file").chunk(0), begin.column("at").chunk(0), end.column("at").chunk(0), pa.array([ok])]
+            keys_ = [x.column(c) for x in (first, last) for c in names]
+            return pa.RecordBatch.from_arrays([*arrays, *keys_], [*schema.names, *[f"f_{c}" for c in names], *[f"l_{c}" for c in names]])
+
+        for rb in batches:
+            table = pa.Table.from_batches([rb])
+            for part in ([table] if end is None else [pa.concat_tables([end, table])]):
+                whole = part.combine_chunks()
+                file = whole.column("file").to_numpy()
+                at = whole.column("at").to_numpy()
+                cols = [_comparable(whole.column(c).combine_chunks()) for c in names]
+                if any(c is None for c in cols):
+                    begin = begin or whole.slice(0, 1)
+                    end = whole.slice(len(at) - 1, 1)
+                    yield run(False)
+                    return
+                begin = begin or whole.slice(0, 1)
+                turn = file[1:] != file[:-1]
+                bad = ~turn & (_descents(cols) | (np.diff(at) != 1))
+                for i in np.flatnonzero(turn).tolist():
+                    end = whole.slice(i, 1)
+                    yield run(not bad.any())
+                    begin = whole.slice(i + 1, 1)
+                end = whole.slice(len(at) - 1, 1)
+                if bad.any():
+                    yield run(False)
+                    return
+        if end is not None:
+            yield run()
+
+    ends = ", ".join(f"{p}_{c} {kinds[c]}" for p in "fl" for c in names)
+    runs = _stored(narrow.mapInArrow(fn, f"file string, first long, last long, ok boolean, {ends}"), "scan-runs")
+    n, good = runs.agg(F.count(F.lit(1)), F.coalesce(F.min("ok"), F.lit(True))).first()
+    if not good or n > MAX_BROADCAST_SPLITS:
+        return None
+    # a row per split: their order is the order of the files, and inside a file that of the places
+    ordered = Window.orderBy("file", "first")
+    key = lambda p: F.struct(*[F.col(f"{p}_{c}").alias(c) for c in names])
+    before, follows = F.lag("last").over(ordered), F.lag("file").over(ordered) == F.col("file")
+    gap = F.when(follows, F.col("first") != before + 1).otherwise(F.col("first") != 0)
+    falls = F.coalesce(F.lag(key("l")).over(ordered) > key("f"), F.lit(False))
+    if keys and not runs.select(gap.alias("gap"), falls.alias("falls")).where("gap or falls").isEmpty():
+        return None
+    return runs.select("file", "first", "last").collect()
+
+
+def _by_file(df: DataFrame, runs: list, out: str) -> DataFrame:
+    """``df`` numbered by its place in its file and the rows of the files before it."""
+    sizes: dict[str, int] = {}
+    for r in runs:
+        sizes[r["file"]] = max(sizes.get(r["file"], 0), r["last"] + 1)
+    offsets, total = [], 0
+    for f in sorted(sizes, key=lambda f: f.encode()):
+        offsets.append((f, total))
+        total += sizes[f]
+    starts = F.broadcast(df.sparkSession.createDataFrame(offsets, "_file string, off long"))
+    placed = _file_columns(df).join(starts, F.col("file") == F.col("_file"))
+    return placed.select(*_unpacked(df, out), (F.col("off") + F.col("at")).cast("long").alias(out))
+
+
+def _unpacked(df: DataFrame, out: str) -> list[Column]:
+    return [F.col("row")[c].alias(c) for c in df.columns if c != out]
+
+
+def with_scan_index(df: DataFrame, out: str = "row_idx") -> DataFrame:
+    """Append the 0-based position of each row in physical order (file path, then place in the file).
+
+    ``df`` reads Parquet files: nothing is sorted, written or shuffled. A scan that is no longer dense (a filter)
+    or of other files is numbered from its split counts.
+    """
+    runs = _scan_runs(df, [F.lit(0)])
+    return _by_file(df, runs, out) if runs else with_file_position(df, out)
+
+
+# ---- positions by key -----------------------------------------------------------
+
+
+def _by_range(df: DataFrame, keys: list[Column], n: int | None, size: Column | None = None) -> DataFrame:
+    """(row, range, place, and with ``size`` the running sum before the row) in key order, equal keys in scan order."""
+    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = [f"k{i}" for i in range(len(keys))]
+    extra = [] if size is None else [F.coalesce(size, F.lit(0)).cast("long").alias("size")]
+    keyed = df.select(_whole_row(df), *[k.alias(c) for k, c in zip(keys, names)], *extra, F.monotonically_increasing_id().alias("tie"))
+    # the scan position as last key lets the ranges split one very frequent key
+    dealt = keyed.repartitionByRange(n, *names, "tie").sortWithinPartitions(*names, "tie")
+    place = F.monotonically_increasing_id()
+    cols = ["row", F.shiftright(place, 33).cast("int").alias("range"), place.bitwiseAND(F.lit(_LOW_BITS)).alias("place")]
+    placed = dealt.select(*cols, *([] if size is None else ["size"]))
+    if size is not None:
+
+        def running(batches):
+            import pyarrow as pa
+
+            total = 0
+            for rb in batches:
+                v = rb.column("size").to_numpy()
+                upto = total + np.cumsum(v)
+                total = int(upto[-1]) if len(v) else total
+                yield pa.RecordBatch.from_arrays([*rb.columns, pa.array(upto - v, pa.int64())], [*rb.schema.names, "before"])
+
+        placed = placed.mapInArrow(running, StructType([*placed.schema.fields, StructField("before", LongType())]))
+    return _stored(placed, "by-range")
 
 
 def with_row_index(df: DataFrame, order_by, out: str = "row_idx", num_partitions: int | None = None) -> DataFrame:
-    """Append ``out`` = 0-based position of each row in ascending ``order_by`` order.
+    """Append ``out`` = 0-based position of each row in ascending ``order_by`` order (in place of a column of that name).
 
-    Rows with equal keys are ordered by scan position (a tiebreaker that also
-    lets the ranges split one very frequent key over many tasks). The range of
-    a row is a function of its stored values (``range_column``), so the range
-    sizes (counted on the key and position alone) always fit the numbered rows.
+    Rows with equal keys are ordered by scan position.
     """
-    keyed = _pinned(df)
-    keys = _cols(order_by) + [F.col("_tie")]
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tagged = keyed.withColumn("_pid", range_column(keyed, keys, n))
-    sizes = tagged.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))
-    offsets = exclusive_offsets(sizes, "_pid", "_n", "_off").select("_pid", "_off")
-    local = F.row_number().over(Window.partitionBy("_pid").orderBy(*keys))
-    # one offset row per range: a broadcast of at most n rows
-    joined = tagged.repartition(n, "_pid").withColumn("_rn", local).join(F.broadcast(offsets), "_pid")
-    return joined.withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("long")).drop("_pid", "_rn", "_off", "_tie")
-
-
-# Splits (a path and three numbers each) whose offsets may be broadcast.
-MAX_BROADCAST_SPLITS = 200_000
+    keys = _cols(order_by)
+    runs = _scan_runs(df, keys)
+    if runs:
+        return _by_file(df, runs, out)
+    placed = _by_range(df, keys, num_partitions)
+    sizes = placed.groupBy(F.col("range").alias("_range")).agg(F.count(F.lit(1)).alias("n"))
+    # one row per range: a broadcast of as many rows as there are ranges
+    offsets = F.broadcast(exclusive_offsets(sizes, "_range", "n", "off"))
+    joined = placed.join(offsets, F.col("range") == F.col("_range"))
+    return joined.select(*_unpacked(df, out), (F.col("off") + F.col("place")).cast("long").alias(out))
 
 
 def with_file_position(df: DataFrame, out: str = "row_idx") -> DataFrame:
@@ -114,18 +292,18 @@ def with_file_position(df: DataFrame, out: str = "row_idx") -> DataFrame:
     sum; the rows themselves are never sorted or shuffled.
     """
     raw = df.select(
-        "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
-        F.monotonically_increasing_id().alias("_mid"),
+        _whole_row(df),
+        F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"),
+        F.monotonically_increasing_id().alias("at"),
     )
-    splits = raw.groupBy("_file", "_block").agg(F.count(F.lit(1)).alias("_n"), F.min("_mid").alias("_first"))
-    offsets = running_offsets(splits, ["_file", "_block"], "_n", "_off").select("_file", "_block", "_off", "_first")
+    splits = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
+    offsets = running_offsets(splits, ["file", "block"], "n", "off")
+    offsets = offsets.select(F.col("file").alias("_file"), F.col("block").alias("_block"), "off", "first")
     if offsets.count() <= MAX_BROADCAST_SPLITS:  # rows stay in their scan order; beyond it Spark shuffles
         offsets = F.broadcast(offsets)
-    joined = raw.join(offsets, ["_file", "_block"])
-    pos = (F.col("_off") + F.col("_mid") - F.col("_first")).cast("long")
-    return joined.withColumn(out, pos).drop("_file", "_block", "_mid", "_off", "_first")
+    joined = raw.join(offsets, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
+    return joined.select(*_unpacked(df, out), (F.col("off") + F.col("at") - F.col("first")).cast("long").alias(out))
 
 
 def running_offsets(
@@ -133,22 +311,13 @@ def running_offsets(
 ) -> DataFrame:
     """Exclusive prefix sum of ``size_col`` in ``order_by`` order, for tables of any size.
 
-    Rows fall into key ranges (``range_column``); each range takes a running
-    sum and adds the prefix of the range totals (one row per range, broadcast).
+    Each key range takes a running sum and adds the prefix of the range totals (one row per range, broadcast).
     """
-    keyed = _pinned(sizes)
-    keys = _cols(order_by) + [F.col("_tie")]
-    n = num_partitions or int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tagged = keyed.withColumn("_pid", range_column(keyed, keys, n))
-    totals = tagged.groupBy("_pid").agg(F.sum(size_col).alias("_tot"))
-    part_off = exclusive_offsets(totals, "_pid", "_tot", "_poff").select("_pid", "_poff")
-    w = Window.partitionBy("_pid").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
-    local = tagged.withColumn("_loc", F.coalesce(F.sum(size_col).over(w), F.lit(0)))
-    return (
-        local.join(F.broadcast(part_off), "_pid")
-        .withColumn(out, (F.col("_poff") + F.col("_loc")).cast("long"))
-        .drop("_pid", "_poff", "_loc", "_tie")
-    )
+    placed = _by_range(sizes, _cols(order_by), num_partitions, F.col(_quoted(size_col)))
+    totals = placed.groupBy(F.col("range").alias("_range")).agg(F.sum("size").alias("total"))
+    starts = F.broadcast(exclusive_offsets(totals, "_range", "total", "off").select("_range", "off"))
+    joined = placed.join(starts, F.col("range") == F.col("_range"))
+    return joined.select(*_unpacked(sizes, out), (F.col("off") + F.col("before")).cast("long").alias(out))
 
 
 def group_offsets(df: DataFrame, group_col: str) -> DataFrame:

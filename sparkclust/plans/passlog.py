@@ -12,7 +12,7 @@ import json
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import path_exists
+from ..session import list_paths
 
 
 def fingerprint(points: DataFrame, **settings) -> dict:
@@ -33,10 +33,10 @@ class PassLog:
 
     def last(self) -> dict | None:
         """The last finished pass; None if there is none. Raises if it belongs to other settings or other points."""
-        if not path_exists(self.spark, f"{self.path}/pass-*/_SUCCESS"):
+        done = list_paths(self.spark, f"{self.path}/pass-*/_SUCCESS")
+        if not done:
             return None
-        names = self.spark.read.format("binaryFile").load(f"{self.path}/pass-*/_SUCCESS").select("path").collect()
-        latest = max(r["path"].rsplit("/", 2)[1] for r in names)
+        latest = max(p.rsplit("/", 2)[1] for p in done)
         entry = json.loads(self.spark.read.text(f"{self.path}/{latest}").first()["value"])
         if entry["mark"] != self.mark:
             odd = sorted(k for k in self.mark if self.mark[k] != entry["mark"].get(k))

@@ -56,12 +56,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{base}/sparkclust-{name}-{uuid.uuid4().hex[:12]}"
 
 
-def path_exists(spark: SparkSession, path: str) -> bool:
-    """Whether a file or folder exists (``path`` may be a glob), asked of its file system."""
+def list_paths(spark: SparkSession, pattern: str) -> list[str]:
+    """Files and folders that match a glob, asked of their file system (no job, no error if there are none)."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    found = where.getFileSystem(conf).globStatus(where)
-    return found is not None and len(found) > 0
+    where = jvm.org.apache.hadoop.fs.Path(pattern)
+    return [s.getPath().toString() for s in where.getFileSystem(conf).globStatus(where) or ()]
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    return bool(list_paths(spark, path))
 
 
 def ensure_parallelism(df, minimum: int | None = None):
