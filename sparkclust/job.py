@@ -12,6 +12,11 @@ Modes::
 An optional ``--precision=float`` (training and predict) evaluates distances
 in 32-bit arithmetic with 32-bit centres; the default is ``double``.
 
+Training with ``--log=<folder>`` logs every finished pass there; started again with the same
+log, input and settings it goes on after the last one. ``--task-report=<folder>`` writes what every
+task of every pass did (rows, distances, and the time spent on input, distances and sums) as
+JSON lines; the printed report has the totals.
+
 ``--bracketed=true|false`` says whether documents are featurized from their row
 string (``[text]``) or the bare text. ``featurize`` (default true) stores the setting beside its
 output (``<out>.options``), training copies it beside the model, and ``label`` uses the
@@ -65,13 +70,17 @@ def run(spark: SparkSession, argv: list[str]) -> dict:
     if not argv:
         raise SystemExit(USAGE)
     mode = argv[0]
-    precision, bracketed, order_by = "double", None, None
+    precision, bracketed, order_by, log, task_report = "double", None, None, None, None
     args = []
     for a in argv[1:]:
         if a.startswith("--precision="):
             precision = a.split("=", 1)[1]
         elif a.startswith("--bracketed="):
             bracketed = {"true": True, "false": False}[a.split("=", 1)[1]]
+        elif a.startswith("--log="):
+            log = a.split("=", 1)[1]
+        elif a.startswith("--task-report="):
+            task_report = a.split("=", 1)[1]
         elif a == "--sorted":
             order_by = "id"
         else:
@@ -84,16 +93,21 @@ def run(spark: SparkSession, argv: list[str]) -> dict:
         src, out, k, threshold, iters = args[0], args[1], int(args[2]), float(args[3]), int(args[4])
         parsed = read_points(spark, src)
         t1 = time.time()
-        result = fit(parsed.points, k, max_iter=iters, threshold=threshold, stop=TRAIN_MODES[mode], precision=precision)
+        result = fit(
+            parsed.points, k, max_iter=iters, threshold=threshold, stop=TRAIN_MODES[mode], precision=precision, log=log, resume=log is not None, task_report=task_report is not None
+        )
         t2 = time.time()
         model_suffix = ".cluster_centres" if mode == "train" else ".model"
-        write_centers(result.centers_df(spark), out + model_suffix)
+        write_centers(result.centers_df(spark), out + model_suffix, precision=precision)
         options = read_options(spark, src)
         if options:
             write_options(spark, out + model_suffix, options)
         write_lines(membership_lines(result.membership), out + ".membership", order_by=order_by)
+        if result.tasks is not None:
+            result.tasks.write.mode("overwrite").json(task_report)
         t3 = time.time()
         counts = parsed.counts()
+        work = [h["metrics"] for h in result.history]
         return {
             "mode": mode,
             "lines": counts.get("lines"),
@@ -105,6 +119,12 @@ def run(spark: SparkSession, argv: list[str]) -> dict:
             "read_ms": int((t1 - t0) * 1000),
             "train_ms": int((t2 - t1) * 1000),
             "write_ms": int((t3 - t2) * 1000),
+            # summed over the tasks of all passes
+            "tasks": sum(w["tasks"] for w in work),
+            "distances": sum(w["distances"] for w in work),
+            "task_read_ms": sum(w["read_ns"] for w in work) // 10**6,
+            "task_distance_ms": sum(w["distance_ns"] for w in work) // 10**6,
+            "task_sum_ms": sum(w["sum_ns"] for w in work) // 10**6,
         }
     if mode == "predict":
         if len(args) != 3:
@@ -112,10 +132,15 @@ def run(spark: SparkSession, argv: list[str]) -> dict:
         from .operators.assign import predict
 
         centers = read_centers(spark, args[1], _centers_fmt(args[1]))
+        t1 = time.time()
         parsed = read_points(spark, args[0], dim=len(centers[0]))
         assigned = predict(parsed.points, centers, precision=precision)
+        t2 = time.time()
         write_lines(membership_lines(assigned), args[2] + ".membership", order_by=order_by)
-        return {"mode": mode, "k": len(centers), "ms": int((time.time() - t0) * 1000)}
+        t3 = time.time()
+        counts = parsed.counts()
+        phases = {"model_ms": t1 - t0, "plan_ms": t2 - t1, "assign_write_ms": t3 - t2, "ms": t3 - t0}
+        return {"mode": mode, "k": len(centers), "lines": counts.get("lines"), "rejected": counts.get("rejected"), **{p: int(s * 1000) for p, s in phases.items()}}
     if mode == "featurize":
         if len(args) != 2:
             raise SystemExit(USAGE)

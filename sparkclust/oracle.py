@@ -40,18 +40,18 @@ def assign_sql(d: int, centers: str, src: str = "p", vector: bool = False) -> st
     return f"SELECT p.id, (min(row({dist}, c.cid)))[2] AS cid FROM {src} p CROSS JOIN {centers} c GROUP BY p.id"
 
 
-def update_sql(d: int, prev: str, assigned: str, src: str = "p", vector: bool = False) -> str:
-    """Mean per cluster; a cluster without points keeps its previous centre."""
+def update_sql(d: int, prev: str, assigned: str, src: str = "p", vector: bool = False, add: str = "sum") -> str:
+    """Mean per cluster; a cluster without points keeps its previous centre. ``add="fsum"`` compensates the rounding of sums."""
     if vector:
         return (
             f"SELECT c.cid, CASE WHEN m.cnt IS NULL THEN c.v ELSE m.v END AS v FROM {prev} c LEFT JOIN ("
             f"SELECT cid, list(s / n ORDER BY j) AS v, max(n) AS cnt FROM ("
-            f"SELECT cid, j, sum(x) AS s, count(*) AS n FROM ("
+            f"SELECT cid, j, {add}(x) AS s, count(*) AS n FROM ("
             f"SELECT a.cid, generate_subscripts(p.v, 1) AS j, unnest(p.v) AS x FROM {assigned} a JOIN {src} p ON p.id = a.id"
             f") GROUP BY cid, j) GROUP BY cid) m ON m.cid = c.cid"
         )
     cols = ", ".join(
-        f"CASE WHEN count(p.id) > 0 THEN sum(p.x{j}) / count(p.id) ELSE any_value(c.x{j}) END AS x{j}" for j in range(d)
+        f"CASE WHEN count(p.id) > 0 THEN {add}(p.x{j}) / count(p.id) ELSE any_value(c.x{j}) END AS x{j}" for j in range(d)
     )
     return (
         f"SELECT c.cid, {cols} FROM {prev} c LEFT JOIN {assigned} a ON a.cid = c.cid "
@@ -59,12 +59,12 @@ def update_sql(d: int, prev: str, assigned: str, src: str = "p", vector: bool =
     )
 
 
-def lloyd_ctes(points_sql: str, d: int, k: int, iters: int, vector: bool = False) -> list[str]:
+def lloyd_ctes(points_sql: str, d: int, k: int, iters: int, vector: bool = False, add: str = "sum") -> list[str]:
     """CTE list: p, c0, then a{t} (assignment against c{t-1}) and c{t} for t = 1..iters."""
     ctes = [f"p AS MATERIALIZED ({points_sql})", f"c0 AS MATERIALIZED ({seeds_sql(d, k, vector=vector)})"]
     for t in range(1, iters + 1):
         ctes.append(f"a{t} AS MATERIALIZED ({assign_sql(d, f'c{t - 1}', vector=vector)})")
-        ctes.append(f"c{t} AS MATERIALIZED ({update_sql(d, f'c{t - 1}', f'a{t}', vector=vector)})")
+        ctes.append(f"c{t} AS MATERIALIZED ({update_sql(d, f'c{t - 1}', f'a{t}', vector=vector, add=add)})")
     return ctes
 
 

@@ -42,6 +42,10 @@ from ..operators.update import METRICS, check_rows, choose_path, is_sparse, step
 from .passlog import PassLog, fingerprint
 
 
+#: Coordinate differences worth a task of their own.
+TASK_WORK = 4_000_000
+
+
 @dataclass
 class KMeansRun:
     centers: list[list[float]]  # C_T
@@ -156,7 +160,11 @@ def fit(
             d = len(init[0]) if init else width_of(pts)
             if d is None:
                 raise ValueError("empty input: cannot train on zero points")
-            pts = cached = to_blocks(pts, d, order_by, precision).persist(StorageLevel.MEMORY_AND_DISK)
+            cached = to_blocks(pts, d, order_by, precision).persist(StorageLevel.MEMORY_AND_DISK)
+            # fills the cache; passes over few points take no more tasks than they have work for
+            rows = cached.agg(F.sum("n")).first()[0] or 0
+            tasks = max(1, int(rows * d * k / TASK_WORK))
+            pts = cached.coalesce(tasks) if tasks < cached.rdd.getNumPartitions() else cached
         else:
             pts = cached = pts.persist(StorageLevel.MEMORY_AND_DISK)
     # the seeding job is the first scan (it fills the cache); N comes from pass 1

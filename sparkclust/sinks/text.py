@@ -6,7 +6,8 @@ Line formats (all blank separated):
 * membership:  ``<position> <cluster_id>``
 * features:    ``<idx> <v0> ... <v(n-1)>``
 
-Numbers print as Spark casts doubles to text (``1.0``, ``2.5E-4``).
+Numbers print as Spark casts doubles to text (``1.0``, ``2.5E-4``); the centres of a
+single-precision model as it casts 32-bit numbers (``0.1``, not ``0.10000000149011612``).
 """
 
 from __future__ import annotations
@@ -17,15 +18,15 @@ from pyspark.sql import functions as F
 from ..sources.points import parse_point_lines, read_lines
 
 
-def _join_numbers(arr_col: str) -> F.Column:
-    return F.array_join(F.transform(F.col(arr_col), lambda v: v.cast("string")), " ")
+def _join_numbers(arr_col: str, precision: str = "double") -> F.Column:
+    return F.array_join(F.transform(F.col(arr_col), lambda v: v.cast(precision).cast("string")), " ")
 
 
-def center_lines(centers: DataFrame) -> DataFrame:
-    """``(cluster_id, center)`` -> ``(cluster_id, line)``."""
+def center_lines(centers: DataFrame, precision: str = "double") -> DataFrame:
+    """``(cluster_id, center)`` -> ``(cluster_id, line)``; ``precision="float"`` prints 32-bit numbers."""
     return centers.select(
         "cluster_id",
-        F.concat(F.col("cluster_id").cast("string"), F.lit(" "), _join_numbers("center"), F.lit(" ")).alias("line"),
+        F.concat(F.col("cluster_id").cast("string"), F.lit(" "), _join_numbers("center", precision), F.lit(" ")).alias("line"),
     )
 
 
@@ -50,10 +51,10 @@ def write_lines(lines: DataFrame, path: str, order_by: str | None = None, single
     out.select("line").write.mode("overwrite").text(path)
 
 
-def write_centers(centers: DataFrame, path: str, fmt: str = "text") -> None:
+def write_centers(centers: DataFrame, path: str, fmt: str = "text", precision: str = "double") -> None:
     """Save a model: ``text`` (centre lines, one file) or ``parquet`` (cluster_id, center)."""
     if fmt == "text":
-        write_lines(center_lines(centers), path, order_by="cluster_id", single_file=True)
+        write_lines(center_lines(centers, precision), path, order_by="cluster_id", single_file=True)
     elif fmt == "parquet":
         centers.select("cluster_id", "center").coalesce(1).write.mode("overwrite").parquet(path)
     else:

@@ -1,8 +1,8 @@
 """The registered queries: each reads the fixture tables of one scale factor and
 returns a DataFrame, next to its independent SQL formulation in ``ORACLE``.
 
-Computed doubles that depend on summation order (means, sums) are rounded to
-4 decimals on both sides; memberships are integers.
+Doubles whose SQL form depends on summation order (means, sums) are rounded to 4 decimals on both
+sides, but for the queries that compare exact sums; memberships are integers.
 """
 
 from __future__ import annotations
@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from . import oracle as O
 from .functions.text import chars_to_bigrams, row_string, row_text, text_chars
 from .operators.assign import distances, predict
-from .operators.rowindex import group_offsets, partition_sizes, running_offsets, with_row_index
+from .operators.large_model import lloyd_pass_large, predict_large, seed_table
+from .operators.rowindex import group_offsets, partition_sizes, running_offsets, with_row_index, with_scan_index
 from .operators.seed import centers_frame, seed_first_k
 from .operators.update import partials_expr, step_stats, update_centers
 from .plans.featurize import featurize_text, hashed_tf_long, hashed_tf_sparse
 from .plans.kmeans import fit
+from .plans.stored import StoredTraining, store_training
 from .plans.report import document_projection, document_sample, label_documents, language_counts
 from .session import ensure_parallelism, scratch_path
 from .sinks.text import center_lines, feature_lines, membership_lines, read_centers, write_centers, write_lines
@@ -469,6 +471,83 @@ def q_json_corrupt(spark, sf_dir):
     return docs.select("id", "lang", F.col("user.lang").alias("user_lang"), F.length("text").alias("n"), F.col("_corrupt_record").alias("corrupt"))
 
 
+def q_assign_many(spark, sf_dir):
+    """200 centres: the search by the triangle inequality."""
+    pts = embedding_points(spark, sf_dir)
+    return predict(pts, seed_first_k(pts, 200), path="arrow")
+
+
+def q_scan_index(spark, sf_dir):
+    return with_scan_index(table(spark, sf_dir, "orders"))
+
+
+def q_row_index_ties(spark, sf_dir):
+    """Numbered by a key that isn't the order of the file, repeated values of it in file order."""
+    return with_row_index(table(spark, sf_dir, "part").select("p_partkey", "p_type", "p_size"), ["p_size", "p_type"])
+
+
+def q_exact_centers(spark, sf_dir):
+    run = _orders_run(spark, sf_dir)
+    return _centers_wide(spark, run.centers, rounded=False)
+
+
+def q_large_model_predict(spark, sf_dir):
+    """Centres as a table, three of them at a time."""
+    pts = customer_points(spark, sf_dir)
+    return predict_large(pts, seed_table(pts, 40, 2), 2, center_rows=3, part_bytes=200 * 16)
+
+
+def q_large_model_pass(spark, sf_dir):
+    pts = customer_points(spark, sf_dir)
+    after = lloyd_pass_large(pts, seed_table(pts, 40, 2), 2, center_rows=3, part_bytes=200 * 16)
+    return after.select("cluster_id", "n", F.col("center")[0].alias("c0"), F.col("center")[1].alias("c1"))
+
+
+def _stored_run(spark, sf_dir):
+    """Two passes, then two more from the stored membership, as a job started anew would do."""
+    path = scratch_path(spark, "training")
+    store_training(customer_points(spark, sf_dir), path, 5).train(2)
+    return StoredTraining(spark, path).train(4)
+
+
+def q_stored_membership(spark, sf_dir):
+    return _stored_run(spark, sf_dir).membership()
+
+
+def q_stored_history(spark, sf_dir):
+    rows = [(h["iteration"], h["n"], h["changed"], h["delta"]) for h in _stored_run(spark, sf_dir).history]
+    return spark.createDataFrame(rows, "iteration int, n long, changed long, delta double")
+
+
+def q_resumed_centers(spark, sf_dir):
+    """A run that stops after two passes and goes on from its log."""
+    log = scratch_path(spark, "log")
+    for passes in (2, 5):
+        run = _fit(order_points(spark, sf_dir), 7, max_iter=passes, log=log, resume=True)
+    return _centers_wide(spark, run.centers, rounded=False)
+
+
+def q_task_rows(spark, sf_dir):
+    """Rows that each task of each pass reports, of orders dealt out by key."""
+    dealt = order_points(spark, sf_dir).repartitionById(7, (F.col("id") % 7).cast("int"))
+    run = _fit(dealt, 4, max_iter=2, cache="persist", task_report=True)
+    return run.tasks.select("iteration", "task", "rows")
+
+
+def q_float_center_lines(spark, sf_dir):
+    """The command line in single precision: the numbers of the model file, and whether they are the text of 32-bit numbers."""
+    from .job import run as run_job
+
+    src, out = _write_part_lines(spark, sf_dir), scratch_path(spark, "job")
+    run_job(spark, ["par_train_cpu", src, out, "5", "0.0001", "1", "--precision=float"])
+    words = F.split("value", " ")
+    numbers = [words[j].cast("float") for j in (1, 2)]
+    short = (numbers[0].cast("string") == words[1]) & (numbers[1].cast("string") == words[2]) & (F.size(words) == 4) & (words[3] == "")
+    return spark.read.text(out + ".model").select(
+        words[0].cast("int").alias("cluster_id"), numbers[0].cast("double").alias("c0"), numbers[1].cast("double").alias("c1"), short.alias("short")
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "points_from_orders": q_points_from_orders,
     "parse_point_lines": q_parse_point_lines,
@@ -517,6 +596,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "job_label": q_job_label,
     "user_sample": q_user_sample,
     "json_corrupt": q_json_corrupt,
+    "assign_many": q_assign_many,
+    "scan_index": q_scan_index,
+    "row_index_ties": q_row_index_ties,
+    "exact_centers": q_exact_centers,
+    "large_model_predict": q_large_model_predict,
+    "large_model_pass": q_large_model_pass,
+    "stored_membership": q_stored_membership,
+    "stored_history": q_stored_history,
+    "resumed_centers": q_resumed_centers,
+    "task_rows": q_task_rows,
+    "float_center_lines": q_float_center_lines,
 }
 
 
@@ -706,6 +796,46 @@ def _oracle() -> dict[str, str]:
         "SELECT doc_id AS id, lang, source AS user_lang, length(text)::INTEGER AS n, NULL::VARCHAR AS corrupt FROM documents UNION ALL "
         "SELECT NULL, NULL, NULL, NULL, '{\"id\": ' || doc_id || ', \"lang\": ' FROM documents"
     )
+    q["assign_many"] = (
+        O.with_clause([f"p AS ({EMBEDDING_POINTS_SQL})", f"c AS ({O.seeds_sql(64, 200, vector=True)})"])
+        + f"SELECT id, cid::INTEGER AS cluster_id FROM ({O.assign_sql(64, 'c', vector=True)})"
+    )
+    q["scan_index"] = "SELECT *, row_number() OVER () - 1 AS row_idx FROM orders"
+    q["row_index_ties"] = (
+        "SELECT p_partkey, p_type, p_size, row_number() OVER (ORDER BY p_size, p_type, pos) - 1 AS row_idx "
+        "FROM (SELECT *, row_number() OVER () AS pos FROM part)"
+    )
+    exact5 = O.lloyd_ctes(ORDER_POINTS_SQL, 2, 7, 5, add="fsum")
+    q["exact_centers"] = q["resumed_centers"] = O.with_clause(exact5) + "SELECT cid::INTEGER AS cluster_id, x0 AS c0, x1 AS c1 FROM c5"
+    many = O.lloyd_ctes(CUSTOMER_POINTS_SQL, 2, 40, 1, add="fsum")
+    q["large_model_predict"] = O.with_clause(many) + "SELECT id, cid::INTEGER AS cluster_id FROM a1"
+    q["large_model_pass"] = (
+        O.with_clause(many)
+        + "SELECT c.cid::INTEGER AS cluster_id, count(a.id) AS n, any_value(c.x0) AS c0, any_value(c.x1) AS c1 FROM c1 c LEFT JOIN a1 a ON a.cid = c.cid GROUP BY c.cid"
+    )
+    cust4 = O.lloyd_ctes(CUSTOMER_POINTS_SQL, 2, 5, 4)
+    q["stored_membership"] = O.with_clause(cust4) + "SELECT id, cid::INTEGER AS cluster_id FROM a4"
+    q["stored_history"] = (
+        O.with_clause(cust4 + O.history_ctes(4))
+        + "SELECT iteration::INTEGER AS iteration, n::BIGINT AS n, changed::BIGINT AS changed, changed::DOUBLE / n AS delta FROM ("
+        + " UNION ALL ".join(f"SELECT * FROM h{t}" for t in range(1, 5))
+        + ")"
+    )
+    q["task_rows"] = (
+        "SELECT t::INTEGER AS iteration, (o_orderkey % 7)::INTEGER AS task, count(*) AS rows FROM orders, (SELECT unnest([1, 2]) AS t) GROUP BY 1, 2"
+    )
+    fline = "SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS id, p_size::FLOAT::DOUBLE AS x0, p_retailprice::FLOAT::DOUBLE AS x1 FROM part"
+    q["float_center_lines"] = (
+        O.with_clause(
+            [
+                f"p AS MATERIALIZED ({fline})",
+                f"c0 AS MATERIALIZED ({O.seeds_sql(2, 5)})",
+                f"a1 AS MATERIALIZED (SELECT p.id, (min(row({fdist}, c.cid)))[2] AS cid FROM p CROSS JOIN c0 c GROUP BY p.id)",
+                f"c1 AS MATERIALIZED ({O.update_sql(2, 'c0', 'a1', add='fsum')})",
+            ]
+        )
+        + "SELECT cid::INTEGER AS cluster_id, x0::FLOAT::DOUBLE AS c0, x1::FLOAT::DOUBLE AS c1, TRUE AS short FROM c1"
+    )
     return q
 
 

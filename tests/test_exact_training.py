@@ -193,3 +193,94 @@ def test_a_model_larger_than_a_task(spark):
         after = lloyd_pass_large(wide, table, 40, center_rows=3, part_bytes=40 * 8 * 30, precision=precision).orderBy("cluster_id").collect()
         stats = step_stats(wide, C, precision=precision)
         assert [r["center"] for r in after] == update_centers(C, stats, precision) and [r["n"] for r in after] == stats.n
+
+
+
+
+CLASH = ("row", "file", "at", "_file", "off", "range", "_range", "place", "tie", "k0", "n", "size", "before", "_pid", "_off", "_rn", "_tie", "first", "block")
+
+
+def test_positions_leave_the_payload_where_it_is(spark, tmpdir_path):
+    path = os.path.join(tmpdir_path, "sorted")
+    orders = spark.read.parquet(f"{SF_SMALL}/orders.parquet")
+    orders.repartitionByRange(5, "o_orderkey").sortWithinPartitions("o_orderkey").write.parquet(path)
+    df = spark.read.parquet(path).withColumns({c: F.col("o_custkey") % (i + 2) for i, c in enumerate(CLASH)})
+    from sparkclust import with_row_index
+    from sparkclust.operators.rowindex import with_scan_index
+
+    for out in (with_row_index(df, "o_orderkey"), with_scan_index(df)):
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange hashpartitioning" not in plan and "rangepartitioning" not in plan and "Sort " not in plan
+        assert out.columns == [*df.columns, "row_idx"]
+        got = sorted(out.drop("row_idx").exceptAll(df).collect())
+        assert not got
+        keys = [r["o_orderkey"] for r in out.orderBy("row_idx").collect()]
+        assert keys == sorted(keys) and [r["row_idx"] for r in out.orderBy("row_idx").collect()] == list(range(df.count()))
+
+
+@pytest.mark.parametrize("how", ["desc files", "unsorted", "filtered", "memory", "nulls"])
+def test_positions_of_other_tables(spark, tmpdir_path, how):
+    from sparkclust import with_row_index
+    from sparkclust.operators.rowindex import with_scan_index
+
+    rng = random.Random(3)
+    rows = [(i, rng.choice([None, "a", "b", "é", "z"]), rng.choice([None, float("nan"), -1.5, 2.0])) for i in range(400)]
+    df = spark.createDataFrame(rows, "v long, s string, x double").withColumns({c: F.col("v") + i for i, c in enumerate(CLASH)})
+    if how != "memory":
+        path = os.path.join(tmpdir_path, "t")
+        order = {"desc files": [F.col("s").desc()], "nulls": ["s", "x"]}.get(how, ["v"])
+        df.orderBy(*order).coalesce(3 if how != "nulls" else 1).write.parquet(path)
+        df = spark.read.parquet(path)
+        if how == "filtered":
+            df = df.where("v % 3 <> 0")
+    out = with_row_index(df, ["s", "x"], num_partitions=4)
+    got = out.orderBy("row_idx").collect()
+    n = df.count()
+    assert [r["row_idx"] for r in got] == list(range(n)) and out.columns == [*df.columns, "row_idx"]
+    key = lambda r: (r["s"] is not None, (r["s"] or "").encode(), r["x"] is not None, r["x"] is not None and np.isnan(r["x"]), 0.0 if r["x"] is None or np.isnan(r["x"]) else r["x"])
+    assert [key(r) for r in got] == sorted(key(r) for r in got)
+    assert sorted(r["v"] for r in got) == sorted(r["v"] for r in df.collect())
+    if how != "memory":
+        positions = with_scan_index(df).collect()
+        assert sorted(r["row_idx"] for r in positions) == list(range(n))
+    if how == "nulls":  # this one is in order of its key: nothing moves
+        assert "rangepartitioning" not in out._jdf.queryExecution().executedPlan().toString()
+    assert with_row_index(df.where("false"), "s").count() == 0
+
+
+def test_running_offsets_with_clashing_names(spark):
+    from sparkclust.operators.rowindex import running_offsets
+
+    df = spark.range(300).select("id", (F.col("id") % 5).alias("w"), *[F.lit(1).alias(c) for c in CLASH])
+    for n in (1, 7, 200):
+        got = running_offsets(df, "id", "w", "sum_before", num_partitions=n).orderBy("id").collect()
+        assert [r["sum_before"] for r in got] == [sum(i % 5 for i in range(k)) for k in range(300)]
+        assert got[0].asDict().keys() == {*df.columns, "sum_before"}
+
+
+def test_partitions_are_counted_without_running_a_shuffle(spark):
+    from sparkclust.session import ensure_parallelism
+
+    jobs = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("count-partitions", "")
+    grouped = spark.range(1000).groupBy((F.col("id") % 3).alias("g")).count()
+    assert ensure_parallelism(grouped) is grouped
+    narrow = ensure_parallelism(spark.range(0, 10, 1, 1), 4)
+    assert not jobs.getJobIdsForGroup("count-partitions")
+    assert narrow.rdd.getNumPartitions() == 4
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_single_precision_model_text(spark, tmpdir_path):
+    from sparkclust.job import run as run_job
+
+    src = os.path.join(tmpdir_path, "points")
+    spark.createDataFrame([(f"{i} {0.1 * (i % 3)} 16777217.0",) for i in range(9)], "value string").coalesce(1).write.text(src)
+    report = run_job(spark, ["par_train_cpu", src, os.path.join(tmpdir_path, "out"), "3", "0", "2", "--precision=float", f"--log={tmpdir_path}/log", f"--task-report={tmpdir_path}/tasks"])
+    lines = sorted(r["value"] for r in spark.read.text(os.path.join(tmpdir_path, "out.model")).collect())
+    assert lines == ["0 0.0 1.6777216E7 ", "1 0.1 1.6777216E7 ", "2 0.2 1.6777216E7 "]
+    assert report["tasks"] >= 2 and report["distances"] >= 2 * 27 and report["task_distance_ms"] >= 0
+    tasks = spark.read.json(os.path.join(tmpdir_path, "tasks"))
+    assert tasks.agg(F.sum("rows")).first()[0] == 18
+    again = run_job(spark, ["par_train_cpu", src, os.path.join(tmpdir_path, "out"), "3", "0", "2", "--precision=float", f"--log={tmpdir_path}/log"])
+    assert again["iterations"] == 2 and sorted(r["value"] for r in spark.read.text(os.path.join(tmpdir_path, "out.model")).collect()) == lines
