@@ -40,7 +40,7 @@ from pyspark.sql import SparkSession
 from .plans.featurize import featurize_text
 from .plans.kmeans import fit
 from .plans.report import label_documents, label_lines
-from .session import ensure_checkpoint_dir, path_exists
+from .session import ensure_checkpoint_dir, min_input_splits, path_exists
 from .sinks.text import feature_lines, membership_lines, read_centers, write_centers, write_lines
 from .sources.documents import read_documents
 from .sources.points import read_points
@@ -66,7 +66,16 @@ def read_options(spark: SparkSession, path: str) -> dict:
     return json.loads(row["value"])
 
 
+#: Splits that the input of a job is cut into at least.
+MIN_SPLITS = 32
+
+
 def run(spark: SparkSession, argv: list[str]) -> dict:
+    with min_input_splits(spark, MIN_SPLITS):
+        return _run(spark, argv)
+
+
+def _run(spark: SparkSession, argv: list[str]) -> dict:
     if not argv:
         raise SystemExit(USAGE)
     mode = argv[0]

@@ -170,3 +170,14 @@ def lloyd_pass_large(points: DataFrame, centers: DataFrame, d: int, center_rows:
     new = listed.select("_c", "n", F.slice(whole, 1, d).alias("mean"))
     joined = centers.join(new, F.col("cluster_id") == F.col("_c"), "left")
     return _stored(joined.select("cluster_id", F.coalesce("mean", "center").alias("center"), F.coalesce("n", F.lit(0)).cast("long").alias("n")), "large-pass")
+
+
+def fit_large(points: DataFrame, k: int, d: int, max_iter: int, order_by: str = "id", precision: str = "double", center_rows: int = CENTER_ROWS, part_bytes: int = PART_BYTES) -> tuple[DataFrame, DataFrame]:
+    """``max_iter`` passes from the first ``k`` points: (centres with sizes, lagged membership). Equals ``fit``; nothing is collected."""
+    sizes = {"center_rows": center_rows, "part_bytes": part_bytes, "precision": precision}
+    blocks = _stored(to_blocks(points, d, "id", precision).withColumn("block", F.monotonically_increasing_id()), "large-points")
+    centers, previous = seed_table(points, k, d, order_by), None
+    for _ in range(max_iter):
+        previous = centers.select("cluster_id", "center")
+        centers = lloyd_pass_large(blocks, previous, d, **sizes)
+    return centers, predict_large(blocks, previous, d, **sizes)

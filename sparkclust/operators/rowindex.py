@@ -242,12 +242,12 @@ def with_scan_index(df: DataFrame, out: str = "row_idx") -> DataFrame:
 
 def _by_range(df: DataFrame, keys: list[Column], n: int | None, size: Column | None = None) -> DataFrame:
     """(row, range, place, and with ``size`` the running sum before the row) in key order, equal keys in scan order."""
-    n = n or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     names = [f"k{i}" for i in range(len(keys))]
     extra = [] if size is None else [F.coalesce(size, F.lit(0)).cast("long").alias("size")]
     keyed = df.select(_whole_row(df), *[k.alias(c) for k, c in zip(keys, names)], *extra, F.monotonically_increasing_id().alias("tie"))
     # the scan position as last key lets the ranges split one very frequent key
-    dealt = keyed.repartitionByRange(n, *names, "tie").sortWithinPartitions(*names, "tie")
+    # (without a number of ranges, Spark joins small neighbours of its shuffle partitions)
+    dealt = keyed.repartitionByRange(*([n] if n else []), *names, "tie").sortWithinPartitions(*names, "tie")
     place = F.monotonically_increasing_id()
     cols = ["row", F.shiftright(place, 33).cast("int").alias("range"), place.bitwiseAND(F.lit(_LOW_BITS)).alias("place")]
     placed = dealt.select(*cols, *([] if size is None else ["size"]))
@@ -299,11 +299,15 @@ def with_file_position(df: DataFrame, out: str = "row_idx") -> DataFrame:
     )
     splits = raw.groupBy("file", "block").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first"))
     offsets = running_offsets(splits, ["file", "block"], "n", "off")
-    offsets = offsets.select(F.col("file").alias("_file"), F.col("block").alias("_block"), "off", "first")
+    offsets = offsets.select(F.col("file").alias("_file"), F.col("block").alias("_block"), "off", "first", "n")
     if offsets.count() <= MAX_BROADCAST_SPLITS:  # rows stay in their scan order; beyond it Spark shuffles
         offsets = F.broadcast(offsets)
-    joined = raw.join(offsets, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")))
-    return joined.select(*_unpacked(df, out), (F.col("off") + F.col("at") - F.col("first")).cast("long").alias(out))
+    joined = raw.join(offsets, (F.col("file") == F.col("_file")) & (F.col("block") == F.col("_block")), "left")
+    # the scan has to be cut as it was when its splits were counted
+    place = F.col("at") - F.col("first")
+    other = F.raise_error(F.lit("the input is split in another way than when its rows were counted")).cast("long")
+    position = F.when((place >= 0) & (place < F.col("n")), F.col("off") + place).otherwise(other)
+    return joined.select(*_unpacked(df, out), position.cast("long").alias(out))
 
 
 def running_offsets(

@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import SparkSession
 
@@ -67,6 +68,21 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return bool(list_paths(spark, path))
 
 
+@contextmanager
+def min_input_splits(spark: SparkSession, minimum: int):
+    """Inside, file scans are cut into at least ``minimum`` splits where their format can be cut (text anywhere, Parquet
+    between row groups). Large inputs have more splits anyway. The splits are found when a scan runs, so the jobs have to run inside."""
+    names = {"spark.sql.files.minPartitionNum": str(minimum), "spark.sql.files.openCostInBytes": "65536"}
+    before = {n: spark.conf.get(n, None) for n in names}
+    for n, v in names.items():
+        spark.conf.set(n, v)
+    try:
+        yield
+    finally:
+        for n, v in before.items():
+            spark.conf.unset(n) if v is None else spark.conf.set(n, v)
+
+
 def ensure_parallelism(df, minimum: int | None = None):
     """Spread a batch DataFrame with fewer partitions than cores (e.g. a one-split file).
 

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from sparkclust import fit, predict
 from sparkclust.operators.blocks import assign_blocks, first_of_blocks, to_blocks
 from sparkclust.operators.exact import ExactSums, digits, rounded
-from sparkclust.operators.large_model import lloyd_pass_large, predict_large, seed_table
+from sparkclust.operators.large_model import fit_large, lloyd_pass_large, predict_large, seed_table
 from sparkclust.operators.pruned import CenterGroups, Scan
 from sparkclust.operators.seed import seed_first_k
 from sparkclust.operators.update import step_stats, update_centers
@@ -183,6 +183,8 @@ def test_a_model_larger_than_a_task(spark):
         got = centers.orderBy("cluster_id").collect()
         assert [r["center"] for r in got] == run.centers
     assert [r["n"] for r in got] == [n for n in step_stats(pts, run.previous).n]
+    last, membership = fit_large(pts, k, d, 3, **small)
+    assert last.orderBy("cluster_id").collect() == got and sorted(membership.collect()) == sorted(run.membership.collect())
     # ties, an empty cluster, zero sums, a width of more than one block, and single precision
     rng = random.Random(2)
     rows = [(i, [float(rng.randint(-1, 1))] * 33 + [rng.random()] * 7 if i % 5 else [0.0] * 40) for i in range(200)]
@@ -284,3 +286,20 @@ def test_single_precision_model_text(spark, tmpdir_path):
     assert tasks.agg(F.sum("rows")).first()[0] == 18
     again = run_job(spark, ["par_train_cpu", src, os.path.join(tmpdir_path, "out"), "3", "0", "2", "--precision=float", f"--log={tmpdir_path}/log"])
     assert again["iterations"] == 2 and sorted(r["value"] for r in spark.read.text(os.path.join(tmpdir_path, "out.model")).collect()) == lines
+
+
+def test_text_is_cut_into_splits_without_a_shuffle(spark, tmpdir_path):
+    from sparkclust import read_points
+    from sparkclust.session import ensure_parallelism, min_input_splits
+
+    path = os.path.join(tmpdir_path, "points")
+    lines = spark.range(0, 60_000, 1, 1).select(F.concat_ws(" ", "id", F.col("id") * 2, F.lit("0.123456789012345")).alias("value"))
+    lines.write.text(path)
+    assert spark.read.text(path).rdd.getNumPartitions() == 1
+    with min_input_splits(spark, 20):
+        text = spark.read.text(path)
+        assert text.rdd.getNumPartitions() >= 20 and ensure_parallelism(text) is text
+        points = read_points(spark, path).points
+        assert points.where("features[0] <> 2 * id").isEmpty() and points.count() == 60_000
+    with pytest.raises(Exception, match="split in another way"):
+        points.agg(F.max("id")).collect()
