@@ -18,7 +18,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
@@ -134,12 +133,11 @@ def _descents(cols: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
     return below
 
 
-def _file_columns(df: DataFrame) -> DataFrame | None:
-    """``df`` as (row, file, at) with the place of each row in its Parquet file; None if it isn't read from such files."""
-    try:
-        return df.select(_whole_row(df), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"))
-    except AnalysisException:
-        return None
+def _has_row_index(df: DataFrame) -> bool:
+    """Whether the rows of ``df`` come from files that number their rows (Parquet), with that number still at hand."""
+    hidden = df._jdf.queryExecution().analyzed().metadataOutput()
+    kinds = [hidden.apply(i).dataType().catalogString() for i in range(hidden.size()) if hidden.apply(i).name() == "_metadata"]
+    return any("row_index:" in k for k in kinds)
 
 
 def _scan_runs(df: DataFrame, keys: Sequence[Column]) -> list | None:
@@ -147,10 +145,9 @@ def _scan_runs(df: DataFrame, keys: Sequence[Column]) -> list | None:
 
     None if the scan isn't dense (rows were filtered or multiplied) or not in key order.
     """
-    try:
-        narrow = df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"), *[k.alias(f"k{i}") for i, k in enumerate(keys)])
-    except AnalysisException:
+    if not _has_row_index(df):
         return None
+    narrow = df.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at"), *[k.alias(f"k{i}") for i, k in enumerate(keys)])
     names = [f"k{i}" for i in range(len(keys))]
     kinds = {c: narrow.schema[c].dataType.simpleString() for c in names}
 
@@ -219,7 +216,7 @@ def _by_file(df: DataFrame, runs: list, out: str) -> DataFrame:
         offsets.append((f, total))
         total += sizes[f]
     starts = F.broadcast(df.sparkSession.createDataFrame(offsets, "_file string, off long"))
-    placed = _file_columns(df).join(starts, F.col("file") == F.col("_file"))
+    placed = df.select(_whole_row(df), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("at")).join(starts, F.col("file") == F.col("_file"))
     return placed.select(*_unpacked(df, out), (F.col("off") + F.col("at")).cast("long").alias(out))
 
 
