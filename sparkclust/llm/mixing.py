@@ -8,11 +8,14 @@ sum sizes by (source, 10 bits of hash), find the bucket in which the rest is
 reached, sum only that bucket by its next 10 bits, and so on until it holds one
 document. Thresholds are nested: a larger target takes a superset.
 
+The hash is that of the id (without an id: of the text). Rows that share it, as repeated
+rows do, get hashes of their own from their scan position, so they are taken one by one.
+
 Defined results
 * null or empty text: size 0, takes 0 words; a null source is a source of its own (last in order).
 * a source of size 0 has target 0; an empty table gives an empty result.
 * the document at the threshold is taken if that brings the source nearer to its target.
-* repeated rows (same id and text) share a hash and are taken or left together.
+* rows of one id, and rows without an id of one text, are mixed like any others; reruns over the same files agree.
 * a null id is replaced by a hash of the text. Extra columns of the input are kept by ``mix``.
 """
 
@@ -102,20 +105,40 @@ def copies(
     id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keep: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per document: id, size, source_size, target, n_copies (and the columns in ``keep``)."""
-    key = F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit(""))))
-    compact = materialize(
-        docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"), size.alias("size"), hash60(key, seed).alias("key")),
-        "mix-compact",
-    )
+    key = hash60(F.coalesce(F.col(id_col).cast("string"), F.md5(F.coalesce(F.col(text_col), F.lit("")))), seed)
+    narrow = [F.col(id_col).alias("_id"), F.col(source_col).alias("source"), size.alias("size"), key.alias("key")]
+    compact = materialize(docs.select(*narrow, F.monotonically_increasing_id().alias("at")), "mix-compact")
+    shared = materialize(compact.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("_key"), "mix-shared")
+    n_shared = shared.count()
+    wide = docs.select(*keep, *narrow, F.lit(0).alias("at")) if keep else compact
+    if n_shared:
+        if keep:  # stored with their positions, so that both looks at the rows see the same ones
+            wide = materialize(docs.select(*keep, *narrow, F.monotonically_increasing_id().alias("at")), "mix-wide")
+            compact = _own_keys(wide.select("_id", "source", "size", "key", "at"), shared, n_shared, seed)
+            wide = _own_keys(wide, shared, n_shared, seed)
+        else:
+            wide = compact = materialize(_own_keys(compact, shared, n_shared, seed), "mix-keys")
     per_source = compact.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = _refine(compact, source_targets(per_source, weights, share, max_repeat)).withColumnRenamed("source", "_s")
     n_copies = (F.col("repeat") + (F.col("key") < F.col("threshold")).cast("long")).alias("n_copies")
-    if not keep:
-        joined = compact.join(plan, F.col("source").eqNullSafe(F.col("_s")))
-        return joined.select(F.col("_id").alias(id_col), "size", "source_size", "target", n_copies)
-    wide = docs.select(*keep, F.col(source_col).alias("_source"), size.alias("size"), hash60(key, seed).alias("key"))
-    joined = wide.join(plan, F.col("_source").eqNullSafe(F.col("_s")))
-    return joined.select(*keep, "size", "source_size", "target", n_copies)
+    joined = wide.join(plan, F.col("source").eqNullSafe(F.col("_s")))
+    named = [F.col(c) for c in keep] if keep else [F.col("_id").alias(id_col)]
+    return joined.select(*named, "size", "source_size", "target", n_copies)
+
+
+#: Up to this many shared hashes are broadcast; more are joined with salt.
+MAX_BROADCAST = 500_000
+
+
+def _own_keys(rows: DataFrame, shared: DataFrame, n_shared: int, seed: int) -> DataFrame:
+    """``rows`` with keys of their own for those whose key is in ``shared``."""
+    own = hash60(F.concat_ws("|", "key", "at"), seed)
+    if n_shared <= MAX_BROADCAST:
+        marked = rows.join(F.broadcast(shared), F.col("key") == F.col("_key"), "left")
+    else:
+        salted = shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        marked = rows.withColumn("_part", F.pmod("at", F.lit(16)).cast("int")).join(salted, (F.col("key") == F.col("_key")) & (F.col("_part") == F.col("_salt")), "left")
+    return marked.select(*[F.when(F.col("_key").isNotNull(), own).otherwise(F.col("key")).alias("key") if c == "key" else F.col(c) for c in rows.columns])
 
 
 def mix(docs: DataFrame, **options) -> DataFrame:
