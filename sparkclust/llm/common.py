@@ -63,6 +63,23 @@ def rank_in_group(df: DataFrame, groups: list[str], bucket: str, order: list[str
     return out.drop("_rn", "_off", "_total", *[f"_k{i}" for i in range(len(keys))])
 
 
+#: Equal rows that one task deals out.
+COPIES = 20_000
+
+
+def number_equal_rows(df: DataFrame, out: str) -> DataFrame:
+    """The rows of ``df`` with ``out``, a number from 0 among rows that are equal in all columns.
+
+    Equal rows are counted (in part before the shuffle) and dealt out again, many of them by several tasks.
+    """
+    counted = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_n"))
+    few = counted.where(F.col("_n") <= COPIES).withColumn("_first", F.lit(0).cast("long"))
+    firsts = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1, F.lit(COPIES).cast("long")))
+    many = counted.where(F.col("_n") > COPIES).withColumn("_first", firsts).repartition(*[F.col(f"`{c}`") for c in df.columns], "_first")
+    numbers = F.explode(F.sequence(F.col("_first"), F.least(F.col("_n"), F.col("_first") + COPIES) - 1))
+    return few.unionByName(many).withColumn(out, numbers).drop("_n", "_first")
+
+
 def stream_groups(frames, keys: list[str]):
     """Groups of equal adjacent ``keys`` in a stream of Arrow batches: (key tuple, table), one group in memory."""
     import numpy as np

@@ -9,11 +9,12 @@ is ``rows``: shard sizes are at most one row apart.
 
 Neither ranking puts a group into one task: rows are numbered inside buckets
 (of the hash within a source, of the fractional rank overall) and shifted by
-the counts of the buckets before.
+the counts of the buckets before. Equal rows are numbered among themselves (they are
+counted, and dealt out again with numbers), so they have hashes of their own and spread as well.
 
 Defined results
 * null or empty text: size 16 (0 bytes and 16), text_crc32 0; a null source is a stratum of its own.
-* ties (repeated rows, null ids) are ordered by id, text checksum and size; such rows are interchangeable.
+* repeated rows (same id, source and text; null ids too) are interchangeable; each has a place of its own.
 * fewer rows than shards: one row per shard, the rest of the shards are empty; an empty table gives an empty result.
 * equal texts are spread like any other rows: the law ``rows`` does not keep groups together.
 * extra columns of the input are carried by ``write_shards``.
@@ -24,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_bits, materialize, rank_in_group, table
+from .common import bucket_bits, materialize, number_equal_rows, rank_in_group, table
 
 
 def assign_shards(docs: DataFrame, n_shards: int = 40, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -37,18 +38,20 @@ def assign_shards(docs: DataFrame, n_shards: int = 40, seed: int = 0, id_col: st
             F.col(source_col).alias("source"),
             (F.octet_length(text).cast("long") + 16).alias("size"),
             crc.alias("text_crc32"),
-            F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), crc), 4).alias("h"),
         ),
         "shard-compact",
     )
+    compact = materialize(number_equal_rows(compact, "copy"), "shard-numbered")
+    first = F.xxhash64(F.lit(seed), F.col("id").cast("string"), "text_crc32")
+    compact = compact.withColumn("h", F.shiftrightunsigned(F.when(F.col("copy") == 0, first).otherwise(F.xxhash64(first, "copy")), 4))
     n = compact.count()
     bits = bucket_bits(n)
     within = compact.withColumn("_b", F.shiftright("h", 60 - bits))
-    ranked = rank_in_group(within, ["source"], "_b", ["h", "id", "text_crc32", "size"], "_r", "_of")
+    ranked = rank_in_group(within, ["source"], "_b", ["h", "id", "text_crc32", "size", "copy"], "_r", "_of")
     phase = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), F.coalesce("source", F.lit("")), F.col("source").isNull()), 11) / float(1 << 53)
     placed = materialize(ranked.withColumn("_f", (F.col("_r") + phase) / F.col("_of")).drop("_b", "_r", "_of"), "shard-ranked")
     spread = placed.withColumn("_b", F.least(F.floor(F.col("_f") * (1 << bits)), F.lit((1 << bits) - 1)).cast("long"))
-    ordered = rank_in_group(spread.withColumn("_all", F.lit(0)), ["_all"], "_b", ["_f", "source", "h", "id", "text_crc32", "size"], "_pos")
+    ordered = rank_in_group(spread.withColumn("_all", F.lit(0)), ["_all"], "_b", ["_f", "source", "h", "id", "text_crc32", "size", "copy"], "_pos")
     shard = F.expr(f"_pos * {n_shards}L div {max(n, 1)}L")
     return ordered.withColumn("shard", shard.cast("int")).select(
         F.col("id").alias(id_col), "size", "text_crc32", "source", "shard",
