@@ -30,7 +30,6 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..operators.rowindex import range_column
 from ..session import scratch_path
 from .common import materialize, table
 from .encoding import encoder, text_bytes, text_slices
@@ -159,47 +158,38 @@ def write_files(docs: DataFrame, path: str, vocab: str, end_id: int = 0, kind: i
                 n_files: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Encode every text, write the files under ``path``, return the manifest (file, name, n_docs, n_ids, start)."""
     n = n_files or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
-    rng = range_column(keyed.select("id", "h"), [F.col("id"), F.col("h")], n)
-    dealt = keyed.withColumn("file", rng).repartitionById(n, F.col("file")).sortWithinPartitions("file", "id", "h")
+    # the scan position as last key splits equal rows over files
+    keyed = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.monotonically_increasing_id().alias("at"), F.col(text_col).alias("text"))
+    dealt = keyed.repartitionByRange(n, "id", "h", "at").sortWithinPartitions("id", "h", "at").select("id", "text")
 
     def run(frames):
         import pyarrow as pa
 
+        from pyspark import TaskContext
+
         fs, base = _filesystem(path)
         fs.create_dir(base, recursive=True)
-        enc, out, current = encoder(vocab), None, None
-        done = []
-
-        def finish():
-            out[0].close()
-            out[1].close()
-            fs.move(out[2], out[3])
-            done.append((current, out[3].rsplit("/", 1)[1], sum(map(len, out[0].doc_ids)), out[0].n_ids))
-
+        file = TaskContext.get().partitionId()  # ranges are numbered in order of their keys
+        name = f"{base.rstrip('/')}/ids-{file:06d}.bplane"
+        tmp = f"{name}.{uuid.uuid4().hex}.tmp"
+        enc, out, sink = encoder(vocab), None, None
         for frame in text_slices(frames, "text", encodes=True):
-            files = frame.column("file").to_numpy(zero_copy_only=False)
             ids, texts = frame.column("id"), text_bytes(frame.column("text"))
+            if not texts:
+                continue
+            if out is None:
+                sink = fs.open_output_stream(tmp)
+                out = Writer(sink, kind, block_ids)
+            flat, counts = enc.encode(texts)
             nulls = ids.is_null().to_numpy(zero_copy_only=False)
-            ids = ids.fill_null(0).to_numpy(zero_copy_only=False)
-            cuts = [0, *(np.flatnonzero(np.diff(files)) + 1).tolist(), len(files)]
-            for a0, b0 in zip(cuts, cuts[1:]):
-                if b0 == a0:
-                    continue
-                if current != int(files[a0]):
-                    if out:
-                        finish()
-                    current = int(files[a0])
-                    name = f"{base.rstrip('/')}/ids-{current:06d}.bplane"
-                    tmp = f"{name}.{uuid.uuid4().hex}.tmp"
-                    sink = fs.open_output_stream(tmp)
-                    out = (Writer(sink, kind, block_ids), sink, tmp, name)
-                flat, counts = enc.encode(texts[a0:b0])
-                out[0].append(np.insert(flat, np.cumsum(counts), end_id).astype(np.uint32), ids[a0:b0], nulls[a0:b0], counts + 1)
-        if out:
-            finish()
-        cols = list(zip(*done)) or [[], [], [], []]
-        yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int32()), pa.array(cols[1], pa.string()), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], ["file", "name", "n_docs", "n_ids"])
+            out.append(np.insert(flat, np.cumsum(counts), end_id).astype(np.uint32), ids.fill_null(0).to_numpy(zero_copy_only=False), nulls, counts + 1)
+        if out is not None:
+            out.close()
+            sink.close()
+            fs.move(tmp, name)
+            done = [file], [name.rsplit("/", 1)[1]], [sum(map(len, out.doc_ids))], [out.n_ids]
+            kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(done, kinds)], ["file", "name", "n_docs", "n_ids"])
 
     manifest = materialize(dealt.mapInArrow(run, "file int, name string, n_docs long, n_ids long"), "bitplane-manifest")
     # one row a file: the window is over at most n rows
