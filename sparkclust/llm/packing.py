@@ -14,7 +14,8 @@ length: a search in a table of at most a few runs per length.
 
 Defined results
 * null or empty text: the end id alone, a piece of 1 token; very long texts are encoded whole and cut.
-* pieces of equal length are interchangeable; they are ranked by a hash of id, piece and ids.
+* pieces of equal length are interchangeable; they are ranked by a hash of id, piece, ids and stored row number,
+  so equal pieces spread over the ranking's buckets like any others.
 * repeated rows and null ids are packed like any other; an empty table gives an empty result.
 * extra columns of the input are not read.
 """
@@ -131,14 +132,14 @@ def pack_lengths(counts: dict[int, int], capacity: int = 2048, max_docs: int = 2
 
 def pack(pieces: DataFrame, capacity: int = 2048, **rules) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to pieces (doc_id, piece, length, ids_crc32, ...)."""
-    pieces = materialize(pieces, "pack-pieces")
+    pieces = materialize(pieces.withColumn("_row", F.monotonically_increasing_id()), "pack-pieces")
     histogram = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     runs, _ = pack_lengths(histogram, capacity, **rules)
     runs.sort()
     bits = bucket_bits(sum(histogram.values()))
-    h = F.shiftrightunsigned(F.xxhash64("doc_id", "piece", "ids_crc32"), 4)
+    h = F.shiftrightunsigned(F.xxhash64("doc_id", "piece", "ids_crc32", "_row"), 4)
     keyed = pieces.withColumn("_h", h).withColumn("_b", F.shiftright("_h", 60 - bits))
-    ranked = rank_in_group(keyed, ["length"], "_b", ["_h", "doc_id", "piece", "ids_crc32"], "_rank").drop("_h", "_b")
+    ranked = rank_in_group(keyed, ["length"], "_b", ["_h", "_row"], "_rank").drop("_h", "_b", "_row")
     # a few runs for each of at most `capacity` lengths
     shared = pieces.sparkSession.sparkContext.broadcast(np.array(runs, np.int64).reshape(-1, 6))
     schema = ranked.drop("_rank").schema.add("sequence_id", "long").add("offset", "long")

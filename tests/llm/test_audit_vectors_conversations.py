@@ -282,3 +282,72 @@ def test_report_of_awkward_conversations(spark):
     whole = conversations.repair_conversations(df, output="rows").where("conv_id = 104").orderBy("place").collect()
     assert [(r["place"], r["edit"], r["text"]) for r in whole] == [(t, "K", f"Row {t}." * (1 + 2000 * (t == 7))) for t in range(3000)]
     assert conversations.repair_conversations(df.where("false")).count() == 0
+
+
+# ---- rows that are equal ---------------------------------------------------------
+
+
+def repeated_rows(n=10_000):
+    """Equal rows as half of the table: one id, no id, and one id with several texts."""
+    rows = [(7, "the same words here", "en", "hot", 0)] * (n // 2) + [(None, "no id at all", "en", "hot", 0)] * (n // 4)
+    rows += [(8, f"text {i % 50} of one id", "en", "hot", 0) for i in range(n // 4)]
+    return rows + [(100 + i, "w " * (1 + i % 40), "en", "abc"[i % 3], 0) for i in range(n)]
+
+
+
+
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_mix_takes_equal_rows_one_by_one(spark, monkeypatch, most):
+    from sparkclust.llm import common, mixing
+
+    monkeypatch.setattr(mixing, "MAX_BROADCAST", most)
+    df = frame(spark, repeated_rows(), clash=False).repartition(7)
+    got = mixing.copies(df, common.word_count(F.col("text"))).toPandas()
+    taken = (got["size"] * got["n_copies"]).groupby([got["target"], got["source_size"]]).sum()
+    assert len(taken) == 4 and all(abs(t - n) <= 40 for (t, _), n in taken.items())
+    assert got.groupby(["target", "source_size"])["n_copies"].agg(lambda c: c.max() - c.min()).max() <= 1
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns
+    per_source = mixed.groupBy("source").agg(F.sum(common.word_count(F.col("text"))).alias("n")).toPandas()
+    want = taken.tolist()
+    assert all(min(abs(n - t) for t in want) <= 80 for n in per_source["n"])
+
+
+def test_shards_files_and_packs_split_equal_rows(spark):
+    import public_tokenizers
+
+    from sparkclust.llm import bitplane, common, packing, sharding
+    from sparkclust.session import scratch_path
+
+    rows = repeated_rows(4000)
+    df = common.materialize(frame(spark, rows), "repeated")
+    shards = sharding.assign_shards(df)
+    assert Counter(r["count"] for r in shards.groupBy("shard").count().collect()) == Counter({200: 40})
+    hot = [r["count"] for r in shards.where("doc_id = 7").groupBy("shard").count().collect()]
+    assert len(hot) == 40 and max(hot) - min(hot) <= 40
+    again = sharding.assign_shards(df.repartition(5))
+    assert sorted(map(str, shards.collect())) == sorted(map(str, again.collect()))
+    slots = {(r["shard"], r["slot"]) for r in shards.collect()}
+    assert slots == {(s, k) for s in range(40) for k in range(200)}
+    numbered = common.number_equal_rows(df.select("doc_id", "text", "source"), "copy")
+    assert numbered.count() == len(rows) and numbered.where("doc_id = 7").agg(F.count_distinct("copy"), F.max("copy")).first() == (2000, 1999)
+    path = scratch_path(spark, "planes")
+    manifest = bitplane.write_files(df, path, public_tokenizers.path("byte_bpe_50k.json"), n_files=8)
+    sizes = [r["n_docs"] for r in manifest.collect()]
+    assert sum(sizes) == len(rows) and len(sizes) == 8 and max(sizes) <= 2 * sorted(sizes)[4]
+    back = bitplane.read_files(manifest, path).orderBy("start").collect()
+    ids = [r["doc_id"] for r in back]
+    assert ids == sorted(ids, key=lambda i: (i is not None, i)) and [r["start"] for r in back][1:] == list(np.cumsum([r["n_tokens"] for r in back])[:-1])
+    packed = packing.pack(packing.cut_pieces(df, public_tokenizers.path("word_bpe_49k.json"))).toPandas()
+    assert len(packed) == len(rows) and packed.groupby("sequence_id")["length"].sum().max() <= 2048
+    assert sorted(packed.columns) == sorted(["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
+
+
+@pytest.mark.parametrize("chunk", [3, 20_000])
+def test_equal_rows_are_numbered_by_many_tasks(spark, monkeypatch, chunk):
+    from sparkclust.llm import common
+
+    monkeypatch.setattr(common, "COPIES", chunk)
+    df = spark.createDataFrame([(1, "a")] * 10 + [(None, None)] * 7 + [(2, "b")], "id int, t string")
+    got = Counter(tuple(r) for r in common.number_equal_rows(df, "copy").collect())
+    assert got == Counter([(1, "a", k) for k in range(10)] + [(None, None, k) for k in range(7)] + [(2, "b", 0)])
