@@ -17,4 +17,4 @@ QUERIES = {
     "op12_hyperplanes": hyperplane.op12_hyperplanes,
     "op13_conversations": conversations.op13_conversations,
 }
-ORACLE = {"op2_mix": mixing.SQL, "op3_xent": lmscore.SQL, "op6_lines": quality.SQL, "op7_voronoi": knn.SQL, "op11_filter_audit": filter_audit.SQL, "op12_hyperplanes": hyperplane.SQL, "op13_conversations": conversations.SQL}
+ORACLE = {"op2_mix": mixing.SQL, "op3_xent": lmscore.SQL, "op6_lines": quality.SQL, "op7_voronoi": knn.SQL, "op8_shards": sharding.SQL, "op11_filter_audit": filter_audit.SQL, "op12_hyperplanes": hyperplane.SQL, "op13_conversations": conversations.SQL}

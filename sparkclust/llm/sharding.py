@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_bits, materialize, number_equal_rows, rank_in_group, table
+from .common import bucket_bits, hash60, materialize, number_equal_rows, rank_in_group, table
 
 
 def assign_shards(docs: DataFrame, n_shards: int = 40, seed: int = 0, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
@@ -42,13 +42,13 @@ def assign_shards(docs: DataFrame, n_shards: int = 40, seed: int = 0, id_col: st
         "shard-compact",
     )
     compact = materialize(number_equal_rows(compact, "copy"), "shard-numbered")
-    first = F.xxhash64(F.lit(seed), F.col("id").cast("string"), "text_crc32")
-    compact = compact.withColumn("h", F.shiftrightunsigned(F.when(F.col("copy") == 0, first).otherwise(F.xxhash64(first, "copy")), 4))
+    name = F.concat_ws("|", F.coalesce(F.col("id").cast("string"), F.lit("")), "text_crc32", "copy")
+    compact = compact.withColumn("h", hash60(name, seed))
     n = compact.count()
     bits = bucket_bits(n)
     within = compact.withColumn("_b", F.shiftright("h", 60 - bits))
     ranked = rank_in_group(within, ["source"], "_b", ["h", "id", "text_crc32", "size", "copy"], "_r", "_of")
-    phase = F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), F.coalesce("source", F.lit("")), F.col("source").isNull()), 11) / float(1 << 53)
+    phase = F.shiftright(hash60(F.coalesce("source", F.lit("")), seed + 1), 7) / float(1 << 53)
     placed = materialize(ranked.withColumn("_f", (F.col("_r") + phase) / F.col("_of")).drop("_b", "_r", "_of"), "shard-ranked")
     spread = placed.withColumn("_b", F.least(F.floor(F.col("_f") * (1 << bits)), F.lit((1 << bits) - 1)).cast("long"))
     ordered = rank_in_group(spread.withColumn("_all", F.lit(0)), ["_all"], "_b", ["_f", "source", "h", "id", "text_crc32", "size", "copy"], "_pos")
@@ -69,3 +69,24 @@ def write_shards(docs: DataFrame, path: str, n_shards: int = 40, id_col: str = "
 def op8_shards(spark, sf_dir):
     out = assign_shards(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+# (crc32 goes through its table of 256 remainders, byte by byte)
+SQL = """
+WITH tab AS (SELECT list(list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda b, y: xor(b >> 1, 3988292384 * (b & 1))) ORDER BY i) AS t
+             FROM (SELECT unnest(range(256))::BIGINT AS i)),
+b AS (SELECT doc_id, source, coalesce(text, '') AS text, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT doc_id, source, (octet_length(encode(text)) + 16)::BIGINT AS size,
+             xor(4294967295, list_reduce([4294967295::BIGINT] || list_transform(regexp_extract_all(x, '..'), lambda v: ('0x' || v)::BIGINT),
+               lambda c, v: xor(c >> 8, t[(xor(c, v) & 255) + 1]))) AS text_crc32
+      FROM b, tab),
+d AS (SELECT *, row_number() OVER (PARTITION BY doc_id, source, size, text_crc32) - 1 AS copy FROM c),
+h AS (SELECT *, ('0x' || substr(md5('0|' || coalesce(doc_id::VARCHAR, '') || '|' || text_crc32 || '|' || copy), 1, 15))::BIGINT AS h,
+             (('0x' || substr(md5('1|' || coalesce(source, '')), 1, 15))::BIGINT >> 7) / 9007199254740992.0::DOUBLE AS phase FROM d),
+r AS (SELECT *, (row_number() OVER (PARTITION BY source ORDER BY h, doc_id NULLS FIRST, text_crc32, size, copy) - 1 + phase)
+             / (count(*) OVER (PARTITION BY source))::DOUBLE AS f FROM h),
+p AS (SELECT *, row_number() OVER (ORDER BY f, source NULLS FIRST, h, doc_id NULLS FIRST, text_crc32, size, copy) - 1 AS pos, count(*) OVER () AS n FROM r)
+SELECT doc_id, size, text_crc32, 'rows' AS law, (pos * 40 // n)::INTEGER AS shard,
+       (pos - ((pos * 40 // n) * n + 39) // 40)::BIGINT AS slot, NULL::INTEGER AS grown_shard
+FROM p
+"""
