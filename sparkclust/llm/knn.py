@@ -14,6 +14,7 @@ is what gets replicated; candidates are shuffled once.
 
 Defined results
 * vectors that are null, empty, or hold null or non-finite components take no part.
+* scores beyond 64 bits are the largest or smallest LONG; components count as 2**100 / scale at most.
 * vectors of different widths have no score; each width is joined on its own.
 * ties in the score go to the smaller id; rows with the query's own id are never its candidates.
 * repeated rows (one id, equal vectors) count as rows of their own; a null id takes no part.
@@ -34,7 +35,11 @@ _EXACT = 2.0**52  # sums of products below this are exact in float64
 
 def quantize(vectors: DataFrame, is_query: Column, scale: int, id_col: str, vector_col: str) -> DataFrame:
     """(id, q, v array<double> of whole numbers, width) of the vectors that take part."""
-    v = F.transform(F.col(vector_col), lambda x: F.floor(x.cast("double") * scale).cast("double"))
+    def whole(x: Column) -> Column:
+        x = F.greatest(F.lit(-(2.0**100)), F.least(F.lit(2.0**100), x.cast("double") * scale))
+        return F.when(F.abs(x) < 2.0**53, F.floor(x).cast("double")).otherwise(x)  # such doubles are whole
+
+    v = F.transform(F.col(vector_col), whole)
     finite = F.forall(F.col(vector_col), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < float("inf")))
     good = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & (F.size(vector_col) > 0) & F.coalesce(finite, F.lit(False)))
     return good.select(
@@ -196,6 +201,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 10, scale: int = 1024,
                         scores = q @ y.T
                     else:  # whole numbers of any size
                         scores = np.array([[int(u) for u in r] for r in q], object) @ np.array([[int(u) for u in r] for r in y], object).T
+                        scores = np.minimum(np.maximum(scores, -(2**63)), 2**63 - 1)
                     out = ([], [], [], [])
                     for i, s in enumerate(scores):
                         other = cand != part_ids[q0 + i]

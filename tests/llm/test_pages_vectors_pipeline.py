@@ -181,6 +181,18 @@ def test_numbers_beyond_exact_floats(spark):
     assert {tuple(r) for r in knn.top_k(df, F.col("vec_id") == 0).collect()} == brute_top(rows, 10)
 
 
+def test_scores_beyond_a_long_saturate(spark):
+    rows = [(0, [1e9, 1.0]), (1, [1e9, 0.0]), (2, [-1e9, 0.0]), (3, [1e13, 0.0]), (4, [0.0, 1e36]), (5, [0.0, 0.5]), (10, [3.4e38, -3.4e38]), (6, [2.0, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = {tuple(r) for r in knn.top_k(df, F.col("vec_id") % 10 == 0).collect()}
+    whole = {i: [int(np.floor(min(2.0**100, max(-(2.0**100), 1024 * float(np.float32(c)))))) for c in v] for i, v in rows}
+    want = set()
+    for i in (0, 10):
+        scores = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(whole[i], v)))), j) for j, v in whole.items() if j != i)
+        want |= {(i, r + 1, j, -s) for r, (s, j) in enumerate(scores)}
+    assert got == want
+
+
 def test_pipeline_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["language_id", "quality_rules", "ngram_jaccard", "mix_sources", "pack_sequences"]
     rows = awkward_rows()
