@@ -20,10 +20,13 @@ from pyspark.sql import functions as F  # noqa: E402
 
 from sparkclust.job import run as run_job  # noqa: E402
 from sparkclust.operators.assign import predict  # noqa: E402
+from sparkclust.operators.large_model import lloyd_pass_large, seed_table  # noqa: E402
 from sparkclust.operators.rowindex import with_row_index  # noqa: E402
+from sparkclust.operators.seed import seed_first_k  # noqa: E402
 from sparkclust.plans.featurize import hashed_tf_dense, hashed_tf_long, hashed_tf_sparse  # noqa: E402
 from sparkclust.plans.kmeans import fit  # noqa: E402
 from sparkclust.plans.report import label_documents  # noqa: E402
+from sparkclust.plans.stored import store_training  # noqa: E402
 from sparkclust.session import ensure_parallelism, local_session, scratch_path  # noqa: E402
 from sparkclust.sinks.text import feature_lines, write_lines  # noqa: E402
 from sparkclust.sources.documents import documents_from_table  # noqa: E402
@@ -127,6 +130,21 @@ def main() -> None:
         docs = documents_from_table(ensure_parallelism(table(spark, sf_dir, "documents")))
         label_documents(docs, shared["text_centers"]).groupBy("cluster_id").count().collect()
 
+    def predict_many():
+        pts = order_points(spark, sf_dir)
+        predict(pts, seed_first_k(pts, 500), path="arrow").groupBy("cluster_id").count().collect()
+
+    def stored_kmeans():
+        run = store_training(embedding_pts(), scratch_path(spark, "bench-store"), K).train(10)
+        run.membership().groupBy("cluster_id").count().collect()
+
+    def embedding_pts():
+        return points_from_array(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+    def large_model():
+        pts = embedding_pts()
+        lloyd_pass_large(pts, seed_table(pts, 500, 64), 64, center_rows=100).count()
+
     timed("orders_kmeans_k7_t20", orders_kmeans)
     timed("lineitem_kmeans_k7_t20", lineitem_kmeans)
     timed("embeddings_kmeans_k7_t20", embeddings_kmeans)
@@ -141,6 +159,9 @@ def main() -> None:
     timed("point_parse_orders", point_parse)
     timed("feature_sink", feature_sink)
     timed("job_par_train_t5", job_train)
+    timed("predict_orders_k500", predict_many)
+    timed("stored_kmeans_k7_t10", stored_kmeans)
+    timed("large_model_pass_k500", large_model)
 
     m = re.search(r"sf([0-9.]+)$", sf_dir)
     out = {
