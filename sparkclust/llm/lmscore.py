@@ -5,6 +5,8 @@ of the corpus are gathered once, split into target documents and all documents,
 the vocabulary and cover the same 4-grams. Each is an interpolated Witten-Bell model of orders 4 to 1
 over a uniform floor, built from the count table with aggregates and joins. A document's losses are
 the means of -ln p over its tokens; its score is target loss minus background loss (low: like the target).
+A document is scored by models that have counted it: all documents by the background model, target documents by both,
+which lowers their target loss by what one text weighs among all target texts.
 
 The counts are summed within stretches of text, then by Spark within each task, then shuffled. Scoring reads
 the texts again: with up to ``MAX_BROADCAST`` 4-grams their two log-probabilities are broadcast; beyond that the
