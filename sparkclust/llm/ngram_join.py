@@ -3,16 +3,15 @@
 1. Each text becomes its set of ``n``-word shingles (64-bit hashes) and a signature of
    ``trees`` labels, each a string of ``depth`` minimum hashes. Texts of one shingle set form a
    class; one representative of each goes on.
-2. A tree is a prefix trie over its labels. Representatives that share a prefix of the current
-   depth in some tree meet in a bucket. Inside a bucket, members whose signatures agree closely
-   (far below the threshold, so borderline pairs pass) are connected; a breadth-first
-   walk compares each member only with those not reached yet.
-3. Connected buckets give candidate components. All pairs of a component are verified on their
+2. A tree is a prefix trie over its labels. A link of similarity s shares a prefix of length k in some tree
+   with probability ``1 - (1 - s**k)**trees``; the shortest length needed is the longest one at which this bound
+   reaches the target at the threshold itself. Representatives that share a prefix of that length meet in a bucket,
+   sorted by label, which is a branch of the trie. From there the walk starts with whole labels and shortens the
+   prefix step by step: at each length, members under one node that are not connected yet are compared, and those
+   whose signatures agree closely (far below the threshold, so borderline pairs pass) are connected.
+3. Connected members give candidate components. All pairs of a component are verified on their
    exact shingle sets, in blocks of bounded size, and counted once.
-4. The verified similarities give the chance that the forest finds a link at this depth. While
-   that recall, in the weakest similarity band that occurs, is under the target, prefixes are
-   shortened by one and steps 2 and 3 run again.
-5. Components of the verified links are the groups.
+4. Components of the verified links are the groups.
 
 Words are runs of characters outside ASCII white space. A link joins two documents whose
 sets have Jaccard similarity >= ``threshold``.
@@ -45,7 +44,8 @@ LOOSE = 0.65
 BUCKET_BLOCK, VERIFY_BLOCK = 20_000, 500
 #: Up to this many candidate texts are marked by a broadcast of their hashes (about 60 bytes each); more by a shuffle join.
 MAX_BROADCAST = 500_000
-BANDS = (0.85, 0.9)
+#: Bytes of text whose shingles are worked on at once.
+SLICE = 1_000_000
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -124,7 +124,7 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     def run(frames):
         import pyarrow as pa
 
-        for f in text_slices(frames, "text"):
+        for f in text_slices(frames, "text", SLICE):
             texts = text_bytes(f.column("text"))
             if texts:
                 h, n = shingle_sets(texts)
@@ -144,27 +144,76 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return materialize(sketched.withColumn("uid", F.monotonically_increasing_id()), "join-sketch")
 
 
-def _bucket_edges(reps: DataFrame, depth: int) -> DataFrame:
-    """Edges (a, b) that connect close members of the buckets of all trees at this prefix depth."""
+def prefix_length(target: float = TARGET, s: float = THRESHOLD[0] / THRESHOLD[1]) -> int:
+    """The longest prefix by which links of similarity ``s`` are found with probability ``target``."""
+    return max((k for k in range(1, DEPTH + 1) if 1 - (1 - s**k) ** TREES >= target), default=1)
+
+
+def walk(sig: np.ndarray, label: np.ndarray, longest: int, shortest: int, need: int) -> list[tuple[int, int]]:
+    """Edges that connect close members of a branch, from prefixes of length ``longest`` down to ``shortest``.
+
+    ``label`` (rows sorted) has the labels of the branch's tree; members are close if ``need`` numbers of ``sig`` agree.
+    """
+    group = np.arange(len(sig))  # what is connected so far
+    edges = []
+    for length in range(longest, shortest - 1, -1):
+        turns = np.flatnonzero((label[1:, :length] != label[:-1, :length]).any(1)) + 1
+        for a, b in zip([0, *turns.tolist()], [*turns.tolist(), len(sig)]):
+            if b - a < 2 or (group[a:b] == group[a]).all():
+                continue
+            left = np.arange(a, b)
+            while len(left) > 1:
+                mine = group[left] == group[left[0]]
+                queue, left = left[mine].tolist(), left[~mine]
+                root = queue[0]
+                while queue and len(left):
+                    at = queue.pop()
+                    near = (sig[left] == sig[at]).sum(1) >= need
+                    if near.any():
+                        # with a close member comes all that it is connected with
+                        for g in np.unique(group[left[near]]).tolist():
+                            of = group[left] == g
+                            reached, left = left[of], left[~of]
+                            edges.append((root, int(reached[0])))
+                            queue.extend(reached.tolist())
+                            group[group == g] = group[root]
+    return edges
+
+
+def _bucket_edges(reps: DataFrame, depth: int, target: float = TARGET) -> DataFrame:
+    """Edges (a, b) that connect close members under the nodes of all trees, from labels of ``depth`` numbers on."""
+    shortest = min(depth, prefix_length(target))
 
     def prefixes(frames):
         import pyarrow as pa
 
-        salt = np.random.default_rng(5).integers(0, 2**63, (TREES, depth + 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        salt = np.random.default_rng(5).integers(0, 2**63, (TREES, shortest + 1), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+        tree = np.arange(TREES, dtype=np.int32)
         for f in frames:
-            sig = np.frombuffer(b"".join(f.column("sig").to_pylist()), np.uint16).reshape(-1, TREES, DEPTH)[:, :, :depth].astype(np.uint64)
-            key = _mix((sig * salt[None, :, :depth]).sum(2, dtype=np.uint64) + salt[None, :, depth]).view(np.int64)
+            sig = np.frombuffer(b"".join(f.column("sig").to_pylist()), np.uint16).reshape(-1, TREES, DEPTH)[:, :, :shortest].astype(np.uint64)
+            key = _mix((sig * salt[None, :, :shortest]).sum(2, dtype=np.uint64) + salt[None, :, shortest]).view(np.int64)
             uid = np.repeat(f.column("uid").to_numpy(zero_copy_only=False), TREES)
-            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(uid)], ["key", "uid"])
-
-    keyed = materialize(reps.select("uid", "sig").mapInArrow(prefixes, "key long, uid long"), "join-prefixes")
-    shared = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
-    members = keyed.join(shared, "key").join(reps.select("uid", "sig"), "uid")
+            yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1)), pa.array(np.tile(tree, f.num_rows)), pa.array(uid)], ["key", "tree", "uid"])
+
+    keyed = materialize(reps.select("uid", "sig").mapInArrow(prefixes, "key long, tree int, uid long"), "join-prefixes")
+    shared = materialize(keyed.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("m")).where("m > 1"), "join-nodes")
+    # nodes of very many members are broadcast or salted, so their members stay where they are
+    large = shared.where(F.col("m") > BUCKET_BLOCK)
+    on = F.col("key") == F.col("_key")
+    n_large = large.count()
+    if not n_large:
+        met = keyed.join(shared, on)
+    elif n_large <= MAX_BROADCAST:
+        met = keyed.join(F.broadcast(large), on).union(keyed.join(F.broadcast(large), on, "left_anti").join(shared.where(F.col("m") <= BUCKET_BLOCK), on))
+    else:
+        salted = shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
+        met = keyed.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(16)).cast("int")).join(salted, on & (F.col("salt") == F.col("_salt")))
+    members = met.select("key", "tree", "uid", "m").join(reps.select("uid", "sig"), "uid")
     # a bucket beyond the block size is compared block against block
     n_blocks = F.ceil(F.col("m") / BUCKET_BLOCK).cast("int")
     block = F.pmod(F.xxhash64("uid"), n_blocks).cast("int")
     other = F.explode(F.sequence(F.lit(0), n_blocks - 1))
-    dealt = members.select("key", "uid", "sig", block.alias("blk"), other.alias("oth")).select("key", F.least("blk", "oth").alias("i"), F.greatest("blk", "oth").alias("j"), "uid", "sig")
+    dealt = members.select("key", "tree", "uid", "sig", block.alias("blk"), other.alias("oth")).select("key", "tree", F.least("blk", "oth").alias("i"), F.greatest("blk", "oth").alias("j"), "uid", "sig")
     n = int(reps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = dealt.repartition(n, "key", "i", "j").sortWithinPartitions("key", "i", "j", "uid")
 
@@ -174,20 +223,14 @@ def _bucket_edges(reps: DataFrame, depth: int) -> DataFrame:
         need = int(np.ceil(LOOSE * TREES * DEPTH))
         a, b = [], []
         for _, group in stream_groups(frames, ["key", "i", "j"]):
-            uid = group.column("uid").to_numpy()
+            uid, tree = group.column("uid").to_numpy(), group.column("tree")[0].as_py()
             sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(len(uid), -1)
-            left = np.arange(len(uid))
-            while len(left) > 1:
-                queue, left = [left[0]], left[1:]
-                root = uid[queue[0]].item()
-                while queue and len(left):
-                    at = queue.pop()
-                    near = (sig[left] == sig[at]).sum(1) >= need
-                    if near.any():
-                        reached, left = left[near], left[~near]
-                        queue.extend(reached.tolist())
-                        a.extend([root] * len(reached))
-                        b.extend(uid[reached].tolist())
+            label = sig[:, tree * DEPTH : (tree + 1) * DEPTH]
+            order = np.lexsort(label.T[::-1])
+            uid, sig, label = uid[order], sig[order], label[order]
+            for x, y in walk(sig, label, depth, shortest, need):
+                a.append(int(uid[x]))
+                b.append(int(uid[y]))
             if len(a) > 50_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
                 a, b = [], []
@@ -225,8 +268,8 @@ def _similar(sets: list[np.ndarray], weight: np.ndarray, split: int | None):
     return i, j + split, both[i, j] / union[i, j]
 
 
-def _verify(docs: DataFrame, reps: DataFrame, comp: DataFrame, depth: int, id_col: str, text_col: str) -> DataFrame:
-    """Rows (a, b, links, found, band): kind 0 counts links of a, kind 1 is a tree edge, kind 2 similarity statistics."""
+def _verify(docs: DataFrame, reps: DataFrame, comp: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (kind, a, b, links): kind 0 counts links of a, kind 1 is a tree edge."""
     sizes = comp.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
     cand = comp.join(sizes, "label").join(reps.select("uid", "id", "th", "copies"), comp["node"] == F.col("uid"))
     cand = materialize(cand.select("label", "m", "uid", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("rid"), F.col("th").alias("rth"), "copies"), "join-candidates")
@@ -237,7 +280,7 @@ def _verify(docs: DataFrame, reps: DataFrame, comp: DataFrame, depth: int, id_co
     def to_sets(frames):
         import pyarrow as pa
 
-        for f in text_slices(frames, "text"):
+        for f in text_slices(frames, "text", SLICE):
             h, n = shingle_sets(text_bytes(f.column("text")))
             cut = np.concatenate([[0], np.cumsum(n)])
             sets = pa.array([h[x:y].tobytes() for x, y in zip(cut, cut[1:])], pa.binary())
@@ -255,16 +298,12 @@ def _verify(docs: DataFrame, reps: DataFrame, comp: DataFrame, depth: int, id_co
     def verify(frames):
         import pyarrow as pa
 
-        def found(s):
-            return 1 - (1 - s**depth) ** TREES
-
-        stats = np.zeros((len(BANDS) + 1, 2))
         rows: list[tuple] = []
 
         def batch():
-            cols = list(zip(*rows)) or [[]] * 5
-            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.float64()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["kind", "a", "b", "links", "found"])
+            cols = list(zip(*rows)) or [[]] * 4
+            kinds = [pa.int32(), pa.int64(), pa.int64(), pa.int64()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], ["kind", "a", "b", "links"])
 
         for (_, i, j), group in stream_groups(frames, ["label", "i", "j"]):
             uid = group.column("uid").to_numpy()
@@ -276,10 +315,10 @@ def _verify(docs: DataFrame, reps: DataFrame, comp: DataFrame, depth: int, id_co
             split = None if i == j else int((blk == i).sum())
             if len(sets) < 2 or split == 0 or split == len(sets):
                 continue
-            x, y, s = _similar(sets, copies, split)
+            x, y, _ = _similar(sets, copies, split)
             links = np.bincount(x, copies[y], len(uid)) + np.bincount(y, copies[x], len(uid))
             for k in np.flatnonzero(links):
-                rows.append((0, int(uid[k]), 0, int(links[k]), 0.0))
+                rows.append((0, int(uid[k]), 0, int(links[k])))
             parent = list(range(len(uid)))
 
             def top(k):
@@ -292,20 +331,16 @@ def _verify(docs: DataFrame, reps: DataFrame, comp: DataFrame, depth: int, id_co
                 u, v = top(u), top(v)
                 if u != v:
                     parent[max(u, v)] = min(u, v)
-                    rows.append((1, int(uid[u]), int(uid[v]), 0, 0.0))
-            band = np.searchsorted(BANDS, s, "right")
-            stats[:, 0] += np.bincount(band, minlength=len(stats))
-            stats[:, 1] += np.bincount(band, found(s), len(stats))
+                    rows.append((1, int(uid[u]), int(uid[v]), 0))
             if len(rows) > 50_000:
                 yield batch()
                 rows = []
-        rows += [(2, k, 0, int(stats[k, 0]), float(stats[k, 1])) for k in range(len(stats)) if stats[k, 0]]
         yield batch()
 
-    return materialize(dealt.mapInArrow(verify, "kind int, a long, b long, links long, found double"), "join-verified")
+    return materialize(dealt.mapInArrow(verify, "kind int, a long, b long, links long"), "join-verified")
 
 
-def join_groups(docs: DataFrame, target: float = TARGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: uid, id, th (text hash), group_id, n_links, first_uid.
 
     ``first_uid`` is the uid of the group's first row (smallest id, null ids last); null for rows without a word.
@@ -314,14 +349,7 @@ def join_groups(docs: DataFrame, target: float = TARGET, id_col: str = "doc_id",
     first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "uid", "th", "sig")).alias("r")
     classes = sketch.where("n > 0").groupBy("c1", "c2", "n").agg(first, F.count(F.lit(1)).alias("copies"))
     reps = materialize(classes.select("c1", "c2", "n", "copies", "r.id", "r.uid", "r.th", "r.sig"), "join-classes")
-    depth = DEPTH
-    while True:
-        edges = _bucket_edges(reps, depth)
-        verified = _verify(docs, reps, components(edges), depth, id_col, text_col)
-        bands = verified.where("kind = 2").groupBy("a").agg((F.sum("found") / F.sum("links")).alias("recall")).collect()
-        if min((r["recall"] for r in bands), default=1.0) >= target or depth == 1:
-            break
-        depth -= 1  # shorten the prefixes
+    verified = _verify(docs, reps, components(_bucket_edges(reps, DEPTH)), id_col, text_col)
     links = verified.where("kind = 0").groupBy(F.col("a").alias("_a")).agg(F.sum("links").alias("others"))
     groups = components(verified.where("kind = 1").select("a", "b"))
     with_ids = groups.join(reps.select("uid", "id"), F.col("node") == F.col("uid"))
