@@ -12,15 +12,21 @@ Because a kind of child stands once, the longest common subsequence of a model a
 element follows from a lookup for each child, and wrappers of parts of a host merge the same way. Each task folds the pages it reads into one wrapper per host, so a host
 of any size costs a few kilobytes per task, merged in two steps.
 
-The wrapper then rules what to extract from every page of the host: the article or main element, whole;
-where the host has none, or its main element is known by name only, has no slots and holds less text than the
-slots elsewhere, the lowest element around all slots that hold text outside links. Menus, headers,
-footers, sidebars, notices, adverts, forms and comments are known by element, role, class and id.
-Beside the slots of such a region, boxes of template texts (the same on at least ``min_pages`` different pages
-and on more than half of them) that stand before the first or after the last slot in the ordered model, and boxes of
-links, go; texts in a box with a slot, headings and paragraphs stay.
+The wrapper then rules what to extract from every page of the host:
+* the article element, if the page has one; or the main element, unless it is known by name only, has no slots
+  and holds less text than the slots elsewhere; or else the lowest element around all slots that hold text outside links.
+* Outside such a region, menus, headers, footers, sidebars, notices, adverts and comments are known by element, role,
+  class and id. Inside it no name drops a text, but for comments and adverts named as nothing else: a box named like one of the
+  others (a *suspect*), or a header in a main element, goes only where the wrapper shows a template, the same text
+  on all pages that have it, two at least. Forms, menus and the like go by their element anywhere.
+* In a main element and in a region around slots, boxes of template texts (the same on at least two different pages and on more
+  than half of them) that stand before the first or after the last slot in the ordered model go; in a region around
+  slots, boxes of links, too. Texts in a box with a slot, headings and paragraphs stay.
 Copies of a page count once, so a host of identical pages has no slots between pages and keeps its text.
 
+A host may name elements anew on every page (``post-some-title``). A wrapper of more than ``MAX_NODES`` paths folds the names
+that one page alone has into ``tag.*``, so its size is bounded by the names that pages share.
+
 Blocks are the texts between block-level tags. Character references are decoded, white space
 inside a block becomes one space, blocks are joined by one line feed.
 
@@ -53,8 +59,8 @@ BLOCK = set(
     "title tr ul caption iframe noscript template".split()
 )
 CONTAINER = set("article aside blockquote body dd details dialog div dl fieldset figure footer form header html li main nav ol section table td th ul".split())
-RAW = set("script style textarea title noscript template iframe xmp noembed noframes svg math".split())
-DROPPED = set("head nav footer aside form script style noscript template iframe svg math button select textarea option label dialog menu canvas object audio video fieldset input xmp noembed noframes".split())
+RAW = set("script style textarea title noscript template iframe xmp noembed noframes svg".split())
+DROPPED = set("head nav footer aside form script style noscript template iframe svg button select textarea option label dialog menu canvas object audio video fieldset input xmp noembed noframes".split())
 DROPPED_ROLES = set("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar note".split())
 #: Parts of class and id names that mark what is no article text.
 DROPPED_NAMES = set(
@@ -64,30 +70,41 @@ DROPPED_NAMES = set(
     "toolbar search form copyright disclaimer skip".split()
 )
 ARTICLE_NAMES = set("article articlebody post entry story content main body text".split())
+#: Names that are comments or adverts wherever they stand, if no other words but the last set are in them.
+COMMENT_NAMES = set("comment comments disqus reply replies respond".split())
+ADVERT_NAMES = set("ad ads advert adverts advertisement advertisements adbox adsense sponsored promo sidebar newsletter cookie cookies consent gdpr".split())
+FILLING_NAMES = set("reader readers user list section area box block thread item wrapper container slot banner unit zone widget notice signup form".split())
 
 _TAG = re.compile(r"""<(?:!--.*?(?:--!?>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*+)>|[!?/][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z))""", re.S)
 _ATTR = re.compile(r"""(class|id|role|hidden|itemprop|aria-hidden)\s*(?:=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 _CLOSES_SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr"), "option": ("select",)}
-NORMAL, DROP, MAIN, ARTICLE = 0, 1, 2, 3
+NORMAL, DROP, MAIN, ARTICLE, SUSPECT = range(5)
+#: Paths of a wrapper beyond which names of single pages are folded.
+MAX_NODES = 1000
+#: Different pages on which a text has to be the same to be a template.
+TEMPLATE_PAGES = 2
 
 
 def kind_of(tag: str, attrs: str) -> tuple[str, int]:
-    """The name of an element in content models, and whether it is dropped or holds the article."""
+    """The name of an element in content models, and what it is."""
     a = {m[1].lower(): next((v for v in m.groups()[1:] if v is not None), "") for m in _ATTR.finditer(attrs)} if attrs else {}
     names = f"{a.get('class', '')} {a.get('id', '')}".split()
     name = ".".join([tag, *sorted({re.sub(r"\d+", "9", n).replace("/", "|") for n in names})])
     role = a.get("role", "").lower()
     if tag in DROPPED or role in DROPPED_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
         return name, DROP
-    parts = [{p.lower() for p in _PART.findall(n)} for n in names]
-    if tag not in ("html", "body", "main"):
-        # a name such as content-with-sidebar belongs to the content
-        if any(p & DROPPED_NAMES and not (p & {"with", "has", "no", "without"}) for p in parts):
-            return name, DROP
+    parts = [p for p in ({p.lower() for p in _PART.findall(n)} for n in names) if p]
+    named = tag not in ("html", "body", "main")
+    sure = COMMENT_NAMES | ADVERT_NAMES
+    if named and any(p & sure and p <= sure | FILLING_NAMES for p in parts):
+        return name, DROP
     if tag == "article" or a.get("itemprop", "").lower() == "articlebody":
         return name, ARTICLE
-    if tag == "main" or role == "main" or (tag not in ("html", "body") and any(p and p <= ARTICLE_NAMES for p in parts)):
+    # a name such as content-with-sidebar belongs to the content
+    if named and any(p & DROPPED_NAMES and not (p & {"with", "has", "no", "without"}) for p in parts):
+        return name, SUSPECT
+    if tag == "main" or role == "main" or (named and any(p <= ARTICLE_NAMES for p in parts)):
         return name, MAIN
     return name, NORMAL
 
@@ -108,14 +125,15 @@ class Pages:
         return got
 
     def blocks(self, page: str) -> tuple[list[tuple], list[int]]:
-        """Blocks (path number, text, characters in links, dropped, level) and the paths of elements met.
+        """Blocks (path number, text, characters in links, dropped, level, suspect) and the paths of elements met.
 
-        ``level`` is the strongest of NORMAL, MAIN and ARTICLE around the block; a header outside articles is dropped.
+        ``level`` is the strongest of NORMAL, MAIN and ARTICLE around the block; what a name makes suspect is dropped outside
+        article and main, and a header is dropped outside them and suspect in main.
         """
         blocks: list[tuple] = []
         opened: list[int] = []
-        stack: list[tuple] = []  # tag, path, dropped, level, link
-        path, dropped, level, link = 0, False, NORMAL, False
+        stack: list[tuple] = []  # tag, path, dropped, level, link, suspect
+        path, dropped, level, link, suspect = 0, False, NORMAL, False, False
         parts: list[str] = []
         in_links = 0
         at, end = 0, len(page)
@@ -126,15 +144,15 @@ class Pages:
                 text = " ".join(_html.unescape("".join(parts)).split())
                 parts.clear()
                 if text:
-                    blocks.append((path, text, in_links, dropped, level))
+                    blocks.append((path, text, in_links, dropped, level, suspect))
                 in_links = 0
 
         def pop_to(k: int):
-            nonlocal path, dropped, level, link
+            nonlocal path, dropped, level, link, suspect
             if any(s[0] in BLOCK for s in stack[k:]):
                 flush()
             del stack[k:]
-            _, path, dropped, level, link = stack[-1] if stack else ("", 0, False, NORMAL, False)
+            _, path, dropped, level, link, suspect = stack[-1] if stack else ("", 0, False, NORMAL, False, False)
 
         def find(tag: str, stop) -> int:
             for k in range(len(stack) - 1, -1, -1):
@@ -202,9 +220,11 @@ class Pages:
                 stop = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
                 at = stop.end() if stop else end
                 continue
-            head = tag == "header" and level != ARTICLE
-            stack.append((tag, path_now if block else path, dropped or kind[1] == DROP or head, max(level, kind[1]) if kind[1] != DROP else level, link or tag == "a"))
-            _, path, dropped, level, link = stack[-1]
+            doubtful = kind[1] == SUSPECT or (tag == "header" and level != ARTICLE)
+            gone = dropped or kind[1] == DROP or (doubtful and level == NORMAL)
+            inner = max(level, kind[1]) if kind[1] in (MAIN, ARTICLE) else level
+            stack.append((tag, path_now if block else path, gone, inner, link or tag == "a", suspect or doubtful))
+            _, path, dropped, level, link, suspect = stack[-1]
         flush()
         return blocks, opened
 
@@ -266,46 +286,57 @@ def merge_groups(model: list[list], groups: list[list]) -> list[list]:
     return out
 
 
+def folded(path: str, known: set[str]) -> str:
+    """``path`` with names that aren't ``known`` (but for plain tags) as ``tag.*``."""
+    return "/".join(n if "." not in n or n in known else n.partition(".")[0] + ".*" for n in path.split("/"))
+
+
 class Wrapper:
-    """Content models of a host: path -> [pages with it, repeated, pages with text, text or slot, characters, link characters, level, dropped, texts of a page or slot].
+    """Content models of a host: path -> [pages with it, repeated, pages with text, text or slot, characters, link characters, level, dropped, texts of a page or slot, suspect].
 
     ``order`` has the ordered content model of every path: groups [names of children, repeated].
     """
 
-    def __init__(self, pages: int = 0, nodes: dict | None = None, order: dict | None = None):
+    def __init__(self, pages: int = 0, nodes: dict | None = None, order: dict | None = None, known: list[str] | None = None):
         self.pages, self.nodes, self.order = pages, nodes or {}, order or {}
+        self.known = known  # once folded: the names that stay as they are
         self.seen: set[tuple] = set()  # child sequences that are aligned already
 
     def align(self, blocks: list[tuple], opened: list[int], paths: list[str]):
         """Resolve one page against the wrapper."""
         self.pages += 1
+        if self.known is not None:
+            names = set(self.known)
+            paths = {p: folded(paths[p], names) for p in {*opened, *(b[0] for b in blocks)}}
         times: dict[int, int] = {}
         for p in opened:
             times[p] = times.get(p, 0) + 1
         for p, n in times.items():
-            node = self.nodes.setdefault(paths[p], [0, 0, 0, None, 0, 0, NORMAL, 0, None])
+            node = self.nodes.setdefault(paths[p], [0, 0, 0, None, 0, 0, NORMAL, 0, None, 0])
             node[0] += 1
             if n > 1:
                 node[1] = 1
         self._align_children([paths[p] for p in opened])
         texts: dict[int, list] = {}
-        for p, text, links, dropped, level in blocks:
+        for p, text, links, dropped, level, suspect in blocks:
             raw = text.encode("utf-8", "replace")
             crc = zlib.crc32(raw)
-            t = texts.setdefault(p, [crc, 0, 0, level, dropped, 0])
+            t = texts.setdefault(p, [crc, 0, 0, level, dropped, 0, suspect])
             if t[0] != crc:
                 t[0] = -1
             t[1] += len(text)
             t[2] += links
             t[5] = zlib.crc32(raw + b"\n", t[5])
-        for p, (crc, chars, links, level, dropped, whole) in texts.items():
-            node = self.nodes.setdefault(paths[p], [self.pages, 0, 0, None, 0, 0, NORMAL, 0, None])
+        for p, (crc, chars, links, level, dropped, whole, suspect) in texts.items():
+            node = self.nodes.setdefault(paths[p], [self.pages, 0, 0, None, 0, 0, NORMAL, 0, None, 0])
             node[3] = crc if not node[2] or node[3] == crc else -1
             node[8] = whole if not node[2] or node[8] == whole else -1
             node[2] += 1
             node[4] += chars
             node[5] += links
-            node[6], node[7] = level, int(dropped)
+            node[6], node[7], node[9] = level, int(dropped), int(suspect)
+        if self.known is None and len(self.nodes) > MAX_NODES:
+            self.fold()
 
     def _align_children(self, opened: list[str]):
         """Align the ordered children of each element of a page; ``opened`` has their paths in page order."""
@@ -324,23 +355,59 @@ class Wrapper:
                 self.order[path] = merge_groups(self.order.get(path, []), page_groups(names))
 
     def merge(self, other: "Wrapper"):
+        if self.known is not None or other.known is not None:  # both speak of folded names from here on
+            shared = sorted({*(self.known or self._shared()), *(other.known or other._shared())})
+            self._rename(shared)
+            other._rename(shared)
         self.pages += other.pages
         for path, groups in other.order.items():
             self.order[path] = merge_groups(self.order.get(path, []), groups)
         for path, o in other.nodes.items():
-            node = self.nodes.get(path)
-            if node is None:
-                self.nodes[path] = list(o)
-                continue
-            if o[2]:
-                node[3] = o[3] if not node[2] or node[3] == o[3] else -1
-                node[8] = o[8] if not node[2] or node[8] == o[8] else -1
-                node[6], node[7] = o[6], o[7]
-            node[0] += o[0]
-            node[1] |= o[1]
-            node[2] += o[2]
-            node[4] += o[4]
-            node[5] += o[5]
+            self._add_node(path, o)
+        if self.known is None and len(self.nodes) > MAX_NODES:
+            self.fold()
+
+    def _add_node(self, path: str, o: list):
+        node = self.nodes.get(path)
+        if node is None:
+            self.nodes[path] = list(o)
+            return
+        if o[2]:
+            node[3] = o[3] if not node[2] or node[3] == o[3] else -1
+            node[8] = o[8] if not node[2] or node[8] == o[8] else -1
+            node[6], node[7], node[9] = o[6], o[7], o[9]
+        node[0] += o[0]
+        node[1] |= o[1]
+        node[2] += o[2]
+        node[4] += o[4]
+        node[5] += o[5]
+
+    def _shared(self) -> set[str]:
+        """Names of elements that more than one page has, under whatever path (a page with a name under two paths counts twice)."""
+        pages: dict[str, int] = {}
+        for path, n in self.nodes.items():
+            name = path.rpartition("/")[2]
+            pages[name] = pages.get(name, 0) + n[0]
+        return {name for name, k in pages.items() if k > 1}
+
+    def fold(self):
+        """Fold the names that a single page has into ``tag.*``; what is left is bounded by the names that pages share."""
+        self._rename(sorted(self._shared()))
+
+    def _rename(self, known: list[str]):
+        names = set(known)
+        nodes, order = self.nodes, self.order
+        self.known, self.nodes, self.order = known, {}, {}
+        self.seen.clear()
+        for path, n in nodes.items():
+            self._add_node(folded(path, names), n)
+        for path, groups in order.items():
+            to = folded(path, names)
+            # children that now share a name are one repeated group with all between them
+            flat = [(folded("/" + c, names)[1:], again) for g, again in groups for c in g]
+            twice = page_groups([c for c, _ in flat])
+            again = {c for c, r in flat if r}
+            self.order[to] = merge_groups(self.order.get(to, []), [[g, r or bool(again & set(g))] for g, r in twice])
 
     def regex(self) -> str:
         """The wrapper as a union-free regular expression over tags, ``#text`` slots and template texts."""
@@ -378,8 +445,32 @@ class Wrapper:
 
         return "".join(show(f"/{c}", self.pages, len(names) == 1, repeated) for names, repeated in self.order.get("", []) for c in names).strip()
 
-    def rules(self, min_pages: int = 5) -> dict:
-        """Where no element names the article: the region around the host's slots, and the paths in it to skip."""
+    def _region(self, story: list[str]) -> tuple[str, set[str], dict[str, int], list[int]]:
+        """The lowest element around the slots in ``story``, its children that hold them, and where its children and those stand."""
+        boxes = [p.split("/")[:-1] for p in story]
+        depth = next((k for k, names in enumerate(zip(*boxes)) if len(set(names)) > 1), min(map(len, boxes)))
+        region = "/".join(boxes[0][:depth])
+        around = {"/".join(p.split("/")[: depth + 1]) for p in story}
+        place = {f"{region}/{name}": k for k, (names, _) in enumerate(self.order.get(region, [])) for name in names}
+        return region, around, place, [place[b] for b in around if b in place]
+
+    def _beside(self, region, around, place, slots, nodes: dict, links_too: bool) -> list[str]:
+        """Paths in ``region`` to skip: boxes of template texts before its first or after its last slot (and of links)."""
+        skip = []
+        for p, n in nodes.items():
+            if not (p + "/").startswith(region + "/") or p == region:
+                continue
+            box = "/".join(p.split("/")[: region.count("/") + 2])
+            links = links_too and 2 * n[5] >= n[4]
+            same = n[8] != -1 and n[2] >= TEMPLATE_PAGES and 2 * n[2] > self.pages
+            boxed = p != box or re.match("[^.]*", box.rpartition("/")[2])[0] in CONTAINER
+            outside = not slots or not min(slots) <= place.get(box, -1) <= max(slots)
+            if box not in around and (links or (same and boxed and outside)):
+                skip.append(p)
+        return skip
+
+    def rules(self) -> dict:
+        """What is picked from the host's pages: the kind of region, the region around the slots, paths to skip there and suspects to skip."""
         kept = {p: n for p, n in self.nodes.items() if n[2] and not n[7]}
         story = [p for p, n in kept.items() if n[3] == -1 and n[4] > 2 * n[5]]
         # slots that differ between pages count before those that differ only inside a page
@@ -390,34 +481,30 @@ class Wrapper:
             if sum(kept[p][4] for p in story if kept[p][8] == -1) > sum(n[4] for n in kept.values() if n[6] == MAIN):
                 level = NORMAL
         region, skip = None, []
-        if level == NORMAL and story:
-            boxes = [p.split("/")[:-1] for p in story]
-            n_same = next((k for k, names in enumerate(zip(*boxes)) if len(set(names)) > 1), min(map(len, boxes)))
-            region = "/".join(boxes[0][:n_same])
-            around = {"/".join(p.split("/")[: n_same + 1]) for p in story}
-            # the stretch of the region's ordered children from its first slot to its last
-            place = {f"{region}/{name}": k for k, (names, _) in enumerate(self.order.get(region, [])) for name in names}
-            slots = [place[b] for b in around if b in place]
-            for p, n in kept.items():
-                if not (p + "/").startswith(region + "/") or p == region:
-                    continue
-                box = "/".join(p.split("/")[: n_same + 1])
-                links = 2 * n[5] >= n[4]
-                same = n[8] != -1 and n[2] >= min_pages and 2 * n[2] > self.pages
-                boxed = p != box or re.match("[^.]*", box.rpartition("/")[2])[0] in CONTAINER
-                beside = not slots or not min(slots) <= place.get(box, -1) <= max(slots)
-                if box not in around and (links or (same and boxed and beside)):
-                    skip.append(p)
-        return {"skip": skip, "level": level, "region": region}
+        # pages of a host may differ: what a main element loses is ruled even if some pages have an article
+        main = {p: n for p, n in kept.items() if n[6] == MAIN}
+        told = [p for p in story if p in main and kept[p][8] == -1]
+        if level != NORMAL and told:
+            skip = self._beside(*self._region(told), main, False)
+        elif level == NORMAL and story:
+            where = self._region(story)
+            region, skip = where[0], self._beside(*where, kept, True)
+        template = [p for p, n in kept.items() if n[9] and n[6] != NORMAL and n[8] != -1 and n[2] >= TEMPLATE_PAGES]
+        out = {"skip": skip, "level": level, "region": region, "template": template}
+        return out if self.known is None else out | {"known": self.known}
 
 
 def page_text(blocks: list[tuple], paths: list[str], rules: dict) -> str:
+    if "known" in rules:
+        names = set(rules["known"])
+        paths = {n: folded(paths[n], names) for n in {b[0] for b in blocks}}
     live = [b for b in blocks if not b[3]]
+    skip, template = set(rules.get("skip", ())), set(rules.get("template", ()))
     top = max((b[4] for b in live), default=NORMAL)
     if top > NORMAL and (top == ARTICLE or rules.get("level") != NORMAL):
-        picked = [b[1] for b in live if b[4] >= top]
+        picked = [b[1] for b in live if b[4] >= top and not (b[5] and paths[b[0]] in template) and not (top == MAIN and paths[b[0]] in skip)]
     else:
-        region, skip = rules.get("region"), set(rules.get("skip", ()))
+        region = rules.get("region")
         picked = [b[1] for b in live if region is not None and (paths[b[0]] + "/").startswith(region + "/") and paths[b[0]] not in skip]
         if not picked:
             picked = [b[1] for b in live if 2 * b[2] <= len(b[1])]
@@ -451,7 +538,7 @@ def distinct_pages(pages: DataFrame) -> DataFrame:
     return keyed.join(twice, on, "left_anti").union(once).select("host", "html")
 
 
-def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = 5) -> DataFrame:
+def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, wrapper as JSON, rules as JSON) for every host of ``pages``."""
 
     def fold(frames):
@@ -460,7 +547,7 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
         reader, hosts = Pages(), {}
 
         def batch():
-            w = [json.dumps([x.pages, x.nodes, x.order]) for x in hosts.values()]
+            w = [json.dumps([x.pages, x.nodes, x.order, x.known]) for x in hosts.values()]
             return pa.RecordBatch.from_arrays([pa.array(list(hosts), pa.string()), pa.array(w, pa.string())], ["host", "wrapper"])
 
         for f in text_slices(frames, "html"):
@@ -479,7 +566,7 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
         whole = Wrapper()
         for w in frame["wrapper"]:
             whole.merge(Wrapper(*json.loads(w)))
-        return pd.DataFrame([(keyed[0], json.dumps([whole.pages, whole.nodes, whole.order]), json.dumps(whole.rules(min_pages)))], columns=["host", "wrapper", "rules"])
+        return pd.DataFrame([(keyed[0], json.dumps([whole.pages, whole.nodes, whole.order, whole.known]), json.dumps(whole.rules()))], columns=["host", "wrapper", "rules"])
 
     # first within (host, 32 parts), then within the host
     salted = parts.withColumn("salt", F.pmod(F.xxhash64("wrapper"), F.lit(32)))
@@ -491,9 +578,9 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
 MAX_BROADCAST_HOSTS = 200_000
 
 
-def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html", min_pages: int = 5) -> DataFrame:
+def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``pages`` with the main text of each in a last column ``text`` (in place of a column of that name)."""
-    rules = materialize(infer_wrappers(pages, url_col, html_col, min_pages).select(F.col("host").alias("_host"), "rules"), "page-rules")
+    rules = materialize(infer_wrappers(pages, url_col, html_col).select(F.col("host").alias("_host"), "rules"), "page-rules")
     if rules.count() <= MAX_BROADCAST_HOSTS:
         rules = F.broadcast(rules)
     keep = [c for c in pages.columns if c != "text"]
