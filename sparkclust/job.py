@@ -15,7 +15,8 @@ in 32-bit arithmetic with 32-bit centres; the default is ``double``.
 Training with ``--log=<folder>`` logs every finished pass there; started again with the same
 log, input and settings it goes on after the last one. ``--task-report=<folder>`` writes what every
 task of every pass did (rows, distances, and the time spent on input, distances and sums) as
-JSON lines; the printed report has the totals.
+JSON lines; the printed report has the totals. ``--store=<folder>`` trains on stored tables (points as blocks,
+the membership of every pass, the log): more passes later start from the stored membership.
 
 ``--bracketed=true|false`` says whether documents are featurized from their row
 string (``[text]``) or the bare text. ``featurize`` (default true) stores the setting beside its
@@ -40,6 +41,7 @@ from pyspark.sql import SparkSession
 from .plans.featurize import featurize_text
 from .plans.kmeans import fit
 from .plans.report import label_documents, label_lines
+from .plans.stored import store_training
 from .session import ensure_checkpoint_dir, min_input_splits, path_exists
 from .sinks.text import feature_lines, membership_lines, read_centers, write_centers, write_lines
 from .sources.documents import read_documents
@@ -79,7 +81,7 @@ def _run(spark: SparkSession, argv: list[str]) -> dict:
     if not argv:
         raise SystemExit(USAGE)
     mode = argv[0]
-    precision, bracketed, order_by, log, task_report = "double", None, None, None, None
+    precision, bracketed, order_by, log, task_report, store = "double", None, None, None, None, None
     args = []
     for a in argv[1:]:
         if a.startswith("--precision="):
@@ -88,6 +90,8 @@ def _run(spark: SparkSession, argv: list[str]) -> dict:
             bracketed = {"true": True, "false": False}[a.split("=", 1)[1]]
         elif a.startswith("--log="):
             log = a.split("=", 1)[1]
+        elif a.startswith("--store="):
+            store = a.split("=", 1)[1]
         elif a.startswith("--task-report="):
             task_report = a.split("=", 1)[1]
         elif a == "--sorted":
@@ -102,9 +106,12 @@ def _run(spark: SparkSession, argv: list[str]) -> dict:
         src, out, k, threshold, iters = args[0], args[1], int(args[2]), float(args[3]), int(args[4])
         parsed = read_points(spark, src)
         t1 = time.time()
-        result = fit(
-            parsed.points, k, max_iter=iters, threshold=threshold, stop=TRAIN_MODES[mode], precision=precision, log=log, resume=log is not None, task_report=task_report is not None
-        )
+        if store is not None:
+            result = store_training(parsed.points, store, k, precision=precision).train(iters, threshold if TRAIN_MODES[mode] == "threshold" else None).run()
+        else:
+            result = fit(
+                parsed.points, k, max_iter=iters, threshold=threshold, stop=TRAIN_MODES[mode], precision=precision, log=log, resume=log is not None, task_report=task_report is not None
+            )
         t2 = time.time()
         model_suffix = ".cluster_centres" if mode == "train" else ".model"
         write_centers(result.centers_df(spark), out + model_suffix, precision=precision)

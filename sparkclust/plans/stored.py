@@ -28,6 +28,7 @@ from ..operators.blocks import first_of_blocks, matrix, to_blocks, width_of
 from ..operators.pruned import CenterGroups, MIN_CENTERS, scan_distances
 from ..operators.update import _PARTIALS, Chunk, Partials, _timed, _value, check_rows, merge_partials, read_stats, ship_centers, update_centers
 from ..session import path_exists
+from .kmeans import KMeansRun
 from .passlog import PassLog, fingerprint
 
 _POINTS = "block long, ids array<{id}>, ord array<{ord}>, x binary, n int, bad long"
@@ -191,6 +192,10 @@ class StoredTraining:
         rows = self._with_labels(self.points.select("block", "ids"), self.history[-1]["iteration"])
         return rows.select("ids", "labels").mapInArrow(fn, f"id {kind}, cluster_id int")
 
+    def run(self) -> KMeansRun:
+        """The training as ``fit`` returns it."""
+        return KMeansRun(self.centers, self.previous, self.membership(), self.history, self.history[0]["n"], self.d, "stored")
+
 
 def store_training(points: DataFrame, path: str, k: int, order_by: str = "id", precision: str = "double", init=None, buckets: int | None = None) -> StoredTraining:
     """Write ``points(id, features)`` to a training folder; an existing folder of the same input and settings is opened instead."""

@@ -303,3 +303,18 @@ def test_text_is_cut_into_splits_without_a_shuffle(spark, tmpdir_path):
         assert points.where("features[0] <> 2 * id").isEmpty() and points.count() == 60_000
     with pytest.raises(Exception, match="split in another way"):
         points.agg(F.max("id")).collect()
+
+
+def test_command_line_training_on_stored_tables(spark, tmpdir_path):
+    from sparkclust.job import run as run_job
+
+    src, out, store = (os.path.join(tmpdir_path, n) for n in ("points", "out", "store"))
+    rng = random.Random(4)
+    spark.createDataFrame([(f"{i} {rng.randint(0, 50)} {rng.random()}",) for i in range(300)], "value string").coalesce(2).write.text(src)
+    for mode, suffix in (("par_train", ".model"), ("train", ".cluster_centres")):
+        run_job(spark, [mode, src, out, "4", "0.01", "6"])
+        want = [sorted(r["value"] for r in spark.read.text(out + x).collect()) for x in (suffix, ".membership")]
+        run_job(spark, [mode, src, out, "4", "0.01", "2", f"--store={store}-{mode}"])
+        report = run_job(spark, [mode, src, out, "4", "0.01", "6", f"--store={store}-{mode}"])
+        assert [sorted(r["value"] for r in spark.read.text(out + x).collect()) for x in (suffix, ".membership")] == want
+        assert report["iterations"] <= 6 and report["n"] == 300
