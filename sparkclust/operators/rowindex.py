@@ -134,10 +134,13 @@ def _descents(cols: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 
 def _has_row_index(df: DataFrame) -> bool:
-    """Whether the rows of ``df`` come from files that number their rows (Parquet), with that number still at hand."""
-    hidden = df._jdf.queryExecution().analyzed().metadataOutput()
+    """Whether ``df`` is a projection of files that number their rows (Parquet), with that number still at hand."""
+    plan = df._jdf.queryExecution().analyzed()
+    hidden = plan.metadataOutput()
     kinds = [hidden.apply(i).dataType().catalogString() for i in range(hidden.size()) if hidden.apply(i).name() == "_metadata"]
-    return any("row_index:" in k for k in kinds)
+    while plan.nodeName() in ("Project", "Filter", "SubqueryAlias"):
+        plan = plan.children().apply(0)
+    return plan.nodeName() == "LogicalRelation" and any("row_index:" in k for k in kinds)
 
 
 def _scan_runs(df: DataFrame, keys: Sequence[Column]) -> list | None:

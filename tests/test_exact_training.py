@@ -250,6 +250,16 @@ def test_positions_of_other_tables(spark, tmpdir_path, how):
     assert with_row_index(df.where("false"), "s").count() == 0
 
 
+def test_rows_that_python_made_have_no_place_in_a_file(spark):
+    from sparkclust import with_row_index
+
+    pts = embedding_points(spark, SF_SMALL)
+    member = predict(pts, seed_first_k(pts, 3), path="arrow")
+    for df in (member, member.join(pts, "id"), pts.groupBy("id").count(), pts.union(pts)):
+        got = with_row_index(df, "id").orderBy("row_idx").collect()
+        assert [r["row_idx"] for r in got] == list(range(len(got))) and [r["id"] for r in got] == sorted(r["id"] for r in got)
+
+
 def test_running_offsets_with_clashing_names(spark):
     from sparkclust.operators.rowindex import running_offsets
 
