@@ -20,7 +20,7 @@ import numpy as np
 import pandas as pd
 
 #: Bytes of pieces and their ids remembered between batches. A memory bound only: the memory is emptied and filled anew.
-MAX_BYTES = 48 << 20
+MAX_BYTES = 80 << 20
 #: Bytes of text worked on at once (a longer text is worked on alone).
 BATCH_BYTES = 2_000_000
 
