@@ -574,19 +574,25 @@ def infer_wrappers(pages: DataFrame, url_col: str = "url", html_col: str = "html
     return some.groupBy("host").applyInPandas(merge, "host string, wrapper string, rules string")
 
 
-#: Up to this many hosts their rules are broadcast (a few hundred bytes each); more are joined by a shuffle.
-MAX_BROADCAST_HOSTS = 200_000
+#: Up to this many bytes of rules of all hosts are broadcast; more are joined by a shuffle, the pages of a host in SALTS parts.
+MAX_BROADCAST_BYTES = 64 << 20
+SALTS = 16
 
 
 def extract(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``pages`` with the main text of each in a last column ``text`` (in place of a column of that name)."""
     rules = materialize(infer_wrappers(pages, url_col, html_col).select(F.col("host").alias("_host"), "rules"), "page-rules")
-    if rules.count() <= MAX_BROADCAST_HOSTS:
-        rules = F.broadcast(rules)
+    size = rules.agg(F.sum(F.length("_host") + F.length("rules"))).first()[0] or 0
     keep = [c for c in pages.columns if c != "text"]
     row = F.struct(*[F.col(f"`{c}`") for c in keep if c != html_col]).alias("row")
     packed = pages.select(row, F.col(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    joined = packed.join(rules, F.col("host") == F.col("_host"), "left").select("row", "html", "rules")
+    if size <= MAX_BROADCAST_BYTES:
+        joined = packed.join(F.broadcast(rules), F.col("host") == F.col("_host"), "left")
+    else:
+        salted = rules.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        spread = packed.withColumn("salt", F.pmod(F.xxhash64("html"), F.lit(SALTS)).cast("int"))
+        joined = spread.join(salted, (F.col("host") == F.col("_host")) & (F.col("salt") == F.col("_salt")), "left")
+    joined = joined.select("row", "html", "rules")
 
     def run(frames):
         import pyarrow as pa

@@ -81,3 +81,12 @@ def test_names_of_single_pages_are_folded():
         rules = json.loads(json.dumps(w.rules()))
         fresh = page(9999)
         assert wrappers.page_text(reader.blocks(fresh)[0], reader.paths, rules) == "Lead 9999.\nStory number 9999."
+
+
+def test_rules_beyond_the_broadcast_are_joined_in_parts(spark, monkeypatch):
+    page = "<article><h1>T{0}</h1><p>Body {0}.</p><div class='share-box'><p>Share this</p></div></article>"
+    rows = [(i, f"http://h{i % 3}.example/{i}", page.format(i)) for i in range(60)] + [(60, None, None)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    want = sorted(map(tuple, wrappers.extract(df).collect()))
+    monkeypatch.setattr(wrappers, "MAX_BROADCAST_BYTES", 0)
+    assert sorted(map(tuple, wrappers.extract(df).collect())) == want and want[5][-1] == "T5\nBody 5."
