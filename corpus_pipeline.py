@@ -2,6 +2,13 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
 the columns of ``docs``. ``run`` writes each result as Parquet and reads it as the next input.
+
+Defined results
+* null, empty and letterless texts go in the first stage; very long texts pass whole, and cleaned of failing lines.
+* a null language or source is a value like others (a row without a language teaches nothing); a null id is a row like others.
+* of repeated rows, copies and near copies one row stays: that of the smallest id, null ids last; ties are told apart
+  by a hash of the whole row.
+* an empty table gives an empty result; columns of any other names pass all stages but the last.
 """
 
 from __future__ import annotations
