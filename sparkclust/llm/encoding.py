@@ -20,20 +20,22 @@ import numpy as np
 import pandas as pd
 
 #: Bytes of pieces and their ids remembered between batches. A memory bound only: the memory is emptied and filled anew.
-MAX_BYTES = 80 << 20
+MAX_BYTES = 48 << 20
 #: Bytes of text worked on at once (a longer text is worked on alone).
-BATCH_BYTES = 2_000_000
+BATCH_BYTES = 1_000_000
 
 
 def text_slices(frames, column: str, limit: int = BATCH_BYTES, encodes: bool = False):
     """Cut Arrow batches into slices of about ``limit`` bytes of text (a longer text is a slice of its own).
 
-    Work that doesn't encode frees what an earlier stage's encoders have left in the worker.
+    Work that doesn't encode frees what an earlier stage's encoders have left in the worker. Before and
+    after, memory that the worker no longer uses goes back to the system: its neighbours need it.
     """
     import pyarrow.compute as pc
 
     if not encodes:
-        drop_encoders()
+        _kept().clear()
+    give_back()
     for f in frames:
         upto = np.cumsum(pc.binary_length(f.column(column)).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
         a = 0
@@ -42,6 +44,8 @@ def text_slices(frames, column: str, limit: int = BATCH_BYTES, encodes: bool = F
             b = max(a + 1, int(np.searchsorted(upto, before + limit, "right")))
             yield f.slice(a, b - a)
             a = b
+        del f, upto
+    give_back()
 
 
 def piece_starts(buf: np.ndarray, text_starts: np.ndarray) -> np.ndarray:
@@ -217,7 +221,7 @@ def _kept() -> dict:
 
 
 def encoder(path: str) -> Encoder:
-    """The worker's encoder for a vocabulary file, kept between the tasks of a worker until ``drop_encoders``."""
+    """The worker's encoder for a vocabulary file, kept between the tasks of a worker until work that doesn't encode."""
     kept = _kept()
     for other in kept.keys() - {path}:
         del kept[other]
@@ -226,12 +230,13 @@ def encoder(path: str) -> Encoder:
     return kept[path]
 
 
-def drop_encoders() -> None:
-    """Free the worker's encoders, and give the memory back to the system where its C library can."""
-    if _kept():
-        _kept().clear()
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+def give_back() -> None:
+    """Return unused memory of the Arrow pool and, where it can, of the C library to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def text_bytes(column) -> list[bytes]:
