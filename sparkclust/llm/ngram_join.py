@@ -118,7 +118,7 @@ def signatures(h: np.ndarray, counts: np.ndarray, width: int) -> np.ndarray:
 
 
 def _sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """One row per document: uid, id, th (text hash), class key c1 c2, n (set size), sig."""
+    """One row per document: uid, id, th (text hash), class key c1 c2, n (set size), sig, near (the low byte of each number of sig)."""
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
 
     def run(frames):
@@ -133,14 +133,15 @@ def _sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 run_sum = np.concatenate([[np.uint64(0)], np.cumsum(h, dtype=np.uint64)])
                 run_sq = np.concatenate([[np.uint64(0)], np.cumsum(_mix(h + np.uint64(1)), dtype=np.uint64)])
                 c1, c2 = (run_sum[cut[1:]] - run_sum[cut[:-1]]).view(np.int64), (run_sq[cut[1:]] - run_sq[cut[:-1]]).view(np.int64)
-                packed = np.full(len(texts), None, object)
+                packed, near = np.full(len(texts), None, object), np.full(len(texts), None, object)
                 packed[n > 0] = [s.tobytes() for s in sig]
+                near[n > 0] = [s.tobytes() for s in sig.astype(np.uint8)]
                 yield pa.RecordBatch.from_arrays(
-                    [f.column("id"), f.column("th"), pa.array(c1), pa.array(c2), pa.array(n, pa.int32()), pa.array(packed, pa.binary())],
-                    ["id", "th", "c1", "c2", "n", "sig"],
+                    [f.column("id"), f.column("th"), pa.array(c1), pa.array(c2), pa.array(n, pa.int32()), pa.array(packed, pa.binary()), pa.array(near, pa.binary())],
+                    ["id", "th", "c1", "c2", "n", "sig", "near"],
                 )
 
-    sketched = rows.mapInArrow(run, "id long, th long, c1 long, c2 long, n int, sig binary")
+    sketched = rows.mapInArrow(run, "id long, th long, c1 long, c2 long, n int, sig binary, near binary")
     return materialize(sketched.withColumn("uid", F.monotonically_increasing_id()), "join-sketch")
 
 
@@ -208,7 +209,7 @@ def _bucket_edges(reps: DataFrame, depth: int, target: float = TARGET) -> DataFr
     else:
         salted = shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
         met = keyed.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(16)).cast("int")).join(salted, on & (F.col("salt") == F.col("_salt")))
-    members = met.select("key", "tree", "uid", "m").join(reps.select("uid", "sig"), "uid")
+    members = met.select("key", "tree", "uid", "m").join(reps.select("uid", F.col("near").alias("sig")), "uid")  # one byte a number is enough to tell who is close
     # a bucket beyond the block size is compared block against block
     n_blocks = F.ceil(F.col("m") / BUCKET_BLOCK).cast("int")
     block = F.pmod(F.xxhash64("uid"), n_blocks).cast("int")
@@ -224,7 +225,7 @@ def _bucket_edges(reps: DataFrame, depth: int, target: float = TARGET) -> DataFr
         a, b = [], []
         for _, group in stream_groups(frames, ["key", "i", "j"]):
             uid, tree = group.column("uid").to_numpy(), group.column("tree")[0].as_py()
-            sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint16).reshape(len(uid), -1)
+            sig = np.frombuffer(b"".join(group.column("sig").to_pylist()), np.uint8).reshape(len(uid), -1)
             label = sig[:, tree * DEPTH : (tree + 1) * DEPTH]
             order = np.lexsort(label.T[::-1])
             uid, sig, label = uid[order], sig[order], label[order]
@@ -346,9 +347,9 @@ def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     ``first_uid`` is the uid of the group's first row (smallest id, null ids last); null for rows without a word.
     """
     sketch = _sketch(docs, id_col, text_col)
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "uid", "th", "sig")).alias("r")
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "uid", "th", "sig", "near")).alias("r")
     classes = sketch.where("n > 0").groupBy("c1", "c2", "n").agg(first, F.count(F.lit(1)).alias("copies"))
-    reps = materialize(classes.select("c1", "c2", "n", "copies", "r.id", "r.uid", "r.th", "r.sig"), "join-classes")
+    reps = materialize(classes.select("c1", "c2", "n", "copies", "r.id", "r.uid", "r.th", "r.sig", "r.near"), "join-classes")
     verified = _verify(docs, reps, components(_bucket_edges(reps, DEPTH)), id_col, text_col)
     links = verified.where("kind = 0").groupBy(F.col("a").alias("_a")).agg(F.sum("links").alias("others"))
     groups = components(verified.where("kind = 1").select("a", "b"))
