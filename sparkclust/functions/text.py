@@ -19,6 +19,8 @@ DEFAULT_BUCKETS = 1000
 _SUPPLEMENTARY_BASE = 65536
 _HIGH_SURROGATE = 55296
 _LOW_SURROGATE = 56320
+# UTF-16 units whose bigrams are counted together.
+SLICE_UNITS = 1 << 18
 
 
 def value_text(c: Column) -> Column:
@@ -82,11 +84,10 @@ def chars_to_bigrams(chars: Column) -> Column:
     return F.when(n >= 2, grams).when(n == 1, chars).otherwise(F.array().cast("array<string>"))
 
 
-def bucket_entries(texts, n_buckets: int = DEFAULT_BUCKETS):
-    """Bucket counts of many texts at once: row, bucket and count of every non-zero cell, row by row."""
+def _entries(raw: list[bytes], n_buckets: int):
+    """Cell (row * n_buckets + bucket) and count of the non-zero cells of UTF-16 texts, in order."""
     import numpy as np
 
-    raw = [t.encode("utf-16-le", "surrogatepass") if t else b"" for t in texts]
     size = np.fromiter((len(r) // 2 for r in raw), np.int64, len(raw))
     units = np.frombuffer(b"".join(raw), dtype="<u2").astype(np.int64)
     # one term per unit but the last of its text; a text of one unit is its own term
@@ -97,7 +98,50 @@ def bucket_entries(texts, n_buckets: int = DEFAULT_BUCKETS):
     lone = size[row] == 1
     bucket = np.where(lone, units, HASH_MULTIPLIER * units + follows) % n_buckets
     keep = lone | ~last
-    cell, count = np.unique(row[keep] * n_buckets + bucket[keep], return_counts=True)
+    return np.unique(row[keep] * n_buckets + bucket[keep], return_counts=True)
+
+
+def _long_entries(raw: bytes, n_buckets: int, stretch: int):
+    """``_entries`` of one text beyond ``stretch`` units: stretches share a unit, so every bigram is counted once."""
+    import numpy as np
+
+    cell, count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    for lo in range(0, len(raw) // 2 - 1, stretch):
+        more, n = _entries([raw[2 * lo : 2 * (lo + stretch + 1)]], n_buckets)
+        cell, at = np.unique(np.concatenate([cell, more]), return_inverse=True)
+        count = np.bincount(at, np.concatenate([count, n])).astype(np.int64)
+    return cell, count
+
+
+def bucket_entries(texts, n_buckets: int = DEFAULT_BUCKETS):
+    """Bucket counts of many texts at once: row, bucket and count of every non-zero cell, row by row.
+
+    Texts are worked on ``SLICE_UNITS`` units at a time, however long or many they are.
+    """
+    import numpy as np
+
+    cells, counts = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    held: list[bytes] = []
+
+    def add(first: int, found) -> None:
+        cells.append(first * n_buckets + found[0])
+        counts.append(found[1])
+
+    n = units = 0  # texts seen, units held
+    for t in texts:
+        raw = t.encode("utf-16-le", "surrogatepass") if t else b""
+        if held and units + len(raw) // 2 > SLICE_UNITS:
+            add(n - len(held), _entries(held, n_buckets))
+            held, units = [], 0
+        if len(raw) // 2 > SLICE_UNITS:
+            add(n, _long_entries(raw, n_buckets, SLICE_UNITS))
+        else:
+            held.append(raw)
+            units += len(raw) // 2
+        n += 1
+    if held:
+        add(n - len(held), _entries(held, n_buckets))
+    cell, count = np.concatenate(cells), np.concatenate(counts)
     return cell // n_buckets, cell % n_buckets, count.astype(np.float64)
 
 

@@ -29,17 +29,18 @@ def _rows_fn(shipped, d: int, names: list[str], result):
     """Arrow batches -> the carried columns and ``result(chunk, centres)``; a bad row fails the job."""
     import pyarrow as pa
 
-    from .update import read_chunk
+    from .update import chunk_slices, read_chunk
 
     def fn(batches):
         C = shipped.value if hasattr(shipped, "value") else shipped
         for rb in batches:
             cols = [rb.column(i) for i in range(rb.num_columns - 1)]
-            for lo in range(0, rb.num_rows, 4096):
-                chunk, _ = read_chunk(rb.column(rb.num_columns - 1).slice(lo, 4096), d)
+            vectors = rb.column(rb.num_columns - 1)
+            for lo, n in chunk_slices(vectors):
+                chunk, _ = read_chunk(vectors.slice(lo, n), d)
                 if chunk.bad:
                     raise ValueError(f"{chunk.bad} rows: {_message(d)}")
-                yield pa.RecordBatch.from_arrays([*[c.slice(lo, 4096) for c in cols], result(chunk, C)], names=names)
+                yield pa.RecordBatch.from_arrays([*[c.slice(lo, n) for c in cols], result(chunk, C)], names=names)
 
     return fn
 

@@ -29,6 +29,8 @@ from .exact import ExactSums, rounded
 from .pruned import Scan, scan_distances, searcher
 
 _CHUNK_ROWS = 4096
+# Coordinates (sparse: entries) that a chunk of several rows may hold.
+_CHUNK_VALUES = 1 << 19
 # Models above this many numbers travel as a broadcast variable, not inside each task.
 BROADCAST_MIN_VALUES = 100_000
 
@@ -77,6 +79,20 @@ class Chunk:
         return X
 
 
+def chunk_slices(col):
+    """(first row, rows) of the chunks an Arrow vector column is read in, bounded in rows and in values."""
+    import pyarrow as pa
+
+    lists = col.field("idx") if pa.types.is_struct(col.type) else col
+    offsets = np.asarray(lists.offsets)
+    lo = 0
+    while lo < len(col):
+        hi = int(np.searchsorted(offsets, offsets[lo] + _CHUNK_VALUES, "right")) - 1
+        hi = min(max(hi, lo + 1), lo + _CHUNK_ROWS, len(col))
+        yield lo, hi - lo
+        lo = hi
+
+
 def read_chunk(col, d: int) -> tuple[Chunk, np.ndarray]:
     """An Arrow vector column -> its usable rows, and which rows those are.
 
@@ -274,8 +290,8 @@ def vector_chunks(batches, d: int):
     """Chunks of an Arrow vector column."""
     for rb in batches:
         col = rb.column(0)
-        for lo in range(0, rb.num_rows, _CHUNK_ROWS):
-            yield read_chunk(col.slice(lo, _CHUNK_ROWS), d)[0]
+        for lo, n in chunk_slices(col):
+            yield read_chunk(col.slice(lo, n), d)[0]
 
 
 class Partials:

@@ -2,25 +2,31 @@
 
 Two physical forms, same numbers:
 
-* ``arrow``: a vectorised Pandas UDF turns batches of texts into sparse (or dense)
-  bucket histograms in one pass (UTF-16 units via NumPy). No shuffle at all.
+* ``arrow``: a UDF turns batches of texts into sparse (or dense) bucket histograms in one pass (UTF-16
+  units via NumPy), sparse ones a slice of bounded size at a time. No shuffle at all.
 * ``sql`` (long form): bucket array per text, ``explode``, then
   ``groupBy(id, bucket).count()`` with a partial aggregate in the stage of the explode.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import DEFAULT_BUCKETS, bucket_entries, row_text, units_to_buckets, utf16_units
+from ..functions.text import DEFAULT_BUCKETS, SLICE_UNITS, bucket_entries, row_text, units_to_buckets, utf16_units
 from ..functions.vector import dense_from_long
 from ..operators.rowindex import with_file_position, with_row_index
 
-# Texts whose histograms are made together.
+# Texts whose dense histograms are made together.
 _BATCH = 1024
+# Texts whose sparse histograms are made together.
+_SLICE_TEXTS = 1024
 
 
 def hashed_tf_long(
@@ -53,6 +59,24 @@ def dense_from_tf(long_tf: DataFrame, n_features: int = DEFAULT_BUCKETS) -> Data
     return grouped.select("id", dense_from_long(F.col("_e"), n_features).alias("features"))
 
 
+def _slices(batches: Iterator[pa.Array], rows: int) -> Iterator[list]:
+    """The texts of Arrow batches, at most ``rows`` and ``SLICE_UNITS`` units (or one text) at a time."""
+    for batch in batches:
+        # a text has no more UTF-16 units than bytes
+        upto = np.cumsum(pc.fill_null(pc.binary_length(batch), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+        lo = 0
+        while lo < len(batch):
+            before = int(upto[lo - 1]) if lo else 0
+            hi = int(np.searchsorted(upto, before + SLICE_UNITS, "right"))
+            hi = min(max(hi, lo + 1), lo + rows, len(batch))
+            yield batch.slice(lo, hi - lo).to_pylist()
+            lo = hi
+
+
+def _lists(cuts: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(values))
+
+
 def _dense_udf(n_features: int):
     @F.pandas_udf("array<double>")
     def dense(texts: pd.Series) -> pd.Series:
@@ -69,16 +93,13 @@ def _dense_udf(n_features: int):
 
 
 def _sparse_udf(n_features: int):
-    @F.pandas_udf("struct<size:int,idx:array<int>,val:array<double>>")
-    def sparse(texts: pd.Series) -> pd.DataFrame:
-        idx, val = [], []
-        for lo in range(0, len(texts), _BATCH):
-            part = texts.iloc[lo : lo + _BATCH].tolist()
-            row, bucket, count = bucket_entries(part, n_features)
-            cuts = np.searchsorted(row, np.arange(1, len(part)))
-            idx += np.split(bucket.astype("int32"), cuts)
-            val += np.split(count, cuts)
-        return pd.DataFrame({"size": [n_features] * len(idx), "idx": idx, "val": val})
+    @F.arrow_udf("struct<size:int,idx:array<int>,val:array<double>>")
+    def sparse(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in _slices(batches, _SLICE_TEXTS):
+            row, bucket, count = bucket_entries(texts, n_features)
+            cuts = np.searchsorted(row, np.arange(len(texts) + 1))
+            size = pa.array(np.full(len(texts), n_features, np.int32))
+            yield pa.StructArray.from_arrays([size, _lists(cuts, bucket.astype(np.int32)), _lists(cuts, count)], ["size", "idx", "val"])
 
     return sparse
 

@@ -120,3 +120,70 @@ def test_chunked_batches_same_result(spark, monkeypatch):
     assert np.allclose(np.array(a.centers), np.array(base.centers), atol=1e-9)
     assert np.allclose(np.array(b.centers), np.array(base.centers), atol=1e-9)
     assert [h["changed"] for h in a.history] == [h["changed"] for h in b.history] == [h["changed"] for h in base.history]
+
+
+def _peak_mb(work) -> float:
+    import tracemalloc
+
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 2**20
+    finally:
+        tracemalloc.stop()
+
+
+def _reference_counts(text: str | None) -> dict[int, float]:
+    from collections import Counter
+
+    return {b: float(n) for b, n in Counter(reference_buckets(text or "")).items()}
+
+
+ODD_TEXTS = ["", None, "h", "ab", "a\U0001F600b" * 30, "", "x" * 11, "hello world", "\U0001F600", None]
+
+
+def test_bigrams_of_long_texts_and_batches_take_bounded_memory(monkeypatch):
+    import sparkclust.functions.text as T
+
+    texts = [f"{i} lorem ipsum dolor " * 1000 for i in range(400)]  # 9 million units
+    assert _peak_mb(lambda: T.bucket_entries(texts)) < 100
+    assert _peak_mb(lambda: T.bucket_entries(["".join(texts)])) < 100  # one text
+    for size in (3, 4, 7, 1 << 18):
+        monkeypatch.setattr(T, "SLICE_UNITS", size)
+        row, bucket, count = T.bucket_entries(ODD_TEXTS)
+        assert (np.diff(row * 1000 + bucket) > 0).all()
+        for i, t in enumerate(ODD_TEXTS):
+            assert dict(zip(bucket[row == i].tolist(), count[row == i].tolist())) == _reference_counts(t)
+
+
+def test_sparse_histograms_leave_in_slices(spark):
+    import pyarrow as pa
+
+    from sparkclust.plans.featurize import _sparse_udf
+
+    texts = [*ODD_TEXTS, *[f"{i} lorem ipsum" * 2000 for i in range(300)], "z\U0001F600" * 200_000, *ODD_TEXTS]
+    parts = list(_sparse_udf(1000).func(iter([pa.array(texts[:200]), pa.array([], pa.string()), pa.array(texts[200:])])))
+    assert len(parts) > 20
+    got = [v for p in parts for v in p.to_pylist()]
+    assert len(got) == len(texts)
+    for i in (*range(12), 199, 200, *range(len(texts) - 11, len(texts))):
+        assert got[i]["size"] == 1000 and dict(zip(got[i]["idx"], got[i]["val"])) == _reference_counts(texts[i])
+
+
+def test_wide_sparse_rows_are_read_in_small_chunks():
+    import pyarrow as pa
+
+    from sparkclust.operators.update import read_chunk, vector_chunks
+
+    n = 2000
+    idx = pa.array([list(range(1000)) if i % 5 else [i % 1000] for i in range(n)], pa.list_(pa.int32()))
+    val = pa.array([[float(i)] * (1000 if i % 5 else 1) for i in range(n)], pa.list_(pa.float64()))
+    col = pa.StructArray.from_arrays([pa.array([1000] * n, pa.int32()), idx, val], ["size", "idx", "val"]).slice(3)
+    chunks = list(vector_chunks([pa.RecordBatch.from_arrays([col], ["features"])], 1000))
+    whole, _ = read_chunk(col, 1000)
+    assert max(len(c.val) for c in chunks) <= 1 << 19
+    assert sum(c.rows for c in chunks) == whole.rows == n - 3 and not sum(c.bad for c in chunks)
+    assert np.array_equal(np.concatenate([c.val for c in chunks]), whole.val)
+    assert np.array_equal(np.concatenate([c.idx for c in chunks]), whole.idx)
+    first = np.cumsum([0, *[c.rows for c in chunks[:-1]]])
+    assert np.array_equal(np.concatenate([c.where + f for c, f in zip(chunks, first)]), whole.where)
