@@ -2,8 +2,8 @@
 
 Two physical forms, same numbers:
 
-* ``arrow``: a UDF turns batches of texts into sparse (or dense) bucket histograms in one pass (UTF-16
-  units via NumPy), sparse ones a slice of bounded size at a time. No shuffle at all.
+* ``arrow``: an Arrow UDF turns batches of texts into sparse (or dense) bucket histograms in one
+  pass (UTF-16 units via NumPy), a slice of bounded size at a time. No shuffle at all.
 * ``sql`` (long form): bucket array per text, ``explode``, then
   ``groupBy(id, bucket).count()`` with a partial aggregate in the stage of the explode.
 """
@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -23,8 +22,8 @@ from ..functions.text import DEFAULT_BUCKETS, SLICE_UNITS, bucket_entries, row_t
 from ..functions.vector import dense_from_long
 from ..operators.rowindex import with_file_position, with_row_index
 
-# Texts whose dense histograms are made together.
-_BATCH = 1024
+# Cells, zeros included, of the dense histograms that are made together.
+_SLICE_CELLS = 1 << 18
 # Texts whose sparse histograms are made together.
 _SLICE_TEXTS = 1024
 
@@ -78,16 +77,13 @@ def _lists(cuts: np.ndarray, values: np.ndarray) -> pa.ListArray:
 
 
 def _dense_udf(n_features: int):
-    @F.pandas_udf("array<double>")
-    def dense(texts: pd.Series) -> pd.Series:
-        out = []
-        for lo in range(0, len(texts), _BATCH):  # one histogram for a batch of texts
-            part = texts.iloc[lo : lo + _BATCH].tolist()
-            row, bucket, count = bucket_entries(part, n_features)
-            cells = np.zeros((len(part), n_features))
+    @F.arrow_udf("array<double>")
+    def dense(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in _slices(batches, max(1, _SLICE_CELLS // n_features)):
+            row, bucket, count = bucket_entries(texts, n_features)
+            cells = np.zeros((len(texts), n_features))
             cells[row, bucket] = count
-            out.extend(cells)
-        return pd.Series(out, index=texts.index, dtype=object)
+            yield _lists(np.arange(len(texts) + 1) * n_features, cells.ravel())
 
     return dense
 

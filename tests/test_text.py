@@ -187,3 +187,24 @@ def test_wide_sparse_rows_are_read_in_small_chunks():
     assert np.array_equal(np.concatenate([c.idx for c in chunks]), whole.idx)
     first = np.cumsum([0, *[c.rows for c in chunks[:-1]]])
     assert np.array_equal(np.concatenate([c.where + f for c, f in zip(chunks, first)]), whole.where)
+
+
+def test_dense_histograms_leave_in_slices(spark):
+    import pyarrow as pa
+
+    from sparkclust.plans.featurize import _dense_udf
+
+    texts = pa.array([*ODD_TEXTS, *[f"{i} lorem ipsum" for i in range(10_000)], *ODD_TEXTS])
+    lengths = []
+
+    def work():
+        for part in _dense_udf(1000).func(iter([texts])):  # 80 MB of histograms, few of them at a time
+            lengths.append(len(part))
+
+    assert _peak_mb(work) < 40
+    assert sum(lengths) == len(texts) and max(lengths) <= 262
+    got = [v for part in _dense_udf(1000).func(iter([texts])) for v in part.slice(0, 12).to_pylist()]
+    assert all(len(v) == 1000 for v in got)
+    for v, t in zip(got, texts[:12].to_pylist()):
+        assert np.array_equal(v, bucket_counts_numpy(t))
+        assert {b: n for b, n in enumerate(v) if n} == _reference_counts(t)
