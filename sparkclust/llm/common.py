@@ -24,6 +24,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that deals out both sides by key, whatever size Spark expects of ``df``.
+
+    A small estimate is no bound on what the driver would have to hold: a number in a file or a shuffle takes a few bytes,
+    a broadcast row about 100 to 200, and rows made by ``explode`` are not in the estimate at all.
+    """
+    return df.hint("merge")
+
+
 def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 

@@ -4,6 +4,7 @@ Each round points every node to the smallest node it has met; rounds repeat unti
 changes (about the logarithm of a component's diameter). The smallest neighbour is a
 partial aggregate, and the edges of a node are salted before they are joined with it (in both
 halves of a round), so a node with very many edges costs no single task more than its share.
+The salted nodes are never broadcast: the driver would hold SALTS rows of each.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize
+from .common import materialize, shuffled
 
 SALTS = 16
 
@@ -20,7 +21,7 @@ def _with_least(edges: DataFrame, least: DataFrame) -> DataFrame:
     """``edges`` (u, v) with ``m`` of their ``u`` from ``least`` (_u, m): its row is dealt out to SALTS parts of the edges."""
     salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
     salted = edges.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int"))
-    return salted.join(least.select("_u", "m", salts), (F.col("u") == F.col("_u")) & (F.col("salt") == F.col("_salt")))
+    return salted.join(shuffled(least.select("_u", "m", salts)), (F.col("u") == F.col("_u")) & (F.col("salt") == F.col("_salt")))
 
 
 def components(edges: DataFrame) -> DataFrame:

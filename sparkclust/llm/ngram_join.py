@@ -32,7 +32,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialize, stream_groups, table
+from .common import materialize, shuffled, stream_groups, table
 from .components import components
 from .encoding import text_bytes, text_slices
 
@@ -42,7 +42,8 @@ TREES, DEPTH, TARGET = 24, 7, 0.9995
 LOOSE = 0.65
 #: Members of a bucket compared by one task, and representatives of a component verified by one task and side.
 BUCKET_BLOCK, VERIFY_BLOCK = 20_000, 500
-#: Up to this many candidate texts are marked by a broadcast of their hashes (about 60 bytes each); more by a shuffle join.
+#: Up to this many candidate texts are marked by a broadcast of their hashes (182 bytes each on the driver); more by a shuffle join.
+#: No other join broadcasts what grows with the input.
 MAX_BROADCAST = 500_000
 #: Bytes of text whose shingles are worked on at once.
 SLICE = 1_000_000
@@ -203,13 +204,13 @@ def _bucket_edges(reps: DataFrame, depth: int, target: float = TARGET) -> DataFr
     on = F.col("key") == F.col("_key")
     n_large = large.count()
     if not n_large:
-        met = keyed.join(shared, on)
+        met = keyed.join(shuffled(shared), on)
     elif n_large <= MAX_BROADCAST:
-        met = keyed.join(F.broadcast(large), on).union(keyed.join(F.broadcast(large), on, "left_anti").join(shared.where(F.col("m") <= BUCKET_BLOCK), on))
+        met = keyed.join(F.broadcast(large), on).union(keyed.join(F.broadcast(large), on, "left_anti").join(shuffled(shared.where(F.col("m") <= BUCKET_BLOCK)), on))
     else:
         salted = shared.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(15))))
-        met = keyed.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(16)).cast("int")).join(salted, on & (F.col("salt") == F.col("_salt")))
-    members = met.select("key", "tree", "uid", "m").join(reps.select("uid", F.col("near").alias("sig")), "uid")  # one byte a number is enough to tell who is close
+        met = keyed.withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(16)).cast("int")).join(shuffled(salted), on & (F.col("salt") == F.col("_salt")))
+    members = met.select("key", "tree", "uid", "m").join(shuffled(reps.select("uid", F.col("near").alias("sig"))), "uid")  # one byte a number is enough to tell who is close
     # a bucket beyond the block size is compared block against block
     n_blocks = F.ceil(F.col("m") / BUCKET_BLOCK).cast("int")
     block = F.pmod(F.xxhash64("uid"), n_blocks).cast("int")
@@ -272,9 +273,9 @@ def _similar(sets: list[np.ndarray], weight: np.ndarray, split: int | None):
 def _verify(docs: DataFrame, reps: DataFrame, comp: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (kind, a, b, links): kind 0 counts links of a, kind 1 is a tree edge."""
     sizes = comp.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
-    cand = comp.join(sizes, "label").join(reps.select("uid", "id", "th", "copies"), comp["node"] == F.col("uid"))
+    cand = comp.join(shuffled(sizes), "label").join(shuffled(reps.select("uid", "id", "th", "copies")), comp["node"] == F.col("uid"))
     cand = materialize(cand.select("label", "m", "uid", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("rid"), F.col("th").alias("rth"), "copies"), "join-candidates")
-    marked = F.broadcast(cand) if cand.count() <= MAX_BROADCAST else cand
+    marked = F.broadcast(cand) if cand.count() <= MAX_BROADCAST else shuffled(cand)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).alias("tid"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
     picked = texts.join(marked, (F.col("th") == F.col("rth")) & (F.col("tid") == F.col("rid"))).select("label", "m", "uid", "copies", "text")
 
@@ -353,17 +354,17 @@ def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     verified = _verify(docs, reps, components(_bucket_edges(reps, DEPTH)), id_col, text_col)
     links = verified.where("kind = 0").groupBy(F.col("a").alias("_a")).agg(F.sum("links").alias("others"))
     groups = components(verified.where("kind = 1").select("a", "b"))
-    with_ids = groups.join(reps.select("uid", "id"), F.col("node") == F.col("uid"))
+    with_ids = groups.join(shuffled(reps.select("uid", "id")), F.col("node") == F.col("uid"))
     names = with_ids.groupBy(F.col("label").alias("_l")).agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")).alias("f"))
-    named = groups.join(names, F.col("label") == F.col("_l")).select("node", "label", "least", F.col("f.uid").alias("first"))
+    named = groups.join(shuffled(names), F.col("label") == F.col("_l")).select("node", "label", "least", F.col("f.uid").alias("first"))
     per_class = (
-        reps.join(named, F.col("uid") == F.col("node"), "left").join(links, F.col("uid") == F.col("_a"), "left")
+        reps.join(shuffled(named), F.col("uid") == F.col("node"), "left").join(shuffled(links), F.col("uid") == F.col("_a"), "left")
         .select(F.col("c1").alias("_c1"), F.col("c2").alias("_c2"), F.col("n").alias("_n"),
                 F.coalesce("least", "id", -1 - F.coalesce("label", "uid")).alias("group_id"),
                 (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("first", "uid").alias("first_uid"))
     )
     same = (F.col("c1") == F.col("_c1")) & (F.col("c2") == F.col("_c2")) & (F.col("n") == F.col("_n"))
-    worded = sketch.where("n > 0").select("uid", "id", "th", "c1", "c2", "n").join(per_class, same).select("uid", "id", "th", "group_id", "n_links", "first_uid")
+    worded = sketch.where("n > 0").select("uid", "id", "th", "c1", "c2", "n").join(shuffled(per_class), same).select("uid", "id", "th", "group_id", "n_links", "first_uid")
     empty = sketch.where("n = 0").select("uid", "id", "th", F.coalesce("id", -1 - F.col("uid")).alias("group_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("first_uid"))
     return worded.union(empty)
 
@@ -378,7 +379,7 @@ def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     keys = groups.groupBy(F.col("id").alias("_id"), F.col("th").alias("_th")).agg(F.max(F.col("uid") == F.col("first_uid")).alias("_stays"), F.count(F.lit(1)).alias("_n"))
     keys = materialize(keys.where("not _stays or _n > 1").select("_id", "_th", "_stays"), "join-lost")
     n = {r["_stays"]: r["n"] for r in keys.groupBy("_stays").agg(F.count(F.lit(1)).alias("n")).collect()}
-    marked = F.broadcast(keys) if sum(n.values()) <= MAX_BROADCAST else keys  # keeps whole texts out of the shuffle
+    marked = F.broadcast(keys) if sum(n.values()) <= MAX_BROADCAST else shuffled(keys)  # keeps whole texts out of the shuffle
     rest = docs.withColumns({"_key": F.xxhash64(F.col(text_col)), "_no": F.col(id_col).cast("long")})
     on = F.col("_no").eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_th"))
     single = rest.join(marked, on, "left_anti").drop("_key", "_no")

@@ -7,7 +7,7 @@ import pytest
 from helpers import frame
 from test_corpus_operators import brute_links
 
-from sparkclust.llm import ngram_join
+from sparkclust.llm import common, components, ngram_join
 
 
 def test_the_bound_is_met_at_the_threshold_itself():
@@ -60,3 +60,36 @@ def test_the_walk_connects_what_is_close_under_shorter_prefixes():
         parent[top(order[a])] = top(order[b])
     assert len({top(i) for i in range(30)}) == 6 and len(edges) == 24
     assert all(top(i) == top(i // 5 * 5) for i in range(30))
+
+
+@pytest.mark.parametrize("most", [0, 500_000])
+def test_the_driver_gets_no_rows_but_those_counted_before(spark, monkeypatch, most):
+    monkeypatch.setattr(ngram_join, "MAX_BROADCAST", most)
+    plans = {}
+
+    def kept(df, name):
+        plans.setdefault(name, []).append(df._jdf.queryExecution().executedPlan().toString())
+        return common.materialize(df, name)
+
+    monkeypatch.setattr(ngram_join, "materialize", kept)
+    monkeypatch.setattr(components, "materialize", kept)
+    base = [f"w{k}" for k in range(100)]
+    rows = [(i, " ".join(f"f{i // 3}{w}" for w in base[: 100 - i % 3]), "en", "a", 1) for i in range(30)]
+    links, groups = brute_links(rows)
+    out = ngram_join.join_groups(frame(spark, rows, clash=False))
+    plans["result"] = [out._jdf.queryExecution().executedPlan().toString()]
+    got = {r["id"]: r for r in out.collect()}
+    assert [got[r[0]]["n_links"] for r in rows] == links and len({g["group_id"] for g in got.values()}) == len(groups) == 10
+    # these tables are far below Spark's threshold: what isn't asked for by its count would be broadcast by its estimate
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) > 2**20
+    found = {name: sum(p.count("BroadcastHashJoin") for p in of) for name, of in plans.items()}
+    assert found.pop("join-verified") == (1 if most else 0) and not any(found.values()), found
+    assert sum(p.count("SortMergeJoin") for p in plans["cc-round"]) >= 4
+
+
+def test_salted_nodes_are_dealt_out(spark):
+    edges = spark.createDataFrame([(i + 1, 0) for i in range(50)], "u long, v long")
+    least = spark.createDataFrame([(i + 1, 0) for i in range(50)], "_u long, m long")
+    met = components._with_least(edges, least)
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r["u"], r["v"], r["m"]) for r in met.collect()) == [(i + 1, 0, 0) for i in range(50)]
