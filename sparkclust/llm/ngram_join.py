@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import materialize, shuffled, stream_groups, table
-from .components import components
+from .components import SALTS, components
 from .encoding import text_bytes, text_slices
 
 N, THRESHOLD = 5, (4, 5)
@@ -270,10 +270,17 @@ def _similar(sets: list[np.ndarray], weight: np.ndarray, split: int | None):
     return i, j + split, both[i, j] / union[i, j]
 
 
+def _with_label(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """``nodes`` (node, label) with the columns of their label in ``labels`` (_l, ...): its row is dealt out to SALTS parts of the nodes."""
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt")
+    salted = nodes.withColumn("salt", F.pmod(F.xxhash64("node"), F.lit(SALTS)).cast("int"))
+    return salted.join(shuffled(labels.select("*", salts)), (F.col("label") == F.col("_l")) & (F.col("salt") == F.col("_salt")))
+
+
 def _verify(docs: DataFrame, reps: DataFrame, comp: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (kind, a, b, links): kind 0 counts links of a, kind 1 is a tree edge."""
-    sizes = comp.groupBy("label").agg(F.count(F.lit(1)).alias("m"))
-    cand = comp.join(shuffled(sizes), "label").join(shuffled(reps.select("uid", "id", "th", "copies")), comp["node"] == F.col("uid"))
+    sizes = comp.groupBy(F.col("label").alias("_l")).agg(F.count(F.lit(1)).alias("m"))
+    cand = _with_label(comp, sizes).join(shuffled(reps.select("uid", "id", "th", "copies")), F.col("node") == F.col("uid"))
     cand = materialize(cand.select("label", "m", "uid", F.coalesce(F.col("id").cast("string"), F.lit("")).alias("rid"), F.col("th").alias("rth"), "copies"), "join-candidates")
     marked = F.broadcast(cand) if cand.count() <= MAX_BROADCAST else shuffled(cand)
     texts = docs.select(F.coalesce(F.col(id_col).cast("long").cast("string"), F.lit("")).alias("tid"), F.xxhash64(F.col(text_col)).alias("th"), F.col(text_col).alias("text"))
@@ -356,7 +363,7 @@ def join_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     groups = components(verified.where("kind = 1").select("a", "b"))
     with_ids = groups.join(shuffled(reps.select("uid", "id")), F.col("node") == F.col("uid"))
     names = with_ids.groupBy(F.col("label").alias("_l")).agg(F.min("id").alias("least"), F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "uid")).alias("f"))
-    named = groups.join(shuffled(names), F.col("label") == F.col("_l")).select("node", "label", "least", F.col("f.uid").alias("first"))
+    named = _with_label(groups, names).select("node", "label", "least", F.col("f.uid").alias("first"))
     per_class = (
         reps.join(shuffled(named), F.col("uid") == F.col("node"), "left").join(shuffled(links), F.col("uid") == F.col("_a"), "left")
         .select(F.col("c1").alias("_c1"), F.col("c2").alias("_c2"), F.col("n").alias("_n"),

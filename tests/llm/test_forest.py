@@ -88,8 +88,18 @@ def test_the_driver_gets_no_rows_but_those_counted_before(spark, monkeypatch, mo
 
 
 def test_salted_nodes_are_dealt_out(spark):
-    edges = spark.createDataFrame([(i + 1, 0) for i in range(50)], "u long, v long")
-    least = spark.createDataFrame([(i + 1, 0) for i in range(50)], "_u long, m long")
+    edges = spark.range(1, 51).selectExpr("id AS u", "0L AS v")  # ranges: Spark knows how small they are
+    least = spark.range(1, 51).selectExpr("id AS _u", "0L AS m")
     met = components._with_least(edges, least)
     assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
     assert sorted((r["u"], r["v"], r["m"]) for r in met.collect()) == [(i + 1, 0, 0) for i in range(50)]
+
+
+def test_members_of_a_large_group_are_dealt_out(spark):
+    nodes = spark.range(64).selectExpr("id AS node", "0L AS label").union(spark.range(100, 101).selectExpr("id", "99L"))
+    labels = spark.range(3).selectExpr("element_at(array(0L, 99L, 7L), int(id) + 1) AS _l", "element_at(array('a', 'b', 'c'), int(id) + 1) AS m")
+    met = ngram_join._with_label(nodes, labels)
+    assert "Broadcast" not in met._jdf.queryExecution().executedPlan().toString()
+    rows = met.collect()
+    assert sorted((r["node"], r["m"]) for r in rows) == [(i, "a") for i in range(64)] + [(100, "b")]
+    assert len({r["salt"] for r in rows if r["m"] == "a"}) > components.SALTS // 2
